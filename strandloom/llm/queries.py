@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.kmers import clean_kmer, pack, unpack
-from strandloom.llm import heavy, runs, seen, termfreq
+from strandloom.llm import heavy, residue, runs, seen, termfreq
 from strandloom.session import persisted, table
 
 
@@ -67,6 +67,16 @@ def p6_bounds(spark: SparkSession, d: str) -> DataFrame:
     return heavy.approximate_top(_counted_records(spark, d), 30, "term").select(unpack(F.col("item")).alias("kmer"), "at_least", "at_most")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.with_residue(table(spark, d, "documents"))
+
+
+def p9_residue_report(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and their share of residue by kind; kinds empty for clean ones."""
+    found = residue.text_residue(table(spark, d, "documents"))
+    return found.groupBy("kinds").agg(F.count("*").alias("docs"), F.sum("residue_letters").alias("residue_letters"), F.sum("letters").alias("letters"))
+
+
 _CLEAN = "upper(trim(kmer, ' ' || chr(9) || chr(13)))"
 _KMERS = f"""r as (select distinct rec_no, kmer, node, kmer_count from kmer_index),
 k as (select rec_no, node, kmer_count, {_CLEAN} u from r),
@@ -78,7 +88,7 @@ m as (select kmer, total, spread, case when total = 1 then 'rare' when spread >=
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_probe_report, p4_found, p4_collapsed_paths, p5_found, p5_frequencies, p6_found, p6_bounds)}
+    return {f.__name__: f for f in (p2_found, p2_probe_report, p4_found, p4_collapsed_paths, p5_found, p5_frequencies, p6_found, p6_bounds, p9_found, p9_residue_report)}
 
 
 def _runs_sql(source: str, least: int) -> str:
