@@ -258,7 +258,7 @@ def residue_spans(squeezed: str, folded: str, maybe_placeholders: bool = True) -
         quoted_until = -99
         for m in _PLACEHOLDER.finditer(squeezed):
             # the second of two quoted placeholders follows the first and a short "or"
-            if m.start() - quoted_until <= 24 or _quoted(fold(squeezed[max(0, m.start() - 90) : m.start()]), _CUE):
+            if m.start() - quoted_until <= 24 or _quoted(before := fold(squeezed[max(0, m.start() - 90) : m.start()]), _CUE) or _quoted(before, _MESSAGE_CUE):
                 quoted_until = m.end()
             else:
                 out.append(("template", m.group(), len(fold(m.group()))))
