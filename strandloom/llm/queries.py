@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.kmers import clean_kmer, pack, unpack
-from strandloom.llm import heavy, residue, runs, seen, termfreq
+from strandloom.llm import heavy, mixing, packing, residue, runs, seen, termfreq
 from strandloom.session import persisted, table
 
 
@@ -67,6 +67,27 @@ def p6_bounds(spark: SparkSession, d: str) -> DataFrame:
     return heavy.approximate_top(_counted_records(spark, d), 30, "term").select(unpack(F.col("item")).alias("kmer"), "at_least", "at_most")
 
 
+def _limits(spark: SparkSession, d: str) -> list[tuple[str, int]]:
+    """The kinds of containers, a fixed handful."""
+    return [(r.container, r.capacity_tokens) for r in table(spark, d, "pack_limits").where("container is not null and capacity_tokens > 0").orderBy("container").collect()]
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.document_sizes(table(spark, d, "documents")), _limits(spark, d))
+
+
+def p7_fill_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_packed(spark, d), _limits(spark, d))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_share_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.share_report(persisted(p8_mixture(spark, d), "mixture"), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.with_residue(table(spark, d, "documents"))
 
@@ -88,7 +109,7 @@ m as (select kmer, total, spread, case when total = 1 then 'rare' when spread >=
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_probe_report, p4_found, p4_collapsed_paths, p5_found, p5_frequencies, p6_found, p6_bounds, p9_found, p9_residue_report)}
+    return {f.__name__: f for f in (p2_found, p2_probe_report, p4_found, p4_collapsed_paths, p5_found, p5_frequencies, p6_found, p6_bounds, p7_packed, p7_fill_report, p8_mixture, p8_share_report, p9_found, p9_residue_report)}
 
 
 def _runs_sql(source: str, least: int) -> str:
