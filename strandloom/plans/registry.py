@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.plans import skew_queries
+from strandloom.plans import kmer_queries, skew_queries
 
-MODULES = [skew_queries]
+MODULES = [skew_queries, kmer_queries]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return skew_queries.p1_found(spark, d)
+    return kmer_queries.kmer_spectrum_unique(spark, d)
