@@ -1,7 +1,9 @@
 """Walks over the graph: components, lines, paths, tangles.
 
-Fixpoints are driver loops over DataFrames whose lineage is cut by checkpoint(); pointer
-doubling makes the rounds grow with the logarithm of the longest chain.
+Fixpoints are driver loops over DataFrames whose lineage is cut by a table written to the
+shared folder (which, unlike a checkpoint, also drops the constraints that a planner would
+otherwise multiply from round to round); pointer doubling makes the rounds grow with the
+logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -14,18 +16,17 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.kmers import canonical, rc
 from strandloom.operators.graph import Graph, ends, mirrored, next_nodes, parallels
-from strandloom.session import shared_dir
+from strandloom.session import persisted
 
 ROUNDS = 64
 
 
 def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], measure: Callable[[DataFrame], tuple], rounds: int = ROUNDS) -> DataFrame:
     """Repeats ``step`` until ``measure`` (one small row) no longer changes; raises after ``rounds`` rounds."""
-    shared_dir(start.sparkSession)
-    state = start.checkpoint()
+    state = persisted(start, "step")
     before = measure(state)
     for _ in range(rounds):
-        state = step(state).checkpoint()
+        state = persisted(step(state), "step")
         now = measure(state)
         if now == before:
             return state
@@ -70,11 +71,11 @@ def _rooted(before: DataFrame, rounds: int) -> DataFrame:
 
     ``before`` has (node, prev), prev null at a chain's first node. Nodes of closed chains never reach a root; their root has a prev.
     """
-    state = before.select("node", F.coalesce("prev", "node").alias("root"), F.col("prev").isNotNull().cast("long").alias("place"), F.least(F.abs("node"), F.abs("prev")).alias("low")).checkpoint()
+    state = persisted(before.select("node", F.coalesce("prev", "node").alias("root"), F.col("prev").isNotNull().cast("long").alias("place"), F.least(F.abs("node"), F.abs("prev")).alias("low")), "step")
     done = -1
     for _ in range(rounds):
         jump = state.select(F.col("node").alias("root"), F.col("root").alias("root2"), F.col("place").alias("place2"), F.col("low").alias("low2"))
-        state = state.join(jump, "root").select("node", F.col("root2").alias("root"), (F.col("place") + F.col("place2")).alias("place"), F.least("low", "low2").alias("low")).checkpoint()
+        state = persisted(state.join(jump, "root").select("node", F.col("root2").alias("root"), (F.col("place") + F.col("place2")).alias("place"), F.least("low", "low2").alias("low")), "step")
         now = state.agg(F.sum("place")).first()[0]
         if now == done:
             break
@@ -88,11 +89,10 @@ def lines(nodes: DataFrame, links: DataFrame) -> DataFrame:
     ``line`` is the smallest unsigned node of the chain, which stands in it as positive; a node
     without such a step is a line of its own. A closed chain begins with its smallest node.
     """
-    shared_dir(links.sparkSession)
     one = ends(links).where("next_count = 1").select("node", F.col("lowest_next").alias("nxt"))
     step = one.join(one.select((-F.col("node")).alias("nxt"), (-F.col("nxt")).alias("node")), ["node", "nxt"]).where("abs(node) <> abs(nxt)")
     every = nodes.select(F.explode(F.array(F.col("node_id"), -F.col("node_id"))).alias("node"))
-    before = every.join(step.select(F.col("nxt").alias("node"), F.col("node").alias("prev")), "node", "left").checkpoint()
+    before = persisted(every.join(step.select(F.col("nxt").alias("node"), F.col("node").alias("prev")), "node", "left"), "step")
     rounds = 2 + math.ceil(math.log2(max(2, before.count())))
     state = _rooted(before, rounds)
     heads = before.where("prev is null").select(F.col("node").alias("root"))
@@ -100,7 +100,7 @@ def lines(nodes: DataFrame, links: DataFrame) -> DataFrame:
     closed = state.join(heads, "root", "left_anti")
     if not closed.isEmpty():
         cut = closed.where("node = low").select("node").withColumn("cut", F.lit(True))
-        again = before.join(closed.select("node"), "node", "left_semi").join(cut, "node", "left").select("node", F.when(F.col("cut").isNull(), F.col("prev")).alias("prev")).checkpoint()
+        again = persisted(before.join(closed.select("node"), "node", "left_semi").join(cut, "node", "left").select("node", F.when(F.col("cut").isNull(), F.col("prev")).alias("prev")), "step")
         open_ = open_.unionByName(_rooted(again, rounds).join(again.where("prev is null").select(F.col("node").alias("root")), "root", "left_semi"))
     named = open_.groupBy("root").agg(F.min_by("node", F.struct(F.abs("node"), -F.col("node"))).alias("line")).where("line > 0")
     return open_.select("root", "place", "node").join(named, "root").select("line", F.col("place").cast("int").alias("place"), "node")
@@ -146,7 +146,7 @@ def join_unitigs(graph: Graph, least_nodes: int = 2) -> tuple[Graph, DataFrame]:
     """
     all_lines = lines(graph.nodes, graph.links)
     sizes = all_lines.groupBy("line").agg(F.max("place").alias("last")).where(F.col("last") >= least_nodes - 1)
-    held = all_lines.join(sizes, "line").checkpoint()
+    held = persisted(all_lines.join(sizes, "line"), "step")
     seqs = path_sequences(held.select(F.col("line").alias("path_id"), "place", "node"), graph.nodes, graph.links)
     fresh = seqs.select(F.col("path_id").alias("node_id"), canonical(F.col("seq")).alias("seq"), F.when(F.col("seq") == canonical(F.col("seq")), F.col("path_id")).otherwise(-F.col("path_id")).alias("signed"))
     # the free ends of a line: +first node (entered) and -last node (left)
