@@ -225,7 +225,7 @@ def restricted(threads: DataFrame, nodes: DataFrame) -> DataFrame:
 def proximity(threads: DataFrame, radius: int) -> DataFrame:
     """(node, other, times): nodes at most ``radius`` places apart on a thread. One window of ``radius`` following rows, no self join."""
     w = Window.partitionBy("thread_id").orderBy("idx").rowsBetween(1, radius)
-    near = renumber(threads).select(F.col("node"), F.explode(F.collect_list("node").over(w)).alias("other"))
+    near = renumber(threads).select("node", F.collect_list("node").over(w).alias("ahead")).select("node", F.explode("ahead").alias("other"))
     a, b = F.abs("node"), F.abs("other")
     return near.where(a != b).groupBy(F.least(a, b).alias("node"), F.greatest(a, b).alias("other")).agg(F.count("*").alias("times"))
 
