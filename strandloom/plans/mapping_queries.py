@@ -146,7 +146,7 @@ def all_paths_fw(spark, d):
     return out.select("store", "node", "read_id", F.concat_ws(",", F.transform("path", lambda x: x.cast("string"))).alias("path"))
 
 
-_VOTES = "st as (select unnest(path[:-2]) a, unnest(path[2:]) b from ph where len(path) > 1), bo as (select a node, b other from st where a <> 0 and b <> 0 union all select -b, -a from st where a <> 0 and b <> 0), vt as (select node, other, count(*) votes from bo group by all)"
+_VOTES = "sv as (select unnest(path[:-2]) a, unnest(path[2:]) b from ph where len(path) > 1), bo as (select a node, b other from sv where a <> 0 and b <> 0 union all select -b, -a from sv where a <> 0 and b <> 0), vt as (select node, other, count(*) votes from bo group by all)"
 
 
 @query(f"{P}, {_VOTES} select node, other, votes from vt qualify row_number() over (partition by node order by votes desc, other) = 1 and votes > 10")
