@@ -44,7 +44,7 @@ def recount(index: DataFrame, nodes: DataFrame, k: int) -> tuple[DataFrame, Data
 def multicount(index: DataFrame, reads: DataFrame, label: str, names: list[str], k: int) -> DataFrame:
     """A5: one count column per label, in one pass over the reads: (code, *names)."""
     counted = kmers(reads, k, [label], spots=False).groupBy("code").pivot(label, names).agg(F.count(F.lit(1)))
-    counted = counted.select("code", *(F.least(F.col(f"`{n}`"), F.lit(READ_MOST)).alias(n) for n in names))
+    counted = counted.select("code", *(F.least(F.coalesce(F.col(f"`{n}`"), F.lit(0)), F.lit(READ_MOST)).alias(n) for n in names))
     return index.select("code").join(counted, "code", "left").na.fill(0, names)
 
 

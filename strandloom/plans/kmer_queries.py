@@ -85,7 +85,7 @@ def graph_counts_updated(spark: SparkSession, d: str) -> DataFrame:
     return _named(K.recount(index, t, 31)[0])
 
 
-@query(f"{_N31}, {_R31}, i as (select distinct kmer from nk), c as (select kmer, " + ", ".join(f"count(*) filter (store = '{s}') {s}" for s in STORES) + " from rk group by kmer) select i.kmer, " + ", ".join(f"coalesce(least({s}, 65535), 0) {s}" for s in STORES) + " from i left join c using (kmer)")
+@query(f"{_N31}, {_R31}, i as (select distinct kmer from nk), c as (select kmer, " + ", ".join(f"count(*) filter (store = '{s}') {s}" for s in STORES) + " from rk group by kmer) select i.kmer, " + ", ".join(f"least(coalesce({s}, 0), 65535) {s}" for s in STORES) + " from i left join c using (kmer)")
 def multicount_pivot(spark: SparkSession, d: str) -> DataFrame:
     return _named(K.multicount(K.count_kmers(nodes(spark, d), 31), reads(spark, d), "store", STORES, 31))
 
