@@ -64,41 +64,51 @@ class _Lengths:
         a = np.arange((total + 1) // 2, total)
         return a[(self.left[a] > 0) & (self.left[total - a] > 0)][::-1]
 
-    def fillers(self, gap: int) -> Iterator[tuple[int, ...]]:
-        """Combinations of one, two and three lengths that fill the gap."""
-        if self.left[gap]:
-            yield (gap,)
-        for a in self.pairs(gap):
-            yield (int(a), int(gap - a))
-        firsts = np.arange(gap - 2, 0, -1)
-        firsts = firsts[(self.left[firsts] > 0) & self.pair_sums[gap - firsts]]
-        for a in firsts:
-            if self.left[a]:
-                for b in self.pairs(int(gap - a))[:1]:
-                    yield (int(a), int(b), int(gap - a - b))
+    def fillers(self, gap: int, items: int) -> Iterator[tuple[int, ...]]:
+        """Combinations of ``items`` (one to three) lengths that fill the gap."""
+        if items == 1:
+            if self.left[gap]:
+                yield (gap,)
+        elif items == 2:
+            for a in self.pairs(gap):
+                yield (int(a), int(gap - a))
+        else:
+            firsts = np.arange(gap - 2, 0, -1)
+            firsts = firsts[(self.left[firsts] > 0) & self.pair_sums[gap - firsts]]
+            for a in firsts:
+                if self.left[a]:
+                    for b in self.pairs(int(gap - a))[:1]:
+                        yield (int(a), int(b), int(gap - a - b))
 
 
 def pack_plan(counts: np.ndarray, capacity: int) -> Plan:
-    """Combinations of lengths and how many containers get each; ``counts[n]`` items have length n <= capacity."""
+    """Combinations of lengths and how many containers get each; ``counts[n]`` items have length n <= capacity.
+
+    Where short items are scarce, filling gaps by two or three of them leaves later ones
+    open; so the plan with complements of single lengths only is made too, and the one with fewer containers taken.
+    """
+    return min((_plan(counts, capacity, most) for most in (3, 1)), key=lambda plan: sum(n for _, n in plan))
+
+
+def _plan(counts: np.ndarray, capacity: int, most: int) -> Plan:
     lengths = _Lengths(np.asarray(counts, dtype=np.int64), capacity)
     plan: Plan = []
-    for length in range(capacity, 0, -1):
-        if length == capacity:
-            if n := int(lengths.left[length]):
-                plan.append(((length,), n))
-                lengths.left[length] = 0
-            continue
-        while lengths.left[length]:
-            before = int(lengths.left[length])
-            for filler in lengths.fillers(capacity - length):
-                combination = (length, *filler)
-                if n := lengths.times(combination):
-                    plan.append((combination, n))
-                    lengths.use(combination, n)
-                if not lengths.left[length]:
-                    break
-            if lengths.left[length] == before:
-                break
+    if n := int(lengths.left[capacity]):
+        plan.append(((capacity,), n))
+        lengths.left[capacity] = 0
+    # all gaps that one length fills, then those that two fill, then three: so no gap's only partner goes to a gap with others
+    for items in range(1, most + 1):
+        for length in range(capacity - 1, 0, -1):
+            before = -1
+            while lengths.left[length] and lengths.left[length] != before:
+                before = int(lengths.left[length])
+                for filler in lengths.fillers(capacity - length, items):
+                    combination = (length, *filler)
+                    if n := lengths.times(combination):
+                        plan.append((combination, n))
+                        lengths.use(combination, n)
+                    if not lengths.left[length]:
+                        break
     # best fit, longest first; containers of equal content stay together
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
     waiting = np.zeros(capacity + 1, np.int64)
