@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.kmers import canonical, rc
 from strandloom.functions.seq import trunc_median
+from strandloom.session import numbered
 
 MAX_DISTANCE = 2**31 - 1
 
@@ -37,11 +38,9 @@ class Graph:
 
     def add_nodes(self, seqs: DataFrame, make_canonical: bool = True) -> tuple[Graph, DataFrame]:
         """G1: appends sequences (column ``seq``) in order of sequence; also gives (seq, node_id), negative where the stored one is reversed."""
-        last = self.nodes.agg(F.coalesce(F.max("node_id"), F.lit(0)).alias("last"))
+        last = self.nodes.agg(F.max("node_id")).first()[0] or 0
         stored = seqs.select("seq", canonical(F.col("seq")).alias("kept") if make_canonical else F.col("seq").alias("kept"))
-        # ids follow the order of the sequences: ranked within range partitions, offset by the rows before
-        ordered = stored.rdd.map(tuple).sortBy(lambda r: (r[1], r[0])).zipWithIndex().map(lambda x: (*x[0], x[1])).toDF("seq string, kept string, rank long")
-        made = ordered.crossJoin(F.broadcast(last)).select("seq", "kept", (F.col("last") + F.col("rank") + 1).alias("id"))
+        made = numbered(stored, "rank", "kept", "seq").select("seq", "kept", (F.lit(last) + F.col("rank") + 1).alias("id"))
         given = made.select("seq", F.when(F.col("seq") == F.col("kept"), F.col("id")).otherwise(-F.col("id")).alias("node_id"))
         return replace(self, nodes=self.nodes.unionByName(made.select(F.col("id").alias("node_id"), F.col("kept").alias("seq")), allowMissingColumns=True)), given
 
@@ -233,13 +232,13 @@ def expand_nodes(graph: Graph, groups: DataFrame) -> tuple[Graph, DataFrame]:
     g = groups.withColumn("rank", F.row_number().over(Window.partitionBy("node_id", "side", "other").orderBy("grp"))).where("rank = 1").drop("rank")
     copies = groups.select("node_id", "grp").distinct()
     last = graph.nodes.agg(F.max("node_id")).first()[0] or 0
-    numbered = copies.rdd.map(tuple).sortBy(lambda r: r).zipWithIndex().map(lambda x: (*x[0], x[1] + 1 + last)).toDF("node_id long, grp int, new_id long")
-    placed = g.join(numbered, ["node_id", "grp"])
+    named = numbered(copies, "rank", "node_id", "grp").select("node_id", "grp", (F.col("rank") + 1 + last).alias("new_id"))
+    placed = g.join(named, ["node_id", "grp"])
     own = mirrored(graph.links).withColumn("side", F.when(F.col("source") < 0, "fw").otherwise("bw"))
     moved = own.join(placed, (F.abs("source") == F.col("node_id")) & (own["side"] == placed["side"]) & (F.col("dest") == F.col("other"))).select((F.signum("source") * F.col("new_id")).cast("long").alias("source"), "dest", "dist")
-    fresh = numbered.join(graph.nodes, "node_id").select(F.col("new_id").alias("node_id"), "seq")
+    fresh = named.join(graph.nodes, "node_id").select(F.col("new_id").alias("node_id"), "seq")
     rest = graph.remove_nodes(copies.select("node_id").distinct())
-    return Graph(rest.nodes.select("node_id", "seq").unionByName(fresh), rest.links.select("source", "dest", "dist").unionByName(moved)), numbered
+    return Graph(rest.nodes.select("node_id", "seq").unionByName(fresh), rest.links.select("source", "dest", "dist").unionByName(moved)), named
 
 
 def node_sequence(nodes: DataFrame, ids: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "strandloom", cores: int | str = "*", shuffle_partitions: int | None = None) -> SparkSession:
@@ -62,3 +63,18 @@ def persisted(df: DataFrame, purpose: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """``df`` with a dense number from 0, in order of ``order`` (without it, of the rows as they are read).
+
+    Rows are laid out by range once and written; what is added up over partitions is one count each.
+    """
+    if order:
+        df = df.repartitionByRange(shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order)
+    laid = persisted(df.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", 33).alias("__part")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = laid.groupBy(part).agg(F.count("*").alias("n")).select("__part", before.alias("__before"))
+    rows = laid.withColumn("__part", part).join(F.broadcast(offsets), "__part")  # one row per partition
+    return rows.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__before")

@@ -7,16 +7,12 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.kmers import rc
 from strandloom.functions.seq import compress_homopolymers, seq_to_tag
-
-
-def _numbered(df: DataFrame, column: str) -> DataFrame:
-    """(ord from 0 in file order, column): one pass to count the splits, none to gather them."""
-    return df.select(column).rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[1], x[0])).toDF(f"ord long, {column} string")
+from strandloom.session import numbered
 
 
 def read_fasta(spark: SparkSession, path: str, min_length: int = 0) -> DataFrame:
     """(record_id from 1, name, comment, seq) of a plain or gzipped FASTA; records count whether kept or not."""
-    raw = _numbered(spark.read.text(path, lineSep="\n>").withColumnRenamed("value", "body"), "body")
+    raw = numbered(spark.read.text(path, lineSep="\n>").withColumnRenamed("value", "body"), "ord")
     text = F.regexp_replace(F.when(F.col("ord") == 0, F.regexp_replace("body", "^>", "")).otherwise(F.col("body")), "\r", "")
     head, rest = F.substring_index(text, "\n", 1), F.when(F.locate("\n", text) > 0, F.expr("substring(t, locate('\n', t) + 1)")).otherwise("")
     t = raw.where("trim(body) <> ''").withColumn("t", text).select((F.col("ord") + 1).alias("record_id"), head.alias("head"), F.regexp_replace(rest, "\\s", "").alias("seq"))
@@ -26,7 +22,7 @@ def read_fasta(spark: SparkSession, path: str, min_length: int = 0) -> DataFrame
 
 def read_fastq(spark: SparkSession, path: str, min_length: int = 0) -> DataFrame:
     """(record_id from 1, name, comment, seq, qual) of a plain or gzipped FASTQ. A record whose header or separator is missing raises, when run."""
-    lines = _numbered(spark.read.text(path).where("value <> ''"), "value")
+    lines = numbered(spark.read.text(path).where("value <> ''"), "ord")
     at = lambda i: F.max(F.when(F.col("ord") % 4 == i, F.regexp_replace("value", "\r$", "")))
     g = lines.groupBy((F.floor(F.col("ord") / 4) + 1).alias("record_id")).agg(at(0).alias("head"), at(1).alias("seq"), at(2).alias("plus"), at(3).alias("qual"))
     good = F.col("head").startswith("@") & F.col("plus").startswith("+") & F.col("qual").isNotNull()
@@ -47,10 +43,10 @@ def paired_store(r1: DataFrame, r2: DataFrame, store: str, min_size: int = 0, ma
 
 
 def _paired(pairs: DataFrame, store: str, kind: str, max_size: int, rle: int) -> DataFrame:
-    numbered = pairs.rdd.map(lambda r: (r["record_id"], r["a"], r["b"], r["tag"])).sortBy(lambda r: (r[3] or 0, r[0])).zipWithIndex().map(lambda x: (x[1] + 1, *x[0][1:])).toDF("pair long, a string, b string, tag long")
+    placed = numbered(pairs.select("record_id", "a", "b", "tag"), "rank", "tag", "record_id").withColumn("pair", F.col("rank") + 1)
     shape = lambda c: F.substring(compress_homopolymers(F.col(c), rle) if rle else F.col(c), 1, max_size)
     mates = F.explode(F.array(F.struct((2 * F.col("pair") - 1).alias("read_id"), shape("a").alias("seq")), F.struct((2 * F.col("pair")).alias("read_id"), shape("b").alias("seq"))))
-    return numbered.select("tag", mates.alias("m")).select(F.lit(store).alias("store"), F.lit(kind).alias("kind"), "m.read_id", "m.seq", "tag")
+    return placed.select("tag", mates.alias("m")).select(F.lit(store).alias("store"), F.lit(kind).alias("kind"), "m.read_id", "m.seq", "tag")
 
 
 def linked_store(r1: DataFrame, r2: DataFrame, store: str, layout: str = "raw", read_size: int = 1 << 30) -> DataFrame:
@@ -70,7 +66,7 @@ def long_store(records: DataFrame, store: str, min_size: int = 0, rle: int = 0)
     """Reads of a long store: upper case, letters other than ACGT as N, empty and short ones left out, numbered from 1."""
     clean = F.regexp_replace(F.upper("seq"), "[^ACGT]", "N")
     t = records.select("record_id", (compress_homopolymers(clean, rle) if rle else clean).alias("seq")).where((F.length("seq") >= max(1, min_size)))
-    ids = t.rdd.map(tuple).sortBy(lambda r: r[0]).zipWithIndex().map(lambda x: (x[1] + 1, x[0][1])).toDF("read_id long, seq string")
+    ids = numbered(t, "rank", "record_id").select((F.col("rank") + 1).alias("read_id"), "seq")
     return ids.select(F.lit(store).alias("store"), F.lit("long").alias("kind"), "read_id", "seq", F.lit(None).cast("long").alias("tag"))
 
 

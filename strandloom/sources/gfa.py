@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.kmers import canonical
 from strandloom.operators.graph import Graph
-from strandloom.sources.fastx import _numbered, read_fasta
+from strandloom.session import numbered
+from strandloom.sources.fastx import read_fasta
 
 
 def _stored(named: DataFrame) -> DataFrame:
     """(name, node_id, seq, sign) from (ord, name, seq): stored canonically, sign -1 where that reversed it."""
     kept = canonical(F.col("seq"))
-    ids = named.rdd.map(lambda r: (r["ord"], r["name"], r["seq"])).sortBy(lambda r: r[0]).zipWithIndex().map(lambda x: (x[1] + 1, x[0][1], x[0][2])).toDF("node_id long, name string, seq string")
+    ids = numbered(named.select("ord", "name", "seq"), "rank", "ord").select((F.col("rank") + 1).alias("node_id"), "name", "seq")
     return ids.select("name", "node_id", kept.alias("stored"), F.when(F.col("seq") == kept, 1).otherwise(-1).alias("sign"))
 
 
@@ -34,7 +35,7 @@ def read_gfa(spark: SparkSession, path: str, fasta: str | None = None) -> tuple[
     stem, dot, suffix = path.rpartition(".")
     if suffix not in ("gfa", "gfa2"):
         raise ValueError(f"not a .gfa or .gfa2 file: {path}")
-    lines = _numbered(spark.read.text(path), "value").select("ord", F.split("value", "\t").alias("f"))
+    lines = numbered(spark.read.text(path), "ord").select("ord", F.split("value", "\t").alias("f"))
     head = lines.where("f[0] = 'H'").select(F.array_join("f", "\t").alias("h")).first()
     two = head is not None and "VN:Z:2.0" in head.h
     s = lines.where("f[0] = 'S'").select("ord", F.col("f")[1].alias("name"), F.col("f")[3 if two else 2].alias("seq"), F.array_join("f", "\t").alias("all"))
