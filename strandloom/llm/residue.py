@@ -148,7 +148,7 @@ testo del riassunto da inserire
 # Filler words, of which several stand side by side.
 LATIN_FILLER = "lorem ipsum dolor sit amet consectetur consectet adipiscing adipis elit sed eiusmod tempor incididunt labore dolore magna aliqua enim veniam nostrud exercitation ullamco laboris nisi aliquip commodo consequat irure voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum"
 KEYBOARD_FILLER = "foo bar baz qux asdf qwer qwerty jkl zzz xxx xxxx abc blah dummy sample test test1 test2 test3"
-REPEATED_FILLER = "blindtext mustertext fauxtexte textodeprueba textoderelleno sampleparagraph placeholder dummyabstract abstractdummy dummytext sampletext beispieltext testodiprova platzhalter"
+REPEATED_FILLER = "blindtext mustertext fauxtexte textodeprueba textoderelleno sampleparagraph placeholder dummyabstract abstractdummy dummytext sampletext beispieltext testodiprova platzhalter texttexttext"
 # Words that announce a quoted placeholder or message as subject matter.
 QUOTING = "placeholder tokens platzhalter zeichen marqueur jetons marcador símbolos"
 QUOTING_MESSAGES = "errormessage messagereading fehlermeldung wortlaut messagederreur mensajedeerror"
@@ -156,13 +156,22 @@ QUOTING_MESSAGES = "errormessage messagereading fehlermeldung wortlaut messagede
 QUOTE_GAP = 26
 
 # A placeholder is a name between delimiters, here in a text without blanks.
+def _swapped(word: str) -> set[str]:
+    """A word, and it with any two neighbouring letters exchanged."""
+    return {word} | {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)}
+
+
+def _any(*words: str) -> str:
+    return "|".join(sorted(set().union(*map(_swapped, words)), key=lambda w: (-len(w), w)))
+
+
 _NAME = r"[A-Za-z][\w.]{2,44}"
 _FORMS = [
     rf"\{{\{{{_NAME}\}}\}}", rf"<%=?{_NAME}%>", rf"\{{%[a-z]*{_NAME}%\}}", rf"[$#]\{{{_NAME}\}}", rf"%%{_NAME}%%", rf"@@{_NAME}@@", rf"\[\[{_NAME}\]\]", rf"\|\|\|{_NAME}\|\|\|",
-    rf"«{_NAME}»", rf"<<{_NAME}>>", rf"__{_NAME}__", rf"\${_NAME}\$", rf"%\({_NAME}\)", rf"\{{{_NAME}\}}", rf"<(?!/?(?:p|br|b|i|em|sub|sup|div|span|li|ul|ol|table|tr|td|html|body)>){_NAME}>", r"\[(?:insert|insère[rz]?|insertar|einfügen|enter)[^\]\[]{2,60}\]", r"\[[^\]\[]{2,60}(?:here|hier|ici|aquí)\]",
+    rf"«{_NAME}»", rf"<<{_NAME}>>", rf"__{_NAME}__", rf"\${_NAME}\$", rf"%\({_NAME}\)", rf"\{{{_NAME}\}}", rf"<(?!/?(?:p|br|b|i|em|sub|sup|div|span|li|ul|ol|table|tr|td|html|body)>){_NAME}>", rf"\[(?:{_any('insert', 'insérer', 'insertar', 'einfügen', 'enter')})[^\]\[]{{2,60}}\]", rf"\[[^\]\[]{{2,60}}(?:{_any('here', 'hier', 'ici', 'aquí')})\]", rf"\[\w{{1,3}}\[{_NAME}\]\]",
 ]
 _PLACEHOLDER = re.compile("|".join(f"(?:{f})" for f in _FORMS), re.I)
-_MAY_HOLD = re.compile(r"\{[{%A-Za-z]|<[%<A-Za-z]|%%|%\(|[$#]\{|\$[A-Za-z]|@@|\[\[|\|\|\||«|__|\[[A-Za-z]", re.I)
+_MAY_HOLD = re.compile(r"\{[{%A-Za-z]|<[%<A-Za-z]|%%|%\(|[$#]\{|\$[A-Za-z]|@@|\[\[|\|\|\||«|__|\[[A-Za-z]")
 
 _INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
 
@@ -206,14 +215,13 @@ def _automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    kinds = (("script", _lines(SCRIPT_NOTICES)), ("error", _lines(ERROR_MESSAGES) + [f"{code} Not Found" for code in range(400, 600)]), ("template", _lines(INSTRUCTIONS)), ("filler", [w for w in (LATIN_FILLER + " " + KEYBOARD_FILLER + " " + REPEATED_FILLER).split() if len(w) > 4 or w in ("asdf", "qwer", "xxxx", "blah")] + ["tbdtbdtbd"]))
+    kinds = (("script", _lines(SCRIPT_NOTICES)), ("error", _lines(ERROR_MESSAGES) + [f"{code} Not Found" for code in range(400, 600)]), ("template", _lines(INSTRUCTIONS)), ("filler", [w for w in (LATIN_FILLER + " " + REPEATED_FILLER).split() if len(w) > 4] + [a + b for a in KEYBOARD_FILLER.split() for b in KEYBOARD_FILLER.split()] + ["tbdtbdtbd"]))
     for kind, phrases in kinds:
         for phrase in phrases:
             whole = fold(squeeze(phrase))
             forms = {whole}
             if kind != "filler" and len(whole) >= 9:
-                letters = squeeze(phrase).translate(_FOLD)
-                forms |= {(letters[:i] + letters[i + 1] + letters[i] + letters[i + 2 :]).replace("rn", "m") for i in range(len(letters) - 1)}
+                forms |= {f.replace("rn", "m") for f in _swapped(squeeze(phrase).translate(_FOLD))}
             # a neighbouring letter may have been taken together with the first or last one
             forms |= {f[:-1] + "m" for f in forms if f[-1] == "r"} | {"m" + f[1:] for f in forms if f[0] == "n"}
             for f in forms:
@@ -223,11 +231,13 @@ def _automaton():
 
 
 def _longest_first(words: str) -> str:
-    return "|".join(sorted((fold(squeeze(w)) for w in words.split()), key=len, reverse=True))
+    """The folded words, those of four letters or more also with two neighbouring letters exchanged."""
+    folded = [fold(squeeze(w)) for w in words.split()]
+    return "|".join(sorted(set().union(*(_swapped(w) if len(w) > 3 else {w} for w in folded)), key=lambda w: (-len(w), w)))
 
 
 _FILLER_RUN = re.compile(rf"(?:{_longest_first(LATIN_FILLER)}){{4,}}|(?:{_longest_first(KEYBOARD_FILLER)}){{4,}}|(?:{_longest_first(REPEATED_FILLER)}){{2,}}|(?:tbd){{3,}}")
-_CUE, _MESSAGE_CUE = re.compile(_longest_first(QUOTING)), re.compile(_longest_first(QUOTING_MESSAGES))
+_CUE, _MESSAGE_CUE = (re.compile("|".join(fold(squeeze(w)) for w in words.split())) for words in (QUOTING, QUOTING_MESSAGES))
 
 
 def _quoted(before: str, cue: re.Pattern) -> bool:
@@ -271,7 +281,7 @@ def residue_of(text: str | None) -> tuple[int, int, str]:
         return 0, 0, ""
     squeezed = squeeze(text)
     folded = fold(squeezed)
-    spans = residue_spans(squeezed, folded, "&" in text or _MAY_HOLD.search(text) is not None)
+    spans = residue_spans(squeezed, folded, _MAY_HOLD.search(squeezed) is not None)
     return sum(x[2] for x in spans), len(folded), ",".join(sorted({x[0] for x in spans}))
 
 

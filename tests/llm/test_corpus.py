@@ -123,6 +123,7 @@ CASES = [
     "The priority of <%= pub_no %> is claimed.", "filed on ${FILINGDATE}.", "relates to &#123;&#123;title&#125;&#125; and", "[INSERT claim_1]", "&lt;figure_ref&gt;", "@@inventor@@", "%(doc.body)s", "«section_2»",
     "<< y o u r  abstract goes\nhere >>", "Please enable JavaScript to view this document.", "P1ease enable JavaScript t0 view this d0cument.", "Diese Seiteb enötigt JavaScript.", "页面不存在", "ACCESS DENIED: YOU DO NOT HAVE PERMISSION",
     "As shown in Error! Reference source not found., the lens is joined.", "In one embodi 502 Not Found", "Service\ntemporarily\nunavailable", "Lorem ipsum dolor sit amet consectet elit", "foo bar baz qwer asdf xxx", "Blindtext Blindtext Blindtext", "TBD TBD TBD",
+    "# { s e c t i o n   2 }", "[inventor HEER]", "Text text text. Text text text. Text text text.", "test sample tets1 test", "jk\u200bl foo bar abc",
     "a long text. " * 20000 + "Page not fonud",
 ]
 CLEAN = [
