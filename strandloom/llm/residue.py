@@ -151,7 +151,9 @@ KEYBOARD_FILLER = "foo bar baz qux asdf qwer qwerty jkl zzz xxx xxxx abc blah du
 REPEATED_FILLER = "blindtext mustertext fauxtexte textodeprueba textoderelleno sampleparagraph placeholder dummyabstract abstractdummy dummytext sampletext beispieltext testodiprova platzhalter texttexttext"
 # Words that announce a quoted placeholder or message as subject matter.
 QUOTING = "placeholder tokens platzhalter zeichen marqueur jetons marcador símbolos"
-QUOTING_MESSAGES = "errormessage messagereading fehlermeldung wortlaut messagederreur mensajedeerror"
+QUOTING_MESSAGES = "message fehlermeldung wortlaut mensaje"
+# Words that follow a quoted message.
+AFTER_QUOTE = "is-shown erscheint s'affiche aparece"
 #: Letters that may stand between such a word and what it announces.
 QUOTE_GAP = 26
 
@@ -239,6 +241,8 @@ def _longest_first(words: str) -> str:
 _FILLER_RUN = re.compile(rf"(?:{_longest_first(LATIN_FILLER)}){{4,}}|(?:{_longest_first(KEYBOARD_FILLER)}){{4,}}|(?:{_longest_first(REPEATED_FILLER)}){{2,}}|(?:tbd){{3,}}")
 _CUE, _MESSAGE_CUE = (re.compile("|".join(fold(squeeze(w)) for w in words.split())) for words in (QUOTING, QUOTING_MESSAGES))
 
+_AFTER = re.compile(r".{0,12}?(?:" + "|".join(fold(w) for w in AFTER_QUOTE.split()) + ")")
+
 
 def _quoted(before: str, cue: re.Pattern) -> bool:
     """Whether folded text announces a quotation shortly before its end."""
@@ -263,7 +267,7 @@ def residue_spans(squeezed: str, folded: str, maybe_placeholders: bool = True) -
             merged[-1][1] = max(merged[-1][1], end)
         else:
             merged.append([start, end, kind])
-    out = [(kind, folded[start:end], end - start) for start, end, kind in merged if not _quoted(folded[max(0, start - 60) : start], _MESSAGE_CUE)]
+    out = [(kind, folded[start:end], end - start) for start, end, kind in merged if not _quoted(folded[max(0, start - 60) : start], _MESSAGE_CUE) and not _AFTER.match(folded, end)]
     if maybe_placeholders:
         quoted_until = -99
         for m in _PLACEHOLDER.finditer(squeezed):
