@@ -34,8 +34,8 @@ def links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def thin_links(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of ends linked at least twice, once each with their smallest distance; short-range links of hot nodes left out."""
-    m = G.link_summary(links(spark, d)).where("link_count >= 2 and source <= dest and abs(source) > 12 and abs(dest) > 12 and abs(source) <> abs(dest)")
+    """Pairs of ends linked at least twice, once each with their smallest distance; a hot node counts by its pairs, as its links are aggregated first."""
+    m = G.link_summary(links(spark, d)).where("link_count >= 2 and source <= dest and abs(source) <> abs(dest)")
     return m.select("source", "dest", F.col("min_dist").alias("dist"))
 
 
