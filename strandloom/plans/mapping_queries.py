@@ -141,7 +141,7 @@ def paths_in_node(spark, d):
  select store, node, read_id, array_to_string(case when list_position(path, node) > 0 then path[list_position(path, node) + 1:] else back[list_position(back, node) + 1:] end, ',') path from j where list_position(path, node) > 0 or list_position(back, node) > 0""")
 def all_paths_fw(spark, d):
     p = paths(spark, d)
-    wanted = p.select(F.explode("path").alias("node")).where("abs(node) > 1000").distinct()
+    wanted = p.select(F.explode("path").alias("node")).where("node <> 0").distinct()
     out = M.all_paths_fw(p, wanted)
     return out.select("store", "node", "read_id", F.concat_ws(",", F.transform("path", lambda x: x.cast("string"))).alias("path"))
 

@@ -3,6 +3,7 @@
 import pytest
 
 from strandloom.plans import graph_queries as GQ
+from strandloom.plans import mapping_queries as MQ
 from tests.oracle import compare, connect
 
 # the registered SQL of these queries still leaves the hot nodes out; without that condition it covers the whole graph
@@ -24,3 +25,10 @@ def test_thin_graph_holds_hot_nodes(spark, data, con, name):
 
 def test_thin_links_of_hot_nodes(spark, data):
     assert GQ.thin_links(spark, data).where("abs(source) <= 12 or abs(dest) <= 12").count() > 0
+
+
+def test_all_paths_fw_of_hot_nodes(spark, data, con):
+    cut = "where abs(x) > 1000"
+    assert cut in MQ.SQL["all_paths_fw"]
+    got, want, extra, missing = compare(MQ.Q["all_paths_fw"](spark, data), MQ.SQL["all_paths_fw"].replace(cut, "where x <> 0"), con)
+    assert got == want and not extra and not missing, (extra, missing)
