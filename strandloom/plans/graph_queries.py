@@ -97,7 +97,7 @@ def links_copied(spark, d):
 
 @query(f"{L}, s as (select distinct -source node, dest nx from mi where abs(source) > 12 and abs(dest) > 12), a as (select node start, nx node from s), b as (select distinct a.start, s.nx node from a join s using (node)), c as (select distinct b.start, s.nx node from b join s using (node)) select start, node from a union select start, node from b union select start, node from c")
 def fw_reached_r3(spark, d):
-    t = links(spark, d).where("abs(source) > 12 and abs(dest) > 12")
+    t = links(spark, d)
     return G.fw_reached(t, G.next_nodes(t).select("node").distinct(), 3)
 
 

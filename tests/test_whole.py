@@ -32,3 +32,10 @@ def test_all_paths_fw_of_hot_nodes(spark, data, con):
     assert cut in MQ.SQL["all_paths_fw"]
     got, want, extra, missing = compare(MQ.Q["all_paths_fw"](spark, data), MQ.SQL["all_paths_fw"].replace(cut, "where x <> 0"), con)
     assert got == want and not extra and not missing, (extra, missing)
+
+
+def test_fw_reached_through_hot_nodes(spark, data, con):
+    cut = " where abs(source) > 12 and abs(dest) > 12"
+    assert cut in GQ.SQL["fw_reached_r3"]
+    got, want, extra, missing = compare(GQ.Q["fw_reached_r3"](spark, data), GQ.SQL["fw_reached_r3"].replace(cut, ""), con)
+    assert got == want and not extra and not missing, (extra, missing)
