@@ -42,7 +42,7 @@ def paths_bridged(spark, d):
 @query(f"""{S}, {_PM}, o as (select *, row_number() over (partition by read_id order by read_position, size, node, node_position) ord from pm), f as (select read_id, node, min(ord) a from o group by all),
  tu as (select o.read_id, min(ord) turn from o join f on f.read_id = o.read_id and f.node = -o.node and f.a < o.ord group by 1) select o.read_id, node, node_position, read_position, size from o left join tu using (read_id) where turn is null or ord < turn""")
 def turnarounds_truncated(spark, d):
-    return E.truncate_turnarounds(M.perfect_matches(seeds(spark, d), 31, 35))
+    return E.truncate_turnarounds(M.perfect_matches(seeds(spark, d, limit=50), 31, 35))
 
 
 _POP = f"""with {THREADS}, t as (select thread_id, idx, node from th union all select -thread_id, -idx, -node from th), o as (select thread_id, node, min(idx) i from t group by all), n as (select node, count(*) n from o group by node),

@@ -189,7 +189,7 @@ SEEDS_SQL = f"""{_N31}, {_R31}, rare as (select kmer from nk group by kmer havin
 @query(f"{SEEDS_SQL} select read_id, read_pos, node, node_pos from sd")
 def seed_matches(spark: SparkSession, d: str) -> DataFrame:
     t = nodes(spark, d)
-    return K.seed_matches(reads(spark, d), K.frequency_index(t, 31, 4), t, 31)
+    return K.seed_matches(reads(spark, d), K.frequency_index(t, 31, 200), t, 31)
 
 
 def queries() -> dict:

@@ -27,10 +27,11 @@ def query(sql: str | None = None):
     return add
 
 
-def seeds(spark, d, kind: str | None = None):
+def seeds(spark, d, kind: str | None = None, limit: int = 200):
+    """Seeds on graph k-mers occurring fewer than ``limit`` times: 200 for mapping, 50 where the long-read recruiter matches exactly."""
     t = nodes(spark, d)
     r = reads(spark, d)
-    return K.seed_matches(r if kind is None else r.where(F.col("kind") == kind), K.frequency_index(t, 31, 4), t, 31)
+    return K.seed_matches(r if kind is None else r.where(F.col("kind") == kind), K.frequency_index(t, 31, limit), t, 31)
 
 
 S = SEEDS_SQL
@@ -90,22 +91,22 @@ def best_nodes(spark, d):
 
 @query(f"{S}, {_PM} select * from pm")
 def perfect_mappings(spark, d):
-    return M.perfect_matches(seeds(spark, d), 31, 35)
+    return M.perfect_matches(seeds(spark, d, limit=50), 31, 35)
 
 
 @query(f"{S}, {_PM} select pm.read_id, -node node, node_position, cast(length(rd.seq) - read_position - size as integer) read_position, size from pm join rd using (read_id)")
 def perfect_mappings_reversed(spark, d):
-    return M.reverse_matches(M.perfect_matches(seeds(spark, d), 31, 35), reads(spark, d).select("read_id", F.length("seq").alias("size")))
+    return M.reverse_matches(M.perfect_matches(seeds(spark, d, limit=50), 31, 35), reads(spark, d).select("read_id", F.length("seq").alias("size")))
 
 
 @query()
 def sandwiches_cleaned(spark, d):
-    return M.clean_sandwiches(M.perfect_matches(seeds(spark, d), 31, 35))
+    return M.clean_sandwiches(M.perfect_matches(seeds(spark, d, limit=50), 31, 35))
 
 
 @query(f"{S}, {_PM} select node, read_id from pm where size >= 40 group by all having count(*) >= 1")
 def recruit_reads(spark, d):
-    return M.recruited(M.perfect_matches(seeds(spark, d), 31, 35), 40, 1)
+    return M.recruited(M.perfect_matches(seeds(spark, d, limit=50), 31, 35), 40, 1)
 
 
 _VB = "vo as (select *, row_number() over (partition by read_id order by read_position, size, node, node_position) - 1 ord from pm), vb as (select read_id, node, cast(min(ord) as integer) first, cast(max(ord) as integer) last, count(*) matches, cast(sum(size) as bigint) bp from vo group by read_id, node having max(ord) - min(ord) + 1 = count(*))"
@@ -113,18 +114,18 @@ _VB = "vo as (select *, row_number() over (partition by read_id order by read_po
 
 @query(f'{S}, {_PM}, {_VB} select read_id, node, first as "first", last as "last", matches, bp from vb')
 def valid_blocks(spark, d):
-    return M.valid_blocks(M.perfect_matches(seeds(spark, d), 31, 35), 1)
+    return M.valid_blocks(M.perfect_matches(seeds(spark, d, limit=50), 31, 35), 1)
 
 
 @query(f"{S}, {_PM}, {_VB}, st as (select read_id, node, arg_min(read_position - node_position, read_position * 100000 + size) s from pm group by all) select vb.read_id thread_id, cast(row_number() over (partition by vb.read_id order by first) - 1 as integer) idx, vb.node, cast(s as integer) start_pos, cast(s + length(nd.seq) as integer) end_pos from vb join st using (read_id, node) join nd on nd.node_id = abs(vb.node)")
 def simple_threads(spark, d):
-    return M.simple_threads(M.perfect_matches(seeds(spark, d), 31, 35), nodes(spark, d).select("node_id", F.length("seq").alias("size")), 1)
+    return M.simple_threads(M.perfect_matches(seeds(spark, d, limit=50), 31, 35), nodes(spark, d).select("node_id", F.length("seq").alias("size")), 1)
 
 
 @query(f"""{S}, {_PM}, o as (select *, lag(node) over (partition by read_id order by read_position, size, node, node_position) b from pm), k as (select * from o where b is null or b <> node)
  select read_id, cast(arg_min(read_position - node_position, read_position) as integer) path_offset, string_agg(cast(node as varchar), ',' order by read_position, size, node, node_position) path from k group by read_id""")
 def reads_pathed(spark, d):
-    out = M.path_reads(M.perfect_matches(seeds(spark, d), 31, 35))
+    out = M.path_reads(M.perfect_matches(seeds(spark, d, limit=50), 31, 35))
     return out.select("read_id", "path_offset", F.concat_ws(",", F.transform("path", lambda x: x.cast("string"))).alias("path"))
 
 

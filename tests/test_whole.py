@@ -3,6 +3,7 @@
 import pytest
 
 from strandloom.plans import graph_queries as GQ
+from strandloom.plans import kmer_queries as KQ
 from strandloom.plans import mapping_queries as MQ
 from tests.oracle import compare, connect
 
@@ -39,3 +40,20 @@ def test_fw_reached_through_hot_nodes(spark, data, con):
     assert cut in GQ.SQL["fw_reached_r3"]
     got, want, extra, missing = compare(GQ.Q["fw_reached_r3"](spark, data), GQ.SQL["fw_reached_r3"].replace(cut, ""), con)
     assert got == want and not extra and not missing, (extra, missing)
+
+
+@pytest.mark.parametrize("module, name, limit", [(KQ, "seed_matches", 200), (MQ, "perfect_mappings", 50)])
+def test_seeds_of_frequent_kmers(spark, data, con, module, name, limit):
+    cut = "having count(*) < 4)"
+    assert cut in module.SQL[name]
+    got, want, extra, missing = compare(module.Q[name](spark, data), module.SQL[name].replace(cut, f"having count(*) < {limit})"), con)
+    assert got == want and not extra and not missing, (extra, missing)
+
+
+def test_seeds_keep_kmers_of_more_than_three_places(spark, monkeypatch):
+    nodes = spark.createDataFrame([(i, "ACGTTGCAAGGCTTAACCGGATATCCTGAGG" + "A" * i) for i in range(1, 7)], "node_id long, seq string")
+    reads = spark.createDataFrame([("s", "long", 1, "ACGTTGCAAGGCTTAACCGGATATCCTGAGG", 0)], "store string, kind string, read_id long, seq string, tag long")
+    for m in (KQ, MQ):
+        monkeypatch.setattr(m, "nodes", lambda *_: nodes)
+        monkeypatch.setattr(m, "reads", lambda *_: reads)
+    assert MQ.seeds(spark, "").count() == KQ.seed_matches(spark, "").count() == 6
