@@ -59,7 +59,7 @@ def kmer_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {READS} select store, read_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(seq, 'A{{3,}}', 'AA', 'g'), 'C{{3,}}', 'CC', 'g'), 'G{{3,}}', 'GG', 'g'), 'T{{3,}}', 'TT', 'g') seq from rd where regexp_full_match(seq, '[ACGT]+')")
 def homopolymers_compressed(spark: SparkSession, d: str) -> DataFrame:
-    return reads(spark, d).where(F.col("seq").rlike("^[ACGT]+$")).select("store", "read_id", S.compress_homopolymers(F.col("seq"), 2).alias("seq"))
+    return reads(spark, d).select("store", "read_id", S.compress_homopolymers(F.col("seq"), 2).alias("seq"))
 
 
 @query(f"with {PATHS} select store, read_id, array_to_string(list_transform(list_reverse(path), lambda x: -x), ',') back, array_to_string(path[2:4], ',') inner_part from ph")

@@ -1,5 +1,7 @@
 """Queries over the whole tables: hot nodes and rows that an earlier version left out are in the results."""
 
+from collections import Counter
+
 import pytest
 
 from strandloom.plans import graph_queries as GQ
@@ -57,3 +59,13 @@ def test_seeds_keep_kmers_of_more_than_three_places(spark, monkeypatch):
         monkeypatch.setattr(m, "nodes", lambda *_: nodes)
         monkeypatch.setattr(m, "reads", lambda *_: reads)
     assert MQ.seeds(spark, "").count() == KQ.seed_matches(spark, "").count() == 6
+
+
+def test_homopolymers_of_reads_with_other_letters(spark, data):
+    def cut(s):
+        return "".join(c for i, c in enumerate(s) if i < 2 or s[i - 2 : i] != c * 2)
+
+    reads = KQ.reads(spark, data)
+    want = Counter((r.store, r.read_id, cut(r.seq)) for r in reads.collect())
+    got = Counter((r.store, r.read_id, r.seq) for r in KQ.homopolymers_compressed(spark, data).collect())
+    assert got == want and any(set(s) - set("ACGT") for _, _, s in got)
