@@ -38,7 +38,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _STATE = ["read_id", "start_pos", "path", "node", "first_pos"]
 
 
-def extend_matches(seeds: DataFrame, reads: DataFrame, graph: Graph, k: int, hops: int = 64) -> DataFrame:
+def extend_matches(seeds: DataFrame, reads: DataFrame, graph: Graph, k: int) -> DataFrame:
     """M3: the best exact way of each seed through the graph: (read_id, start_pos, first_pos, path, read_end).
 
     ``seeds`` are (read_id, read_pos, node, node_pos). A match runs along its node and on over links that overlap by at least
@@ -48,7 +48,7 @@ def extend_matches(seeds: DataFrame, reads: DataFrame, graph: Graph, k: int, hop
     texts, rd = graph.nodes.select("node_id", F.col("seq").alias("nseq")), reads.select("read_id", F.col("seq").alias("a"))
     state = seeds.select("read_id", F.col("read_pos").alias("start_pos"), F.array("node").alias("path"), "node", F.col("node_pos").alias("first_pos"), F.col("read_pos").alias("i"), F.col("node_pos").alias("j"))
     ended = []
-    for _ in range(hops):
+    while True:  # each hop takes letters of the read, so its length bounds them
         both = state.join(texts, F.abs("node") == F.col("node_id")).join(rd, "read_id").select(*_STATE, "i", "j", "a", F.when(F.col("node") < 0, rc(F.col("nseq"))).otherwise(F.col("nseq")).alias("b"), F.length("nseq").alias("size"), F.length("a").alias("rsize"))
         got = persisted(both.mapInArrow(_prefixes, "read_id long, start_pos int, path array<bigint>, node long, first_pos int, i int, j int, size int, rsize int, m int"), "extend")
         good = got.where("m > 0")
@@ -71,14 +71,14 @@ def extend_matches(seeds: DataFrame, reads: DataFrame, graph: Graph, k: int, hop
     return best.select("read_id", "start_pos", "first_pos", path.alias("path"), "read_end").where("size(path) > 0")
 
 
-def path_reads_extended(seeds: DataFrame, reads: DataFrame, graph: Graph, k: int, rounds: int = 16) -> DataFrame:
+def path_reads_extended(seeds: DataFrame, reads: DataFrame, graph: Graph, k: int) -> DataFrame:
     """M1, M2: read paths by extension: (read_id, path_offset, path).
 
     Of each read the first seed is extended, then the first one behind what that matched, and so on; where one part does not
     follow from the other by a link, nothing is put between them. ``path_offset`` is the place of the first node's first base on the read.
     """
     left, parts = persisted(seeds, "seeds"), []
-    for _ in range(rounds):
+    while True:  # each round takes the first seed of every read
         first = left.groupBy("read_id").agg(F.min("read_pos").alias("read_pos"))
         now = extend_matches(left.join(first, ["read_id", "read_pos"], "left_semi"), reads, graph, k)
         parts.append(persisted(now, "paths"))

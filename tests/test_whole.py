@@ -1,9 +1,12 @@
 """Queries over the whole tables: hot nodes and rows that an earlier version left out are in the results."""
 
+import random
 from collections import Counter
 
 import pytest
 
+from strandloom.operators import extend as E
+from strandloom.operators.graph import Graph
 from strandloom.plans import graph_queries as GQ
 from strandloom.plans import kmer_queries as KQ
 from strandloom.plans import mapping_queries as MQ
@@ -69,3 +72,20 @@ def test_homopolymers_of_reads_with_other_letters(spark, data):
     want = Counter((r.store, r.read_id, cut(r.seq)) for r in reads.collect())
     got = Counter((r.store, r.read_id, r.seq) for r in KQ.homopolymers_compressed(spark, data).collect())
     assert got == want and any(set(s) - set("ACGT") for _, _, s in got)
+
+
+def _extended(spark, nodes, links, read, seeds, k=15):
+    g = Graph(spark.createDataFrame(nodes, "node_id long, seq string"), spark.createDataFrame(links, "source long, dest long, dist int"))
+    seeds = spark.createDataFrame(seeds, "read_id long, read_pos int, node long, node_pos int")
+    return [x.path for x in E.path_reads_extended(seeds, spark.createDataFrame([(1, read)], "read_id long, seq string"), g, k).collect()]
+
+
+def _dna(n):
+    r = random.Random(3)
+    return "".join(r.choice("ACGT") for _ in range(n))
+
+
+def test_extension_goes_on_after_many_breaks(spark):
+    read = _dna(17 * 20)
+    nodes = [(i + 1, read[20 * i : 20 * i + 20]) for i in range(17)]
+    assert _extended(spark, nodes, [], read, [(1, 20 * i, i + 1, 0) for i in range(17)]) == [list(range(1, 18))]
