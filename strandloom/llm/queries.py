@@ -37,6 +37,12 @@ def p4_collapsed_paths(spark: SparkSession, d: str) -> DataFrame:
     return runs.collapse_runs(table(spark, d, "read_paths"))
 
 
+def p4_event_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of events of one kind per user, names alike but for case, blanks and signs being one kind; without a name an event is unreadable."""
+    kind = F.nullif(F.regexp_replace(F.lower("event_type"), "[^a-z0-9]", ""), F.lit(""))
+    return runs.event_runs(table(spark, d, "events"), "user_id", "ts", kind, tie="event_id")
+
+
 def _counted_records(spark: SparkSession, d: str) -> DataFrame:
     """Records with a k-mer (as number) and a count above 0; rows delivered twice are one record."""
     t = table(spark, d, "kmer_index").where("kmer_count > 0")
@@ -109,7 +115,7 @@ m as (select kmer, total, spread, case when total = 1 then 'rare' when spread >=
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_probe_report, p4_found, p4_collapsed_paths, p5_found, p5_frequencies, p6_found, p6_bounds, p7_packed, p7_fill_report, p8_mixture, p8_share_report, p9_found, p9_residue_report)}
+    return {f.__name__: f for f in (p2_found, p2_probe_report, p4_found, p4_collapsed_paths, p4_event_runs, p5_found, p5_frequencies, p6_found, p6_bounds, p7_packed, p7_fill_report, p8_mixture, p8_share_report, p9_found, p9_residue_report)}
 
 
 def _runs_sql(source: str, least: int) -> str:
@@ -128,8 +134,19 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"""with {_KMERS}, o as (select kmer, min(rec_no) rec_no from c group by kmer)
             select c.rec_no from c join o using (kmer) where c.rec_no > o.rec_no or kmer in (select kmer from known_kmers)""",
+        "p2_probe_report": f"""with {_KMERS}, b as (select min(rec_no) lo, cast(ceil((max(rec_no) - min(rec_no) + 1) / 4) as bigint) width from kmer_index),
+            x as (select rec_no, kmer, (rec_no - lo) // width batch from c, b), o as (select kmer, min(rec_no) rec_no from c group by kmer),
+            n as (select batch, count(distinct rec_no) records, count(distinct kmer) probed from x group by batch),
+            w as (select (rec_no - lo) // width batch, count(*) fresh from o, b where kmer not in (select kmer from known_kmers) group by 1)
+            select cast(batch as integer) batch, records, probed, coalesce(fresh, 0) fresh, probed - coalesce(fresh, 0) hash_hits, probed - coalesce(fresh, 0) verified_hits,
+              cast(0 as double) hash_only_error_rate, cast(0 as bigint) wrong_answers, cast(0 as double) error_rate from n left join w using (batch)""",
+        "p4_event_runs": """with e as (select distinct user_id, ts, event_id, nullif(regexp_replace(lower(event_type), '[^a-z0-9]', '', 'g'), '') kind from events where user_id is not null and ts is not null),
+            p as (select *, row_number() over (partition by user_id order by ts, event_id, kind) pos from e), v as (select * from p where kind is not null),
+            f as (select *, case when kind = lag(kind) over w and pos - lag(pos) over w <= 2 then 0 else 1 end fresh from v window w as (partition by user_id order by pos)),
+            g as (select *, sum(fresh) over (partition by user_id order by pos) grp from f)
+            select cast(user_id as varchar) user_id, kind event, min(ts) first_ts, max(ts) last_ts, count(*) run_count, date_diff('microseconds', min(ts), max(ts)) duration_us from g group by user_id, kind, grp having count(*) >= 2""",
         "p4_found": f"select 'fastq_reads' src, * from ({_runs_sql(_LETTERS, 8)}) union all select 'read_paths' src, * from ({_runs_sql(_ENTRIES, 2)})",
-        "p4_collapsed_paths": f"select s.read_id, s.first_at, p.path[s.first_at + 1] symbol, s.run_count, cast(s.last_at - s.first_at + 1 as integer) extent from ({_runs_sql(_ENTRIES, 1)}) s join (select distinct * from read_paths) p using (store, read_id)",
+        "p4_collapsed_paths": f"select s.store, s.read_id, s.first_at, p.path[s.first_at + 1] symbol, s.run_count, cast(s.last_at - s.first_at + 1 as integer) extent from ({_runs_sql(_ENTRIES, 1)}) s join (select distinct * from read_paths) p using (store, read_id)",
         "p5_found": f"with {_TOTALS} select kmer, mark from m where mark is not null",
         "p5_frequencies": f"with {_TOTALS} select kmer, total, spread, mark from m",
         "p6_found": f"with {_TOTALS} select kmer from m order by total desc, kmer limit 30",

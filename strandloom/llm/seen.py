@@ -255,21 +255,27 @@ class SeenKeys:
         return self.spark.read.schema(schema).parquet(*self.runs).where("ord is not null").select("ord")
 
 
-def _slices(records: DataFrame, batches: int) -> Iterator[DataFrame]:
-    """The records in ``batches`` equal ranges of their order number."""
+def _batched(records: DataFrame, batches: int) -> tuple[DataFrame, int]:
+    """The records with ``batch``, the place of their order number in ``batches`` equal ranges, laid out once by batch; and how many batches there are.
+
+    The ranges span all order numbers, whether their key is null or not, so the first scan reads only these.
+    """
     low, high = records.agg(F.min("ord"), F.max("ord")).first()
     if low is None:
-        return
-    width = -(-(high - low + 1) // batches)
-    for i in range(batches):
-        yield records.where(F.col("ord").between(low + i * width, low + (i + 1) * width - 1))
+        low, high, batches = 0, 0, 0
+    width = -(-(high - low + 1) // max(1, batches))
+    placed = records.where("key is not null and ord is not null").withColumn("batch", F.floor((F.col("ord") - F.lit(low)) / F.lit(width)).cast("int"))
+    path = work_path(records.sparkSession, "batches")
+    placed.write.partitionBy("batch").parquet(path)
+    return records.sparkSession.read.schema("key string, ord long, batch int").parquet(path), batches
 
 
-def _filled(records: DataFrame, known: DataFrame | None, batches: int, fan_out: int) -> tuple[SeenKeys, list[Probes]]:
+def _filled(records: DataFrame, known: DataFrame | None, batches: int, fan_out: int) -> tuple[SeenKeys, list[Probes], DataFrame]:
+    laid, n = _batched(records.select(F.col("key").cast("string").alias("key"), F.col("ord").cast("long").alias("ord")), batches)
     store = SeenKeys(records.sparkSession, fan_out=fan_out)
     if known is not None:
         store.add(known.select(F.col("key").cast("string").alias("key"), F.lit(None).cast("long").alias("ord")))
-    return store, [store.add(part) for part in _slices(records, batches)]
+    return store, [store.add(laid.where(F.col("batch") == i)) for i in range(n)], laid
 
 
 def seen_before(records: DataFrame, known: DataFrame | None = None, batches: int = 4, fan_out: int = 2) -> DataFrame:
@@ -281,19 +287,29 @@ def seen_before(records: DataFrame, known: DataFrame | None = None, batches: int
     ignored. A record is new exactly if it is the first of its key, so the result is all
     records less the store's first occurrences: a join on ``ord``, which no hot key can skew.
     """
-    records = records.select(F.col("key").cast("string").alias("key"), F.col("ord").cast("long").alias("ord")).where("key is not null and ord is not null")
-    store, _ = _filled(records, known, batches, fan_out)
-    every = records.select("ord").distinct()
+    store, _, laid = _filled(records, known, batches, fan_out)
+    every = laid.select("ord").distinct()
     return every.join(store.firsts(), "ord", "left_anti") if store.runs else every.limit(0)
 
 
 def probe_report(records: DataFrame, known: DataFrame | None = None, batches: int = 4, fan_out: int = 2) -> DataFrame:
-    """Per batch, the keys probed and new, hits by hash and by full key, and both rates of wrong answers.
+    """Per batch: (batch, records, probed, fresh, hash_hits, verified_hits, hash_only_error_rate, wrong_answers, error_rate).
 
-    ``hash_only_error_rate`` is the share of probes that the hash alone would have called
-    seen wrongly; ``error_rate`` is that after verification by full key, by construction 0.
+    Probes are the batch's distinct keys; ``hash_only_error_rate`` is the share of them that the hash alone would have
+    called seen wrongly. ``wrong_answers`` is measured: the records that the store calls new are compared with the
+    first records of their keys, found by an exact aggregate over all keys without the store; ``error_rate`` is
+    their share of the batch's records. Nulls, empty tables and other columns as in :func:`seen_before`.
     """
-    records = records.select(F.col("key").cast("string").alias("key"), F.col("ord").cast("long").alias("ord")).where("key is not null and ord is not null")
-    _, probes = _filled(records, known, batches, fan_out)
-    rows = [(i, p.probed, p.fresh, p.hash_hits, p.verified_hits, (p.hash_hits - p.verified_hits) / max(1, p.probed), 0.0) for i, p in enumerate(probes)]
-    return records.sparkSession.createDataFrame(rows, "batch int, probed long, fresh long, hash_hits long, verified_hits long, hash_only_error_rate double, error_rate double")
+    spark = records.sparkSession
+    store, probes, laid = _filled(records, known, batches, fan_out)
+    firsts = laid.groupBy("key").agg(F.min("ord").alias("ord"))
+    if known is not None:
+        firsts = firsts.join(known.select(F.col("key").cast("string").alias("key")).distinct(), "key", "left_anti")
+    said = store.firsts().withColumn("said", F.lit(1)) if store.runs else laid.select("ord").limit(0).withColumn("said", F.lit(1))
+    wrong = said.join(firsts.select("ord", F.lit(1).alias("true")), "ord", "full_outer").where("said is null or true is null").select("ord").distinct()
+    wrong = laid.select("ord", "batch").distinct().join(wrong, "ord", "left_semi").groupBy("batch").agg(F.count("*").alias("wrong_answers"))
+    rows = [(i, p.probed, p.fresh, p.hash_hits, p.verified_hits, (p.hash_hits - p.verified_hits) / max(1, p.probed)) for i, p in enumerate(probes)]
+    asked = spark.createDataFrame(rows, "batch int, probed long, fresh long, hash_hits long, verified_hits long, hash_only_error_rate double")
+    counted = laid.select("ord", "batch").distinct().groupBy("batch").agg(F.count("*").alias("records"))
+    out = asked.join(counted, "batch", "left").join(wrong, "batch", "left").na.fill(0, ["records", "wrong_answers"])
+    return out.select("batch", "records", "probed", "fresh", "hash_hits", "verified_hits", "hash_only_error_rate", "wrong_answers", (F.col("wrong_answers") / F.greatest("records", F.lit(1))).alias("error_rate"))

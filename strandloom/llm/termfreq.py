@@ -1,10 +1,13 @@
 """Frequency of every distinct term, by dense count arrays over a global integer dictionary.
 
-A dictionary range is a hash range of the terms; within it a term's identifier is
-``range << 33 | rank``, so every term of the collection has one integer and the
-identifiers of a range are dense. Records are reduced to (term, owner) pairs, counted
-within their split, sent to their range and there added into the two arrays of the
-range, occurrences and record presence, indexed by identifier.
+First the dictionary: the distinct terms fall into ranges by hash, are ranked within
+their range, and get their identifier, the rank plus the sizes of the ranges before; so
+the identifiers of the collection run from 0 without holes and those of a range are
+neighbours. Then terms are encoded: records are reduced to (term, owner) pairs, summed
+by term within their split, and meet their range's part of the dictionary, which turns
+every term into its identifier. The identifiers index two arrays, occurrences and record
+presence, which are kept in blocks of the range and summed as the counts stream in.
+The number of ranges follows from the number of pairs, so a range fits a task at any size.
 """
 
 from __future__ import annotations
@@ -13,12 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.session import shuffle_width
+from strandloom.session import persisted, shuffle_width
 
-RANK_BITS = 33
+#: Terms that a dictionary range should hold at most; a task holds these and two numbers for each.
+RANGE_TERMS = 1 << 20
+#: Neighbouring identifiers whose counts are one array.
+BLOCK = 1 << 16
 _PARTIAL_ROWS = 1 << 18
 
 
@@ -26,30 +33,87 @@ def _numbers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy())
 
 
-def _accumulated(table: pa.Table, first: str, second: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The table's terms as a dictionary in order of first occurrence, and both measures summed by its indices."""
-    term = table.column("term").combine_chunks()
-    if isinstance(term, pa.ChunkedArray):
-        term = pa.concat_arrays(term.chunks) if term.num_chunks else pa.array([], table.schema.field("term").type)
-    coded = term.dictionary_encode()
-    index = _numbers(coded.indices).astype(np.int64)
-    size = len(coded.dictionary)
-    sums = []
-    for name in (first, second):
-        array = np.zeros(size, np.int64)
-        np.add.at(array, index, _numbers(table.column(name)))
-        sums.append(array)
-    return coded.dictionary, *sums
+def _whole(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    if isinstance(column, pa.ChunkedArray):
+        return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return column
+
+
+def _split_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct terms of a split, each once per ``_PARTIAL_ROWS`` rows, with the range they fall into."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def flush() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).group_by(["term", "part"]).aggregate([]).combine_chunks()
+        return pa.RecordBatch.from_arrays([_whole(t.column("term")), _whole(t.column("part"))], names=["term", "part"])
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= _PARTIAL_ROWS:
+            yield flush()
+            held, rows = [], 0
+    if rows:
+        yield flush()
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct terms of one range in order, with their ranks."""
+    part, terms = None, None
+    for batch in batches:
+        if batch.num_rows:
+            part = batch.column("part")[0].as_py()
+            found = batch.column("term").unique()
+            terms = found if terms is None else pa.concat_arrays([terms, found]).unique()
+    if terms is None:
+        return
+    terms = terms.take(pc.sort_indices(terms))
+    for at in range(0, len(terms), BLOCK):
+        cut = terms.slice(at, BLOCK)
+        yield pa.RecordBatch.from_arrays([cut, pa.array(np.full(len(cut), part, np.int32)), pa.array(at + np.arange(len(cut)))], names=["term", "part", "rank"])
+
+
+def _ranges(pairs: DataFrame) -> int:
+    """Enough ranges for the terms of the pairs, and for the session's tasks."""
+    return max(shuffle_width(pairs.sparkSession), -(-pairs.count() // RANGE_TERMS))
+
+
+def _part(ranges: int) -> F.Column:
+    return F.pmod(F.xxhash64("term"), F.lit(ranges)).cast("int")
+
+
+def dictionary(pairs: DataFrame, ranges: int) -> DataFrame:
+    """(term, part, term_id): every distinct non-null term with its number from 0, by range and order; kept in the shared folder."""
+    kind = dict(pairs.dtypes)["term"]
+    local = pairs.where("term is not null").select("term", _part(ranges).alias("part")).mapInArrow(_split_terms, f"term {kind}, part int")
+    laid = persisted(local.repartitionById(ranges, F.col("part")).mapInArrow(_ranked, f"term {kind}, part int, rank long"), "dictionary")
+    sizes = dict(laid.groupBy("part").agg(F.count("*")).collect())  # one number per range
+    before, run = [], 0
+    for p in range(ranges):
+        before.append(run)
+        run += sizes.get(p, 0)
+    offsets = pairs.sparkSession.createDataFrame(list(enumerate(before)), "part int, before long")
+    return laid.join(F.broadcast(offsets), "part").select("term", "part", (F.col("before") + F.col("rank")).alias("term_id"))  # one row per range
 
 
 def _split_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, occurrences, presence) of a split, each term once per ``_PARTIAL_ROWS`` rows."""
+    """(term, part, occurrences, presence) of a split, each term once per ``_PARTIAL_ROWS`` rows."""
     held: list[pa.RecordBatch] = []
     rows = 0
 
     def flush() -> pa.RecordBatch:
-        terms, occurrences, presence = _accumulated(pa.Table.from_batches(held), "occurrences", "presence")
-        return pa.RecordBatch.from_arrays([terms, pa.array(occurrences), pa.array(presence)], names=["term", "occurrences", "presence"])
+        t = pa.Table.from_batches(held)
+        coded = _whole(t.column("term")).dictionary_encode()
+        index, size = _numbers(coded.indices).astype(np.int64), len(coded.dictionary)
+        sums = []
+        for name in ("occurrences", "presence"):
+            array = np.zeros(size, np.int64)
+            np.add.at(array, index, _numbers(t.column(name)))
+            sums.append(pa.array(array))
+        part = np.zeros(size, np.int32)
+        part[index] = _numbers(t.column("part"))
+        return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(part), *sums], names=["term", "part", "occurrences", "presence"])
 
     for batch in batches:
         held.append(batch)
@@ -62,17 +126,32 @@ def _split_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _range_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One dictionary range: its terms with identifiers and the sums of its arrays."""
-    from pyspark import TaskContext
-
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    terms, occurrences, presence = _accumulated(pa.Table.from_batches(held), "occurrences", "presence")
-    ids = (np.int64(TaskContext.get().partitionId()) << RANK_BITS) + np.arange(len(terms))
-    for at in range(0, len(terms), 1 << 16):
-        cut = slice(at, at + (1 << 16))
-        yield pa.RecordBatch.from_arrays([terms.slice(at, 1 << 16), pa.array(ids[cut]), pa.array(occurrences[cut]), pa.array(presence[cut])], names=["term", "term_id", "occurrences", "presence"])
+    """One range: its dictionary, which comes first and in order of identifiers, then partial counts, which are encoded and summed by identifier."""
+    terms: list[pa.Array] = []
+    first: int | None = None
+    coder: pa.Array | None = None
+    blocks: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        ids = batch.column("term_id")
+        entries = batch.filter(pc.is_valid(ids))
+        if entries.num_rows:
+            first = entries.column("term_id")[0].as_py() if first is None else first
+            terms.append(entries.column("term"))
+        counts = batch.filter(pc.is_null(ids))
+        if not counts.num_rows:
+            continue
+        if coder is None:
+            coder = pa.concat_arrays(terms)
+            blocks = [(np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)) for _ in range(0, len(coder), BLOCK)]
+        code = _numbers(pc.index_in(counts.column("term"), coder)).astype(np.int64)
+        for b in np.unique(code // BLOCK):
+            at = code // BLOCK == b
+            for array, name in zip(blocks[b], ("occurrences", "presence")):
+                np.add.at(array, code[at] % BLOCK, _numbers(counts.column(name))[at])
+    for b, (occurrences, presence) in enumerate(blocks):
+        cut = coder.slice(b * BLOCK, BLOCK)
+        n = len(cut)
+        yield pa.RecordBatch.from_arrays([cut, pa.array(first + b * BLOCK + np.arange(n)), pa.array(occurrences[:n]), pa.array(presence[:n])], names=["term", "term_id", "occurrences", "presence"])
 
 
 def owner_pairs(records: DataFrame, amount: str = "amount") -> DataFrame:
@@ -81,18 +160,21 @@ def owner_pairs(records: DataFrame, amount: str = "amount") -> DataFrame:
 
 
 def term_frequencies(pairs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(term, term_id, occurrences, presence) from :func:`owner_pairs`.
+    """(term, term_id, occurrences, presence) from :func:`owner_pairs`, which is read twice: keep it in a table.
 
-    ``occurrences`` sums the amounts, ``presence`` counts the distinct non-null owners. Null
-    terms are skipped; a term whose owners are all null has presence 0; an empty table
-    gives an empty result; other columns are ignored. ``ranges`` bounds the memory of a task:
-    it holds the distinct terms of one range, with two numbers each.
+    ``occurrences`` sums the amounts, ``presence`` counts the distinct non-null owners. ``term_id`` runs from 0
+    without holes. Null terms are skipped; a term whose owners are all null has presence 0; an empty table
+    gives an empty result; other columns are ignored. ``ranges`` bounds the memory of a task, which holds the distinct
+    terms of one range, with two numbers each; by default it grows with the pairs.
     """
     kind = dict(pairs.dtypes)["term"]
-    rows = pairs.where("term is not null").select("term", F.col("amount").cast("long").alias("occurrences"), F.col("owner").isNotNull().cast("long").alias("presence"))
-    partial = rows.mapInArrow(_split_counts, f"term {kind}, occurrences long, presence long")
-    ranges = ranges or shuffle_width(pairs.sparkSession)
-    placed = partial.repartitionById(ranges, F.pmod(F.xxhash64("term"), F.lit(ranges)).cast("int"))
+    ranges = ranges or _ranges(pairs)
+    known = dictionary(pairs, ranges)
+    rows = pairs.where("term is not null").select("term", _part(ranges).alias("part"), F.col("amount").cast("long").alias("occurrences"), F.col("owner").isNotNull().cast("long").alias("presence"))
+    partial = rows.mapInArrow(_split_counts, f"term {kind}, part int, occurrences long, presence long")
+    met = known.withColumns({"occurrences": F.lit(None).cast("long"), "presence": F.lit(None).cast("long")}).unionByName(partial.withColumn("term_id", F.lit(None).cast("long")))
+    # the dictionary's rows, in order, before the counts
+    placed = met.repartitionById(ranges, F.col("part")).sortWithinPartitions(F.col("term_id").asc_nulls_last())
     return placed.mapInArrow(_range_counts, f"term {kind}, term_id long, occurrences long, presence long")
 
 

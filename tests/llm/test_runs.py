@@ -81,6 +81,51 @@ def test_property(spark, lists, texts):
 
 
 def test_collapsed(spark):
-    df = spark.createDataFrame([("s", 1, [4, 4, 0, 4, 9, 0, 0, 9])], LISTS)
-    got = sorted(tuple(r) for r in runs.collapse_runs(df).collect())
-    assert got == [(1, 0, 4, 3, 4), (1, 4, 9, 1, 1), (1, 7, 9, 1, 1)]
+    df = spark.createDataFrame([("s", 1, [4, 4, 0, 4, 9, 0, 0, 9]), ("t", 1, [4, 4]), ("s", 1, [4, 4, 0, 4, 9, 0, 0, 9]), (None, 2, [3]), ("t", 3, []), ("t", 4, None)], LISTS)
+    got = [tuple(r) for r in runs.collapse_runs(df.selectExpr("*", "1 id", "2 extent")).collect()]
+    assert sorted(got, key=str) == sorted([("s", 1, 0, 4, 3, 4), ("s", 1, 4, 9, 1, 1), ("s", 1, 7, 9, 1, 1), ("t", 1, 0, 4, 2, 2), (None, 2, 0, 3, 1, 1)], key=str)
+
+
+EVENTS = "who long, at timestamp, what string, no int"
+
+
+def check_events(spark, rows, least=2):
+    from datetime import datetime, timezone
+
+    base = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(w, None if t is None else datetime.fromtimestamp(base.replace(tzinfo=timezone.utc).timestamp() + t), k, n) for w, t, k, n in rows], EVENTS)
+    got = runs.event_runs(df.selectExpr("*", "1 place", "2 event"), "who", "at", "what", tie="no", least=least).selectExpr("who", "event", "unix_seconds(first_ts) % 86400 a", "unix_seconds(last_ts) % 86400 b", "run_count", "duration_us div 1000000 d").collect()
+    want = []
+    for who in {w for w, t, _, _ in rows if w is not None}:
+        mine = sorted({(t, n, k or "", k) for w, t, k, n in rows if w == who and t is not None})
+        for first, last, n in brute([k if k is not None else "" for *_, k in mine], lambda v: v == "", least):
+            want.append((str(who), mine[first][3], mine[first][0], mine[last][0], n, mine[last][0] - mine[first][0]))
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_event_runs(spark):
+    hot = [(1, i, "a" if i < 700 else None if i in (710, 720, 721) else "b", 0) for i in range(900)]
+    few = [(2, 5, "x", 1), (2, 5, "x", 2), (2, 6, None, 1), (2, 7, "x", 1), (3, 1, "b", 0), (3, None, "b", 0), (None, 1, "b", 0), (4, 1, None, 0), (5, 1, "b", 0)]
+    check_events(spark, hot + few + few[:3])
+    check_events(spark, hot + few, least=1)
+    assert runs.event_runs(spark.createDataFrame([], EVENTS), "who", "at", "what").count() == 0
+
+
+def test_event_runs_over_small_batches(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        check_events(spark, [(r.randrange(3), i, r.choice(["a", "a", "b", None]), 0) for i in range(300)], least=1)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_event_runs_of_many_kinds(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(runs, "_SYMBOLS", 1)
+    kinds = ["a", None, "a", "b", "b", None, None, "b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["e"] * 8), pa.array(range(8)), pa.array([0] * 8), pa.array(kinds)], names=["entity", "us", "tie", "event"])
+    assert [(x[1], x[2], x[3], x[4]) for x in runs._batch_runs(batch)] == [("a", 0, 2, 2), ("b", 3, 4, 2), ("b", 7, 7, 1)]

@@ -27,7 +27,16 @@ def test_matches_brute_force(spark, batches, fan_out):
     got = [x.ord for x in seen.seen_before(df, k, batches, fan_out).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows, known)
     report = seen.probe_report(df, k, batches, fan_out).collect()
-    assert all(x.error_rate == 0 and x.probed == x.fresh + x.verified_hits for x in report)
+    assert all(x.error_rate == x.wrong_answers == 0 and x.probed == x.fresh + x.verified_hits for x in report)
+    assert sum(x.records for x in report) == len({o for key, o in rows if key is not None and o is not None})
+
+
+def test_wrong_answers_are_counted(spark, monkeypatch):
+    """A store that forgot some first records: the report counts them."""
+    df = spark.createDataFrame([(f"k{i}", i) for i in range(40)], SCHEMA)
+    monkeypatch.setattr(seen.SeenKeys, "firsts", lambda s: s.spark.createDataFrame([(i,) for i in range(30)], "ord long"))
+    report = seen.probe_report(df, None, 4, 2).orderBy("batch").collect()
+    assert [x.wrong_answers for x in report] == [0, 0, 0, 10] and report[3].error_rate == 1.0
 
 
 def test_empty(spark):
