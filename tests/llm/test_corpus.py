@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from strandloom.llm import mixing, packing, residue, tokens
+from tests.llm import residue_cases
 
 
 @settings(max_examples=60, deadline=None)
@@ -141,3 +142,21 @@ def test_residue(spark):
     assert Counter(got) == Counter([*range(len(CASES)), 0, None])
     assert residue.with_residue(df, least_share=0.9).count() < residue.with_residue(df).count()
     assert residue.with_residue(df.limit(0)).count() == 0
+
+
+BEFORE, BEHIND = "Device with a valve and a lens\nABSTRACT\n", "\nDESCRIPTION\n[0001] The valve (12) is joined to the lens (14).\nCLAIMS\n1. A device comprising the valve (12)."
+
+
+@pytest.mark.parametrize("cases, ordinary", [(residue_cases.RESIDUE, residue_cases.ORDINARY), (residue_cases.HELD_OUT_RESIDUE, residue_cases.HELD_OUT_ORDINARY)])
+@pytest.mark.parametrize("before, behind", [("", ""), (BEFORE, BEHIND)])
+def test_residue_of_hand_written_cases(cases, ordinary, before, behind):
+    """Recall and precision of 0.9 or more on sentences that no table holds, alone and within a document."""
+    found = sum(residue.residue_of(before + t + behind)[0] > 0 for t in cases)
+    wrong = sum(residue.residue_of(before + t + behind)[0] > 0 for t in ordinary)
+    assert found >= 0.9 * len(cases) and found >= 0.9 * (found + wrong)
+
+
+def test_page_of_weak_phrases_is_judged_by_coverage():
+    weak = "Browser support currently blocked"
+    assert residue.residue_of(weak, page_share=2.0)[0] == 0 or residue.residue_of(weak)[0] > 0
+    assert residue.residue_of("The lens is movable. " * 20 + weak + " at the lens in the valve of the pump, joined to it")[0] == 0
