@@ -91,7 +91,8 @@ def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_share_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.share_report(persisted(p8_mixture(spark, d), "mixture"), table(spark, d, "mix_targets"))
+    plan = mixing.plan_mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.share_report(persisted(mixing.draw_mixture(plan), "mixture"), plan)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -89,16 +89,37 @@ def test_mixture(spark):
     rows += [(9000 + i, rows[i][1], "en", "small") for i in range(30)] + [(9900, "", "en", "small"), (9901, None, "en", "big")]
     targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 3), ("gone", 0.0, 2), (None, 0.2, 1)], "source_name string, target_share double, max_repeats int")
     df = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 topic", "2 n_tokens", "3 copies")
-    mixed = mixing.mixture(df, targets, topics=4).collect()
+    plan = mixing.plan_mixture(df, targets, topics=4)
+    drawn = mixing.draw_mixture(plan)
+    mixed = drawn.collect()
     caps, body = {"big": 1, "small": 3}, {r[0]: r[1] for r in rows}
     assert len({r.doc_id for r in mixed}) == len({body[r.doc_id] for r in mixed}) == len(mixed)
     assert all(1 <= r.copies <= caps[r.source_name] for r in mixed)
     total = Counter()
     for r in mixed:
         total[r.source_name] += r.copies * r.n_tokens
-    assert abs(total["big"] / sum(total.values()) - 0.5) < 0.01
-    report = {r.source_name: r for r in mixing.share_report(spark.createDataFrame(mixed), targets.where("source_name is not null")).collect()}
-    assert report["gone"].tokens == 0 and abs(report["small"].actual_share - 0.5) < 0.01 and report["small"].most_copies <= 3
+    most = max(r.n_tokens for r in mixed)
+    assert all(abs(total[s] - plan.total / 2) <= most for s in total)
+    report = {(r.margin, r.name): r for r in mixing.share_report(drawn, plan).collect()}
+    assert {m for m, _ in report} == {"source", "language", "topic"} and ("source", "gone") not in report
+    assert report["source", "small"].reachable and report["source", "small"].most_copies <= 3
+    for m in ("source", "language", "topic"):
+        mine = [r for (k, _), r in report.items() if k == m]
+        for c in ("target_share", "expected_share", "actual_share"):
+            assert abs(sum(r[c] for r in mine) - 1) < 1e-6
+        assert all(abs(r.actual_share - r.expected_share) < 0.03 for r in mine)
+    forced = mixing.plan_mixture(df, targets, total=10 * plan.total, topics=4)
+    assert not any(r.reachable for r in mixing.share_report(mixing.draw_mixture(forced), forced).where("margin = 'source'").collect())
+
+
+def test_balanced_draw_keeps_chances_and_tokens():
+    rng = np.random.default_rng(5)
+    expected, size, ids = rng.uniform(0, 3, 60), rng.integers(1, 900, 60), np.arange(60)
+    draws = np.array([mixing.balanced_draw(expected, size, ids + 1000 * i, i) for i in range(4000)])
+    assert (np.abs(draws.mean(axis=0) - expected) < 0.04).all()
+    assert (draws >= np.floor(expected)).all() and (draws <= np.ceil(expected)).all()
+    assert (np.abs(draws @ size - expected @ size) <= size.max() + 1e-6).all()
+    assert mixing.balanced_draw(np.array([1.0, 2.0, 0.0]), np.array([3, 4, 5]), np.arange(3)).tolist() == [1, 2, 0]
 
 
 def test_mixture_of_nothing(spark):
