@@ -6,12 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.kmers import canonical, rc
 
 
+def read_key(df: DataFrame) -> list[str]:
+    """The columns that name a read: its store and id, as every store numbers its reads from 1; the id alone where a table holds one store."""
+    return ["store", "read_id"] if "store" in df.columns else ["read_id"]
+
+
 def is_canonical(seq: Column) -> Column:
     """a sequence not after its reverse complement; a palindrome is canonical."""
     return seq <= rc(seq)
@@ -66,19 +71,28 @@ def intersection_size(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
-def upper_median(value: Column) -> Column:
-    """F16: element n/2 of the sorted non-null values of a group (an exact aggregate)."""
-    held = F.array_sort(F.collect_list(value))
-    return F.try_element_at(held, (F.size(held) / 2).cast("int") + 1)
+def _counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Distinct values per key with how many rows come before and up to them, and the rows of the key."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*keys)
+    upto = F.sum("__c").over(w.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    return counted.withColumn("__upto", upto).withColumn("__n", F.sum("__c").over(w))
+
+
+def upper_medians(df: DataFrame, keys: list[str], value: str, name: str, count: str) -> DataFrame:
+    """F16: element n/2 of the sorted non-null values of each key: (*keys, name, count). Values are counted first, so what a key brings together is its distinct values."""
+    t = _counted(df, keys, value).where(F.col("__upto") > F.floor(F.col("__n") / 2))
+    return t.groupBy(*keys).agg(F.min("__v").alias(name), F.first("__n").alias(count))
 
 
-def trunc_median(value: Column) -> Column:
-    """T5: median of a group; of an even number of values the mean of the middle two, truncated toward zero."""
-    held = F.array_sort(F.collect_list(value))
-    n = F.size(held)
-    mid = (n / 2).cast("int")
-    upper, lower = F.try_element_at(held, mid + 1), F.try_element_at(held, F.greatest(mid, F.lit(1)))
-    return F.when(n % 2 == 1, upper).otherwise(((upper + lower) / 2).cast("int"))
+def trunc_medians(df: DataFrame, keys: list[str], value: str, name: str, count: str) -> DataFrame:
+    """T5: the median of each key; of an even number of values the mean of the middle two, truncated toward zero: (*keys, name, count)."""
+    t = _counted(df, keys, value)
+    half = F.floor(F.col("__n") / 2)
+    upper = F.min(F.when(F.col("__upto") > half, F.col("__v")))
+    lower = F.min(F.when(F.col("__upto") >= half, F.col("__v")))
+    g = t.groupBy(*keys).agg(upper.alias("__u"), lower.alias("__l"), F.first("__n").alias(count))
+    return g.select(*keys, F.when(F.col(count) % 2 == 1, F.col("__u")).otherwise(((F.col("__u") + F.col("__l")) / 2).cast("int")).alias(name), count)
 
 
 def ilog2(value: Column) -> Column:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.kmers import canonical, rc, unpack
 from strandloom.functions.seq import kmers
-from strandloom.operators.graph import Graph, bubble_sides, degrees, ends, tips
-from strandloom.operators.traversal import connected_components, join_unitigs
-from strandloom.session import persisted
+from strandloom.operators.graph import Graph, bubble_sides, degrees, ends, mirrored, next_nodes, parallel_counts, tips
+from strandloom.operators.mapping import all_paths_fw
+from strandloom.operators.traversal import components, connected_components, join_unitigs, paths_between
+from strandloom.session import discard, numbered, persisted
 
 
 def path_triples(paths: DataFrame) -> DataFrame:
@@ -35,6 +36,80 @@ def solve_repeats(votes: DataFrame, repeats: DataFrame, support: int, noise: int
     return v.join(pairs.drop("chosen"), ["node", "prev", "next"], "left_semi").join(clear, "node", "left_semi").select("node", "prev", "next", "votes")
 
 
+def clear_ways(votes: DataFrame, repeats: DataFrame, support: int, noise: int, snr: float) -> DataFrame:
+    """(node, prev, next, votes): the best way from each previous node of the repeats (node_id, degree) all of whose sides are clear.
+
+    Every previous and every next node needs a best way of at least ``support`` votes, whose second best has at most ``noise`` and ``snr`` times fewer.
+    """
+    v = votes.join(repeats.select(F.col("node_id").alias("node"), "degree"), "node")
+
+    def side(end: str, other: str) -> DataFrame:
+        w = Window.partitionBy("node", end).orderBy(F.desc("votes"), other)
+        t = v.withColumn("rn", F.row_number().over(w)).where("rn <= 2")
+        g = t.groupBy("node", end).agg(F.first("degree").alias("degree"), F.max(F.when(F.col("rn") == 1, F.col("votes"))).alias("best"), F.coalesce(F.max(F.when(F.col("rn") == 2, F.col("votes"))), F.lit(0)).alias("second"), F.max(F.when(F.col("rn") == 1, F.col(other))).alias("way"))
+        return g.withColumn("ok", (F.col("best") >= support) & (F.col("second") <= noise) & (F.col("second") * F.lit(snr) <= F.col("best")))
+
+    ins, outs = side("prev", "next"), side("next", "prev")
+    whole = lambda t: t.groupBy("node").agg(F.min("ok").alias("ok"), F.count("*").alias("n"), F.first("degree").alias("d")).where("ok and n = d").select("node")
+    return ins.join(whole(ins), "node", "left_semi").join(whole(outs), "node", "left_semi").select("node", "prev", F.col("way").alias("next"), F.col("best").alias("votes"))
+
+
+def _repeat_sides(links: DataFrame, repeats: DataFrame) -> DataFrame:
+    """(node, side, other): the signed previous and next nodes of repeats, seen from the positive node."""
+    step = next_nodes(links).select("node", "next_node").distinct()
+    r = repeats.select("node_id").distinct()
+    fw = step.join(r, F.col("node") == F.col("node_id"), "left_semi").select("node", F.lit("next").alias("side"), F.col("next_node").alias("other"))
+    bw = step.join(r, F.col("node") == -F.col("node_id"), "left_semi").select((-F.col("node")).alias("node"), F.lit("prev").alias("side"), (-F.col("next_node")).alias("other"))
+    return fw.unionByName(bw)
+
+
+def paired_votes(links: DataFrame, repeats: DataFrame, paths: DataFrame) -> DataFrame:
+    """Votes of read pairs for the ways through repeats: (node, prev, next, votes).
+
+    A pair (reads 2i-1 and 2i of a store) votes with every combination of a read through the previous and one through the next node.
+    Both sides meet by pair, never by node, so a repeat on very many reads stays spread.
+    """
+    on = paths.select("store", F.floor((F.col("read_id") + 1) / 2).alias("pair"), "read_id", F.explode(F.array_distinct(F.transform("path", F.abs))).alias("n")).where("n <> 0")
+    seen = on.groupBy("store", "pair", "n").agg(F.count("*").alias("reads"))
+    sides = _repeat_sides(links, repeats)
+    at = lambda side: sides.where(F.col("side") == side).select("node", F.col("other").alias(side), F.abs("other").alias("n")).join(seen, "n").select("node", side, "store", "pair", F.col("reads").alias(f"{side}_reads"))
+    j = at("prev").join(at("next"), ["node", "store", "pair"]).where("prev <> next")
+    return j.groupBy("node", "prev", "next").agg(F.sum(F.col("prev_reads") * F.col("next_reads")).alias("votes"))
+
+
+def thread_votes(links: DataFrame, repeats: DataFrame, threads: DataFrame) -> DataFrame:
+    """Votes of threads for what follows each previous node of a repeat: (node, prev, next, votes), next 0 for any other node.
+
+    Of each thread the first place of the previous node counts that has a successor; the node that follows, or follows behind the repeat itself, gets the vote.
+    """
+    w = Window.partitionBy("thread_id").orderBy("idx")
+    t = threads.select("thread_id", "idx", "node", F.lead("node", 1).over(w).alias("a1"), F.lead("node", 2).over(w).alias("a2"), F.lag("node", 1).over(w).alias("b1"), F.lag("node", 2).over(w).alias("b2"))
+    fw = t.where("a1 is not null").select("thread_id", "idx", F.col("node").alias("prev"), F.col("a1").alias("x1"), F.col("a2").alias("x2"))
+    bw = t.where("b1 is not null").select("thread_id", "idx", (-F.col("node")).alias("prev"), (-F.col("b1")).alias("x1"), (-F.col("b2")).alias("x2"))
+    first = fw.unionByName(bw).groupBy("thread_id", "prev").agg(F.min_by(F.struct("x1", "x2"), "idx").alias("x"))
+    sides = _repeat_sides(links, repeats)
+    asked = sides.where("side = 'prev'").select("node", F.col("other").alias("prev")).join(first, "prev").select("node", "prev", F.when(F.col("x.x1") == F.col("node"), F.col("x.x2")).otherwise(F.col("x.x1")).alias("to"))
+    n = asked.groupBy("node", "prev", "to").agg(F.count("*").alias("votes"))
+    known = sides.where("side = 'next'").select("node", F.col("other").alias("to"), F.lit(True).alias("known"))
+    return n.join(known, ["node", "to"], "left").select("node", "prev", F.when(F.col("known"), F.col("to")).otherwise(0).alias("next"), "votes").groupBy("node", "prev", "next").agg(F.sum("votes").alias("votes"))
+
+
+def solve_repeats_by_threads(links: DataFrame, repeats: DataFrame, threads: DataFrame, kcis: DataFrame, max_side_kci: float = 1.5, support: int = 1, snr: float = 5.0) -> DataFrame:
+    """(node, prev, next, votes) of repeats with two nodes on either side, all of known coverage (kci not -1) of at most ``max_side_kci``, whose two ways the threads tell apart.
+
+    Each way needs more than ``support`` votes, and ``snr`` times as many as all others of its previous node.
+    """
+    two = repeats.where("degree = 2")
+    sides = _repeat_sides(links, two)
+    good = sides.join(kcis.select(F.col("node_id").alias("k"), "kci"), F.abs("other") == F.col("k"), "left").groupBy("node").agg(F.min(F.coalesce((F.col("kci") != -1) & (F.col("kci") <= max_side_kci), F.lit(False))).alias("ok")).where("ok").select("node")
+    v = thread_votes(links, two.join(good.withColumnRenamed("node", "node_id"), "node_id", "left_semi"), threads)
+    w = Window.partitionBy("node", "prev")
+    best = v.withColumn("all", F.sum("votes").over(w)).withColumn("top", F.max(F.struct("votes", "next")).over(w)).where("next <> 0 and next = top.next")
+    clear = best.where((F.col("votes") > support) & (F.col("votes") / F.lit(snr) >= F.col("all") - F.col("votes"))).select("node", "prev", "next", "votes")
+    both = clear.groupBy("node").agg(F.count("*").alias("n"), F.countDistinct("next").alias("m")).where("n = 2 and m = 2").select("node")
+    return clear.join(both, "node", "left_semi")
+
+
 def through_ranking(votes: DataFrame, most: int = 3) -> DataFrame:
     """The best ways through every node: (node, prev, next, votes, rank)."""
     w = Window.partitionBy("node").orderBy(F.desc("votes"), "prev", "next")
@@ -78,14 +153,15 @@ def tips_to_clip(graph: Graph, votes: DataFrame, size: int, support: int, noise:
     return g.where((F.col("ayes") <= noise) & (F.col("ayes") * F.lit(snr) <= F.col("nays")) & (F.col("nays") >= support)).select("node_id")
 
 
-def clip_tips(graph: Graph, size: int, rounds: int = 10) -> Graph:
-    """Removes tips of at most ``size`` and joins lines, until there are none."""
-    for _ in range(rounds):
+def clip_tips(graph: Graph, size: int, rounds: int | None = None) -> Graph:
+    """Removes tips of at most ``size`` and joins lines, until there are none; with ``rounds`` at most so many times, as the caller asks."""
+    while rounds is None or rounds > 0:
         gone = persisted(tips(graph.nodes, graph.links).join(graph.nodes.where(F.length("seq") <= size).select("node_id"), "node_id", "left_semi"), "tips")
         if gone.isEmpty():
-            return graph
+            break
         joined, _ = join_unitigs(graph.remove_nodes(gone))
         graph = Graph(persisted(joined.nodes, "graph"), persisted(joined.links, "graph"))
+        rounds = None if rounds is None else rounds - 1
     return graph
 
 
@@ -103,6 +179,24 @@ def small_unconnected(graph: Graph, size: int) -> DataFrame:
     return graph.nodes.where(F.length("seq") < size).join(linked, "node_id", "left_anti").select("node_id")
 
 
+def ways_to_repeats(graph: Graph, most: int) -> DataFrame:
+    """Nodes of at most ``most`` letters with several nodes before and one behind, to be split by what comes before: (node, prev, next).
+
+    ``node`` is signed: of either orientation. Every previous node must lead nowhere else and have at most one parallel.
+    """
+    step = next_nodes(graph.links).select("node", "next_node").distinct()
+    e = ends(graph.links)
+    small = graph.nodes.where(F.length("seq") <= most).select("node_id")
+    fw = e.where("next_count = 1").select("node", F.col("lowest_next").alias("next"))
+    bw = e.where("next_count >= 2").select((-F.col("node")).alias("node"))
+    asked = fw.join(bw, "node").join(small, F.abs("node") == F.col("node_id"), "left_semi")
+    before = step.select((-F.col("node")).alias("node"), (-F.col("next_node")).alias("prev"))
+    beside = parallel_counts(graph.links).select(F.col("node").alias("prev"), "parallels")
+    j = asked.join(before, "node").join(e.select(F.col("node").alias("prev"), "next_count"), "prev").join(beside, "prev", "left").na.fill(0, ["parallels"])
+    bad = j.where("next_count > 1 or parallels > 1").select("node").distinct()
+    return j.join(bad, "node", "left_anti").select("node", "prev", "next")
+
+
 def small_components(graph: Graph, least_nodes: int, least_node_size: int, least_total: int) -> DataFrame:
     """C17: nodes of components with too few nodes, no node large enough, or too small a total: (node_id)."""
     cc = persisted(connected_components(graph.nodes, graph.links), "cc")
@@ -111,22 +205,90 @@ def small_components(graph: Graph, least_nodes: int, least_node_size: int, least
     return cc.join(bad, "component", "left_semi").select("node_id")
 
 
+def _end_nodes(graph: Graph) -> DataFrame:
+    """(node): signed nodes that nothing follows."""
+    both = graph.nodes.select(F.explode(F.array(F.col("node_id"), -F.col("node_id"))).alias("node"))
+    return both.join(ends(graph.links).select("node"), "node", "left_anti")
+
+
 def tip_connections(graph: Graph, paths: DataFrame, least_links: int = 3) -> DataFrame:
-    """Pairs of tips in the same reads: (a, b, reads)."""
-    t = tips(graph.nodes, graph.links)
-    e = paths.select("store", "read_id", F.explode(F.array_distinct(F.transform("path", F.abs))).alias("node_id")).join(t, "node_id", "left_semi")
-    j = e.select("store", "read_id", F.col("node_id").alias("a")).join(e.select("store", "read_id", F.col("node_id").alias("b")), ["store", "read_id"]).where("a < b")
-    return j.groupBy("a", "b").agg(F.count("*").alias("reads")).where(F.col("reads") >= least_links)
+    """C11: pairs of ends that read pairs lead from and to: (a, b, pairs), ``a`` a signed node that nothing follows, ``b`` one that nothing precedes.
+
+    The nodes of a pair are those of its first read and then those of its second one walked back. A pair counts if it leaves at one
+    end only and enters at one only, and not before it left.
+    """
+    walk = lambda back: F.transform(F.reverse("path"), lambda x: -x) if back else F.col("path")
+    pair = F.floor((F.col("read_id") + 1) / 2).alias("pair")
+    first = paths.where("read_id % 2 = 1").select("store", pair, F.lit(0).alias("half"), F.posexplode(walk(False)).alias("place", "node"))
+    second = paths.where("read_id % 2 = 0").select("store", pair, F.lit(1).alias("half"), F.posexplode(walk(True)).alias("place", "node"))
+    e = first.unionByName(second).where("node <> 0")
+    free = _end_nodes(graph)
+    out = e.join(free, "node", "left_semi").withColumn("kind", F.lit("out"))
+    into = e.join(free.select((-F.col("node")).alias("node")), "node", "left_semi").withColumn("kind", F.lit("in"))
+    at = F.struct("half", "place")
+    met = out.unionByName(into).groupBy("store", "pair").agg(
+        *(F.min(F.when(F.col("kind") == k, F.col("node"))).alias(f"{k}_low") for k in ("out", "in")), *(F.max(F.when(F.col("kind") == k, F.col("node"))).alias(f"{k}_high") for k in ("out", "in")), *(F.min(F.when(F.col("kind") == k, at)).alias(f"{k}_at") for k in ("out", "in"))
+    )
+    good = met.where("out_low = out_high and in_low = in_high and out_at <= in_at")
+    return good.groupBy(F.col("out_low").alias("a"), F.col("in_low").alias("b")).agg(F.count("*").alias("pairs")).where(F.col("pairs") >= least_links)
+
+
+def reconnection_groups(graph: Graph, paths: DataFrame, more_than: int) -> DataFrame:
+    """(grp, node): ends that reads join: a signed node that nothing follows, and the negatives of the nodes that more than ``more_than`` reads have next behind it.
+
+    Groups that share an end are one, named by its least node.
+    """
+    free = _end_nodes(graph)
+    ahead = F.filter("path", lambda x: x != 0)
+    votes = all_paths_fw(paths, free).select("node", F.get(ahead, 0).alias("other")).where("other is not null").groupBy("node", "other").agg(F.count("*").alias("votes")).where(F.col("votes") > more_than)
+    edges = persisted(votes.select(F.col("node").alias("a"), (-F.col("other")).alias("b")), "groups")
+    members = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return components(edges, members).select(F.col("component").alias("grp"), F.col("id").alias("node"))
+
+
+def patch_groups(graph: Graph, groups: DataFrame, least: int = 15, most: int = 126) -> tuple[Graph, DataFrame]:
+    """Joins the two ends of every group that has just two, both free, whose letters overlap exactly by ``least`` to ``most``, by the shortest such overlap.
+
+    The two nodes become one, which gets the links of their other ends. Also gives (a, b, overlap, new_id). A node in two such groups is patched in the group of the least name.
+    """
+    free = _end_nodes(graph)
+    two = groups.groupBy("grp").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n = 2 and abs(a) <> abs(b)").select("grp", "a", "b")
+    two = two.join(free.select(F.col("node").alias("a")), "a", "left_semi").join(free.select(F.col("node").alias("b")), "b", "left_semi")
+    # a node patched at one of its ends is gone for another group
+    ends_of = two.select("grp", F.explode(F.array(F.abs("a"), F.abs("b"))).alias("n"))
+    lost = ends_of.withColumn("rn", F.row_number().over(Window.partitionBy("n").orderBy("grp"))).where("rn > 1").select("grp").distinct()
+    two = two.join(lost, "grp", "left_anti")
+    seq = lambda end, name, turn: graph.nodes.select(F.col("node_id").alias(f"{name}_id"), F.col("seq").alias(name))
+    t = two.join(seq("a", "s1", 1), F.abs("a") == F.col("s1_id")).join(seq("b", "s2", 1), F.abs("b") == F.col("s2_id"))
+    # the second node is entered, so it is walked from the other side
+    t = t.select("a", "b", F.when(F.col("a") < 0, rc(F.col("s1"))).otherwise(F.col("s1")).alias("s1"), F.when(F.col("b") > 0, rc(F.col("s2"))).otherwise(F.col("s2")).alias("s2"))
+    sizes = F.filter(F.sequence(F.lit(least), F.lit(most)), lambda o: (o <= F.length("s1")) & (o <= F.length("s2")) & (F.right("s1", o) == F.substring("s2", F.lit(1), o)))
+    t = t.withColumn("overlap", F.get(sizes, 0)).where("overlap is not null")
+    last = graph.nodes.agg(F.max("node_id")).first()[0] or 0
+    made = numbered(t.select("a", "b", "overlap", F.concat("s1", F.expr("substring(s2, overlap + 1)")).alias("seq")), "rank", "a", "b").withColumn("new_id", F.col("rank") + 1 + F.lit(last)).drop("rank")
+    made = persisted(made, "patches")
+    moved = mirrored(graph.links).select("source", "dest", "dist")
+    new = made.select(F.explode(F.array(F.struct(F.col("a").alias("end"), F.col("new_id").alias("new")), F.struct(F.col("b").alias("end"), (-F.col("new_id")).alias("new")))).alias("x")).select("x.*")
+    # what enters the old node now enters the new one; a link between two patched nodes moves at both ends
+    entering = moved.join(new, F.col("source") == F.col("end"), "left").select(F.coalesce("new", "source").alias("source"), "dest", "dist", F.col("new").isNotNull().alias("m1"))
+    both = entering.join(new, F.col("dest") == F.col("end"), "left").select("source", F.coalesce("new", "dest").alias("dest"), "dist", (F.col("m1") | F.col("new").isNotNull()).alias("moved"))
+    fresh = both.where("moved").select(F.least("source", "dest").alias("source"), F.greatest("source", "dest").alias("dest"), "dist").distinct()
+    rest = graph.remove_nodes(made.select(F.explode(F.array(F.abs("a"), F.abs("b"))).alias("node_id")))
+    nodes = rest.nodes.select("node_id", "seq").unionByName(made.select(F.col("new_id").alias("node_id"), "seq"))
+    return Graph(nodes, rest.links.select("source", "dest", "dist").unionByName(fresh)), made.select("a", "b", "overlap", "new_id")
 
 
 def exact_end_overlaps(nodes: DataFrame, least: int = 15, most: int = 126) -> DataFrame:
-    """(source, dest, overlap): ends of different nodes whose letters overlap exactly, the longest per pair. An equi-join on the overlap's hash and length, checked in full."""
-    both = nodes.select(F.explode(F.array(F.struct("node_id", "seq"), F.struct((-F.col("node_id")).alias("node_id"), rc(F.col("seq")).alias("seq")))).alias("n")).select("n.*")
-    sizes = F.when(F.length("seq") >= least, F.sequence(F.lit(least), F.least(F.lit(most), F.length("seq"))))
-    t = both.select("node_id", "seq", F.explode(sizes).alias("overlap"))
-    tail = t.select((-F.col("node_id")).alias("source"), F.right("seq", F.col("overlap")).alias("part"), "overlap")
-    head = t.select(F.col("node_id").alias("dest"), F.substring("seq", F.lit(1), F.col("overlap")).alias("part"), "overlap")
-    j = tail.join(head, ["overlap", "part"]).where("abs(source) <> abs(dest) and source < dest")
+    """(source, dest, overlap): ends of different nodes whose letters overlap exactly, the longest per pair.
+
+    Where an overlap of ``n`` letters exists, the ``least`` letters with which the second node begins stand ``n`` letters before the end of the first: one row
+    per node and one per place near an end meet by these letters, and the rest is compared once they have met.
+    """
+    both = nodes.where(F.length("seq") >= least).select(F.explode(F.array(F.struct("node_id", "seq"), F.struct((-F.col("node_id")).alias("node_id"), rc(F.col("seq")).alias("seq")))).alias("n")).select("n.*")
+    tails = both.select((-F.col("node_id")).alias("source"), F.right("seq", F.lit(most)).alias("tail")).select("source", "tail", F.explode(F.sequence(F.lit(least), F.least(F.lit(most), F.length("tail")))).alias("overlap"))
+    tails = tails.select("source", F.right("tail", F.col("overlap")).alias("tail"), "overlap").withColumn("seed", F.substring("tail", 1, least))
+    heads = both.select(F.col("node_id").alias("dest"), F.substring("seq", 1, most).alias("head"), F.substring("seq", 1, least).alias("seed"))
+    j = tails.join(heads, "seed").where("abs(source) <> abs(dest) and source < dest and startswith(head, tail)")
     return j.groupBy("source", "dest").agg(F.max("overlap").alias("overlap"))
 
 
@@ -147,38 +309,112 @@ def de_bruijn(codes: DataFrame, k: int) -> Graph:
 
 
 def anchor_runs(node_counts: DataFrame, least: int, most: int, longest: int | None = None) -> DataFrame:
-    """Maximal runs of positions whose k-mer is unique in the graph and counted ``least`` to ``most`` times: (node_id, first, last, kmers).
+    """Runs of positions whose k-mer is unique in the graph and counted ``least`` to ``most`` times: (node_id, first, last, kmers).
 
-    ``node_counts`` has (node_id, pos, g, n). With ``longest``, runs are cut into pieces of at most that many k-mers.
+    ``node_counts`` has (node_id, pos, g, n). A run is dropped if the k-mer right before or behind it is unique in the graph too, or is counted
+    less than 1.5 times as often as the run's outermost one: there the graph may have collapsed. With ``longest``, runs are cut into pieces of at most that many k-mers.
     """
     w = Window.partitionBy("node_id").orderBy("pos")
-    t = node_counts.where((F.col("g") == 1) & F.col("n").between(least, most)).withColumn("island", F.col("pos") - F.row_number().over(w))
-    keys = ["node_id", "island"]
-    if longest:
-        t = t.withColumn("piece", F.floor((F.row_number().over(Window.partitionBy("node_id", "island").orderBy("pos")) - 1) / longest))
-        keys.append("piece")
-    return t.groupBy(*keys).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("kmers")).select("node_id", "first", "last", "kmers")
+    near = lambda c, f, step: F.when(f("pos").over(w) == F.col("pos") + step, f(c).over(w))
+    t = node_counts.select("node_id", "pos", "g", "n", near("g", F.lag, -1).alias("g0"), near("n", F.lag, -1).alias("n0"), near("g", F.lead, 1).alias("g1"), near("n", F.lead, 1).alias("n1"))
+    t = t.where((F.col("g") == 1) & F.col("n").between(least, most)).withColumn("island", F.col("pos") - F.row_number().over(w))
+    sharp = lambda g, n: F.col(g).isNull() | ((F.col(g) != 1) & (F.col(n) * 10 >= F.col("n") * 15))
+    run = Window.partitionBy("node_id", "island")
+    t = t.withColumn("at", F.row_number().over(run.orderBy("pos")) - 1).withColumn("size", F.count("*").over(run))
+    judged = t.withColumn("fails", ((F.col("at") == 0) & ~sharp("g0", "n0")) | ((F.col("at") == F.col("size") - 1) & ~sharp("g1", "n1")))
+    kept = judged.withColumn("bad", F.max("fails").over(run)).where("not bad")
+    piece = F.floor(F.col("at") / longest) if longest else F.lit(0)
+    return kept.withColumn("piece", piece).groupBy("node_id", "island", "piece").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("kmers")).select("node_id", "first", "last", "kmers")
+
+
+def anchor_graph(nodes: DataFrame, runs: DataFrame, k: int) -> tuple[Graph, DataFrame]:
+    """A graph whose nodes are the runs, each linked with the next one of its node: also (node_id, first, anchor).
+
+    Anchors are numbered in order of node and position and stored canonically; ``anchor`` is negative where that reversed it. A distance is that between the runs on their node.
+    """
+    named = numbered(runs.join(nodes.select("node_id", "seq"), "node_id").select("node_id", "first", F.substring("seq", F.col("first") + 1, F.col("last") - F.col("first") + k).alias("seq")), "rank", "node_id", "first")
+    named = persisted(named.select("node_id", "first", F.length("seq").alias("size"), canonical(F.col("seq")).alias("kept"), F.when(F.col("seq") == canonical(F.col("seq")), F.col("rank") + 1).otherwise(-F.col("rank") - 1).alias("anchor")), "anchors")
+    w = Window.partitionBy("node_id").orderBy("first")
+    links = named.select((-F.lag("anchor").over(w)).alias("source"), F.col("anchor").alias("dest"), (F.col("first") - F.lag("first").over(w) - F.lag("size").over(w)).cast("int").alias("dist")).where("source is not null")
+    return Graph(named.select(F.abs("anchor").alias("node_id"), F.col("kept").alias("seq")), links), named.select("node_id", "first", "anchor")
+
 
+#: Rows of a group of edits in conflict that one task decides in order; larger groups are decided in rounds.
+LOCAL_EDITS = 1 << 16
 
-def accepted_edits(ops: DataFrame, rounds: int = 64) -> DataFrame:
+
+def _in_order(rows):
+    """The edits of one small group, decided one after another."""
+    taken: set = set()
+    out = []
+    for op, items in rows.sort_values("op_id").groupby("op_id", sort=True):
+        mine = set(items["item"])
+        first = bool(items["always"].iloc[0])
+        if first or not mine & taken:
+            taken |= mine
+            out.append(op)
+    import pandas as pd
+
+    return pd.DataFrame({"op_id": pd.Series(out, dtype="int64")})
+
+
+def accepted_edits(ops: DataFrame, local_rows: int = LOCAL_EDITS) -> DataFrame:
     """The edits of a queue that are accepted: (op_id).
 
-    ``ops`` has (op_id, kind, item): the nodes and ends an edit consumes. Deletions are always accepted; any
-    other edit is, if no accepted earlier edit that is no deletion consumes one of its items. Solved by rounds: an
-    undecided edit without an undecided or accepted earlier rival is accepted, one with an accepted rival is rejected.
+    ``ops`` has (op_id, kind, item): the signed ends an edit consumes; an edit of a whole node consumes both of its ends. Kinds ending
+    in ``deletion`` are always accepted; any other edit is if no accepted earlier edit consumes one of its items. Edits that share items, also
+    through others, are a group; a group of up to ``local_rows`` rows is decided by one task, and a larger one in rounds by aggregates per
+    item, as many as it needs: an edit that comes first for all its items is accepted, and what it shares them with is rejected.
     """
-    deletes = ops.where(F.col("kind").endswith("deletion")).select("op_id").distinct()
-    rest = ops.where(~F.col("kind").endswith("deletion")).select("op_id", "item").distinct()
-    rivals = persisted(rest.join(rest.select(F.col("op_id").alias("earlier"), "item"), "item").where("earlier < op_id").select("op_id", "earlier").distinct(), "edits")
-    state = persisted(rest.select("op_id").distinct().withColumn("fate", F.lit(0)), "edits")
-    for _ in range(rounds):
-        r = rivals.join(state.select(F.col("op_id").alias("earlier"), F.col("fate").alias("f")), "earlier").groupBy("op_id").agg(F.max(F.col("f") == 1).alias("lost"), F.max(F.col("f") == 0).alias("waits"))
-        j = state.join(r, "op_id", "left")
-        fate = F.when(F.col("fate") != 0, F.col("fate")).when(F.col("lost"), -1).when(F.coalesce("waits", F.lit(False)), 0).otherwise(1)
-        state = persisted(j.select("op_id", fate.alias("fate")), "edits")
-        if state.where("fate = 0").isEmpty():
-            return state.where("fate = 1").select("op_id").unionByName(deletes)
-    raise RuntimeError("edit queue: too many rounds")
+    rows = persisted(ops.select(F.col("op_id").cast("long"), F.col("kind").endswith("deletion").alias("always"), F.col("item").cast("long").alias("item")).distinct(), "edits")
+    a, b = F.col("op_id") * 2, F.xxhash64("item").bitwiseOR(F.lit(1))
+    member = rows.select("op_id", a.alias("id")).distinct()
+    group = components(rows.select(a.alias("a"), b.alias("b")), member.select("id")).select((F.col("id") / 2).cast("long").alias("op_id"), F.col("component").alias("grp"))
+    placed = persisted(rows.join(group, "op_id"), "edits")
+    sizes = placed.groupBy("grp").agg(F.count("*").alias("n"))
+    small = placed.join(sizes.where(F.col("n") <= local_rows).select("grp"), "grp", "left_semi")
+    done = small.groupBy("grp").applyInPandas(lambda t: _in_order(t), "op_id long")
+    left = persisted(placed.join(sizes.where(F.col("n") > local_rows).select("grp"), "grp", "left_semi").select("op_id", "always", "item"), "edits")
+    parts = [done]
+    while not left.isEmpty():
+        # per item the first edit; one that is first for all of its items, or a deletion with no earlier undecided edit, is decided
+        first = left.groupBy("item").agg(F.min("op_id").alias("first"))
+        met = left.join(first, "item").groupBy("op_id", "always").agg(F.min(F.col("op_id") == F.col("first")).alias("leads"))
+        won = persisted(met.where("leads").select("op_id"), "edits")
+        parts.append(won)
+        used = left.join(won, "op_id", "left_semi").select("item").distinct()
+        lost = left.where("not always").join(used, "item", "left_semi").select("op_id").distinct()
+        rest = persisted(left.join(won, "op_id", "left_anti").join(lost, "op_id", "left_anti"), "edits")
+        discard(left)
+        left = rest
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def expansion_items(ways: DataFrame) -> DataFrame:
+    """What expansions of nodes consume: (op_id, kind, item), from ways (op_id, node, prev, next): both ends of the node and the ends of its neighbours toward it."""
+    items = F.explode(F.array(F.abs("node"), -F.abs("node"), -F.col("prev"), F.col("next")))
+    return ways.select("op_id", F.lit("node_expansion").alias("kind"), items.alias("item")).distinct()
+
+
+def deletion_items(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """What deletions of nodes (op_id, node_id) consume: their two ends and the ends they are linked with."""
+    own = nodes.select("op_id", F.explode(F.array("node_id", -F.col("node_id"))).alias("item"))
+    there = mirrored(links).join(nodes, F.abs("source") == F.col("node_id")).select("op_id", F.col("dest").alias("item"))
+    return own.unionByName(there).distinct().select("op_id", F.lit("node_deletion").alias("kind"), "item")
+
+
+def apply_edits(graph: Graph, ways: DataFrame, gone_links: DataFrame, gone_nodes: DataFrame, accepted: DataFrame) -> Graph:
+    """The graph after the accepted edits of a queue: expansions of nodes (op_id, node, prev, next), deletions of links (op_id, source, dest) and of nodes (op_id, node_id).
+
+    Accepted edits do not touch one another but for deletions, which come last.
+    """
+    of = lambda t: t.join(accepted, "op_id", "left_semi")
+    turn = F.col("node") < 0
+    solved = of(ways).select(F.abs("node").alias("node"), F.when(turn, -F.col("next")).otherwise(F.col("prev")).alias("prev"), F.when(turn, -F.col("prev")).otherwise(F.col("next")).alias("next"))
+    return apply_deletions(expand_repeats(graph, solved), of(gone_nodes).select("node_id"), of(gone_links).select("source", "dest"))
 
 
 def apply_deletions(graph: Graph, nodes: DataFrame, links: DataFrame) -> Graph:
@@ -186,21 +422,61 @@ def apply_deletions(graph: Graph, nodes: DataFrame, links: DataFrame) -> Graph:
     return graph.remove_links(links).remove_nodes(nodes)
 
 
+def extend_to_repeats(graph: Graph, most: int) -> Graph:
+    """Every node of :func:`ways_to_repeats` is split into a copy per previous node, as far as the edits allow one another."""
+    ways = persisted(ways_to_repeats(graph, most).withColumn("op_id", F.abs("node") * 2 + (F.col("node") < 0).cast("int")), "ways")
+    spark = graph.nodes.sparkSession
+    ok = accepted_edits(expansion_items(ways))
+    return apply_edits(graph, ways, spark.createDataFrame([], "op_id long, source long, dest long"), spark.createDataFrame([], "op_id long, node_id long"), ok)
+
+
 def path_scores(candidates: DataFrame, hits: DataFrame) -> DataFrame:
-    """Of candidate paths (path_id, group_id, node) the one of each group with most matched letters on its nodes (hits: node, size): (group_id, path_id, score)."""
-    s = candidates.join(hits.groupBy(F.abs("node").alias("n")).agg(F.sum("size").alias("size")), F.abs("node") == F.col("n"), "left").groupBy("group_id", "path_id").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("score"))
+    """Of candidate paths (path_id, group_id, node) the one of each group with most matched letters on its nodes, the first on a tie: (group_id, path_id, score).
+
+    ``hits`` has (node, size) and, where matches belong to the reads of a group, its group_id.
+    """
+    on = ["group_id", "n"] if "group_id" in hits.columns else ["n"]
+    h = hits.withColumn("n", F.abs("node")).groupBy(*on).agg(F.sum("size").alias("size"))
+    s = candidates.withColumn("n", F.abs("node")).select("group_id", "path_id", "n").distinct().join(h, on, "left").groupBy("group_id", "path_id").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("score"))
     w = Window.partitionBy("group_id").orderBy(F.desc("score"), "path_id")
     return s.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def free_line_ends(graph: Graph) -> DataFrame:
-    """Ends of nodes without a link, where a patch could attach: (node)."""
-    both = graph.nodes.select(F.explode(F.array(F.col("node_id"), -F.col("node_id"))).alias("node"))
-    return both.join(ends(graph.links).select("node"), "node", "left_anti")
+def path_hits(paths: DataFrame, reads: DataFrame, k: int, drift: int = 63) -> DataFrame:
+    """How many k-mers of each path lie in line with each read of its group: ([path columns] group_id, path_id, read_id, hits).
+
+    ``paths`` has (group_id, path_id, seq), ``reads`` (group_id, read_id, seq). Along the path, a k-mer takes the read's first place of it that lies behind the last
+    place taken, if their difference changed by less than ``drift``. What one path and one read bring together is bounded by their lengths.
+    """
+    p = kmers(paths, k, ["group_id", "path_id"], canonical_mode=False).select("group_id", "path_id", F.col("pos").alias("ki"), "code")
+    r = kmers(reads, k, ["group_id", "read_id"], canonical_mode=False).select("group_id", "read_id", F.col("pos").alias("ri"), "code")
+    held = p.join(r, ["group_id", "code"]).groupBy("group_id", "path_id", "read_id").agg(F.array_sort(F.collect_list(F.struct("ki", "ri"))).alias("at"))
+    start = F.struct(F.lit(-1).alias("ri"), F.lit(-1).alias("ki"), F.lit(0).alias("n"))
+
+    def take(acc, x):
+        near = (acc["n"] == 0) | (F.abs((acc["ki"] - acc["ri"]) - (x["ki"] - x["ri"])) < drift)
+        good = (x["ri"] > acc["ri"]) & (x["ki"] != acc["ki"]) & near
+        return F.when(good, F.struct(x["ri"].alias("ri"), x["ki"].alias("ki"), (acc["n"] + 1).alias("n"))).otherwise(acc)
+
+    return held.select("group_id", "path_id", "read_id", F.aggregate("at", start, take)["n"].alias("hits"))
+
+
+def fill_lines(graph: Graph, anchors: DataFrame, hits: DataFrame, max_nodes: int = 100, max_size: int = 10000) -> DataFrame:
+    """Lines of anchors (line, place, node) with the best path between each two neighbours put in: (line, path).
+
+    ``hits`` has (node, size): matches of reads. Of several paths the one with most matched letters is taken, the lexically first on a tie; where there is none, the two stand side by side.
+    """
+    w = Window.partitionBy("line").orderBy("place")
+    steps = persisted(anchors.select("line", "place", "node", F.lead("node").over(w).alias("to")), "steps")
+    pairs = steps.where("to is not null").select(F.col("node").alias("from_node"), F.col("to").alias("to_node")).distinct()
+    found = paths_between(graph.nodes, graph.links, pairs, max_nodes, max_size)
+    named = persisted(found.select("from_node", "to_node", "path", F.struct("from_node", "to_node").alias("group_id"), F.concat_ws(",", F.transform("path", lambda x: x.cast("string"))).alias("path_id")), "ways")
+    best = path_scores(named.select("group_id", "path_id", F.explode_outer("path").alias("node")), hits).select("group_id", "path_id")
+    way = named.join(best, ["group_id", "path_id"], "left_semi").select(F.col("from_node").alias("node"), F.col("to_node").alias("to"), F.col("path").alias("way"))
+    j = steps.join(way, ["node", "to"], "left").select("line", F.struct("place", F.concat(F.array("node"), F.coalesce("way", F.array().cast("array<bigint>"))).alias("p")).alias("x"))
+    return j.groupBy("line").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["p"])).alias("path"))
 
 
 def canonical_digest(seq: Column) -> Column:
     """A name for a sequence whatever its strand."""
     return F.md5(canonical(seq))
-
-

@@ -14,86 +14,102 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.kmers import rc
-from strandloom.functions.seq import kmers
+from strandloom.functions.seq import kmers, read_key
 from strandloom.operators.graph import Graph, next_nodes
 from strandloom.operators.kmer_counts import counts_from
 from strandloom.operators.traversal import lines, paths_between
-from strandloom.session import persisted
+from strandloom.session import discard, persisted
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Length of the common part of two texts from given places on."""
-    for batch in batches:
-        a, i, b, j = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "i", "b", "j"))
-        out = np.zeros(batch.num_rows, np.int32)
-        for r in range(batch.num_rows):
-            x, y = np.frombuffer(a[r].encode(), np.uint8)[i[r] :], np.frombuffer(b[r].encode(), np.uint8)[j[r] :]
-            n = min(len(x), len(y))
-            differ = np.flatnonzero(x[:n] != y[:n])
-            out[r] = differ[0] if len(differ) else n
-        keep = [n for n in batch.schema.names if n not in ("a", "b")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in keep), pa.array(out)], names=[*keep, "m"])
+def _letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All letters of a batch's texts, and where each text begins and ends."""
+    t = column.cast(pa.large_binary())
+    offsets = np.frombuffer(t.buffers()[1], np.int64)[t.offset : t.offset + len(t) + 1]
+    return np.frombuffer(t.buffers()[2] or b"", np.uint8), offsets[:-1], offsets[1:]
 
 
-_STATE = ["read_id", "start_pos", "path", "node", "first_pos"]
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``m``: the length of the common beginning of the texts ``a`` and ``b``, for all rows at once by letter."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        (x, x0, x1), (y, y0, y1) = (_letters(batch.column(batch.schema.get_field_index(c))) for c in ("a", "b"))
+        n = np.minimum(x1 - x0, y1 - y0)
+        row = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        out = n.copy()
+        differ = np.flatnonzero(x[x0[row] + at] != y[y0[row] + at])
+        np.minimum.at(out, row[differ], at[differ])
+        keep = [c for c in batch.schema.names if c not in ("a", "b")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(out.astype(np.int32))], names=[*keep, "m"])
 
 
 def extend_matches(seeds: DataFrame, reads: DataFrame, graph: Graph, k: int) -> DataFrame:
-    """M3: the best exact way of each seed through the graph: (read_id, start_pos, first_pos, path, read_end).
+    """M3: the best exact way of each seed through the graph: ([store,] read_id, start_pos, first_pos, path, read_end).
 
-    ``seeds`` are (read_id, read_pos, node, node_pos). A match runs along its node and on over links that overlap by at least
+    ``seeds`` are ([store,] read_id, read_pos, node, node_pos). A match runs along its node and on over links that overlap by at least
     k - 1, as far as letters agree. Per read and start the way reaching furthest wins; of several, what their beginnings share.
+    Rounds end when no match can go on: each takes letters of the read, so its length bounds them. Only the letters that a hop compares are sent to it.
     """
+    key = read_key(seeds)
+    keep = [*key, "start_pos", "path", "node", "first_pos"]
+    kinds = {f.name: f.dataType.simpleString() for f in seeds.schema}
     step = next_nodes(graph.links).where(F.col("dist") <= 1 - k).select(F.col("node"), F.col("next_node").alias("nx"), (-F.col("dist")).alias("nj")).distinct()
-    texts, rd = graph.nodes.select("node_id", F.col("seq").alias("nseq")), reads.select("read_id", F.col("seq").alias("a"))
-    state = seeds.select("read_id", F.col("read_pos").alias("start_pos"), F.array("node").alias("path"), "node", F.col("node_pos").alias("first_pos"), F.col("read_pos").alias("i"), F.col("node_pos").alias("j"))
-    ended = []
-    while True:  # each hop takes letters of the read, so its length bounds them
-        both = state.join(texts, F.abs("node") == F.col("node_id")).join(rd, "read_id").select(*_STATE, "i", "j", "a", F.when(F.col("node") < 0, rc(F.col("nseq"))).otherwise(F.col("nseq")).alias("b"), F.length("nseq").alias("size"), F.length("a").alias("rsize"))
-        got = persisted(both.mapInArrow(_prefixes, "read_id long, start_pos int, path array<bigint>, node long, first_pos int, i int, j int, size int, rsize int, m int"), "extend")
+    texts, rd = graph.nodes.select("node_id", F.col("seq").alias("nseq")), reads.select(*key, F.col("seq").alias("rseq"))
+    state = seeds.select(*key, F.col("read_pos").alias("start_pos"), F.array("node").alias("path"), "node", F.col("node_pos").alias("first_pos"), F.col("read_pos").alias("i"), F.col("node_pos").alias("j"))
+    schema = ", ".join(f"{c} {kinds[c]}" for c in key) + ", start_pos int, path array<bigint>, node long, first_pos int, i int, j int, size int, rsize int, m int"
+    ended, held = [], []
+    while True:
+        at = F.col("j")
+        far = F.length("nseq") - at
+        # of the node what lies ahead, of the read as many letters
+        node_part = F.when(F.col("node") < 0, rc(F.substring("nseq", F.lit(1), far))).otherwise(F.substring("nseq", at + 1, far))
+        both = state.join(texts, F.abs("node") == F.col("node_id")).join(rd, key).select(*keep, "i", "j", F.substring("rseq", F.col("i") + 1, far).alias("a"), node_part.alias("b"), F.length("nseq").alias("size"), F.length("rseq").alias("rsize"))
+        got = persisted(both.mapInArrow(_prefixes, schema), "extend")
+        held.append(got)
         good = got.where("m > 0")
-        ended.append(good.select("read_id", "start_pos", "first_pos", "path", (F.col("i") + F.col("m")).alias("read_end")))
-        on = good.where("j + m = size and i + m < rsize").join(step, "node")
-        state = on.select("read_id", "start_pos", F.concat("path", F.array("nx")).alias("path"), F.col("nx").alias("node"), "first_pos", (F.col("i") + F.col("m")).alias("i"), F.col("nj").cast("int").alias("j"))
-        if good.where("j + m = size and i + m < rsize").isEmpty():
+        ended.append(good.select(*key, "start_pos", "first_pos", "path", (F.col("i") + F.col("m")).alias("read_end")))
+        going = good.where("j + m = size and i + m < rsize")
+        if going.isEmpty():
             break
+        state = going.join(step, "node").select(*key, "start_pos", F.concat("path", F.array("nx")).alias("path"), F.col("nx").alias("node"), "first_pos", (F.col("i") + F.col("m")).cast("int").alias("i"), F.col("nj").cast("int").alias("j"))
     ways = ended[0]
     for e in ended[1:]:
         ways = ways.unionByName(e)
-    top = F.max("read_end").over(Window.partitionBy("read_id", "start_pos"))
-    best = ways.withColumn("top", top).where("read_end = top").groupBy("read_id", "start_pos", "read_end").agg(F.collect_list("path").alias("ps"), F.min("first_pos").alias("first_pos"))
-
-    def shared(acc, p):
-        same = F.zip_with(acc, p, lambda x, y: x.eqNullSafe(y))
-        return F.slice(acc, 1, F.when(F.array_position(same, False) > 0, (F.array_position(same, False) - 1).cast("int")).otherwise(F.size(acc)))
-
-    path = F.aggregate(F.slice("ps", 2, 1 << 20), F.element_at("ps", 1), shared)
-    return best.select("read_id", "start_pos", "first_pos", path.alias("path"), "read_end").where("size(path) > 0")
+    top = F.max("read_end").over(Window.partitionBy(*key, "start_pos"))
+    # the common beginning of the furthest ways, by the first place at which two of them differ
+    best = ways.withColumn("top", top).where("read_end = top").groupBy(*key, "start_pos", "read_end").agg(F.min("path").alias("low"), F.max("path").alias("high"), F.min(F.size("path")).alias("short"), F.min("first_pos").alias("first_pos"))
+    same = F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y))
+    shared = F.least(F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size("low")), F.col("short")).cast("int")
+    return best.select(*key, "start_pos", "first_pos", F.slice("low", 1, shared).alias("path"), "read_end").where("size(path) > 0")
 
 
 def path_reads_extended(seeds: DataFrame, reads: DataFrame, graph: Graph, k: int) -> DataFrame:
-    """M1, M2: read paths by extension: (read_id, path_offset, path).
+    """M1, M2: read paths by extension: ([store,] read_id, path_offset, path).
 
     Of each read the first seed is extended, then the first one behind what that matched, and so on; where one part does not
     follow from the other by a link, nothing is put between them. ``path_offset`` is the place of the first node's first base on the read.
     """
+    key = read_key(seeds)
     left, parts = persisted(seeds, "seeds"), []
     while True:  # each round takes the first seed of every read
-        first = left.groupBy("read_id").agg(F.min("read_pos").alias("read_pos"))
-        now = extend_matches(left.join(first, ["read_id", "read_pos"], "left_semi"), reads, graph, k)
+        first = left.groupBy(*key).agg(F.min("read_pos").alias("read_pos"))
+        now = extend_matches(left.join(first, [*key, "read_pos"], "left_semi"), reads, graph, k)
         parts.append(persisted(now, "paths"))
-        done = parts[-1].groupBy("read_id").agg(F.max("read_end").alias("done"))
+        done = parts[-1].groupBy(*key).agg(F.max("read_end").alias("done"))
         # a seed must lie wholly behind the part, and never before the next one
-        left = persisted(left.join(done, "read_id").where("read_pos > done - 1").drop("done"), "seeds")
+        rest = persisted(left.join(done, key).where("read_pos > done - 1").drop("done"), "seeds")
+        discard(left)
+        left = rest
         if left.isEmpty():
             break
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    g = every.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "first_pos", "path"))).alias("ps"))
+    g = every.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start_pos", "first_pos", "path"))).alias("ps"))
     joined = F.flatten(F.transform("ps", lambda x: x["path"]))
     once = F.filter(joined, lambda x, i: (i == 0) | (x != F.get(joined, i - 1)))
-    return g.select("read_id", (F.col("ps")[0]["start_pos"] - F.col("ps")[0]["first_pos"]).alias("path_offset"), once.alias("path"))
+    return g.select(*key, (F.col("ps")[0]["start_pos"] - F.col("ps")[0]["first_pos"]).alias("path_offset"), once.alias("path"))
 
 
 def bridge_paths(paths: DataFrame, graph: Graph, max_nodes: int = 4, max_size: int = 2000) -> DataFrame:
@@ -101,8 +117,9 @@ def bridge_paths(paths: DataFrame, graph: Graph, max_nodes: int = 4, max_size: i
 
     ``paths`` has (read_id, path); gaps already there stay.
     """
+    key = read_key(paths)
     at = F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda i: F.struct(i.alias("i"), F.get("path", i).alias("a"), F.get("path", i + 1).alias("b")))
-    steps = persisted(paths.where("size(path) > 0").select("read_id", F.explode(at).alias("s")).select("read_id", "s.*"), "steps")
+    steps = persisted(paths.where("size(path) > 0").select(*key, F.explode(at).alias("s")).select(*key, "s.*"), "steps")
     linked = next_nodes(graph.links).select(F.col("node").alias("a"), F.col("next_node").alias("b")).distinct().withColumn("linked", F.lit(True))
     open_ = steps.where("a <> 0 and b <> 0").select("a", "b").distinct().join(linked, ["a", "b"], "left_anti").select(F.col("a").alias("from_node"), F.col("b").alias("to_node"))
     ways = paths_between(graph.nodes, graph.links, open_, max_nodes, max_size).groupBy("from_node", "to_node").agg(F.count("*").alias("n"), F.first("path").alias("way"))
@@ -110,23 +127,24 @@ def bridge_paths(paths: DataFrame, graph: Graph, max_nodes: int = 4, max_size: i
     j = steps.join(linked, ["a", "b"], "left").join(one, ["a", "b"], "left")
     none = F.array().cast("array<bigint>")
     between = F.when(F.col("b").isNull() | F.col("linked") | (F.col("a") == 0) | (F.col("b") == 0), none).when(F.col("way").isNotNull(), F.col("way")).otherwise(F.array(F.lit(0).cast("long")))
-    parts = j.select("read_id", F.struct("i", F.concat(F.array("a"), between).alias("p")).alias("x"))
-    return parts.groupBy("read_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["p"])).alias("path"))
+    parts = j.select(*key, F.struct("i", F.concat(F.array("a"), between).alias("p")).alias("x"))
+    return parts.groupBy(*key).agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["p"])).alias("path"))
 
 
 def truncate_turnarounds(matches: DataFrame) -> DataFrame:
     """A read's matches up to the first one in a node met before in the other orientation."""
-    w = Window.partitionBy("read_id").orderBy("read_position", "size", "node", "node_position")
+    key = read_key(matches)
+    w = Window.partitionBy(*key).orderBy("read_position", "size", "node", "node_position")
     t = matches.withColumn("ord", F.row_number().over(w))
-    first = t.groupBy("read_id", "node").agg(F.min("ord").alias("at"))
-    met = t.join(first.select("read_id", (-F.col("node")).alias("node"), F.col("at").alias("before")), ["read_id", "node"]).where("before < ord").groupBy("read_id").agg(F.min("ord").alias("turn"))
-    return t.join(met, "read_id", "left").where("turn is null or ord < turn").drop("ord", "turn")
+    first = t.groupBy(*key, "node").agg(F.min("ord").alias("at"))
+    met = t.join(first.select(*key, (-F.col("node")).alias("node"), F.col("at").alias("before")), [*key, "node"]).where("before < ord").groupBy(*key).agg(F.min("ord").alias("turn"))
+    return t.join(met, key, "left").where("turn is null or ord < turn").drop("ord", "turn")
 
 
 def matches_from_node(matches: DataFrame, node: int) -> DataFrame:
     """A read's matches from its first one in a signed node on."""
-    at = matches.where(F.col("node") == node).groupBy("read_id").agg(F.min("read_position").alias("at"))
-    return matches.join(at, "read_id").where(F.col("read_position") >= F.col("at")).drop("at")
+    at = matches.where(F.col("node") == node).groupBy(*read_key(matches)).agg(F.min("read_position").alias("at"))
+    return matches.join(at, read_key(matches)).where(F.col("read_position") >= F.col("at")).drop("at")
 
 
 def popular_next(threads: DataFrame, popular: float = 0.5, first: float = 0.8) -> DataFrame:
@@ -168,5 +186,6 @@ def local_assembly(reads: DataFrame, ends: DataFrame, k: int = 21, least: int =
     from strandloom.operators.contig import de_bruijn
 
     wanted = kmers(ends, k, [], spots=False).distinct()
-    ids = kmers(reads, k, ["read_id"], spots=False).join(wanted, "code", "left_semi").select("read_id").distinct()
-    return de_bruijn(counts_from(reads.join(ids, "read_id", "left_semi"), k, least).select("code"), k)
+    key = read_key(reads)
+    ids = kmers(reads, k, key, spots=False).join(wanted, "code", "left_semi").select(*key).distinct()
+    return de_bruijn(counts_from(reads.join(ids, key, "left_semi"), k, least).select("code"), k)

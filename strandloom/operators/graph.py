@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.kmers import canonical, rc
-from strandloom.functions.seq import trunc_median
+from strandloom.functions.seq import trunc_medians
 from strandloom.session import numbered
 
 MAX_DISTANCE = 2**31 - 1
@@ -101,7 +101,7 @@ def fw_reached(links: DataFrame, starts: DataFrame, radius: int) -> DataFrame:
 
 def fw_neighbours_by_distance(links: DataFrame, least: int) -> DataFrame:
     """T5: (node, other, dist, link_count): neighbours with at least ``least`` links and their truncated median distance."""
-    g = next_nodes(links).groupBy("node", F.col("next_node").alias("other")).agg(trunc_median(F.col("dist")).alias("dist"), F.count("*").alias("link_count"))
+    g = trunc_medians(next_nodes(links).withColumnRenamed("next_node", "other"), ["node", "other"], "dist", "dist", "link_count")
     return g.where(F.col("link_count") >= least).select("node", "other", "dist", "link_count")
 
 
@@ -127,22 +127,35 @@ def tips(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return lone.join(ends(links).select(F.col("node").alias("toward"), F.col("next_count").alias("back")), "toward").where("back > 1").select("node_id")
 
 
-def _neighbour_sets(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    sets = next_nodes(links).groupBy("node").agg(F.array_sort(F.collect_set("next_node")).alias("nexts"))
-    fw = sets.select("node", "nexts")
-    bw = sets.select((-F.col("node")).alias("node"), F.transform("nexts", lambda x: -x).alias("prevs"))
-    return fw.join(bw.withColumn("prevs", F.array_sort("prevs")), "node")
+def _neighbourhoods(links: DataFrame) -> DataFrame:
+    """(node, around): a name for the sets of previous and of next nodes of each oriented node that has both.
+
+    Counts, sums and order-free hashes of the two sets, so nothing but numbers is kept of a hub's neighbours: two sums of 64-bit hashes for each side.
+    """
+    step = next_nodes(links).select("node", "next_node").distinct()
+    names = lambda sign: [F.count("*").alias("n"), *(F.sum(F.xxhash64(F.lit(i), F.lit(sign) * F.col("next_node")).cast("decimal(38,0)")).alias(f"h{i}") for i in range(2))]
+    fw = step.groupBy("node").agg(*names(1)).select("node", F.struct("n", "h0", "h1").alias("nexts"))
+    bw = step.groupBy("node").agg(*names(-1)).select((-F.col("node")).alias("node"), F.struct("n", "h0", "h1").alias("prevs"))
+    return fw.join(bw, "node").select("node", F.struct("prevs", "nexts").alias("around"))
 
 
 def parallels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, parallel) oriented nodes with equal non-empty sets of previous and of next nodes."""
-    s = _neighbour_sets(nodes, links).select("node", F.struct("prevs", "nexts").alias("around"))
+    s = _neighbourhoods(links)
     return s.join(s.select(F.col("node").alias("parallel"), "around"), "around").where("node <> parallel").select("node", "parallel")
 
 
+def parallel_counts(links: DataFrame) -> DataFrame:
+    """(node, parallels, lowest): how many parallels each oriented node has, if any, and the least one; groups are counted, not paired."""
+    s = _neighbourhoods(links)
+    g = s.groupBy("around").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
+    least = F.when(F.col("node") == F.col("low"), F.when(F.col("n") == 2, F.col("high"))).otherwise(F.col("low"))
+    return s.join(g, "around").select("node", (F.col("n") - 1).alias("parallels"), least.alias("lowest"))
+
+
 def bubble_sides(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Nodes with exactly one parallel and a single previous and next node, which have just these two between them: (node_id, parallel)."""
-    p = parallels(nodes, links).where("node > 0").groupBy("node").agg(F.count("*").alias("n"), F.min("parallel").alias("parallel")).where("n = 1")
+    p = parallel_counts(links).where("node > 0 and parallels = 1").select("node", F.col("lowest").alias("parallel"))
     d = degrees(nodes, links).where("prev_count = 1 and next_count = 1")
     e = ends(links)
     both = p.join(d, F.col("node") == F.col("node_id"))
@@ -208,11 +221,15 @@ def stats_by_kci(nodes: DataFrame, links: DataFrame, kcis: DataFrame) -> DataFra
 
 
 def transitive_links(links: DataFrame, radius: int) -> DataFrame:
-    """Links a -> c that a sibling b of c (a -> b) reaches within ``radius`` hops, while c does not reach b: (node, next_node)."""
+    """Links a -> c that a sibling b of c (a -> b) reaches within ``radius`` hops, while c does not reach b: (node, next_node).
+
+    Every link walks on from its far end, so what is compared at a hub is what its neighbours reach, not every pair of them: c is reached from a sibling
+    exactly if a walk a -> b -> ... -> c ends at a neighbour of a.
+    """
     step = next_nodes(links).select("node", "next_node").distinct()
     reach = fw_reached(links, step.select(F.col("next_node").alias("node")).distinct(), radius)
-    siblings = step.select("node", F.col("next_node").alias("b")).join(step.select("node", F.col("next_node").alias("c")), "node").where("b <> c")
-    there = siblings.join(reach.select(F.col("start").alias("b"), F.col("node").alias("c")), ["b", "c"], "left_semi")
+    walks = step.select("node", F.col("next_node").alias("b")).join(reach.select(F.col("start").alias("b"), F.col("node").alias("c")), "b").where("b <> c")
+    there = walks.join(step.select("node", F.col("next_node").alias("c")), ["node", "c"], "left_semi")
     back = there.join(reach.select(F.col("start").alias("c"), F.col("node").alias("b")), ["b", "c"], "left_anti")
     return back.select("node", F.col("c").alias("next_node")).distinct()
 
@@ -241,6 +258,23 @@ def expand_nodes(graph: Graph, groups: DataFrame) -> tuple[Graph, DataFrame]:
     return Graph(rest.nodes.select("node_id", "seq").unionByName(fresh), rest.links.select("source", "dest", "dist").unionByName(moved)), named
 
 
+def node_views(nodes: DataFrame, links: DataFrame, both: bool = False, include_disconnected: bool = True) -> DataFrame:
+    """(node, size, seq, prev_count, next_count) of all nodes, with ``both`` in either orientation, else as stored; without ``include_disconnected`` of linked ones."""
+    signs = F.array(F.lit(1), F.lit(-1)) if both else F.array(F.lit(1))
+    t = nodes.select("node_id", "seq", F.explode(signs).alias("s")).select((F.col("node_id") * F.col("s")).alias("node"), F.length("seq").alias("size"), F.when(F.col("s") < 0, rc(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
+    n = next_nodes(links).groupBy("node").agg(F.count("*").alias("n"))
+    j = t.join(n.select("node", F.col("n").alias("next_count")), "node", "left").join(n.select((-F.col("node")).alias("node"), F.col("n").alias("prev_count")), "node", "left").na.fill(0, ["next_count", "prev_count"])
+    j = j if include_disconnected else j.where("next_count + prev_count > 0")
+    return j.select("node", "size", "seq", "prev_count", "next_count")
+
+
+def node_view(nodes: DataFrame, links: DataFrame, node: int) -> DataFrame:
+    """The view of one signed node; raises for 0 and for ids that are unknown or deleted."""
+    if node == 0 or nodes.where(F.col("node_id") == abs(node)).isEmpty():
+        raise ValueError(f"no such node: {node}")
+    return node_views(nodes.where(F.col("node_id") == abs(node)), links.where((F.abs("source") == abs(node)) | (F.abs("dest") == abs(node))), both=True).where(F.col("node") == node)
+
+
 def node_sequence(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """(node, seq, size) of signed ids (column ``node``), reversed where negative."""
     n = ids.join(nodes.select("node_id", "seq"), F.abs("node") == F.col("node_id"))

@@ -6,10 +6,10 @@ k-mer reaches the shuffle once per split. Tables of sequences have an id and ``s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.seq import kmers
+from strandloom.functions.seq import kmers, read_key, upper_medians
 
 READ_MOST = 65535
 
@@ -60,9 +60,7 @@ def kci(nodes: DataFrame, ident: str, graph: DataFrame, reads: DataFrame, peak:
     """
     unique = graph.where("n = 1").select("code").join(reads.select("code", "n"), "code", "left").na.fill(0, ["n"])
     held = kmers(nodes, k, [ident], spots=False).join(unique, "code")
-    w = Window.partitionBy(ident)
-    ranked = held.select(ident, "n", F.row_number().over(w.orderBy("n")).alias("rn"), F.count("*").over(w).alias("cnt"))
-    median = ranked.groupBy(ident).agg(F.max("cnt").alias("unique_kmers"), F.max(F.when(F.col("rn") == F.floor(F.col("cnt") / 2) + 1, F.col("n"))).alias("m"))
+    median = upper_medians(held, [ident], "n", "m", "unique_kmers")
     known = median.select(ident, "unique_kmers", F.when(F.col("unique_kmers") > 10, F.col("m") / F.lit(float(peak))).otherwise(-1.0).alias("kci"))
     return nodes.select(ident).join(known, ident, "left").na.fill({"unique_kmers": 0, "kci": -1.0})
 
@@ -77,6 +75,12 @@ def spectrum(counts: DataFrame, most: int, graph: DataFrame | None = None, uniqu
     return every.join(found, "freq", "left").na.fill(0, ["kmers"])
 
 
+def anchor_index(nodes: DataFrame, graph: DataFrame, reads: DataFrame, k: int, least: int, most: int, graph_least: int = 1, graph_most: int = 1) -> DataFrame:
+    """Index entries of the k-mers counted ``graph_least`` to ``graph_most`` times in the graph and ``least`` to ``most`` times in reads; ``graph`` and ``reads`` are (code, n)."""
+    white = graph.where(F.col("n").between(graph_least, graph_most)).select("code").join(reads.where(F.col("n").between(least, most)).select("code"), "code", "left_semi")
+    return whitelist_index(nodes, k, white)
+
+
 def tag_kmers(reads: DataFrame, k: int, least: int, by_tag: bool = False) -> DataFrame:
     """K-mers occurring at least ``least`` times in tagged reads, or in as many tags: (code, n)."""
     tagged = reads.where("tag > 0")
@@ -148,16 +152,17 @@ def unique_stats(nodes: DataFrame, k: int, ident: str = "node_id") -> DataFrame:
     return both.withColumn("unmappable", F.col("unique_kmers") == 0)
 
 
-def seed_matches(reads: DataFrame, index: DataFrame, nodes: DataFrame, k: int, ident: str = "read_id") -> DataFrame:
-    """Hits of reads in an index, oriented: (read_id, read_pos, node, node_pos).
+def seed_matches(reads: DataFrame, index: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """Hits of reads in an index, oriented: ([store,] read_id, read_pos, node, node_pos).
 
     Where the strands agree the node is positive at offset - 1; else it is negative and the
     position counts on its reverse complement: size - offset - k + 1.
     """
-    hits = kmers(reads, k, [ident]).join(index, "code")
+    key = read_key(reads)
+    hits = kmers(reads, k, key).join(index, "code")
     sized = hits.join(nodes.select(F.col("node_id").alias("node"), F.length("seq").alias("node_size")), "node")
     same = F.col("is_fw") == (F.col("kmer_offset") > 0)
     at = F.abs("kmer_offset")
     return sized.select(
-        ident, F.col("pos").alias("read_pos"), F.when(same, F.col("node")).otherwise(-F.col("node")).alias("node"), F.when(same, at - 1).otherwise(F.col("node_size") - at - k + 1).alias("node_pos")
+        *key, F.col("pos").alias("read_pos"), F.when(same, F.col("node")).otherwise(-F.col("node")).alias("node"), F.when(same, at - 1).otherwise(F.col("node_size") - at - k + 1).alias("node_pos")
     )

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.seq import upper_median
+from strandloom.functions.seq import upper_medians
+from strandloom.operators.graph import next_nodes
 from strandloom.operators.threads import node_threads, renumber
 from strandloom.operators.traversal import fixpoint
+from strandloom.session import discard, persisted
 
 
 def node_classes(threads: DataFrame, thread_class: DataFrame, least_votes: int = 2, share: float = 0.6) -> DataFrame:
@@ -55,7 +57,89 @@ def unclassified_threads(threads: DataFrame, node_class: DataFrame, thread_class
     return g.join(free, "thread_id", "left_semi").where((F.col("places") >= least_nodes) & (F.col("classified") < F.ceil(F.lit(share) * F.col("places"))))
 
 
-def propagate(threads: DataFrame, node_class: DataFrame, least_votes: int = 2, share: float = 0.6, p: int = 10, q: int = 12, rounds: int = 64) -> DataFrame:
+def switch_classes(classes: DataFrame, changes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The classes after changes (key, class) of known keys, and the keys whose class is another now; ``key`` is ``node`` or ``thread_id``."""
+    j = classes.join(changes.select(key, F.col("class").alias("__new")).dropDuplicates([key]), key, "left")
+    return j.select(key, F.coalesce("__new", "class").alias("class")), j.where("__new is not null and __new <> class").select(key)
+
+
+def to_evaluate(threads: DataFrame, changed: DataFrame) -> DataFrame:
+    """(thread_id) of the threads through changed nodes (column ``node``), or (node) of the nodes on changed threads (column ``thread_id``)."""
+    key = "node" if "node" in changed.columns else "thread_id"
+    return node_threads(threads).join(changed.select(key).distinct(), key, "left_semi").select("thread_id" if key == "node" else "node").distinct()
+
+
+def class_of(classes: DataFrame, key: str, value: int) -> int:
+    """The class of a node or thread, -1 if it is unknown."""
+    row = classes.where(F.col(key) == value).select("class").first()
+    return -1 if row is None else row[0]
+
+
+def supported_threads(threads: DataFrame, asked: DataFrame, support: int) -> DataFrame:
+    """Those of the asked threads (column ``thread_id``) whose second half other threads bear out: (thread_id).
+
+    At each of its places another thread that holds the node in the same orientation has been met before at as many places as the two share; it supports the place
+    if these are at least ``support``. A thread fails where two places after its middle follow one another that fewer than ``support`` threads support.
+    """
+    t = renumber(threads).withColumn("n", F.count("*").over(Window.partitionBy("thread_id"))).select("thread_id", "idx", "node", "n")
+    mine = t.join(asked.select("thread_id").distinct(), "thread_id", "left_semi")
+    others = node_threads(threads, oriented=True)
+    oriented = others.select((F.signum("thread_id").cast("long") * F.col("node")).alias("node"), F.abs("thread_id").alias("other"), F.lit(1).alias("w"))
+    flipped = others.select((-F.signum("thread_id").cast("long") * F.col("node")).alias("node"), (-F.abs("thread_id")).alias("other"), F.lit(1).alias("w"))
+    met = mine.join(oriented.unionByName(flipped), "node").where("other <> thread_id")
+    before = met.withColumn("before", F.row_number().over(Window.partitionBy("thread_id", "other").orderBy("idx")) - 1)
+    good = before.groupBy("thread_id", "idx").agg(F.sum((F.col("before") >= support).cast("int")).alias("good"))
+    late = mine.where(F.col("idx") > F.floor(F.col("n") / 2)).join(good, ["thread_id", "idx"], "left").withColumn("unsafe", F.coalesce("good", F.lit(0)) < support)
+    w = Window.partitionBy("thread_id").orderBy("idx")
+    fails = late.withColumn("two", F.col("unsafe") & F.lag("unsafe").over(w)).where("two").select("thread_id").distinct()
+    return asked.select("thread_id").distinct().join(t.select("thread_id").distinct(), "thread_id", "left_semi").join(fails, "thread_id", "left_anti")
+
+
+def new_class_from_thread(threads: DataFrame, node_class: DataFrame, thread_class: DataFrame, thread: int) -> tuple[DataFrame, DataFrame, int]:
+    """Gives a thread, and its nodes without a class, the next class that neither nodes nor threads have: (node_class, thread_class, that class)."""
+    top = node_class.select("class").unionByName(thread_class.select("class")).agg(F.max("class")).first()[0] or 0
+    made = max(0, top) + 1
+    free = node_class.where("class = 0").join(node_threads(threads).where(F.col("thread_id") == thread).select("node"), "node", "left_semi")
+    nodes, _ = switch_classes(node_class, free.select("node", F.lit(made).cast("long").alias("class")), "node")
+    own, _ = switch_classes(thread_class, thread_class.where(F.col("thread_id") == thread).select("thread_id", F.lit(made).cast("long").alias("class")), "thread_id")
+    return nodes, own, made
+
+
+def reset_classes(classes: DataFrame) -> DataFrame:
+    """All keys with class 0."""
+    return classes.withColumn("class", F.lit(0).cast("long"))
+
+
+def order_from_class(threads: DataFrame, node_class: DataFrame, thread_class: DataFrame, klass: int, least_threads: int = 7) -> DataFrame:
+    """An order of the nodes of a class: (order_id, node, coord).
+
+    The least node of the class with ``least_threads`` threads begins, forward, with its threads of the class. Then nodes that two placed threads hold in one orientation
+    and threads that hold two placed nodes are placed, forward where both would do, until none is left; the nodes get coordinates over the placed threads. Empty without such a node.
+    """
+    mine = node_class.where(F.col("class") == klass).select("node")
+    own = thread_class.where(F.col("class") == klass).select("thread_id")
+    both = threads.join(own, "thread_id", "left_semi").join(mine.withColumnRenamed("node", "__n"), F.abs("node") == F.col("__n"), "left_semi").select("thread_id", "node").distinct()
+    step = persisted(both.unionByName(both.select((-F.col("thread_id")).alias("thread_id"), (-F.col("node")).alias("node"))).distinct(), "class")
+    start = node_threads(threads).join(mine, "node", "left_semi").groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= least_threads).agg(F.min("node").alias("node")).where("node is not null")
+
+    def fresh(votes: DataFrame, key: str, placed: DataFrame) -> DataFrame:
+        new = votes.where("n >= 2").join(placed.select(F.abs(key).alias("__k")).distinct(), F.abs(key) == F.col("__k"), "left_anti")
+        return new.groupBy(F.abs(key).alias("__k")).agg(F.max(key).alias(key)).select(key)
+
+    nodes = persisted(start.select("node"), "class")
+    runs = persisted(step.join(nodes, "node", "left_semi").select("thread_id").distinct(), "class")
+    size = -1
+    while (now := nodes.count() + runs.count()) != size:
+        size = now
+        more = step.join(runs, "thread_id", "left_semi").groupBy("node").agg(F.count("*").alias("n"))
+        nodes = persisted(nodes.unionByName(fresh(more, "node", nodes)), "class")
+        seen = step.join(nodes, "node", "left_semi").groupBy("thread_id").agg(F.count("*").alias("n"))
+        runs = persisted(runs.unionByName(fresh(seen, "thread_id", runs)), "class")
+    held = threads.join(runs.select(F.abs("thread_id").alias("thread_id")), "thread_id", "left_semi").join(nodes.select(F.abs("node").alias("__n")), F.abs("node") == F.col("__n"), "left_semi")
+    return grow_orders(persisted(held, "class"), start.select(F.lit(klass).cast("long").alias("order_id"), "node", F.lit(0).cast("long").alias("coord")), 1, 0.0)
+
+
+def propagate(threads: DataFrame, node_class: DataFrame, least_votes: int = 2, share: float = 0.6, p: int = 10, q: int = 12, rounds: int | None = None) -> DataFrame:
     """Node classes after threads and nodes have classified one another until nothing changes: (node, class). A class once given stays, which makes it end."""
 
     def step(nc: DataFrame) -> DataFrame:
@@ -66,7 +150,7 @@ def propagate(threads: DataFrame, node_class: DataFrame, least_votes: int = 2, s
     return fixpoint(node_class.select("node", F.col("class").cast("long").alias("class")), step, lambda df: (df.where("class <> 0").count(),), rounds)
 
 
-def grow_cluster(threads: DataFrame, start: DataFrame, least_threads: int = 2, share: float = 0.6, p: int = 3, q: int = 5, rounds: int = 64) -> DataFrame:
+def grow_cluster(threads: DataFrame, start: DataFrame, least_threads: int = 2, share: float = 0.6, p: int = 3, q: int = 5, rounds: int | None = None) -> DataFrame:
     """P10: nodes (column ``node``) grown from ``start``: a thread is happy with ``p`` of ``q`` places in the cluster, a node with at least max(``least_threads``, share) of its threads happy."""
 
     def step(cluster: DataFrame) -> DataFrame:
@@ -98,7 +182,7 @@ def place_nodes(threads: DataFrame, coords: DataFrame, least_links: int = 1) ->
     offers = j.select("order_id", (F.col("turn") * F.col("node")).alias("node"), coord.cast("long").alias("coord"))
     placed = coords.select(F.col("order_id").alias("__o"), F.abs("node").alias("__k"))
     fresh = offers.join(placed, (F.col("order_id") == F.col("__o")) & (F.abs("node") == F.col("__k")), "left_anti")
-    g = fresh.groupBy("order_id", "node").agg(upper_median(F.col("coord")).alias("coord"), F.count("*").alias("links"))
+    g = upper_medians(fresh, ["order_id", "node"], "coord", "coord", "links")
     return g.where(F.col("links") >= least_links)
 
 
@@ -109,7 +193,7 @@ def happiness(threads: DataFrame, coords: DataFrame) -> DataFrame:
     return held.join(total, "thread_id").select("order_id", "thread_id", "placed", (F.col("placed") / F.col("n")).alias("happiness"))
 
 
-def grow_orders(threads: DataFrame, coords: DataFrame, least_links: int = 2, least_happiness: float = 0.3, rounds: int = 16) -> DataFrame:
+def grow_orders(threads: DataFrame, coords: DataFrame, least_links: int = 2, least_happiness: float = 0.3, rounds: int | None = None) -> DataFrame:
     """Orders grown by placing nodes over happy threads until none is added (all orders at once): (order_id, node, coord)."""
 
     def step(c: DataFrame) -> DataFrame:
@@ -130,6 +214,62 @@ def shared_order_nodes(coords: DataFrame, least: int = 1) -> DataFrame:
     return j.select("a", "b", "shared", (F.col("shared") / F.least("sa", "sb")).alias("share"))
 
 
+def mixed_orders(coords: DataFrame, links: DataFrame, window: int = 50, share: float = 0.2, ahead: int = 8, tail: int = 10) -> DataFrame:
+    """(order_id) of orders in which some ``window`` neighbouring places hold at least ``share`` nodes not linked with the next one.
+
+    A node's gap is the number of places, up to ``ahead``, to the first node it is linked with; the last ``tail`` places are not judged, and a window begins at a place that fails.
+    """
+    w = Window.partitionBy("order_id").orderBy("coord", F.abs("node"))
+    t = coords.select("order_id", "node", F.row_number().over(w).alias("at"), F.count("*").over(Window.partitionBy("order_id")).alias("n"), F.lead("node").over(w).alias("nx"))
+    linked = next_nodes(links).select("node", F.col("next_node").alias("nx")).distinct().withColumn("linked", F.lit(True))
+    judged = t.where(F.col("at") <= F.col("n") - tail).join(linked, ["node", "nx"], "left").withColumn("fails", F.col("linked").isNull())
+    run = Window.partitionBy("order_id").orderBy("at").rowsBetween(0, window - 1)
+    counted = judged.withColumn("failed", F.sum(F.col("fails").cast("int")).over(run)).withColumn("width", F.count("*").over(run))
+    return counted.where(F.col("fails") & (F.col("width") == window) & (F.col("failed") >= F.lit(share * window))).select("order_id").distinct()
+
+
+def remove_mixed(coords: DataFrame, links: DataFrame, window: int = 50, share: float = 0.2) -> DataFrame:
+    """Orders without the mixed ones."""
+    return coords.join(mixed_orders(coords, links, window, share), "order_id", "left_anti")
+
+
+def merge_orders(threads: DataFrame, coords: DataFrame, links: DataFrame | None = None, more_than: int = 100, whole: float = 0.99, window: int = 50, share: float = 0.2) -> DataFrame:
+    """Orders merged pairwise as long as two share more than ``more_than`` nodes in one orientation: (order_id, node, coord).
+
+    In each round the pairs that are each other's best (largest share of the smaller order, then least ids) are tried at once: the nodes of the second order are
+    placed in the first one by the threads. A merge holds if the two reach ``whole`` of their different nodes and the result is not mixed (judged where ``links`` are given); it
+    keeps the lower id. If it fails, an order ``whole`` of whose nodes the other holds is dropped, else the pair is not tried again.
+    """
+    state = persisted(coords.select("order_id", "node", F.col("coord").cast("long").alias("coord")), "orders")
+    failed = persisted(coords.select(F.col("order_id").alias("a"), F.col("order_id").alias("b")).limit(0), "orders")
+    while True:
+        size = state.groupBy("order_id").agg(F.count("*").alias("size"))
+        left, right = state.select(F.col("order_id").alias("a"), "node"), state.select(F.col("order_id").alias("b"), F.col("node").alias("m"))
+        both = left.join(right, F.abs("node") == F.abs("m")).where("a < b").groupBy("a", "b", (F.col("node") != F.col("m")).alias("turned")).agg(F.count("*").alias("shared")).where(F.col("shared") > more_than)
+        both = both.join(failed, ["a", "b"], "left_anti").join(size.select(F.col("order_id").alias("a"), F.col("size").alias("sa")), "a").join(size.select(F.col("order_id").alias("b"), F.col("size").alias("sb")), "b")
+        rated = both.withColumn("rate", F.struct((F.col("shared") / F.least("sa", "sb")).alias("share"), (-F.col("a")).alias("x"), (-F.col("b")).alias("y"), (~F.col("turned")).alias("z")))
+        top = rated.select(F.explode(F.array("a", "b")).alias("o"), "rate").groupBy("o").agg(F.max("rate").alias("best"))
+        best = rated.join(top.select(F.col("o").alias("a"), F.col("best").alias("ba")), "a").join(top.select(F.col("o").alias("b"), F.col("best").alias("bb")), "b").where("rate = ba and rate = bb")
+        pairs = persisted(best.select("a", "b", "turned", "shared", "sa", "sb"), "orders")
+        if pairs.isEmpty():
+            return state
+        mine = state.join(pairs.select(F.col("a").alias("order_id")), "order_id", "left_semi")
+        wanted = state.join(pairs.select("a", F.col("b").alias("order_id"), "turned"), "order_id").select("a", F.when(F.col("turned"), -F.col("node")).otherwise(F.col("node")).alias("node"))
+        offered = place_nodes(threads, mine, 1).join(wanted.select(F.col("a").alias("order_id"), "node"), ["order_id", "node"], "left_semi").select("order_id", "node", "coord")
+        grown = persisted(mine.unionByName(offered), "orders")
+        reached = grown.groupBy(F.col("order_id").alias("a")).agg(F.count("*").alias("n"))
+        mixed = mixed_orders(grown, links, window, share).select(F.col("order_id").alias("a"), F.lit(True).alias("mixed")) if links is not None else pairs.select("a").limit(0).withColumn("mixed", F.lit(True))
+        fate = persisted(pairs.join(reached, "a").join(mixed, "a", "left").withColumn("good", (F.col("n") >= F.lit(whole) * (F.col("sa") + F.col("sb") - F.col("shared"))) & F.col("mixed").isNull()), "orders")
+        merged, lost = fate.where("good"), fate.where("not good")
+        inside = lost.where(F.least("sa", "sb") * F.lit(whole) < F.col("shared")).select(F.when(F.col("sa") > F.col("sb"), F.col("b")).otherwise(F.col("a")).alias("order_id"))
+        gone = merged.select(F.explode(F.array("a", "b")).alias("order_id")).unionByName(inside).distinct()
+        after = state.join(gone, "order_id", "left_anti").unionByName(grown.join(merged.select(F.col("a").alias("order_id")), "order_id", "left_semi"))
+        tabu = failed.unionByName(lost.join(inside.select(F.col("order_id").alias("a")), "a", "left_anti").join(inside.select(F.col("order_id").alias("b")), "b", "left_anti").select("a", "b"))
+        after, failed = persisted(after, "orders"), persisted(tabu, "orders")
+        discard(state)
+        state = after
+
+
 def next_winners(votes: DataFrame, least_total: int = 2, share: float = 0.75) -> DataFrame:
     """Of (node, other, votes), the neighbour with at least that share of all votes for the node: (node, other)."""
     g = votes.groupBy("node").agg(F.sum("votes").alias("total"), F.max(F.struct("votes", (-F.col("other")).alias("o"))).alias("b"))

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.seq import upper_median
+from strandloom.functions.seq import upper_medians
 
 
 def _by_thread():
@@ -42,6 +42,12 @@ def thread_links(threads: DataFrame) -> DataFrame:
     return t.where("nx is not null").select((-F.col("node")).alias("source"), F.col("nx").alias("dest"), (F.col("ns") - F.col("end_pos")).alias("dist"), "thread_id", "ordinal")
 
 
+def remove_threads(threads: DataFrame, gone: DataFrame) -> DataFrame:
+    """R2: without the threads of the given ids (column ``thread_id``, of either sign); unknown ids change nothing."""
+    g = gone.select(F.abs("thread_id").alias("thread_id")).distinct()
+    return threads.join(g, "thread_id", "left_anti")
+
+
 def thread_info(threads: DataFrame) -> DataFrame:
     """(thread_id, start_node, end_node, link_count); the end is negated, as entered from the other side."""
     g = threads.groupBy("thread_id").agg(F.min_by("node", "idx").alias("start_node"), (-F.max_by("node", "idx")).alias("end_node"), (F.count("*") - 1).alias("link_count"))
@@ -244,7 +250,7 @@ def closest_reliable(threads: DataFrame, count: int, least_links: int) -> DataFr
     linked = pairs.select("node", "other", "thread_id").distinct().groupBy("node", "other").agg(F.count("*").alias("n")).where(F.col("n") >= least_links).select("node", "other")
     w = Window.partitionBy("thread_id", "way", "idx").orderBy("j")
     near = pairs.join(linked, ["node", "other"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= count)
-    g = near.groupBy("node", "other").agg(upper_median((F.col("s") - F.col("end_pos"))).alias("dist"), F.count("*").alias("times"))
+    g = upper_medians(near.select("node", "other", (F.col("s") - F.col("end_pos")).alias("gap")), ["node", "other"], "gap", "dist", "times")
     return g.where(F.col("times") >= math.ceil(least_links / 2))
 
 

@@ -15,22 +15,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.kmers import canonical, rc
-from strandloom.operators.graph import Graph, ends, mirrored, next_nodes, parallels
-from strandloom.session import persisted
+from strandloom.operators.graph import Graph, ends, mirrored, next_nodes, parallel_counts
+from strandloom.session import discard, persisted
 
-ROUNDS = 64
-
-
-def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], measure: Callable[[DataFrame], tuple], rounds: int = ROUNDS) -> DataFrame:
-    """Repeats ``step`` until ``measure`` (one small row) no longer changes; raises after ``rounds`` rounds."""
+def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], measure: Callable[[DataFrame], tuple], rounds: int | None = None) -> DataFrame:
+    """Repeats ``step`` until ``measure`` (one small row) no longer changes; with ``rounds`` raises after so many. The tables of earlier rounds are deleted."""
     state = persisted(start, "step")
     before = measure(state)
-    for _ in range(rounds):
-        state = persisted(step(state), "step")
-        now = measure(state)
+    done = 0
+    while rounds is None or done < rounds:
+        after = persisted(step(state), "step")
+        discard(state)
+        state, now = after, measure(after)
         if now == before:
             return state
         before = now
+        done += 1
     raise RuntimeError(f"no fixpoint after {rounds} rounds")
 
 
@@ -125,18 +125,21 @@ def path_sequences(path_nodes: DataFrame, nodes: DataFrame, links: DataFrame, st
     prev = path_nodes.select("path_id", F.col("place").alias("__before"), F.col("node").alias("prev"))
     stepped = w.join(prev, ["path_id", "__before"], "left").join(near, (F.col("source") == -F.col("prev")) & (F.col("dest") == F.col("node")), "left")
     seqs = stepped.join(nodes.select("node_id", "seq"), F.abs("node") == F.col("node_id"))
-    parts = seqs.select("path_id", F.struct("place", F.when(F.col("node") < 0, rc(F.col("seq"))).otherwise(F.col("seq")).alias("seq"), F.coalesce("dist", F.lit(0)).alias("dist")).alias("part"))
-    held = parts.groupBy("path_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-
-    def join(acc, p):
-        overlap = F.greatest(-p["dist"], F.lit(0))
-        tail = F.concat(acc, F.repeat(F.lit("N"), F.greatest(p["dist"], F.lit(0))), F.substring(p["seq"], overlap + 1, F.length(p["seq"])))
-        if not strict:
-            return tail
-        fits = (overlap == 0) | (F.right(acc, overlap) == F.substring(p["seq"], F.lit(1), overlap))
-        return F.when((F.length(acc) == 0) | fits, tail).otherwise(F.raise_error(F.lit("path overlap differs")).cast("string"))
-
-    return held.select("path_id", F.aggregate("parts", F.lit(""), join).alias("seq"))
+    parts = seqs.select("path_id", "place", F.when(F.col("node") < 0, rc(F.col("seq"))).otherwise(F.col("seq")).alias("seq"), F.coalesce("dist", F.lit(0)).alias("dist"))
+    overlap = F.greatest(-F.col("dist"), F.lit(0))
+    # a link overlaps the node before it by its length at most, unless what stands before is longer; then letters of several nodes are compared
+    fresh = F.concat(F.repeat(F.lit("N"), F.greatest("dist", F.lit(0))), F.substring("seq", overlap + 1, F.length("seq")))
+    if strict:
+        kept = F.substring("seq", F.lit(1), overlap)
+        held = parts.select("path_id", F.struct("place", fresh.alias("part"), kept.alias("shared")).alias("p")).groupBy("path_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+        whole = held.select("path_id", "ps", F.array_join(F.transform("ps", lambda x: x["part"]), "").alias("seq"), F.transform("ps", lambda x: F.length(x["part"])).alias("sizes"))
+        ends_ = F.aggregate("sizes", F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
+        checked = whole.withColumn("ends", ends_)
+        bad = F.exists(F.zip_with("ps", F.sequence(F.lit(0), F.size("ps") - 1), lambda p, i: (i > 0) & (F.length(p["shared"]) > 0) & (F.right(F.substring(F.col("seq"), F.lit(1), F.get(F.col("ends"), i - 1)), F.length(p["shared"])) != p["shared"])), lambda x: x)
+        return checked.select("path_id", F.when(bad, F.raise_error(F.lit("path overlap differs")).cast("string")).otherwise(F.col("seq")).alias("seq"))
+    # only new letters are gathered, and joined once
+    held = parts.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("place", fresh.alias("part")))).alias("ps"))
+    return held.select("path_id", F.array_join(F.transform("ps", lambda x: x["part"]), "").alias("seq"))
 
 
 def join_unitigs(graph: Graph, least_nodes: int = 2) -> tuple[Graph, DataFrame]:
@@ -218,20 +221,20 @@ def classify_tangles(nodes: DataFrame, links: DataFrame, members: DataFrame) ->
         F.sum((F.col("role") == "frontier").cast("int")).alias("f"), F.sum((F.col("role") == "internal").cast("int")).alias("i"),
         F.min(F.when(F.col("role") == "internal", F.col("node"))).alias("i0"), F.max(F.when(F.col("role") == "internal", F.col("node"))).alias("i1"), F.min(F.when(F.col("role") == "frontier", F.col("node"))).alias("f0"),
     )
-    side = nxt.groupBy("node").agg(F.count("*").alias("n"), F.min("next_node").alias("low"), F.collect_set(F.abs("next_node")).alias("near"))
-    at = lambda end, sign, p: side.select((F.lit(sign) * F.col("node")).alias(end), F.col("n").alias(f"{p}_n"), F.col("low").alias(f"{p}_low"), F.col("near").alias(f"{p}_near"))
+    side = nxt.groupBy("node").agg(F.count("*").alias("n"), F.min("next_node").alias("low"))
+    at = lambda end, sign, p: side.select((F.lit(sign) * F.col("node")).alias(end), F.col("n").alias(f"{p}_n"), F.col("low").alias(f"{p}_low"))
+    # a node and its different neighbours
+    around = nxt.groupBy(F.abs("node").alias("i0")).agg((F.countDistinct(F.abs("next_node")) + F.when(F.max(F.abs("node") == F.abs("next_node")), 0).otherwise(1)).alias("involved"))
     inside = members.where("role = 'internal'").select("tangle", F.col("node").alias("inner"))
     touching = counts.where("f = 1").join(nxt.select((-F.col("node")).alias("f0"), F.abs("next_node").alias("inner")), "f0").join(inside, ["tangle", "inner"], "left_semi").select("tangle").distinct().withColumn("touches", F.lit(True))
     few = counts.where("i between 1 and 2")
-    pair = parallels(nodes, links).where("node > 0").groupBy("node").agg(F.count("*").alias("pn"), F.min("parallel").alias("p0"))
+    pair = parallel_counts(links).where("node > 0").select("node", F.col("parallels").alias("pn"), F.col("lowest").alias("p0"))
     for end, p in (("i0", "a"), ("i1", "b")):
         few = few.join(at(end, 1, p + "x"), end, "left").join(at(end, -1, p + "p"), end, "left")
-    few = few.join(pair.select(F.col("node").alias("i0"), "pn", "p0"), "i0", "left").drop("f", "i", "i0", "i1", "f0")
+    few = few.join(pair.select(F.col("node").alias("i0"), "pn", "p0"), "i0", "left").join(around, "i0", "left").drop("f", "i", "i0", "i1", "f0")
     t = counts.join(few, "tangle", "left").join(touching, "tangle", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    near = F.array_union(F.coalesce("ax_near", F.array().cast("array<bigint>")), F.coalesce("ap_near", F.array().cast("array<bigint>")))
-    involved = F.size(F.array_union(near, F.array("i0")))
-    n_n = (F.col("f") == 2 * z("ap_n")) & (z("ap_n") == z("ax_n")) & (involved == 2 * z("ap_n") + 1)
+    n_n = (F.col("f") == 2 * z("ap_n")) & (z("ap_n") == z("ax_n")) & (F.coalesce("involved", F.lit(1)) == 2 * z("ap_n") + 1)
     loop = lambda p, q: (z(p + "x_n") == 2) & (z(p + "p_n") == 2) & (z(q + "x_n") == 1) & (z(q + "p_n") == 1) & (F.col(q + "x_low") == -F.col(q + "p_low"))
     label = (
         F.when(F.col("f") == 0, "debris")

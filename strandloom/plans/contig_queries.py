@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandloom.functions.seq import kmers
 from strandloom.operators import contig as C
 from strandloom.operators import kmer_counts as K
 from strandloom.operators import mapping as M
 from strandloom.operators import partition as P
 from strandloom.operators.graph import Graph, canonical_repeats
-from strandloom.plans.graph_queries import _DEG, _THIN, TH, _thin
-from strandloom.plans.graph_queries import _BUB, _PAR, _TIPS
+from strandloom.plans.graph_queries import _BUB, _DEG, _PAR, _REP, _THIN, _TIPS, TH, _thin, links
 from strandloom.plans.kmer_queries import _BOTH
 from strandloom.plans.mapping_queries import _VOTES
 from strandloom.plans.views import NODES, PATHS, THREADS, nodes, paths, reads, threads, unique_threads
-from strandloom.session import persisted
+from strandloom.session import persisted, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -31,12 +31,14 @@ def query(sql: str | None = None):
 
 
 def _size_class(spark, d):
-    """Starting classes by size of node: 1 short, 2 middle, 3 long, 0 for repeats."""
+    """Starting classes by size of node: 1 short, 2 middle, 3 long, 0 for collapsed repeats."""
     size = F.length("seq")
-    return nodes(spark, d).select(F.col("node_id").alias("node"), F.when(F.col("node_id") <= 12, 0).when(size < 200, 1).when(size < 300, 2).otherwise(3).cast("long").alias("class"))
+    repeats = table(spark, d, "repeat_nodes").select("node_id", F.lit(True).alias("rep"))
+    t = nodes(spark, d).join(repeats, "node_id", "left")
+    return t.select(F.col("node_id").alias("node"), F.when(F.col("rep"), 0).when(size < 200, 1).when(size < 300, 2).otherwise(3).cast("long").alias("class"))
 
 
-_NC = f"with {THREADS}, {NODES}, nc as (select node_id node, cast(case when node_id <= 12 then 0 when length(seq) < 200 then 1 when length(seq) < 300 then 2 else 3 end as bigint) class from nd)"
+_NC = f"with {THREADS}, {NODES}, nc as (select node_id node, cast(case when node_id in (select node_id from repeat_nodes) then 0 when length(seq) < 200 then 1 when length(seq) < 300 then 2 else 3 end as bigint) class from nd)"
 _PQ = "pq0 as (select thread_id, class, i - lag(i, {p1}) over (partition by thread_id, class order by i) span from (select thread_id, abs(th.node) node, row_number() over (partition by thread_id order by idx) - 1 i from th) t join nc using (node) where class <> 0), pq as (select distinct thread_id, class from pq0 where span < {q})"
 _TC = "tn as (select thread_id, coalesce(class, 0) class, count(*) n from (select thread_id, abs(node) node from th) t left join nc using (node) group by all), hf as (select thread_id, sum(n) al, max(n) filter (class <> 0) bn, arg_max(class, n * 10 - class) filter (class <> 0) bc from tn group by thread_id), rn as (select thread_id, count(*) k, min(class) o from pq group by thread_id), tc as (select thread_id, cast(coalesce(case when 2 * bn > al then bc when k = 1 then o else 0 end, 0) as bigint) class from hf left join rn using (thread_id))"
 
@@ -77,7 +79,7 @@ def partition_propagated(spark, d):
 
 @query()
 def cluster_grown(spark, d):
-    start = nodes(spark, d).orderBy(F.desc(F.length("seq")), "node_id").limit(20).select(F.col("node_id").alias("node"))
+    start = nodes(spark, d).where(F.length("seq") >= 300).select(F.col("node_id").alias("node"))
     return P.grow_cluster(persisted(threads(spark, d), "th"), start)
 
 
@@ -115,9 +117,61 @@ def shared_order_nodes(spark, d):
 
 @query()
 def orders_grown(spark, d):
+    """Every thread's order, grown over threads most of whose nodes it holds."""
     t = persisted(unique_threads(spark, d), "ut")
-    start = t.withColumn("order_id", F.lit(1)).orderBy("thread_id", "idx").limit(2).select(F.lit(1).cast("long").alias("order_id"), "node", F.col("start_pos").cast("long").alias("coord"))
-    return P.grow_orders(t, start, 1, 0.0)
+    return P.grow_orders(t, _coords(spark, d), 2, 0.6)
+
+
+@query()
+def orders_merged(spark, d):
+    t = persisted(unique_threads(spark, d), "ut")
+    return P.merge_orders(t, _coords(spark, d), links(spark, d), more_than=4, whole=0.9, window=12)
+
+
+@query(f"""{_CO}, lk0 as (select -node source, nx dest from (select node, lead(node) over (partition by thread_id order by idx) nx from th) where nx is not null), st as (select distinct -source node, dest nx from lk0 union select distinct -dest, source from lk0),
+ o as (select order_id, node, row_number() over w pl, count(*) over (partition by order_id) n, lead(node) over w nx from co window w as (partition by order_id order by coord, abs(node))),
+ j as (select o.order_id, o.pl, st.node is null fails from o left join st on st.node = o.node and st.nx = o.nx where o.pl <= o.n - 2),
+ k as (select *, sum(case when fails then 1 else 0 end) over w f, count(*) over w c from j window w as (partition by order_id order by pl rows between current row and 5 following)) select distinct order_id from k where fails and c = 6 and f >= 1.2""")
+def mixed_orders(spark, d):
+    return P.mixed_orders(_coords(spark, d), links(spark, d), 6, 0.2, tail=2)
+
+
+def _classes(spark, d):
+    t = threads(spark, d)
+    nc = _size_class(spark, d)
+    return t, nc, P.thread_classes(t, nc, 3, 5)
+
+
+@query(f"{_NC}, ch as (select node from nc where class = 2), sw as (select node from nc where node in (select node from ch)) select distinct thread_id from th where abs(node) in (select node from sw)")
+def threads_to_evaluate(spark, d):
+    """Threads to be classified again when the nodes of class 2 get class 5."""
+    t, nc, _ = _classes(spark, d)
+    _, changed = P.switch_classes(nc, nc.where("class = 2").select("node", F.lit(5).cast("long").alias("class")), "node")
+    return P.to_evaluate(t, changed)
+
+
+@query(f"""{_NC}, t0 as (select thread_id, row_number() over (partition by thread_id order by idx) - 1 i, node, count(*) over (partition by thread_id) n from th), od as (select distinct sign(node) * thread_id tid, abs(node) node from th),
+ sd as (select cast(sign(tid) as bigint) * node node, abs(tid) other from od union all select cast(-sign(tid) as bigint) * node, -abs(tid) from od),
+ mt as (select t0.thread_id, i, other, row_number() over (partition by t0.thread_id, other order by i) - 1 b from t0 join sd using (node) where other <> t0.thread_id), gd as (select thread_id, i, count(*) filter (b >= 2) g from mt group by all),
+ la as (select t0.thread_id, t0.i, coalesce(g, 0) < 2 u from t0 left join gd using (thread_id, i) where t0.i > n // 2), fl as (select thread_id from (select *, u and lag(u) over (partition by thread_id order by i) two from la) where two)
+ select distinct thread_id from th where thread_id not in (select thread_id from fl)""")
+def supported_threads(spark, d):
+    t = threads(spark, d)
+    return P.supported_threads(t, t.select("thread_id").distinct(), 2)
+
+
+@query(f"{_NC}, fr as (select min(thread_id) t from th) select node, cast(case when class = 0 and node in (select abs(node) from th, fr where thread_id = t) then 4 else class end as bigint) class from nc")
+def class_from_thread(spark, d):
+    t, nc, _ = _classes(spark, d)
+    first = t.agg(F.min("thread_id")).first()[0]
+    none = P.reset_classes(t.select("thread_id").distinct())
+    return P.new_class_from_thread(t, nc, none, first)[0]
+
+
+@query()
+def order_from_class(spark, d):
+    t, nc, tc = _classes(spark, d)
+    return P.order_from_class(t, nc, persisted(tc, "tc"), 3, 7)
 
 
 def _votes(spark, d):
@@ -154,12 +208,54 @@ def through_ranking(spark, d):
     return C.through_ranking(C.path_triples(paths(spark, d)))
 
 
-@query()
+_SOLVE = """vr as (select tr.*, rp.degree from tr join rp on rp.node_id = tr.node), bp as (select * from vr qualify row_number() over (partition by node, prev order by votes desc, nxt) = 1), bn as (select * from vr qualify row_number() over (partition by node, nxt order by votes desc, prev) = 1),
+ pq as (select bp.* from bp join bn using (node, prev, nxt)), gs as (select vr.node, any_value(vr.degree) degree, count(pq.node) k, min(pq.votes) low, coalesce(max(vr.votes) filter (pq.node is null), 0) rest from vr left join pq on pq.node = vr.node and pq.prev = vr.prev and pq.nxt = vr.nxt group by vr.node)"""
+
+
+@query(f"{TH}, {_REP.format(m=6)}, {PATHS}, {_TRI}, {_SOLVE} select node, prev, nxt as next, votes from pq where node in (select node from gs where k = degree and low >= 2 and rest <= least(3, ceil(low / 5.0)))")
 def repeats_solved(spark, d):
     reps = canonical_repeats(nodes(spark, d), _thin(spark, d), 6)
     return C.solve_repeats(C.path_triples(paths(spark, d)), reps, 2, 3, 5.0)
 
 
+_SIDES = "sd as (select r.node_id node, 'next' side, nx other from st join rp r on st.node = r.node_id union all select r.node_id, 'prev', -nx from st join rp r on st.node = -r.node_id)"
+_PV = """on0 as (select store, (read_id + 1) // 2 pair, n, count(*) c from (select distinct store, read_id, abs(unnest(path)) n from ph) where n <> 0 group by all),
+ pv as (select a.node, a.other prev, b.other nxt, cast(sum(x.c * y.c) as bigint) votes from sd a join sd b on a.node = b.node and a.side = 'prev' and b.side = 'next' and a.other <> b.other join on0 x on x.n = abs(a.other) join on0 y on y.n = abs(b.other) and y.store = x.store and y.pair = x.pair group by all)"""
+_CLEAR = """pi as (select node, prev, count(*) c, max(votes) best, coalesce(max(votes) filter (rn = 2), 0) sec, max(nxt) filter (rn = 1) nxt from (select *, row_number() over (partition by node, prev order by votes desc, nxt) rn from pv) group by all),
+ po as (select node, nxt, max(votes) best, coalesce(max(votes) filter (rn = 2), 0) sec from (select *, row_number() over (partition by node, nxt order by votes desc, prev) rn from pv) group by all),
+ oi as (select pi.node from pi join rp on rp.node_id = pi.node group by pi.node having bool_and(best >= {s} and sec <= {n} and sec * {r} <= best) and count(*) = any_value(degree)), oo as (select po.node from po join rp on rp.node_id = po.node group by po.node having bool_and(best >= {s} and sec <= {n} and sec * {r} <= best) and count(*) = any_value(degree))"""
+
+
+@query(f"{TH}, {_REP.format(m=6)}, {PATHS}, {_SIDES}, {_PV} select node, prev, nxt as next, votes from pv")
+def paired_repeat_votes(spark, d):
+    k = _thin(spark, d)
+    return C.paired_votes(k, canonical_repeats(nodes(spark, d), k, 6), paths(spark, d))
+
+
+@query(f"{TH}, {_REP.format(m=6)}, {PATHS}, {_SIDES}, {_PV}, {_CLEAR.format(s=1, n=30, r=1)} select node, prev, nxt as next, best votes from pi where node in (select node from oi) and node in (select node from oo)")
+def repeats_solved_by_pairs(spark, d):
+    k = _thin(spark, d)
+    reps = persisted(canonical_repeats(nodes(spark, d), k, 6), "repeats")
+    return C.clear_ways(C.paired_votes(k, reps, paths(spark, d)), reps, 1, 30, 1.0)
+
+
+@query()
+def repeats_solved_by_threads(spark, d):
+    t, k = nodes(spark, d), _thin(spark, d)
+    kcis = t.select("node_id", F.lit(1.0).alias("kci"))
+    return C.solve_repeats_by_threads(k, canonical_repeats(t, k, 2), threads(spark, d), kcis, 1.5, 0, 1.0)
+
+
+_TV = """tw as (select thread_id, idx, node, lead(node) over w a1, lead(node, 2) over w a2, lag(node) over w b1, lag(node, 2) over w b2 from th window w as (partition by thread_id order by idx)), tu as (select thread_id, idx, node prev, a1 x1, a2 x2 from tw where a1 is not null union all select thread_id, idx, -node, -b1, -b2 from tw where b1 is not null),
+ tf as (select * from tu qualify row_number() over (partition by thread_id, prev order by idx) = 1), ta as (select s.node, s.other prev, case when x1 = s.node then x2 else x1 end t from sd s join tf on tf.prev = s.other where side = 'prev')"""
+
+
+@query(f"{TH}, {_REP.format(m=6)}, {_SIDES}, {_TV} select ta.node, prev, coalesce(k.other, 0) as next, count(*) votes from ta left join sd k on k.side = 'next' and k.node = ta.node and k.other = ta.t group by all")
+def thread_repeat_votes(spark, d):
+    k = _thin(spark, d)
+    return C.thread_votes(k, canonical_repeats(nodes(spark, d), k, 6), threads(spark, d))
+
+
 _NPC = "pc as (select n node_id, count(*) reads from (select distinct store, read_id, abs(unnest(path)) n from ph) where n <> 0 group by n)"
 
 
@@ -194,26 +290,75 @@ def small_components(spark, d):
     return C.small_components(Graph(nodes(spark, d), _thin(spark, d)), 2, 300, 600)
 
 
-@query(f"{TH}, {PATHS}, {_TIPS}, e as (select distinct store, read_id, abs(unnest(path)) n from ph), j as (select a.n a, b.n b from e a join e b using (store, read_id) where a.n < b.n and a.n in (select node_id from tp) and b.n in (select node_id from tp)) select a, b, count(*) reads from j group by all having count(*) >= 2")
+_FREE = "fe as (select node from (select node_id node from nd union all select -node_id from nd) where node not in (select node from st))"
+
+
+@query(f"""{TH}, {PATHS}, {_FREE}, e0 as (select store, (read_id + 1) // 2 pair, 0 half, unnest(range(len(path))) place, unnest(path) node from ph where read_id % 2 = 1 union all select store, (read_id + 1) // 2, 1, unnest(range(len(path))), unnest(list_transform(list_reverse(path), lambda x: -x)) from ph where read_id % 2 = 0),
+ oi as (select store, pair, 'o' kind, node, half * 1000000 + place wh from e0 where node <> 0 and node in (select node from fe) union all select store, pair, 'i', node, half * 1000000 + place from e0 where node <> 0 and -node in (select node from fe)),
+ g as (select store, pair, min(node) filter (kind = 'o') ol, max(node) filter (kind = 'o') oh, min(wh) filter (kind = 'o') oa, min(node) filter (kind = 'i') il, max(node) filter (kind = 'i') ih, min(wh) filter (kind = 'i') ia from oi group by all)
+ select ol a, il b, count(*) pairs from g where ol = oh and il = ih and oa <= ia group by all having count(*) >= 2""")
 def tip_connections(spark, d):
     return C.tip_connections(Graph(nodes(spark, d), _thin(spark, d)), paths(spark, d), 2)
 
 
-@query(f"with {NODES}, bo as (select node_id, seq from nd union all select -node_id, reverse(translate(seq, 'ACGT', 'TGCA')) from nd), t as (select node_id, seq, unnest(range(15, cast(least(40, length(seq)) as bigint) + 1)) o from bo) select -a.node_id source, b.node_id dest, cast(max(a.o) as integer) overlap from t a join t b on a.o = b.o and right(a.seq, a.o) = left(b.seq, b.o) where abs(a.node_id) <> abs(b.node_id) and -a.node_id < b.node_id group by 1, 2")
+@query()
+def reconnection_groups(spark, d):
+    return C.reconnection_groups(Graph(nodes(spark, d), _thin(spark, d)), paths(spark, d), 1)
+
+
+@query()
+def ends_patched(spark, d):
+    g = Graph(nodes(spark, d), _thin(spark, d))
+    o = persisted(C.exact_end_overlaps(g.nodes).select(F.col("source").alias("a"), F.col("dest").alias("b")), "overlaps")
+    groups = o.select(F.concat_ws(",", "a", "b").alias("grp"), F.explode(F.array(-F.col("a"), -F.col("b"))).alias("node"))
+    return C.patch_groups(g, groups)[1]
+
+
+@query(f"""with {NODES}, bo as (select node_id, seq from nd where length(seq) >= 15 union all select -node_id, reverse(translate(seq, 'ACGT', 'TGCA')) from nd where length(seq) >= 15), t as (select node_id, right(seq, 126) tl, unnest(range(15, cast(least(126, length(seq)) as bigint) + 1)) o from bo), tl as (select -node_id source, right(tl, o) tl, left(right(tl, o), 15) k, o from t)
+ select source, b.node_id dest, cast(max(o) as integer) overlap from tl join bo b on tl.k = left(b.seq, 15) where abs(source) <> abs(b.node_id) and source < b.node_id and left(b.seq, o) = tl.tl group by 1, 2""")
 def exact_end_overlaps(spark, d):
-    return C.exact_end_overlaps(nodes(spark, d), 15, 40)
+    return C.exact_end_overlaps(nodes(spark, d))
 
 
-@query(f"{_BOTH}, t as (select node_id, pos, pos - row_number() over (partition by node_id order by pos) isl from nk join g using (kmer) join ri using (kmer) where g.n = 1 and ri.n between 2 and 40) select node_id, min(pos) as \"first\", max(pos) as \"last\", count(*) kmers from t group by node_id, isl")
-def anchor_runs(spark, d):
+_EXT = f"""{_PAR}, pk as (select node, count(*) c from pr group by node), ap as (select f.node, f.nx fwn from en f join en b on b.node = -f.node and b.n >= 2 join nd on nd.node_id = abs(f.node) where f.n = 1 and length(nd.seq) <= 400),
+ aw as (select ap.node, -st.nx prev, fwn from ap join st on st.node = -ap.node), ab as (select aw.node from aw join en on en.node = aw.prev left join pk on pk.node = aw.prev where en.n > 1 or coalesce(pk.c, 0) > 1)"""
+
+
+@query(f"{TH}, {_EXT} select node, prev, fwn as next from aw where node not in (select node from ab)")
+def ways_to_repeats(spark, d):
+    return C.ways_to_repeats(Graph(nodes(spark, d), _thin(spark, d)), 400)
+
+
+@query()
+def extended_to_repeats(spark, d):
+    g = C.extend_to_repeats(Graph(nodes(spark, d), _thin(spark, d)), 400)
+    return g.nodes.select("node_id", F.length("seq").alias("size"))
+
+
+_AR = f"""{_BOTH}, kc as (select node_id, pos, g.n g, coalesce(ri.n, 0) n from nk join g using (kmer) left join ri using (kmer)),
+ aw as (select *, case when lag(pos) over w = pos - 1 then lag(g) over w end g0, case when lag(pos) over w = pos - 1 then lag(n) over w end n0, case when lead(pos) over w = pos + 1 then lead(g) over w end g1, case when lead(pos) over w = pos + 1 then lead(n) over w end n1 from kc window w as (partition by node_id order by pos)),
+ ai as (select *, pos - row_number() over (partition by node_id order by pos) isl from aw where g = 1 and n between 2 and 40),
+ ag as (select node_id, isl, min(pos) f, max(pos) l, count(*) k, arg_min(g0 is null or (g0 <> 1 and n0 * 10 >= n * 15), pos) a, arg_max(g1 is null or (g1 <> 1 and n1 * 10 >= n * 15), pos) b from ai group by node_id, isl), ar as (select node_id, f, l, k from ag where a and b)"""
+
+
+def _anchor_runs(spark, d):
     t = nodes(spark, d)
     graph, counted = K.count_kmers(t, 31), K.count_kmers(reads(spark, d), 31)
-    from strandloom.functions.seq import kmers
-
     at = kmers(t, 31, ["node_id"]).join(graph.select("code", F.col("n").alias("g")), "code").join(counted, "code", "left").na.fill(0, ["n"]).select("node_id", "pos", "g", "n")
     return C.anchor_runs(at, 2, 40)
 
 
+@query(f'{_AR} select node_id, f as "first", l as "last", k kmers from ar')
+def anchor_runs(spark, d):
+    return _anchor_runs(spark, d)
+
+
+@query(f"""{_AR}, an as (select node_id, f, substr(seq, f + 1, l - f + 31) s, row_number() over (order by node_id, f) r from ar join nd using (node_id)), ac as (select node_id, f, length(s) z, case when s <= reverse(translate(s, 'ACGT', 'TGCA')) then r else -r end a from an)
+ select -lag(a) over w source, a dest, cast(f - lag(f) over w - lag(z) over w as integer) dist from ac window w as (partition by node_id order by f) qualify lag(a) over w is not null""")
+def anchor_links(spark, d):
+    return C.anchor_graph(nodes(spark, d), _anchor_runs(spark, d), 31)[0].links
+
+
 @query()
 def dbg_unitigs(spark, d):
     g = C.de_bruijn(K.counts_from(nodes(spark, d), 31).select("code"), 31)
@@ -227,10 +372,34 @@ def tips_clipped(spark, d):
 
 
 @query()
-def edits_accepted(spark, d):
+def dbg_unitigs_of_reads(spark, d):
+    """The graph of the k-mers that reads hold twice or more."""
+    g = C.de_bruijn(K.counts_from(reads(spark, d), 31, 2).select("code"), 31)
+    return g.nodes.select(C.canonical_digest(F.col("seq")).alias("digest"), F.length("seq").alias("size"))
+
+
+def _edit_ways(spark, d):
+    """One queued expansion per node that passages cross in two ways or more, in order of the node."""
     t = C.path_triples(paths(spark, d)).where("votes >= 2")
-    ops = t.select(F.xxhash64("node", "prev", "next").alias("op_id"), F.lit("path_detachment").alias("kind"), F.explode(F.array("node", F.col("prev") * 10 + 1, F.col("next") * 10 + 2)).alias("item"))
-    return C.accepted_edits(ops, 200)
+    return t.select(F.col("node").alias("op_id"), "node", "prev", "next")
+
+
+@query()
+def edits_accepted(spark, d):
+    return C.accepted_edits(C.expansion_items(persisted(_edit_ways(spark, d), "ways")))
+
+
+@query()
+def edits_applied(spark, d):
+    k = _thin(spark, d)
+    g = Graph(nodes(spark, d), k)
+    ways = persisted(_edit_ways(spark, d), "ways")
+    gone_nodes = nodes(spark, d).where(F.length("seq") < 60).select((-F.col("node_id")).alias("op_id"), "node_id")
+    gone_links = k.where("dist < -100").select((-F.xxhash64("source", "dest").bitwiseAND(F.lit((1 << 40) - 1)) - (1 << 41)).alias("op_id"), "source", "dest")
+    link_items = gone_links.select("op_id", F.lit("link_deletion").alias("kind"), F.explode(F.array("source", "dest")).alias("item"))
+    ops = C.expansion_items(ways).unionByName(C.deletion_items(gone_nodes, k)).unionByName(link_items)
+    out = C.apply_edits(g, ways, gone_links, gone_nodes, persisted(C.accepted_edits(ops), "accepted"))
+    return out.nodes.select("node_id", F.length("seq").alias("size"))
 
 
 def queries() -> dict:

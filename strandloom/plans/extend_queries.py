@@ -11,7 +11,7 @@ from strandloom.operators import traversal as T
 from strandloom.operators.graph import Graph
 from strandloom.plans.contig_queries import _votes
 from strandloom.plans.graph_queries import _thin
-from strandloom.plans.mapping_queries import _PM, S, seeds
+from strandloom.plans.mapping_queries import _PM, S50, seeds
 from strandloom.plans.views import THREADS, nodes, paths, threads
 from strandloom.session import persisted
 
@@ -36,11 +36,11 @@ def _text(column: str):
 @query()
 def paths_bridged(spark, d):
     g = Graph(nodes(spark, d), _thin(spark, d))
-    return E.bridge_paths(paths(spark, d).select("read_id", "path"), g, 2, 4000).select("read_id", _text("path").alias("path"))
+    return E.bridge_paths(paths(spark, d).select("store", "read_id", "path"), g, 2, 4000).select("store", "read_id", _text("path").alias("path"))
 
 
-@query(f"""{S}, {_PM}, o as (select *, row_number() over (partition by read_id order by read_position, size, node, node_position) ord from pm), f as (select read_id, node, min(ord) a from o group by all),
- tu as (select o.read_id, min(ord) turn from o join f on f.read_id = o.read_id and f.node = -o.node and f.a < o.ord group by 1) select o.read_id, node, node_position, read_position, size from o left join tu using (read_id) where turn is null or ord < turn""")
+@query(f"""{S50}, {_PM}, o as (select *, row_number() over (partition by store, read_id order by read_position, size, node, node_position) ord from pm), f as (select store, read_id, node, min(ord) a from o group by all),
+ tu as (select o.store, o.read_id, min(ord) turn from o join f on f.store = o.store and f.read_id = o.read_id and f.node = -o.node and f.a < o.ord group by 1, 2) select o.store, o.read_id, node, node_position, read_position, size from o left join tu using (store, read_id) where turn is null or ord < turn""")
 def turnarounds_truncated(spark, d):
     return E.truncate_turnarounds(M.perfect_matches(seeds(spark, d, limit=50), 31, 35))
 

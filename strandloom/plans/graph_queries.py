@@ -46,7 +46,7 @@ def _thin(spark: SparkSession, d: str) -> DataFrame:
 _LINKS = f"""{THREADS}, lk as (select -node source, nx dest, cast(ns - end_pos as integer) dist from (select *, lead(node) over w nx, lead(start_pos) over w ns from th window w as (partition by thread_id order by idx)) where nx is not null),
  mi as (select source, dest, dist from lk union all select dest, source, dist from lk where source <> dest)"""
 L = f"with recursive {_LINKS}"
-_THIN = f"{_LINKS}, tl as (select source, dest, min(dist) dist from mi group by source, dest having count(*) >= 2 and source <= dest and abs(source) > 12 and abs(dest) > 12 and abs(source) <> abs(dest)), tm as (select source, dest, dist from tl union all select dest, source, dist from tl where source <> dest), st as (select distinct -source node, dest nx from tm), en as (select node, count(*) n, min(nx) nx from st group by node), {NODES}"
+_THIN = f"{_LINKS}, tl as (select source, dest, min(dist) dist from mi group by source, dest having count(*) >= 2 and source <= dest and abs(source) <> abs(dest)), tm as (select source, dest, dist from tl union all select dest, source, dist from tl where source <> dest), st as (select distinct -source node, dest nx from tm), en as (select node, count(*) n, min(nx) nx from st group by node), {NODES}"
 _DEG = ", dg as (select node_id, coalesce(f.n, 0) fn, coalesce(b.n, 0) bn, case when f.n = 1 then f.nx end onx, case when b.n = 1 then -b.nx end opv from nd left join en f on f.node = node_id left join en b on b.node = -node_id)"
 TH = f"with recursive {_THIN}{_DEG}"
 
@@ -71,10 +71,10 @@ def next_nodes(spark, d):
     return G.next_nodes(links(spark, d))
 
 
-@query(f"{L} select source, dest, dist from lk where abs(source) > 5 and abs(dest) > 5")
+@query(f"{L}, {NODES}, sm as (select node_id from nd where length(seq) < 120) select source, dest, dist from lk where abs(source) not in (select node_id from sm) and abs(dest) not in (select node_id from sm)")
 def nodes_removed(spark, d):
     g = G.Graph(nodes(spark, d), links(spark, d))
-    return g.remove_nodes(nodes(spark, d).where("node_id <= 5")).links
+    return g.remove_nodes(nodes(spark, d).where("length(seq) < 120")).links
 
 
 @query(f"{L}, g as (select distinct source, dest from mi where dist < 0) select source, dest, dist from lk where not exists (select 1 from g where g.source = lk.source and g.dest = lk.dest)")
@@ -95,7 +95,7 @@ def links_copied(spark, d):
     return G.Graph(nodes(spark, d), t).add_links(t.where("dist > 0")).links.groupBy("source", "dest").agg(F.count("*").alias("n"))
 
 
-@query(f"{L}, s as (select distinct -source node, dest nx from mi where abs(source) > 12 and abs(dest) > 12), a as (select node start, nx node from s), b as (select distinct a.start, s.nx node from a join s using (node)), c as (select distinct b.start, s.nx node from b join s using (node)) select start, node from a union select start, node from b union select start, node from c")
+@query(f"{L}, s as (select distinct -source node, dest nx from mi), a as (select node start, nx node from s), b as (select distinct a.start, s.nx node from a join s using (node)), c as (select distinct b.start, s.nx node from b join s using (node)) select start, node from a union select start, node from b union select start, node from c")
 def fw_reached_r3(spark, d):
     t = links(spark, d)
     return G.fw_reached(t, G.next_nodes(t).select("node").distinct(), 3)
@@ -244,6 +244,11 @@ def tangle_classes(spark, d):
     return T.classify_tangles(t, k, persisted(T.tangles(t, k, t.where("length(seq) >= 260")), "tangles")).groupBy("class").agg(F.count("*").alias("tangles"))
 
 
+@query(f"{TH}, vv as (select node_id node, seq from nd union all select -node_id, reverse(translate(seq, 'ACGT', 'TGCA')) from nd), nc as (select -source node, count(*) n from tm group by 1) select v.node, length(v.seq) size, v.seq, coalesce(b.n, 0) prev_count, coalesce(f.n, 0) next_count from vv v left join nc f on f.node = v.node left join nc b on b.node = -v.node where f.n is not null or b.n is not null")
+def node_views(spark, d):
+    return G.node_views(nodes(spark, d), _thin(spark, d), both=True, include_disconnected=False)
+
+
 @query(f"with {NODES} select node_id, seq from nd where length(seq) between 200 and 400")
 def nodes_selected_by_size(spark, d):
     return nodes(spark, d).where(F.length("seq").between(200, 400))

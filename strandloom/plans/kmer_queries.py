@@ -57,7 +57,11 @@ def kmer_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return u.select("kmer", F.inline(zipped))
 
 
-@query(f"with {READS} select store, read_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(seq, 'A{{3,}}', 'AA', 'g'), 'C{{3,}}', 'CC', 'g'), 'G{{3,}}', 'GG', 'g'), 'T{{3,}}', 'TT', 'g') seq from rd where regexp_full_match(seq, '[ACGT]+')")
+@query(
+    f"""with {READS}, l as (select store, read_id, unnest(range(length(seq))) pos, unnest(string_split(seq, '')) c from rd),
+ k as (select *, lag(c) over w b1, lag(c, 2) over w b2 from l window w as (partition by store, read_id order by pos))
+ select store, read_id, string_agg(c, '' order by pos) seq from k where b2 is null or c <> b1 or c <> b2 group by store, read_id"""
+)
 def homopolymers_compressed(spark: SparkSession, d: str) -> DataFrame:
     return reads(spark, d).select("store", "read_id", S.compress_homopolymers(F.col("seq"), 2).alias("seq"))
 
@@ -180,18 +184,26 @@ def unique_kmer_stats(spark: SparkSession, d: str) -> DataFrame:
     return K.unique_stats(nodes(spark, d), 31)
 
 
-SEEDS_SQL = f"""{_N31}, {_R31}, rare as (select kmer from nk group by kmer having count(*) < 4), ix as ({_INDEX} where kmer in (select kmer from rare)),
+def seeds_sql(limit: int) -> str:
+    """Hits of reads on graph k-mers that occur fewer than ``limit`` times, as ``sd``."""
+    return f"""{_N31}, {_R31}, rare as (select kmer from nk group by kmer having count(*) < {limit}), ix as ({_INDEX} where kmer in (select kmer from rare)),
   sd as (select rk.store, rk.read_id, rk.pos read_pos, case when rk.is_fw = (kmer_offset > 0) then node else -node end node,
     cast(case when rk.is_fw = (kmer_offset > 0) then abs(kmer_offset) - 1 else length(nd.seq) - abs(kmer_offset) - 31 + 1 end as integer) node_pos
     from rk join ix using (kmer) join nd on nd.node_id = ix.node)"""
 
 
-@query(f"{SEEDS_SQL} select read_id, read_pos, node, node_pos from sd")
+@query(f"{seeds_sql(200)} select store, read_id, read_pos, node, node_pos from sd")
 def seed_matches(spark: SparkSession, d: str) -> DataFrame:
     t = nodes(spark, d)
     return K.seed_matches(reads(spark, d), K.frequency_index(t, 31, 200), t, 31)
 
 
+@query(f"{_BOTH}, w as (select ri.kmer from ri join g using (kmer) where g.n = 1 and ri.n between 2 and 40) {_INDEX} where kmer in (select kmer from w)")
+def anchor_index(spark: SparkSession, d: str) -> DataFrame:
+    t = nodes(spark, d)
+    return _named(K.anchor_index(t, K.count_kmers(t, 31), K.count_kmers(reads(spark, d), 31), 31, 2, 40))
+
+
 def queries() -> dict:
     return Q
 

@@ -9,7 +9,7 @@ from strandloom.operators import linkage as L
 from strandloom.operators import mapping as M
 from strandloom.plans.graph_queries import TH, _thin, links
 from strandloom.plans.graph_queries import L as LINKS_SQL
-from strandloom.plans.kmer_queries import SEEDS_SQL
+from strandloom.plans.kmer_queries import seeds_sql
 from strandloom.plans.views import NODES, PATHS, READS, nodes, paths, reads
 from strandloom.session import persisted
 
@@ -34,69 +34,81 @@ def seeds(spark, d, kind: str | None = None, limit: int = 200):
     return K.seed_matches(r if kind is None else r.where(F.col("kind") == kind), K.frequency_index(t, 31, limit), t, 31)
 
 
-S = SEEDS_SQL
-_BLK = """bk0 as (select *, read_pos - lag(read_pos) over w dr, node_pos - lag(node_pos) over w dn from sd window w as (partition by read_id, node order by read_pos, node_pos)),
- bk1 as (select *, sum(case when dr is null or dr > 500 or dn > 500 or dn <= 0 or dr <= 0 or abs(dn - dr) > 60 then 1 else 0 end) over (partition by read_id, node order by read_pos, node_pos rows unbounded preceding) c from bk0),
- bk as (select read_id, node, min(read_pos) q_start, max(read_pos) + 31 q_end, min(node_pos) n_start, max(node_pos) + 31 n_end, count(*) score from bk1 group by read_id, node, c having count(*) >= 2)"""
-_PM = """pm0 as (select *, node_pos - read_pos dg, read_pos - row_number() over (partition by read_id, node, node_pos - read_pos order by read_pos) isl from sd),
- pm1 as (select read_id, node, dg, isl, min(read_pos) read_position, min(node_pos) node_position, cast(count(*) + 30 as integer) size from pm0 group by all),
- pm2 as (select *, max(size) over (partition by read_id, read_position) top from pm1), pm3 as (select *, sum(case when size = top then 1 else 0 end) over (partition by read_id, read_position) tops from pm2),
- pm as (select read_id, node, node_position, read_position, size from pm3 where size = top and tops = 1 and size >= 35)"""
+S, S50 = seeds_sql(200), seeds_sql(50)
+_BLK = """bk0 as (select *, read_pos - lag(read_pos) over w dr, node_pos - lag(node_pos) over w dn from sd window w as (partition by store, read_id, node order by read_pos, node_pos)),
+ bk1 as (select *, sum(case when dr is null or dr > 500 or dn > 500 or dn <= 0 or dr <= 0 or abs(dn - dr) > 60 then 1 else 0 end) over (partition by store, read_id, node order by read_pos, node_pos rows unbounded preceding) c from bk0),
+ bk as (select store, read_id, node, min(read_pos) q_start, max(read_pos) + 31 q_end, min(node_pos) n_start, max(node_pos) + 31 n_end, count(*) score from bk1 group by store, read_id, node, c having count(*) >= 2)"""
+_PM = """pm0 as (select *, node_pos - read_pos dg, read_pos - row_number() over (partition by store, read_id, node, node_pos - read_pos order by read_pos) isl from sd),
+ pm1 as (select store, read_id, node, dg, isl, min(read_pos) read_position, min(node_pos) node_position, cast(count(*) + 30 as integer) size from pm0 group by all),
+ pm2 as (select *, max(size) over (partition by store, read_id, read_position) top from pm1), pm3 as (select *, sum(case when size = top then 1 else 0 end) over (partition by store, read_id, read_position) tops from pm2),
+ pm as (select store, read_id, node, node_position, read_position, size from pm3 where size = top and tops = 1 and size >= 35)"""
 
 
-@query(f"{S} select read_id, node, cast(least(count(*), 255) as bigint) hits from sd group by all having count(*) >= 5")
+@query(f"{S} select store, read_id, node, cast(least(count(*), 255) as bigint) hits from sd group by all having count(*) >= 5")
 def candidate_counts(spark, d):
     return M.candidate_counts(seeds(spark, d), 5)
 
 
-@query(f"{S}, uq as (select kmer from nk group by kmer having count(*) = 1), x as (select rk.read_id, rk.pos, case when rk.is_fw = nk.is_fw then nk.node_id else -nk.node_id end node from rk join nk using (kmer) where kmer in (select kmer from uq)) select read_id, abs(node) node, min(pos) first_pos, max(pos) + 30 last_pos, count(*) unique_matches, node < 0 rev from x group by read_id, x.node")
+@query(f"{S}, uq as (select kmer from nk group by kmer having count(*) = 1), x as (select rk.store, rk.read_id, rk.pos, case when rk.is_fw = nk.is_fw then nk.node_id else -nk.node_id end node from rk join nk using (kmer) where kmer in (select kmer from uq)) select store, read_id, abs(node) node, min(pos) first_pos, max(pos) + 30 last_pos, count(*) unique_matches, node < 0 rev from x group by store, read_id, x.node")
 def read_mappings(spark, d):
     t = nodes(spark, d)
     return M.read_mappings(K.seed_matches(reads(spark, d), K.unique_index(t, 31), t, 31), 31)
 
 
-@query(f"{S}, {_BLK} select read_id, node, q_start, q_end, n_start, n_end, score from bk")
+@query(f"{S}, {_BLK} select store, read_id, node, q_start, q_end, n_start, n_end, score from bk")
 def chain_blocks(spark, d):
     return M.alignment_blocks(seeds(spark, d), 31)
 
 
-@query(f"{S}, {_BLK} select read_id, node, q_start, q_end, n_start, n_end, score from bk where not exists (select 1 from bk o where o.read_id = bk.read_id and o.q_start <= bk.q_start and o.q_end >= bk.q_end and o.score > bk.score)")
+@query(f"{S}, {_BLK} select store, read_id, node, q_start, q_end, n_start, n_end, score from bk where not exists (select 1 from bk o where o.store = bk.store and o.read_id = bk.read_id and o.q_start <= bk.q_start and o.q_end >= bk.q_end and o.score > bk.score)")
 def shadowed_filter(spark, d):
     return M.drop_shadowed(persisted(M.alignment_blocks(seeds(spark, d), 31), "blocks"))
 
 
-@query(f"{S}, {_BLK} select read_id, node, q_start, q_end, n_start, n_end, score from bk where n_end - n_start >= 60 and 100.0 * score / (n_end - n_start) >= 50")
+@query(f"{S}, {_BLK} select store, read_id, node, q_start, q_end, n_start, n_end, score from bk where n_end - n_start >= 60 and 100.0 * score / (n_end - n_start) >= 50")
 def size_id_filter(spark, d):
     return M.filter_by_size_and_id(M.alignment_blocks(seeds(spark, d), 31), 60, 50)
 
 
-@query(f"""{S}, {_BLK}, o as (select *, n_start - q_start off, n_start - q_start - lag(n_start - q_start) over (partition by read_id, node order by n_start - q_start, q_start, n_start) st from bk),
- g as (select *, sum(case when st is null or st > 200 then 1 else 0 end) over (partition by read_id, node order by off, q_start, n_start rows unbounded preceding) grp from o),
- h as (select read_id, node, min(q_start) q_start, max(q_end) q_end, min(n_start) n_start, max(n_end) n_end, cast(sum(score) as bigint) score from g group by read_id, node, grp) select * from h qualify 2 * score >= max(score) over (partition by read_id, node)""")
+_OG = """og0 as (select *, abs(node) u, q_start - n_start o1, q_end - n_end o2, least(q_start - n_start, q_end - n_end) - 200 lo, greatest(q_start - n_start, q_end - n_end) + 200 hi from {blocks}),
+ og1 as (select *, max(hi) over (partition by store, read_id, u order by lo, hi, q_start, n_start, node rows between unbounded preceding and 1 preceding) reach from og0),
+ og2 as (select *, sum(case when reach is null or lo >= reach then 1 else 0 end) over (partition by store, read_id, u order by lo, hi, q_start, n_start, node rows unbounded preceding) grp from og1),
+ og3 as (select store, read_id, u, grp, min(lo) glo, max(hi) ghi, sum(score) gs, (list_sort(list([cast(q_start as bigint), q_end, n_start, node])))[1][4] fn from og2 group by store, read_id, u, grp),
+ og4 as (select * from og3 qualify 2 * gs >= max(gs) over (partition by store, read_id, u)),
+ og as (select o.store, o.read_id, cast(sign(fn) as bigint) * o.u node, (list_sort(list([n_start, q_start])))[1][2] q_start, (list_sort(list([n_end, -q_start, q_end])))[-1][3] q_end, min(n_start) n_start, max(n_end) n_end, cast(sum(score) as bigint) score
+   from og0 o join og4 g on o.store = g.store and o.read_id = g.read_id and o.u = g.u and o1 >= glo and o2 <= ghi group by o.store, o.read_id, o.u, g.grp, fn)"""
+
+
+@query(f"{S}, {_BLK}, {_OG.format(blocks='bk')} select store, read_id, node, q_start, q_end, n_start, n_end, score from og")
 def offset_groups(spark, d):
     return M.offset_groups(M.alignment_blocks(seeds(spark, d), 31))
 
 
-@query()
+_SHADOW = "not exists (select 1 from {t} o where o.store = t.store and o.read_id = t.read_id and o.q_start <= t.q_start and o.q_end >= t.q_end and o.score > t.score)"
+
+
+@query(f"{S}, {_BLK}, bs as (select * from bk t where {_SHADOW.format(t='bk')}), {_OG.format(blocks='bs')} select store, read_id, node, q_start, q_end, n_start, n_end, score from og t where {_SHADOW.format(t='og')}")
 def mappings_improved(spark, d):
     return M.improve_mappings(persisted(M.alignment_blocks(seeds(spark, d), 31), "blocks"))
 
 
-@query(f"""{S}, w as (select read_id, node, unnest(case when read_pos >= 50 then [read_pos // 50, read_pos // 50 - 1] else [read_pos // 50] end) win from sd), n as (select read_id, win, node, count(*) h from w group by all),
- t as (select *, max(h) over (partition by read_id, win) top from n), u as (select *, sum(case when h = top then 1 else 0 end) over (partition by read_id, win) tops from t),
- g as (select read_id, node, cast(sum(case when h = top and tops = 1 and h >= 10 then 1 else 0 end) as bigint) won, cast(sum(case when h < top and top >= 10 then 1 else 0 end) as bigint) lost from u group by all) select * from g where won > 4 * lost""")
+@query()
 def best_nodes(spark, d):
-    return M.best_nodes(seeds(spark, d))
+    return M.best_nodes(persisted(seeds(spark, d), "seeds"), _read_sizes(spark, d), 31)
+
 
+def _read_sizes(spark, d):
+    return reads(spark, d).select("store", "read_id", F.length("seq").alias("size"))
 
-@query(f"{S}, {_PM} select * from pm")
+
+@query(f"{S50}, {_PM} select * from pm")
 def perfect_mappings(spark, d):
     return M.perfect_matches(seeds(spark, d, limit=50), 31, 35)
 
 
-@query(f"{S}, {_PM} select pm.read_id, -node node, node_position, cast(length(rd.seq) - read_position - size as integer) read_position, size from pm join rd using (read_id)")
+@query(f"{S50}, {_PM} select pm.store, pm.read_id, -node node, node_position, cast(length(rd.seq) - read_position - size as integer) read_position, size from pm join rd using (store, read_id)")
 def perfect_mappings_reversed(spark, d):
-    return M.reverse_matches(M.perfect_matches(seeds(spark, d, limit=50), 31, 35), reads(spark, d).select("read_id", F.length("seq").alias("size")))
+    return M.reverse_matches(M.perfect_matches(seeds(spark, d, limit=50), 31, 35), _read_sizes(spark, d))
 
 
 @query()
@@ -104,29 +116,29 @@ def sandwiches_cleaned(spark, d):
     return M.clean_sandwiches(M.perfect_matches(seeds(spark, d, limit=50), 31, 35))
 
 
-@query(f"{S}, {_PM} select node, read_id from pm where size >= 40 group by all having count(*) >= 1")
+@query(f"{S50}, {_PM} select node, store, read_id from pm where size >= 40 group by all having count(*) >= 1")
 def recruit_reads(spark, d):
     return M.recruited(M.perfect_matches(seeds(spark, d, limit=50), 31, 35), 40, 1)
 
 
-_VB = "vo as (select *, row_number() over (partition by read_id order by read_position, size, node, node_position) - 1 ord from pm), vb as (select read_id, node, cast(min(ord) as integer) first, cast(max(ord) as integer) last, count(*) matches, cast(sum(size) as bigint) bp from vo group by read_id, node having max(ord) - min(ord) + 1 = count(*))"
+_VB = "vo as (select *, row_number() over (partition by store, read_id order by read_position, size, node, node_position) - 1 ord from pm), vb as (select store, read_id, node, cast(min(ord) as integer) first, cast(max(ord) as integer) last, count(*) matches, cast(sum(size) as bigint) bp from vo group by store, read_id, node having max(ord) - min(ord) + 1 = count(*))"
 
 
-@query(f'{S}, {_PM}, {_VB} select read_id, node, first as "first", last as "last", matches, bp from vb')
+@query(f'{S50}, {_PM}, {_VB} select store, read_id, node, first as "first", last as "last", matches, bp from vb')
 def valid_blocks(spark, d):
     return M.valid_blocks(M.perfect_matches(seeds(spark, d, limit=50), 31, 35), 1)
 
 
-@query(f"{S}, {_PM}, {_VB}, st as (select read_id, node, arg_min(read_position - node_position, read_position * 100000 + size) s from pm group by all) select vb.read_id thread_id, cast(row_number() over (partition by vb.read_id order by first) - 1 as integer) idx, vb.node, cast(s as integer) start_pos, cast(s + length(nd.seq) as integer) end_pos from vb join st using (read_id, node) join nd on nd.node_id = abs(vb.node)")
+@query(f"{S50}, {_PM}, {_VB}, st as (select store, read_id, node, arg_min(read_position - node_position, read_position * 100000 + size) s from pm group by all) select vb.store, vb.read_id thread_id, cast(row_number() over (partition by vb.store, vb.read_id order by first) - 1 as integer) idx, vb.node, cast(s as integer) start_pos, cast(s + length(nd.seq) as integer) end_pos from vb join st using (store, read_id, node) join nd on nd.node_id = abs(vb.node)")
 def simple_threads(spark, d):
     return M.simple_threads(M.perfect_matches(seeds(spark, d, limit=50), 31, 35), nodes(spark, d).select("node_id", F.length("seq").alias("size")), 1)
 
 
-@query(f"""{S}, {_PM}, o as (select *, lag(node) over (partition by read_id order by read_position, size, node, node_position) b from pm), k as (select * from o where b is null or b <> node)
- select read_id, cast(arg_min(read_position - node_position, read_position) as integer) path_offset, string_agg(cast(node as varchar), ',' order by read_position, size, node, node_position) path from k group by read_id""")
+@query(f"""{S50}, {_PM}, o as (select *, lag(node) over (partition by store, read_id order by read_position, size, node, node_position) b from pm), k as (select * from o where b is null or b <> node)
+ select store, read_id, cast(arg_min(read_position - node_position, read_position) as integer) path_offset, string_agg(cast(node as varchar), ',' order by read_position, size, node, node_position) path from k group by store, read_id""")
 def reads_pathed(spark, d):
     out = M.path_reads(M.perfect_matches(seeds(spark, d, limit=50), 31, 35))
-    return out.select("read_id", "path_offset", F.concat_ws(",", F.transform("path", lambda x: x.cast("string"))).alias("path"))
+    return out.select("store", "read_id", "path_offset", F.concat_ws(",", F.transform("path", lambda x: x.cast("string"))).alias("path"))
 
 
 P = f"with {PATHS}"
@@ -137,7 +149,7 @@ def paths_in_node(spark, d):
     return M.paths_in_node(paths(spark, d))
 
 
-@query(f"""{P}, w as (select distinct x node from (select unnest(path) x from ph) where abs(x) > 1000), b as (select *, list_transform(list_reverse(path), lambda x: -x) back from ph),
+@query(f"""{P}, w as (select distinct x node from (select unnest(path) x from ph) where x <> 0), b as (select *, list_transform(list_reverse(path), lambda x: -x) back from ph),
  j as (select distinct store, read_id, w.node, path, back from b, (select unnest(b.path) y) u join w on abs(w.node) = abs(u.y))
  select store, node, read_id, array_to_string(case when list_position(path, node) > 0 then path[list_position(path, node) + 1:] else back[list_position(back, node) + 1:] end, ',') path from j where list_position(path, node) > 0 or list_position(back, node) > 0""")
 def all_paths_fw(spark, d):
@@ -155,15 +167,15 @@ def immediate_neighbours(spark, d):
     return M.immediate_neighbours(paths(spark, d))
 
 
-_RPOS = "rp as (select rk.read_id, abs(x) node, x < 0 rev, min(p) node_pos from (select read_id, node x, case when node > 0 then node_pos else length(nd.seq) - 31 - node_pos end p from sd join nd on nd.node_id = abs(node)) rk group by all)"
+_RPOS = "rp as (select rk.store, rk.read_id, abs(x) node, x < 0 rev, min(p) node_pos from (select store, read_id, node x, case when node > 0 then node_pos else length(nd.seq) - 31 - node_pos end p from sd join nd on nd.node_id = abs(node)) rk group by all)"
 
 
-@query(f"{S}, {_RPOS}, j as (select a.node, a.rev r1, a.node_pos p1, b.node_pos p2 from rp a join rp b on a.node = b.node and a.rev <> b.rev and a.read_id % 2 = 1 and b.read_id = a.read_id + 1), f as (select case when r1 then p2 else p1 end fw, case when r1 then p1 else p2 end bw from j) select case when bw >= fw then 'FR' else 'RF' end orientation, cast(abs(bw - fw) as integer) d, count(*) pairs from f where abs(bw - fw) < 70000 group by all")
+@query(f"{S}, {_RPOS}, j as (select a.node, a.rev r1, a.node_pos p1, b.node_pos p2 from rp a join rp b on a.node = b.node and a.rev <> b.rev and a.read_id % 2 = 1 and b.read_id = a.read_id + 1 and b.store = a.store), f as (select case when r1 then p2 else p1 end fw, case when r1 then p1 else p2 end bw from j) select case when bw >= fw then 'FR' else 'RF' end orientation, cast(abs(bw - fw) as integer) d, count(*) pairs from f where abs(bw - fw) < 70000 group by all")
 def insert_size_distribution(spark, d):
     t = nodes(spark, d).select(F.col("node_id"), F.length("seq").alias("size"))
     s = seeds(spark, d).join(t, F.abs("node") == F.col("node_id"))
     at = F.when(F.col("node") > 0, F.col("node_pos")).otherwise(F.col("size") - 31 - F.col("node_pos"))
-    m = s.groupBy("read_id", "node").agg(F.min(at).alias("node_pos")).select("read_id", F.abs("node").alias("node"), (F.col("node") < 0).alias("rev"), "node_pos")
+    m = s.groupBy("store", "read_id", "node").agg(F.min(at).alias("node_pos")).select("store", "read_id", F.abs("node").alias("node"), (F.col("node") < 0).alias("rev"), "node_pos")
     return M.insert_sizes(m)
 
 
@@ -179,12 +191,17 @@ def node_tags(spark, d):
     return L.node_tags(_tag_nodes(spark, d), 1)
 
 
-_TNB = "tk as (select tag from tn group by tag having sum(reads) >= 2 and count(*) < 500), tt as (select * from tn where tag in (select tag from tk)), sh as (select a.node, b.node other, sum(a.reads) s from tt a join tt b using (tag) group by all), ow as (select node, sum(reads) o from tt group by node), nb as (select node, other, s / o score from sh join ow using (node) where s / o >= 0.3)"
+_TNB = "tk as (select tag from tn group by tag having sum(reads) >= 2 and count(*) < 500), tt as (select * from tn where tag in (select tag from tk) and node in (select node_id from nd where length(seq) >= 200)), sh as (select a.node, b.node other, sum(a.reads) s from tt a join tt b using (tag) group by all), ow as (select node, sum(reads) o from tt group by node), nb as (select node, other, s / o score from sh join ow using (node) where s / o >= 0.3)"
 
 
-@query(f"{_TN}, {_TNB} select node, other, round(score, 6) score from nb")
+@query(f"{_TN}, {NODES}, {_TNB} select node, other, round(score, 6) score from nb")
 def tag_neighbours(spark, d):
-    return L.tag_neighbours(_tag_nodes(spark, d), 0.3).withColumn("score", F.round("score", 6))
+    return L.tag_neighbours(_tag_nodes(spark, d), 0.3, large=L.select_by_size(nodes(spark, d), 200)).withColumn("score", F.round("score", 6))
+
+
+@query(f"{_TN}, {NODES}, nt as (select node node_id, count(*) tags from tn group by node) select node_id from nd left join nt using (node_id) where length(seq) between 150 and 400 and coalesce(tags, 0) between 1 and 40")
+def nodes_selected_by_tags(spark, d):
+    return L.select_by_tags(nodes(spark, d), L.node_tags(_tag_nodes(spark, d)), 150, 400, 1, 40)
 
 
 @query(f"with {NODES} select node_id from nd where length(seq) >= 250")
@@ -197,9 +214,9 @@ _FN = """fr as (select -source node, dest other, dist, row_number() over (partit
  sl as (select node_id from nd where length(seq) >= 250), fs as (select * from fn where abs(node) in (select node_id from sl) and abs(other) in (select node_id from sl))"""
 
 
-@query(f"{LINKS_SQL}, {NODES}, {_FN.format(least=2)}, ls as (select *, lead(other) over (partition by node order by dist, other) nx from fs), lc as (select -source o, dest t, count(*) c from mi group by all) select abs(node) node_id from ls left join lc on o = other and t = nx group by 1 having bool_and(nx is null or coalesce(c, 0) >= 1)")
+@query(f"{LINKS_SQL}, {NODES}, {_FN.format(least=2)}, ls as (select *, lead(other) over (partition by node order by dist, other) nx from fn), lc as (select -source o, dest t, count(*) c from mi group by all) select abs(node) node_id from ls left join lc on o = other and t = nx group by 1 having bool_and(nx is null or coalesce(c, 0) >= 1)")
 def linear_anchors(spark, d):
-    return L.linear_anchors(links(spark, d), L.select_by_size(nodes(spark, d), 250), 2, 1)
+    return L.linear_anchors(links(spark, d), 2, 1)
 
 
 @query(f"{LINKS_SQL}, {NODES}, {_FN.format(least=2)}, be as (select -node s, other d, dist from fs qualify row_number() over (partition by node order by dist, other) = 1) select least(s, d) source, greatest(s, d) dest, min(dist) dist from be group by 1, 2")
@@ -212,15 +229,15 @@ def topology_linkage_r2(spark, d):
     return L.topology_linkage(_thin(spark, d), L.select_by_size(nodes(spark, d), 250), 2)
 
 
-_MAPPED = "mp as (select read_id, node, count(*) c from sd group by all), mb as (select read_id, node from mp qualify row_number() over (partition by read_id order by c desc, node) = 1)"
+_MAPPED = "mp as (select store, read_id, node, count(*) c from sd group by all), mb as (select store, read_id, node from mp qualify row_number() over (partition by store, read_id order by c desc, node) = 1)"
 
 
 def _mapped(spark, d):
     n = M.candidate_counts(seeds(spark, d), 1, 1 << 30)
-    return n.groupBy("read_id").agg(F.max(F.struct("hits", (-F.col("node")).alias("m"))).alias("b")).select("read_id", (-F.col("b.m")).alias("node"))
+    return n.groupBy("store", "read_id").agg(F.max(F.struct("hits", (-F.col("node")).alias("m"))).alias("b")).select("store", "read_id", (-F.col("b.m")).alias("node"))
 
 
-@query(f"""{S}, {_MAPPED}, j as (select -a.node s, -b.node d from mb a join mb b on a.read_id % 2 = 1 and b.read_id = a.read_id + 1 where abs(a.node) <> abs(b.node)),
+@query(f"""{S}, {_MAPPED}, j as (select -a.node s, -b.node d from mb a join mb b on a.read_id % 2 = 1 and b.read_id = a.read_id + 1 and b.store = a.store where abs(a.node) <> abs(b.node)),
  v as (select case when abs(s) < abs(d) then s else d end source, case when abs(s) < abs(d) then d else s end dest, count(*) votes from j group by all) select * from v qualify votes >= 2 and max(votes) over (partition by abs(source), abs(dest)) <= 5 * votes""")
 def paired_linkage(spark, d):
     return L.paired_linkage(_mapped(spark, d), 2)
@@ -234,22 +251,28 @@ def shared_read_paths(spark, d):
 @query()
 def longreads_multilinkage(spark, d):
     n = nodes(spark, d).select("node_id", F.length("seq").alias("size"))
-    long_ = reads(spark, d).where("kind = 'long'").select("read_id", F.length("seq").alias("size"))
     blocks = persisted(M.alignment_blocks(seeds(spark, d, "long"), 31), "blocks")
-    return L.mappings_multilinkage(M.improve_mappings(blocks), n, long_)
+    return L.mappings_multilinkage(M.improve_mappings(blocks), n, _read_sizes(spark, d))
+
+
+@query()
+def long10x_multilinkage(spark, d):
+    n = nodes(spark, d).select("node_id", F.length("seq").alias("size"))
+    blocks = persisted(M.improve_mappings(persisted(M.alignment_blocks(seeds(spark, d, "long"), 31), "blocks")), "blocks")
+    return L.long10x_multilinkage(blocks, persisted(L.tag_neighbours(_tag_nodes(spark, d), 0.05), "near"), n, _read_sizes(spark, d))
 
 
 @query()
 def paired10x_multilinkage(spark, d):
     s = seeds(spark, d, "linked")
-    m = s.groupBy("read_id", "node").agg(F.count("*").alias("hits"), F.min("node_pos").alias("node_pos"))
-    one = m.groupBy("read_id").agg(F.max(F.struct("hits", (-F.col("node")).alias("m"), "node_pos")).alias("b")).select("read_id", (-F.col("b.m")).alias("node"), F.col("b.node_pos").alias("node_pos"))
+    m = s.groupBy("store", "read_id", "node").agg(F.count("*").alias("hits"), F.min("node_pos").alias("node_pos"))
+    one = m.groupBy("store", "read_id").agg(F.max(F.struct("hits", (-F.col("node")).alias("m"), "node_pos")).alias("b")).select("store", "read_id", (-F.col("b.m")).alias("node"), F.col("b.node_pos").alias("node_pos"))
     return L.paired10x_multilinkage(one, L.tag_neighbours(_tag_nodes(spark, d), 0.05))
 
 
 @query()
 def haplotype_scores(spark, d):
-    hits = M.candidate_counts(seeds(spark, d, "long"), 1).groupBy("read_id", F.abs("node").alias("node")).agg(F.sum("hits").alias("hits"))
+    hits = M.candidate_counts(seeds(spark, d, "long"), 1).groupBy("store", "read_id", F.abs("node").alias("node")).agg(F.sum("hits").alias("hits"))
     return L.haplotype_scores(hits, L.tag_neighbours(_tag_nodes(spark, d), 0.05)).withColumn("score", F.round("score", 6))
 
 

@@ -126,11 +126,11 @@ def thread_nodesets(spark, d):
     return R.thread_nodesets(threads(spark, d)).select("thread_id", F.concat_ws(",", F.transform("nodes", lambda x: x.cast("string"))).alias("nodes"))
 
 
-@query(f"""{W}, v as (select thread_id, sum(case when node > 0 then 1 else -1 end) vote, min(start_pos) lo, max(end_pos) hi from th where abs(node) between 1000 and 1100 group by thread_id)
+@query(f"""{W}, {NODES}, v as (select thread_id, sum(case when node > 0 then 1 else -1 end) vote, min(start_pos) lo, max(end_pos) hi from th where abs(node) in (select node_id from nd where length(seq) >= 300) group by thread_id)
   select case when vote > 0 then thread_id else -thread_id end thread_id, abs(node) node, cast(case when vote > 0 then start_pos - lo else hi - end_pos end as integer) start_pos, cast(case when vote > 0 then end_pos - lo else hi - start_pos end as integer) end_pos
-  from th join v using (thread_id) where abs(node) between 1000 and 1100 and vote <> 0 and (node > 0) = (vote > 0)""")
+  from th join v using (thread_id) where abs(node) in (select node_id from nd where length(seq) >= 300) and vote <> 0 and (node > 0) = (vote > 0)""")
 def subset_positions(spark, d):
-    return R.subset_positions(threads(spark, d), spark.range(1000, 1101).withColumnRenamed("id", "node"))
+    return R.subset_positions(threads(spark, d), nodes(spark, d).where("length(seq) >= 300").select(F.col("node_id").alias("node")))
 
 
 @query(f"{W}, {_RN} select least(abs(a.node), abs(b.node)) node, greatest(abs(a.node), abs(b.node)) other, count(*) times from rn a join rn b on a.thread_id = b.thread_id and b.place between a.place + 1 and a.place + 3 where abs(a.node) <> abs(b.node) group by 1, 2")
@@ -168,9 +168,15 @@ def reduced_graph_fixpoint(spark, d):
     return R.reduced(threads(spark, d), 3, 2).select("thread_id", "idx", "node")
 
 
-@query(f"{W} select thread_id, cast(row_number() over (partition by thread_id order by idx) - 1 as integer) idx, node from th where abs(node) > 12")
+@query(f"{W}, {NODES} select thread_id, cast(row_number() over (partition by thread_id order by idx) - 1 as integer) idx, node from th where abs(node) in (select node_id from nd where length(seq) >= 200)")
 def threads_restricted(spark, d):
-    return R.restricted(threads(spark, d), nodes(spark, d).where("node_id > 12").select(F.col("node_id").alias("node"))).select("thread_id", "idx", "node")
+    return R.restricted(threads(spark, d), nodes(spark, d).where("length(seq) >= 200").select(F.col("node_id").alias("node"))).select("thread_id", "idx", "node")
+
+
+@query(f"{W} select thread_id, idx, node from th where thread_id not in (select thread_id from th where end_pos <= start_pos)")
+def threads_removed(spark, d):
+    t = threads(spark, d)
+    return R.remove_threads(t, t.where("end_pos <= start_pos").select((-F.col("thread_id")).alias("thread_id"))).select("thread_id", "idx", "node")
 
 
 @query(f"""{W}, a as (select * from th where thread_id % 2 = 1 or idx % 2 = 0), b as (select * from th where idx % 3 <> 1), h as (select distinct thread_id, abs(node) n from a), g as (select thread_id from h group by 1 having count(*) >= 3),

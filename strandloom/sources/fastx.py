@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.kmers import rc
 from strandloom.functions.seq import compress_homopolymers, seq_to_tag
-from strandloom.session import numbered
+from strandloom.session import numbered, numbered_records
 
 
 def read_fasta(spark: SparkSession, path: str, min_length: int = 0) -> DataFrame:
     """(record_id from 1, name, comment, seq) of a plain or gzipped FASTA; records count whether kept or not."""
-    raw = numbered(spark.read.text(path, lineSep="\n>").withColumnRenamed("value", "body"), "ord")
-    text = F.regexp_replace(F.when(F.col("ord") == 0, F.regexp_replace("body", "^>", "")).otherwise(F.col("body")), "\r", "")
+    raw = numbered_records(spark, path, "ord", "\n>").withColumnRenamed("value", "body")
+    # only the first record of a file still has the sign before its header
+    text = F.regexp_replace(F.when(F.col("first_of_file"), F.regexp_replace("body", "^>", "")).otherwise(F.col("body")), "\r", "")
     head, rest = F.substring_index(text, "\n", 1), F.when(F.locate("\n", text) > 0, F.expr("substring(t, locate('\n', t) + 1)")).otherwise("")
     t = raw.where("trim(body) <> ''").withColumn("t", text).select((F.col("ord") + 1).alias("record_id"), head.alias("head"), F.regexp_replace(rest, "\\s", "").alias("seq"))
     named = t.select("record_id", F.substring_index("head", " ", 1).alias("name"), F.regexp_replace("head", r"^\S*\s?", "").alias("comment"), "seq")
@@ -22,7 +23,7 @@ def read_fasta(spark: SparkSession, path: str, min_length: int = 0) -> DataFrame
 
 def read_fastq(spark: SparkSession, path: str, min_length: int = 0) -> DataFrame:
     """(record_id from 1, name, comment, seq, qual) of a plain or gzipped FASTQ. A record whose header or separator is missing raises, when run."""
-    lines = numbered(spark.read.text(path).where("value <> ''"), "ord")
+    lines = numbered_records(spark, path, "ord", skip_empty=True)
     at = lambda i: F.max(F.when(F.col("ord") % 4 == i, F.regexp_replace("value", "\r$", "")))
     g = lines.groupBy((F.floor(F.col("ord") / 4) + 1).alias("record_id")).agg(at(0).alias("head"), at(1).alias("seq"), at(2).alias("plus"), at(3).alias("qual"))
     good = F.col("head").startswith("@") & F.col("plus").startswith("+") & F.col("qual").isNotNull()
@@ -97,9 +98,3 @@ def detected_read_size(records: DataFrame, looked_at: int = 10000) -> int:
 def write_fasta(seqs: DataFrame, path: str, name: str = "name", seq: str = "seq") -> None:
     """K1, K5: one FASTA record per row, as a folder of parts."""
     seqs.select(F.concat(F.lit(">"), F.col(name), F.lit("\n"), F.col(seq)).alias("value")).write.text(path)
-
-
-def ordered_reads(reads: DataFrame) -> DataFrame:
-    """Reads of all stores with their place in the store, for paging through."""
-    w = Window.partitionBy("store").orderBy("read_id")
-    return reads.withColumn("place", F.row_number().over(w))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.kmers import canonical
 from strandloom.operators.graph import Graph
-from strandloom.session import numbered
+from strandloom.session import numbered, numbered_records
 from strandloom.sources.fastx import read_fasta
 
 
@@ -35,7 +35,7 @@ def read_gfa(spark: SparkSession, path: str, fasta: str | None = None) -> tuple[
     stem, dot, suffix = path.rpartition(".")
     if suffix not in ("gfa", "gfa2"):
         raise ValueError(f"not a .gfa or .gfa2 file: {path}")
-    lines = numbered(spark.read.text(path), "ord").select("ord", F.split("value", "\t").alias("f"))
+    lines = numbered_records(spark, path, "ord").select("ord", F.split("value", "\t").alias("f"))
     head = lines.where("f[0] = 'H'").select(F.array_join("f", "\t").alias("h")).first()
     two = head is not None and "VN:Z:2.0" in head.h
     s = lines.where("f[0] = 'S'").select("ord", F.col("f")[1].alias("name"), F.col("f")[3 if two else 2].alias("seq"), F.array_join("f", "\t").alias("all"))
