@@ -255,8 +255,12 @@ def merge_orders(threads: DataFrame, coords: DataFrame, links: DataFrame | None
             return state
         mine = state.join(pairs.select(F.col("a").alias("order_id")), "order_id", "left_semi")
         wanted = state.join(pairs.select("a", F.col("b").alias("order_id"), "turned"), "order_id").select("a", F.when(F.col("turned"), -F.col("node")).otherwise(F.col("node")).alias("node"))
-        offered = place_nodes(threads, mine, 1).join(wanted.select(F.col("a").alias("order_id"), "node"), ["order_id", "node"], "left_semi").select("order_id", "node", "coord")
-        grown = persisted(mine.unionByName(offered), "orders")
+        asked = persisted(wanted.select(F.col("a").alias("order_id"), "node"), "orders")
+
+        def place(c: DataFrame, asked: DataFrame = asked) -> DataFrame:
+            return c.unionByName(place_nodes(threads, c, 1).join(asked, ["order_id", "node"], "left_semi").select("order_id", "node", "coord"))
+
+        grown = fixpoint(mine, place, lambda df: (df.count(),))
         reached = grown.groupBy(F.col("order_id").alias("a")).agg(F.count("*").alias("n"))
         mixed = mixed_orders(grown, links, window, share).select(F.col("order_id").alias("a"), F.lit(True).alias("mixed")) if links is not None else pairs.select("a").limit(0).withColumn("mixed", F.lit(True))
         fate = persisted(pairs.join(reached, "a").join(mixed, "a", "left").withColumn("good", (F.col("n") >= F.lit(whole) * (F.col("sa") + F.col("sb") - F.col("shared"))) & F.col("mixed").isNull()), "orders")

@@ -71,7 +71,20 @@ def unclassified_threads(spark, d):
     return P.unclassified_threads(t, nc, P.thread_classes(t, nc, 3, 5), 3, 0.9)
 
 
-@query()
+def _propagated_sql(rounds: int) -> str:
+    """Classes handed on between threads and nodes, ``rounds`` times written out as materialised steps; more than any of the tables needs."""
+    steps = [f"{THREADS}", "ut as materialized (select * from th qualify count(*) over (partition by thread_id, abs(node)) = 1)", "up as materialized (select thread_id, abs(node) node, row_number() over (partition by thread_id order by idx) - 1 i from ut)", f"{NODES}", "nt as materialized (select distinct abs(node) node, thread_id from ut)", "nn as materialized (select node, count(*) n from nt group by node)"]
+    steps.append("n0 as materialized (select node_id node, cast(case when node_id in (select node_id from repeat_nodes) then 0 when length(seq) >= 300 then 3 else 0 end as bigint) class from nd)")
+    for r in range(rounds):
+        steps.append(f"q{r} as materialized (select distinct thread_id, class from (select thread_id, class, i - lag(i, 1) over (partition by thread_id, class order by i) span from up join n{r} using (node) where class <> 0) where span < 4)")
+        steps.append(f"t{r} as materialized (select thread_id, coalesce(class, 0) class, count(*) n from up left join n{r} using (node) group by all)")
+        steps.append(f"c{r} as materialized (select thread_id, coalesce(case when 2 * bn > al then bc when k = 1 then o else 0 end, 0) class from (select thread_id, sum(n) al, max(n) filter (class <> 0) bn, arg_max(class, n * 10 - class) filter (class <> 0) bc from t{r} group by thread_id) left join (select thread_id, count(*) k, min(class) o from q{r} group by thread_id) using (thread_id))")
+        steps.append(f"v{r} as materialized (select * from (select node, class, count(*) v from nt join c{r} using (thread_id) where class <> 0 group by all) qualify row_number() over (partition by node order by v desc, class) = 1)")
+        steps.append(f"n{r + 1} as materialized (select coalesce(a.node, b.node) node, cast(case when coalesce(a.class, 0) <> 0 then a.class when v >= 2 and v >= 0.6 * n then b.class else 0 end as bigint) class from n{r} a full join (select nn.node, n, v, class from nn left join v{r} using (node)) b on a.node = b.node)")
+    return f"with {', '.join(steps)} select node, class from n{rounds}"
+
+
+@query(_propagated_sql(10))
 def partition_propagated(spark, d):
     start = _size_class(spark, d).withColumn("class", F.when(F.col("class") == 3, 3).otherwise(0).cast("long"))
     return P.propagate(persisted(unique_threads(spark, d), "ut"), start, 2, 0.6, 2, 4)
@@ -239,17 +252,19 @@ def repeats_solved_by_pairs(spark, d):
     return C.clear_ways(C.paired_votes(k, reps, paths(spark, d)), reps, 1, 30, 1.0)
 
 
-@query()
+_TV = """tw as (select thread_id, idx, node, lead(node) over w a1, lead(node, 2) over w a2, lag(node) over w b1, lag(node, 2) over w b2 from th window w as (partition by thread_id order by idx)), tu as (select thread_id, idx, node prev, a1 x1, a2 x2 from tw where a1 is not null union all select thread_id, idx, -node, -b1, -b2 from tw where b1 is not null),
+ tf as (select * from tu qualify row_number() over (partition by thread_id, prev order by idx) = 1), ta as (select s.node, s.other prev, case when x1 = s.node then x2 else x1 end t from sd s join tf on tf.prev = s.other where side = 'prev')"""
+
+
+@query(f"""{TH}, {_REP.format(m=2)}, {_SIDES}, {_TV}, tn as (select ta.node, prev, coalesce(k.other, 0) nxt, count(*) votes from ta left join sd k on k.side = 'next' and k.node = ta.node and k.other = ta.t group by all),
+ tb as (select *, sum(votes) over (partition by node, prev) al from tn qualify row_number() over (partition by node, prev order by votes desc, nxt desc) = 1), tc as (select node, prev, nxt, votes from tb where nxt <> 0 and votes > 0 and votes / 1.0 >= al - votes)
+ select node, prev, nxt as next, votes from tc where node in (select node from tc group by node having count(*) = 2 and count(distinct nxt) = 2)""")
 def repeats_solved_by_threads(spark, d):
     t, k = nodes(spark, d), _thin(spark, d)
     kcis = t.select("node_id", F.lit(1.0).alias("kci"))
     return C.solve_repeats_by_threads(k, canonical_repeats(t, k, 2), threads(spark, d), kcis, 1.5, 0, 1.0)
 
 
-_TV = """tw as (select thread_id, idx, node, lead(node) over w a1, lead(node, 2) over w a2, lag(node) over w b1, lag(node, 2) over w b2 from th window w as (partition by thread_id order by idx)), tu as (select thread_id, idx, node prev, a1 x1, a2 x2 from tw where a1 is not null union all select thread_id, idx, -node, -b1, -b2 from tw where b1 is not null),
- tf as (select * from tu qualify row_number() over (partition by thread_id, prev order by idx) = 1), ta as (select s.node, s.other prev, case when x1 = s.node then x2 else x1 end t from sd s join tf on tf.prev = s.other where side = 'prev')"""
-
-
 @query(f"{TH}, {_REP.format(m=6)}, {_SIDES}, {_TV} select ta.node, prev, coalesce(k.other, 0) as next, count(*) votes from ta left join sd k on k.side = 'next' and k.node = ta.node and k.other = ta.t group by all")
 def thread_repeat_votes(spark, d):
     k = _thin(spark, d)
@@ -301,7 +316,8 @@ def tip_connections(spark, d):
     return C.tip_connections(Graph(nodes(spark, d), _thin(spark, d)), paths(spark, d), 2)
 
 
-@query()
+@query(f"""{TH}, {PATHS}, {_FREE}, pf as (select fe.node, case when list_position(path, fe.node) > 0 then path[list_position(path, fe.node) + 1:] else (list_transform(list_reverse(path), lambda x: -x))[list_position(list_transform(list_reverse(path), lambda x: -x), fe.node) + 1:] end p from ph join fe on list_position(path, fe.node) > 0 or list_position(path, -fe.node) > 0),
+ vt0 as (select node, (list_filter(p, lambda x: x <> 0))[1] other from pf), ed0 as (select node a, -other b from vt0 where other is not null group by all having count(*) > 1), ed as (select a, b from ed0 union select b, a from ed0), cc as (select a id, a root from ed union select ed.b, cc.root from cc join ed on ed.a = cc.id) select min(root) grp, id node from cc group by id""")
 def reconnection_groups(spark, d):
     return C.reconnection_groups(Graph(nodes(spark, d), _thin(spark, d)), paths(spark, d), 1)
 

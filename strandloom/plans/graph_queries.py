@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandloom.operators import graph as G
 from strandloom.operators import traversal as T
 from strandloom.operators.threads import thread_links
-from strandloom.plans.views import NODES, THREADS, nodes, threads
+from strandloom.plans.views import NODES, READS, THREADS, kmers_sql, nodes, threads
 from strandloom.session import persisted
 
 Q: dict = {}
@@ -164,7 +164,13 @@ def _kci(spark, d):
     return kci_upper_median(spark, d)
 
 
-@query()
+_KCI = f"""{kmers_sql('nk', 'nd', 'node_id', 31)}, {READS}, {kmers_sql('rk', 'rd', 'store, read_id', 31)}, g as (select kmer, count(*) n from nk group by kmer), rc0 as (select kmer, least(count(*), 65535) n from rk group by kmer),
+ ku as (select node_id, coalesce(rc0.n, 0) n from nk join g using (kmer) left join rc0 using (kmer) where g.n = 1), km as (select node_id, count(*) c, (list_sort(list(n)))[cast(floor(count(*) / 2) as integer) + 1] m from ku group by node_id),
+ kk as (select node_id, case when c > 10 then round(m / 8.0, 6) else -1.0 end kci from nd left join km using (node_id))"""
+
+
+@query(f"""{TH}, {_TIPS}, {_PAR}, {_BUB}, {_REP.format(m=10)}, {_KCI}, z as (select case when kci is null or kci = -1 then 'None' when kci < 0.5 then '<0.5' when kci <= 1.5 then '~1' when kci <= 2.5 then '~2' when kci <= 3.5 then '~3' else '>3.5' end bin, length(seq) size, node_id in (select node_id from tp) t, node_id in (select node_id from rp) r, node_id in (select node_id from bb) b from nd join kk using (node_id))
+ select coalesce(bin, 'All') bin, count(*) nodes, cast(sum(size) as bigint) bp, count(*) filter (t) tips, count(*) filter (r) repeats, count(*) filter (b) bubble_sides from z group by rollup(bin)""")
 def stats_by_kci(spark, d):
     return G.stats_by_kci(nodes(spark, d), _thin(spark, d), persisted(_kci(spark, d), "kci"))
 

@@ -111,7 +111,8 @@ def perfect_mappings_reversed(spark, d):
     return M.reverse_matches(M.perfect_matches(seeds(spark, d, limit=50), 31, 35), _read_sizes(spark, d))
 
 
-@query()
+@query(f"""{S50}, {_PM}, o as (select *, row_number() over w i, lag(node) over w bn, lag(node_position) over w bp from pm window w as (partition by store, read_id order by read_position, size, node, node_position))
+ select store, read_id, node, node_position, read_position, size from o where not exists (select 1 from o a where a.store = o.store and a.read_id = o.read_id and a.i between o.i + 1 and o.i + 5 and a.node = o.bn and a.node <> o.node and a.node_position > o.bp)""")
 def sandwiches_cleaned(spark, d):
     return M.clean_sandwiches(M.perfect_matches(seeds(spark, d, limit=50), 31, 35))
 
@@ -248,21 +249,35 @@ def shared_read_paths(spark, d):
     return L.shared_read_paths(paths(spark, d), 3)
 
 
-@query()
+_SL = seeds_sql(200).replace("{", "{{").replace("}", "}}").replace("join nd on nd.node_id = ix.node)", "join nd on nd.node_id = ix.node where rk.store in (select store from rd where kind = '{kind}'))")
+_ML = f"""bs as (select * from bk t where {_SHADOW.format(t='bk')}), {_OG.format(blocks='bs')}, im as (select * from og t where {_SHADOW.format(t='og')})"""
+_LINKS = """mh as (select *, q_start - max(q_end) over (partition by store, read_id, node order by q_start, q_end rows between unbounded preceding and 1 preceding) hole from {maps}), mg as (select *, sum(case when hole is null or hole >= 500 then 1 else 0 end) over (partition by store, read_id, node order by q_start, q_end rows unbounded preceding) grp from mh),
+ mm as (select store, read_id, node, min(q_start) qs, max(q_end) qe, min(n_start) ns, max(n_end) ne from mg group by store, read_id, node, grp),
+ gm as (select m.* from mm m join nd on nd.node_id = abs(m.node) join rd using (store, read_id) where ne - ns >= 0.7 * length(nd.seq) or qs <= 1000 or qe >= length(rd.seq) - 1000)"""
+_JOINED = "select -a.node source, b.node dest, cast(b.qs - a.qe as integer) dist, a.store, a.read_id from gm a join gm b on a.store = b.store and a.read_id = b.read_id and (b.qs > a.qs or (b.qs = a.qs and b.qe > a.qe)) and abs(a.node) <> abs(b.node)"
+_NB05 = _TNB.replace("in (select tag from tk) and node in (select node_id from nd where length(seq) >= 200)", "in (select tag from tk)").replace(">= 0.3", ">= 0.05")
+_ENTN = _TN.removeprefix("with ").replace(f", {READS}", "")
+
+
+@query(f"{_SL.format(kind='long')}, {_BLK}, {_ML}, {_LINKS.format(maps='im')} {_JOINED}")
 def longreads_multilinkage(spark, d):
     n = nodes(spark, d).select("node_id", F.length("seq").alias("size"))
     blocks = persisted(M.alignment_blocks(seeds(spark, d, "long"), 31), "blocks")
     return L.mappings_multilinkage(M.improve_mappings(blocks), n, _read_sizes(spark, d))
 
 
-@query()
+@query(f"""{_SL.format(kind='long')}, {_ENTN}, {_NB05}, {_BLK}, {_ML}, bh as (select store, read_id, abs(node) node, sum(score) hits from im group by all),
+ hs as (select a.store, a.read_id, a.node, sum(nb.score * b.hits) sc from bh a join bh b on a.store = b.store and a.read_id = b.read_id join nb on nb.node = a.node and nb.other = b.node group by all), be as (select * from hs qualify row_number() over (partition by store, read_id order by sc desc, node) = 1),
+ ok as (select distinct be.store, be.read_id, nb.other n from be join nb on nb.node = be.node union select store, read_id, node from be), kp as (select im.* from im join ok on ok.store = im.store and ok.read_id = im.read_id and ok.n = abs(im.node)), {_LINKS.format(maps='kp')} {_JOINED}""")
 def long10x_multilinkage(spark, d):
     n = nodes(spark, d).select("node_id", F.length("seq").alias("size"))
     blocks = persisted(M.improve_mappings(persisted(M.alignment_blocks(seeds(spark, d, "long"), 31), "blocks")), "blocks")
     return L.long10x_multilinkage(blocks, persisted(L.tag_neighbours(_tag_nodes(spark, d), 0.05), "near"), n, _read_sizes(spark, d))
 
 
-@query()
+@query(f"""{_SL.format(kind='linked')}, {_ENTN}, {_NB05}, mh as (select store, read_id, node, count(*) h, min(node_pos) p from sd group by all), mb as (select * from mh qualify row_number() over (partition by store, read_id order by h desc, node, p desc) = 1),
+ j as (select -a.node s, -b.node d, -(a.p + b.p) dist from mb a join mb b on a.store = b.store and a.read_id % 2 = 1 and b.read_id = a.read_id + 1 where abs(a.node) <> abs(b.node)), k as (select s, d, dist, count(*) c from j join nb on nb.node = abs(s) and nb.other = abs(d) group by all)
+ select s source, d dest, cast(arg_max(dist, c * 10000000 - dist) as integer) dist, cast(sum(c) as bigint) pairs from k group by all""")
 def paired10x_multilinkage(spark, d):
     s = seeds(spark, d, "linked")
     m = s.groupBy("store", "read_id", "node").agg(F.count("*").alias("hits"), F.min("node_pos").alias("node_pos"))
@@ -270,7 +285,9 @@ def paired10x_multilinkage(spark, d):
     return L.paired10x_multilinkage(one, L.tag_neighbours(_tag_nodes(spark, d), 0.05))
 
 
-@query()
+@query(f"""{_SL.format(kind='long')}, {_ENTN}, {_NB05}, c0 as (select store, read_id, node, least(count(*), 255) h from sd group by all), bh as (select store, read_id, abs(node) node, sum(h) hits from c0 group by store, read_id, abs(node)),
+ hs as (select a.store, a.read_id, a.node, sum(nb.score * b.hits) sc from bh a join bh b on a.store = b.store and a.read_id = b.read_id join nb on nb.node = a.node and nb.other = b.node group by all)
+ select store, read_id, node, round(sc, 6) score, row_number() over (partition by store, read_id order by sc desc, node) = 1 best from hs""")
 def haplotype_scores(spark, d):
     hits = M.candidate_counts(seeds(spark, d, "long"), 1).groupBy("store", "read_id", F.abs("node").alias("node")).agg(F.sum("hits").alias("hits"))
     return L.haplotype_scores(hits, L.tag_neighbours(_tag_nodes(spark, d), 0.05)).withColumn("score", F.round("score", 6))

@@ -25,7 +25,8 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_entry_totals, p3_found)}
 
 
-_ENTRIES = "e as (select store, read_id, abs(unnest(path)) node from (select distinct * from read_paths)), n as (select store, node, read_id, count(*) entries from e where node <> 0 group by all)"
+# a row is a path; of several paths of a read the one with most entries of the node counts
+_ENTRIES = "r as (select *, row_number() over () row_no from (select distinct * from read_paths)), e as (select store, read_id, row_no, abs(unnest(path)) node from r), n as (select store, node, read_id, row_no, count(*) entries from e where node <> 0 and store is not null and read_id is not null group by all)"
 
 
 def oracle_sql() -> dict[str, str]:

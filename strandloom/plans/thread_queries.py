@@ -116,7 +116,10 @@ def popped_threads(spark, d):
     return R.pop(t, R.thread_count_popping_list(t, most=30)).select("thread_id", "idx", "node")
 
 
-@query()
+@query(f"""with recursive {UNIQUE}, nu as materialized (select distinct abs(node) node, thread_id from ut), pa as materialized (select a.node, a.thread_id t1, b.thread_id t2 from nu a join nu b using (node) where a.thread_id <> b.thread_id), cl as materialized (select t1, t2 from pa group by all having count(*) >= 2),
+ ed as materialized (select node, t1, t2 from pa join cl using (t1, t2)), cc as (select node, thread_id t, thread_id root from nu union select cc.node, ed.t2, cc.root from cc join ed on ed.node = cc.node and ed.t1 = cc.t), g as (select node, t thread_id, min(root) c from cc group by all), z as (select node, c, count(*) n from g group by all),
+ rk as (select node, c, n, row_number() over (partition by node order by n desc) r, count(*) over (partition by node, n) ties from z), tw as (select node, max(n) filter (r = 1) n1, coalesce(max(n) filter (r = 2), 0) n2, max(c) filter (r = 1) c1 from rk group by node)
+ select g.thread_id, g.node from g join tw using (node) where n2 > 0.5 * n1 or c <> c1""")
 def clustering_popping(spark, d):
     return R.clustering_popping_list(unique_threads(spark, d), 2, 0.5)
 
