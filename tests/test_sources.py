@@ -106,3 +106,77 @@ def test_stream_counts(spark, tmp_path):
     reads.repartition(3).write.parquet(str(tmp_path / "in"))
     got = run_to_end(streaming_counts(read_stream(spark, str(tmp_path / "in")), 5), "counts", str(tmp_path / "cp"))
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in count_kmers(reads, 5).collect()}
+
+
+def in_small_splits(spark, f):
+    """``f`` with files read in splits of a few hundred bytes, which Spark hands out by size."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        return f()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_records_of_split_files_stay_in_order(spark, tmp_path):
+    import random
+
+    r = random.Random(8)
+    folder = tmp_path / "fq"
+    folder.mkdir()
+    seqs = [["".join(r.choice("ACGT") for _ in range(r.randrange(5, 90))) for _ in range(n)] for n in (60, 25, 90)]
+    for i, s in enumerate(seqs):
+        put(folder / f"{i}.fq", fq(s))
+    want = [x for s in seqs for x in s]
+    whole = [x.seq for x in fastx.read_fastq(spark, str(folder)).orderBy("record_id").collect()]
+    split = in_small_splits(spark, lambda: [x.seq for x in fastx.read_fastq(spark, str(folder)).orderBy("record_id").collect()])
+    assert whole == split == want
+    fa = tmp_path / "fa"
+    fa.mkdir()
+    for i, s in enumerate(seqs):
+        put(fa / f"{i}.fa", "".join(f">n{i}_{j} c\n{x[:40]}\n{x[40:]}\n" for j, x in enumerate(s)))
+    read = lambda: [(x.name, x.seq) for x in fastx.read_fasta(spark, str(fa)).orderBy("record_id").collect()]
+    named = [(f"n{i}_{j}", x) for i, s in enumerate(seqs) for j, x in enumerate(s)]
+    assert read() == named and in_small_splits(spark, read) == named
+    g = put(tmp_path / "big.gfa", "H\tVN:Z:1.0\n" + "".join(f"S\ts{j}\t{x}\n" for j, x in enumerate(want)) + "".join(f"L\ts{j}\t+\ts{j + 1}\t+\t0M\n" for j in range(50)))
+    names = in_small_splits(spark, lambda: {x.name: abs(x.node_id) for x in gfa.read_gfa(spark, g)[1].collect()})
+    assert names == {f"s{j}": j + 1 for j in range(len(want))}
+
+
+def test_no_shared_folder_on_a_cluster_raises(spark):
+    from strandloom import session
+
+    class Jvm:
+        class _jsc:
+            @staticmethod
+            def sc():
+                class Sc:
+                    @staticmethod
+                    def getCheckpointDir():
+                        class Option:
+                            @staticmethod
+                            def isDefined():
+                                return False
+
+                        return Option
+
+                return Sc
+
+    class Conf:
+        @staticmethod
+        def get(name, default=None):
+            return default
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        fake = type("Fake", (), {"sparkContext": type("Context", (Jvm,), {"master": master}), "conf": Conf})
+        with pytest.raises(RuntimeError):
+            session.shared_dir(fake)
+
+
+def test_intermediate_tables_are_deleted(spark):
+    from strandloom import session
+
+    kept = session.persisted(spark.range(5), "test")
+    assert kept.count() == 5 and os.path.isdir(kept._kept_at.removeprefix("file://"))
+    session.discard(kept)
+    assert not os.path.exists(kept._kept_at.removeprefix("file://"))
