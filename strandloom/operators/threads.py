@@ -138,16 +138,27 @@ def pop(threads: DataFrame, popped: DataFrame, least_nodes: int = 2) -> DataFram
 
 
 def clustering_popping_list(threads: DataFrame, least_shared: int, max_second: float) -> DataFrame:
-    """Per node, clusters of its threads that share at least ``least_shared`` nodes; all threads if the second largest exceeds ``max_second`` of the largest, else those outside the largest."""
+    """Per node, clusters of its threads that share at least ``least_shared`` nodes; all threads if the second largest exceeds ``max_second`` of the largest, else those outside the largest.
+
+    Up to two shared nodes the clusters are found through pairs of nodes, so a node on very many threads costs each of them its length. More
+    shared nodes need every two threads of a node: pop repeat nodes first.
+    """
     from strandloom.operators.traversal import components
 
     nt = node_threads(threads)
-    pairs = nt.join(nt.select("node", F.col("thread_id").alias("other")), "node").where("thread_id < other")
-    close = pairs.groupBy("thread_id", "other").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared).select("thread_id", "other")
-    edges = pairs.join(close, ["thread_id", "other"])
     key = lambda t: F.xxhash64("node", t)
     member = nt.withColumn("id", key("thread_id"))
-    cc = components(edges.select(key("thread_id").alias("a"), key("other").alias("b")), member.select("id"))
+    if least_shared <= 2:
+        # threads of a node that hold one more node in common are one cluster: each meets the pair of nodes, not the other threads
+        other = nt.select("thread_id", F.col("node").alias("other"))
+        through = nt.join(other, "thread_id") if least_shared == 2 else nt.withColumn("other", F.lit(0).cast("long"))
+        through = through.where("node <> other")
+        edges = through.select(key("thread_id").alias("a"), F.xxhash64("node", F.lit("pair"), "other").alias("b")).distinct()
+    else:
+        pairs = nt.join(nt.select("node", F.col("thread_id").alias("other")), "node").where("thread_id < other")
+        close = pairs.groupBy("thread_id", "other").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared).select("thread_id", "other")
+        edges = pairs.join(close, ["thread_id", "other"]).select(key("thread_id").alias("a"), key("other").alias("b"))
+    cc = components(edges, member.select("id"))
     placed = member.join(cc, "id")
     sizes = placed.groupBy("node", "component").agg(F.count("*").alias("n"))
     w = Window.partitionBy("node").orderBy(F.desc("n"), "component")
