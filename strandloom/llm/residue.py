@@ -233,18 +233,21 @@ _MACHINE = re.compile(r"at[A-Za-z_$][\w$]*(?:\.[\w$<>]+)+\([\w.$]+:\d+\)|Traceba
 _MAY_MACHINE = re.compile(r"\w\(\w+[.\w]*:\s?\d|Traceback|ORA-|SQLSTATE|Fatal error|Warning:|Uncaught|NullPointer|object Object|#[RVDN][EAI]|\", line")
 
 _PARAGRAPH = re.compile(r"\[\d{3,5}\]")
-_NUMERAL = re.compile(r"\(\s?\d{1,4}[a-z]?\s?\)")
+# A reference numeral, but no status code.
+_NUMERAL = re.compile(r"\((?!\s?(?:4[0-3]\d|451|50\d|51[01])\s?\))\s?\d{1,4}[a-z]?\s?\)")
+_TAG = re.compile(r"</?(?:p|br|b|i|em|strong|sub|sup|div|span|li|ul|ol|table|tr|td|h[1-6]|html|body|a)\s?/?>", re.I)
 _OPEN_QUOTE = re.compile(r"(?<=\s)['‘’‚](?=\S)|(?<=[^\s])['’](?=[\s.,;:)]|$)")
 _QUOTES = dict.fromkeys(map(ord, '"“”„‟«»‹›「」'), "\"")
-_MARKS = re.compile(r"[\n.!\"#:^<]")
-# A capital behind a small letter without a stop between: perhaps the rest of a text that broke off.
-_CAPITAL = re.compile(r"(?<=[a-zß-ÿ]\s)(?=[A-ZÀ-Þ0-9][\w']+\s)")
+_MARKS = re.compile(r"[\n.!\"#:^~<]")
+# A capital behind a word without a stop between, or a wide blank: perhaps the rest of a text that broke off.
+_CAPITAL = re.compile(r"(?<=[\w)]\s)(?=[A-ZÀ-Þ0-9][\w']+\s)")
+_WIDE = re.compile(r"(?<=\S)[ \xa0]{2,}(?=\S)")
 
 
 def _mark_table() -> dict[int, str | None]:
     """As :func:`_fold_table`, with signs that part clauses or quote kept: line end, full stop, colon, exclamation mark, quotation mark; ``#`` is a reference numeral."""
     table = dict(_FOLD)
-    table.update({ord(c): "." for c in ".?;…。？；"} | {ord(c): "!" for c in "!！¡"} | {ord(c): ":" for c in ":："} | {ord("<"): "<", ord(">"): "<", ord("\n"): "\n", ord("\r"): "\n", 0x2028: "\n", 0x2029: "\n", ord("#"): "#", ord("^"): "^"})
+    table.update({ord(c): "." for c in ".?;…。？；"} | {ord(c): "!" for c in "!！¡"} | {ord(c): ":" for c in ":："} | {ord("<"): "<", ord(">"): "<", ord("\n"): "\n", ord("\r"): "\n", 0x2028: "\n", 0x2029: "\n", ord("#"): "#", ord("^"): "^", ord("~"): "~"})
     for c in (9, 11, 12, 32, 0xA0, *range(0x2000, 0x2010), 0x202F, 0x205F, 0x3000):
         table[c] = None
     table.update(_QUOTES)
@@ -262,14 +265,16 @@ class _Clauses:
     def __init__(self, text: str, folded: str) -> None:
         if "&" in text:
             text = html.unescape(text)
-        text = _CAPITAL.sub(r"^\g<0>", _PARAGRAPH.sub(r"\g<0>.", _OPEN_QUOTE.sub('"', _NUMERAL.sub(r"#\g<0>", text.replace("#", " ").replace("^", " ")))))
+        if "<" in text:
+            text = _TAG.sub(r".\g<0>.", text)
+        text = _CAPITAL.sub(r"^\g<0>", _WIDE.sub(r" ~", _PARAGRAPH.sub(r"\g<0>.", _OPEN_QUOTE.sub('"', _NUMERAL.sub(r"#\g<0>", text.replace("#", " ").replace("^", " ").replace("~", " "))))))
         if not text.isascii():
             text = unicodedata.normalize("NFKC", _QUOTE_CHARS.sub('"', text))
             if _HIDDEN.search(text):
                 text = text.translate(_INVISIBLE)
         marked = _translated(text, _MARKED, _MARKED_BYTES)
         # the folding of rn changes places, so it is done over marks too
-        marked = re.sub(r"r([\n.!\"#:^<]*)n", r"m\1", marked)
+        marked = re.sub(r"r([\n.!\"#:^~<]*)n", r"\1m", marked)
         self.folded = folded
         self.at: list[int] = []
         self.mark: list[str] = []
@@ -284,13 +289,13 @@ class _Clauses:
         while i >= 0 and start - self.at[i] <= SLACK:
             if self.mark[i] == '"':
                 return None
-            if self.mark[i] not in "#^":
+            if self.mark[i] not in "#^~":
                 return self.at[i], self.mark[i]
             i -= 1
         if start <= SLACK:
             return 0, "\n"
         i = bisect_left(self.at, start + 1) - 1
-        return (self.at[i], "^") if i >= 0 and start - self.at[i] <= SLACK and self.mark[i] == "^" else None
+        return (self.at[i], "^") if i >= 0 and start - self.at[i] <= SLACK and self.mark[i] in "^~" else None
 
     def end(self, last: int) -> int:
         """The first boundary at or behind a place."""
@@ -299,6 +304,13 @@ class _Clauses:
                 return self.at[i]
         return len(self.folded)
 
+    def wide(self, last: int) -> int:
+        """The first wide blank at or behind a place, where a message and what follows it were set apart."""
+        for i in range(bisect_left(self.at, last), len(self.at)):
+            if self.mark[i] in "\n.!:<~":
+                return self.at[i]
+        return len(self.folded)
+
     def has(self, mark: str, start: int, end: int) -> bool:
         return any(self.mark[i] in mark for i in range(bisect_left(self.at, start), bisect_left(self.at, end + 1)))
 
@@ -377,6 +389,10 @@ def _message_spans(clauses: _Clauses, every: list[tuple[int, int, int]], runs: l
                 around = every[bisect_left(every, (left, 0, 0)) : bisect_left(every, (end, 0, 0))]
                 said = [h for h in around if h[2] & (_REPORT | _META) and not any(o[0] <= h[0] and h[1] <= o[1] and o[1] - o[0] > h[1] - h[0] for o in around)]
                 covered = _covered(inside)
+                if covered < clause_share * (end - left) and clauses.wide(end_j) < end:
+                    end = clauses.wide(end_j)
+                    inside = [h for h in inside if h[1] <= end]
+                    covered = _covered(inside)
                 if covered < clause_share * (end - left) or said or clauses.has("#", left + 1, end - 1) or clauses.has('"', left + 1, end + 1) or _CONDITION.match(clauses.folded, left) and left < start:
                     continue
                 if kind == "order" and (covered < 0.85 * (end - left) or end - left > 40):
@@ -400,7 +416,7 @@ def residue_spans(text: str, squeezed: str, folded: str, clause_share: float = 0
     spans: list[tuple[int, int, str]] = []
     clauses = None
     hits.sort()
-    runs = [r for r in _phrases(hits) if _kind(roles := _together(r), True) or roles & (_ERR | _FIELD_ERROR | _BAD)] if every & (_SCRIPT | _BAD | _FULL | _PENDING | _FIELD_ERROR | _ERR | _PLACE) else []
+    runs = [r for r in _phrases(hits) if _kind(roles := _together(r), True) or roles & (_ERR | _FIELD_ERROR | _BAD)] if every & (_SCRIPT | _BAD | _FULL | _PENDING | _FIELD_ERROR | _ERR | _PLACE | _ORDER) else []
     if runs:
         clauses = _Clauses(text, folded)
         if clauses.good:
