@@ -18,7 +18,7 @@ from strandloom.functions.seq import kmers, read_key
 from strandloom.operators.graph import Graph, next_nodes
 from strandloom.operators.kmer_counts import counts_from
 from strandloom.operators.traversal import lines, paths_between
-from strandloom.session import discard, persisted
+from strandloom.session import persisted
 
 
 def _letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,72 +44,138 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(out.astype(np.int32))], names=[*keep, "m"])
 
 
-def extend_matches(seeds: DataFrame, reads: DataFrame, graph: Graph, k: int) -> DataFrame:
-    """M3: the best exact way of each seed through the graph: ([store,] read_id, start_pos, first_pos, path, read_end).
+def _ways(seeds: DataFrame, reads: DataFrame, graph: Graph, k: int) -> DataFrame:
+    """Every way of every seed as far as it goes: ([store,] read_id, start_pos, first_node, first_pos, path, read_end).
 
-    ``seeds`` are ([store,] read_id, read_pos, node, node_pos). A match runs along its node and on over links that overlap by at least
-    k - 1, as far as letters agree. Per read and start the way reaching furthest wins; of several, what their beginnings share.
     Rounds end when no match can go on: each takes letters of the read, so its length bounds them. Only the letters that a hop compares are sent to it.
     """
     key = read_key(seeds)
-    keep = [*key, "start_pos", "path", "node", "first_pos"]
+    keep = [*key, "start_pos", "first_node", "path", "node", "first_pos"]
     kinds = {f.name: f.dataType.simpleString() for f in seeds.schema}
     step = next_nodes(graph.links).where(F.col("dist") <= 1 - k).select(F.col("node"), F.col("next_node").alias("nx"), (-F.col("dist")).alias("nj")).distinct()
     texts, rd = graph.nodes.select("node_id", F.col("seq").alias("nseq")), reads.select(*key, F.col("seq").alias("rseq"))
-    state = seeds.select(*key, F.col("read_pos").alias("start_pos"), F.array("node").alias("path"), "node", F.col("node_pos").alias("first_pos"), F.col("read_pos").alias("i"), F.col("node_pos").alias("j"))
-    schema = ", ".join(f"{c} {kinds[c]}" for c in key) + ", start_pos int, path array<bigint>, node long, first_pos int, i int, j int, size int, rsize int, m int"
-    ended, held = [], []
+    at = F.col("node_pos").cast("int")
+    state = seeds.select(*key, F.col("read_pos").cast("int").alias("start_pos"), F.col("node").alias("first_node"), F.array("node").alias("path"), "node", at.alias("first_pos"), F.col("read_pos").cast("int").alias("i"), at.alias("j"))
+    schema = ", ".join(f"{c} {kinds[c]}" for c in key) + ", start_pos int, first_node long, path array<bigint>, node long, first_pos int, i int, j int, size int, rsize int, m int"
+    ended = []
     while True:
-        at = F.col("j")
-        far = F.length("nseq") - at
+        far = F.length("nseq") - F.col("j")
         # of the node what lies ahead, of the read as many letters
-        node_part = F.when(F.col("node") < 0, rc(F.substring("nseq", F.lit(1), far))).otherwise(F.substring("nseq", at + 1, far))
+        node_part = F.when(F.col("node") < 0, rc(F.substring("nseq", F.lit(1), far))).otherwise(F.substring("nseq", F.col("j") + 1, far))
         both = state.join(texts, F.abs("node") == F.col("node_id")).join(rd, key).select(*keep, "i", "j", F.substring("rseq", F.col("i") + 1, far).alias("a"), node_part.alias("b"), F.length("nseq").alias("size"), F.length("rseq").alias("rsize"))
-        got = persisted(both.mapInArrow(_prefixes, schema), "extend")
-        held.append(got)
-        good = got.where("m > 0")
-        ended.append(good.select(*key, "start_pos", "first_pos", "path", (F.col("i") + F.col("m")).alias("read_end")))
+        good = persisted(both.mapInArrow(_prefixes, schema), "extend").where("m > 0")
+        ended.append(good.select(*key, "start_pos", "first_node", "first_pos", "path", (F.col("i") + F.col("m")).alias("read_end")))
         going = good.where("j + m = size and i + m < rsize")
         if going.isEmpty():
             break
-        state = going.join(step, "node").select(*key, "start_pos", F.concat("path", F.array("nx")).alias("path"), F.col("nx").alias("node"), "first_pos", (F.col("i") + F.col("m")).cast("int").alias("i"), F.col("nj").cast("int").alias("j"))
-    ways = ended[0]
+        state = going.join(step, "node").select(*key, "start_pos", "first_node", F.concat("path", F.array("nx")).alias("path"), F.col("nx").alias("node"), "first_pos", (F.col("i") + F.col("m")).cast("int").alias("i"), F.col("nj").cast("int").alias("j"))
+    out = ended[0]
     for e in ended[1:]:
-        ways = ways.unionByName(e)
-    top = F.max("read_end").over(Window.partitionBy(*key, "start_pos"))
-    # the common beginning of the furthest ways, by the first place at which two of them differ
-    best = ways.withColumn("top", top).where("read_end = top").groupBy(*key, "start_pos", "read_end").agg(F.min("path").alias("low"), F.max("path").alias("high"), F.min(F.size("path")).alias("short"), F.min("first_pos").alias("first_pos"))
+        out = out.unionByName(e)
+    return out
+
+
+def _furthest(ways: DataFrame, *keys: str) -> DataFrame:
+    """Per key the ways that reach furthest, by the first and last of their paths, which share what all of them share: (*keys, read_end, low, high, short, first_pos)."""
+    top = F.max("read_end").over(Window.partitionBy(*keys))
+    return ways.withColumn("top", top).where("read_end = top").groupBy(*keys, "read_end").agg(F.min("path").alias("low"), F.max("path").alias("high"), F.min(F.size("path")).alias("short"), F.min("first_pos").alias("lowest_pos"))
+
+
+def extend_matches(seeds: DataFrame, reads: DataFrame, graph: Graph, k: int) -> DataFrame:
+    """M3: the best exact way of each seed through the graph: ([store,] read_id, start_pos, first_pos, path, read_end).
+
+    ``seeds`` are ([store,] read_id, read_pos, node, node_pos). A match runs along its node and on over links that overlap by at least
+    k - 1, as far as letters agree. Per read and start the way reaching furthest wins; of several, what their beginnings share.
+    """
+    key = read_key(seeds)
+    best = _furthest(_ways(seeds, reads, graph, k), *key, "start_pos")
     same = F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y))
     shared = F.least(F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size("low")), F.col("short")).cast("int")
-    return best.select(*key, "start_pos", "first_pos", F.slice("low", 1, shared).alias("path"), "read_end").where("size(path) > 0")
+    return best.select(*key, "start_pos", F.col("lowest_pos").alias("first_pos"), F.slice("low", 1, shared).alias("path"), "read_end").where("size(path) > 0")
+
+
+def _shared(runs: list[tuple]) -> list[int]:
+    low, high, short = min(r[3] for r in runs), max(r[4] for r in runs), min(r[5] for r in runs)
+    n = 0
+    while n < min(short, len(high)) and low[n] == high[n]:
+        n += 1
+    return low[:n]
+
+
+def _one_read(runs: list[tuple]) -> tuple[int, list[int]] | None:
+    """Offset and path of a read from its runs (start, last seed, end, low, high, short, diagonal), in order of start."""
+    at, path, offset, waiting, active = 0, [], None, 0, []
+    while True:
+        while waiting < len(runs) and runs[waiting][0] <= at:
+            active.append(runs[waiting])
+            waiting += 1
+        active = [r for r in active if r[1] >= at]
+        if not active:
+            if waiting == len(runs):
+                break
+            at = runs[waiting][0]
+            continue
+        end = max(r[2] for r in active)
+        best = [r for r in active if r[2] == end]
+        part = _shared(best)
+        if not part:  # the ways part at once: the next seed may tell
+            at += 1
+            continue
+        if offset is None:
+            offset = -min(r[6] for r in best)
+        path += part if not path or path[-1] != part[0] else part[1:]
+        at = end
+    return None if offset is None else (offset, path)
+
+
+def _paths_of_reads(key: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(done: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array([d[0][i] for d in done], t) for i, t in enumerate(types)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.list_(pa.int64()))], names=[*key, "path_offset", "path"])
+
+        name, runs, done, types = None, [], [], []
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in key]
+            names = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in key)))
+            rows = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("start_pos", "last_pos", "read_end", "low", "high", "short", "diagonal")))
+            for n, r in zip(names, rows):
+                if n != name:
+                    if runs and (found := _one_read(runs)):
+                        done.append((name, *found))
+                    name, runs = n, []
+                runs.append(r)
+            if len(done) >= 1 << 12:
+                yield emit(done)
+                done = []
+        if runs and (found := _one_read(runs)):
+            done.append((name, *found))
+        if done:
+            yield emit(done)
+
+    return run
 
 
 def path_reads_extended(seeds: DataFrame, reads: DataFrame, graph: Graph, k: int) -> DataFrame:
     """M1, M2: read paths by extension: ([store,] read_id, path_offset, path).
 
     Of each read the first seed is extended, then the first one behind what that matched, and so on; where one part does not
-    follow from the other by a link, nothing is put between them. ``path_offset`` is the place of the first node's first base on the read.
+    follow from the other by a link, nothing is put between them; a seed whose furthest ways part at once gives nothing. ``path_offset`` is the place of the first node's first base on the read.
+
+    Seeds of a read that follow one another on one diagonal of a node have one and the same way, so a way is sought once for each such run, for all reads at once;
+    which of them a read takes is then told from its runs in order.
     """
     key = read_key(seeds)
-    left, parts = persisted(seeds, "seeds"), []
-    while True:  # each round takes the first seed of every read
-        first = left.groupBy(*key).agg(F.min("read_pos").alias("read_pos"))
-        now = extend_matches(left.join(first, [*key, "read_pos"], "left_semi"), reads, graph, k)
-        parts.append(persisted(now, "paths"))
-        done = parts[-1].groupBy(*key).agg(F.max("read_end").alias("done"))
-        # a seed must lie wholly behind the part, and never before the next one
-        rest = persisted(left.join(done, key).where("read_pos > done - 1").drop("done"), "seeds")
-        discard(left)
-        left = rest
-        if left.isEmpty():
-            break
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    g = every.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start_pos", "first_pos", "path"))).alias("ps"))
-    joined = F.flatten(F.transform("ps", lambda x: x["path"]))
-    once = F.filter(joined, lambda x, i: (i == 0) | (x != F.get(joined, i - 1)))
-    return g.select(*key, (F.col("ps")[0]["start_pos"] - F.col("ps")[0]["first_pos"]).alias("path_offset"), once.alias("path"))
+    w = Window.partitionBy(*key, "node", "diagonal").orderBy("read_pos")
+    t = seeds.distinct().withColumn("diagonal", F.col("node_pos") - F.col("read_pos"))
+    t = t.withColumn("island", F.col("read_pos") - F.row_number().over(w))
+    runs = persisted(t.groupBy(*key, "node", "diagonal", "island").agg(F.min("read_pos").alias("read_pos"), F.min("node_pos").alias("node_pos"), F.max("read_pos").cast("int").alias("last_pos")).drop("island"), "runs")
+    best = _furthest(_ways(runs, reads, graph, k), *key, "start_pos", "first_node", "first_pos")
+    named = runs.select(*key, F.col("read_pos").alias("start_pos"), F.col("node").alias("first_node"), F.col("node_pos").alias("first_pos"), "last_pos", "diagonal")
+    told = best.join(named, [*key, "start_pos", "first_node", "first_pos"]).select(*key, "start_pos", "last_pos", "read_end", "low", "high", "short", "diagonal")
+    kinds = {f.name: f.dataType.simpleString() for f in seeds.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in key) + ", path_offset int, path array<bigint>"
+    return told.repartition(*key).sortWithinPartitions(*key, "start_pos", "last_pos", "diagonal").mapInArrow(_paths_of_reads(key), schema)
 
 
 def bridge_paths(paths: DataFrame, graph: Graph, max_nodes: int = 4, max_size: int = 2000) -> DataFrame:

@@ -19,7 +19,10 @@ from strandloom.operators.graph import Graph, ends, mirrored, next_nodes, parall
 from strandloom.session import discard, persisted
 
 def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], measure: Callable[[DataFrame], tuple], rounds: int | None = None) -> DataFrame:
-    """Repeats ``step`` until ``measure`` (one small row) no longer changes; with ``rounds`` raises after so many. The tables of earlier rounds are deleted."""
+    """Repeats ``step`` until ``measure`` (one small row) no longer changes; with ``rounds`` raises after so many. The tables of earlier rounds are deleted.
+
+    ``fixpoint.rounds`` tells how many the last call took.
+    """
     state = persisted(start, "step")
     before = measure(state)
     done = 0
@@ -27,13 +30,17 @@ def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], measure:
         after = persisted(step(state), "step")
         discard(state)
         state, now = after, measure(after)
+        done += 1
         if now == before:
+            fixpoint.rounds = done
             return state
         before = now
-        done += 1
     raise RuntimeError(f"no fixpoint after {rounds} rounds")
 
 
+fixpoint.rounds = 0
+
+
 def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """(id, component) of undirected edges (a, b); the component is its smallest id.
 

@@ -10,9 +10,9 @@ from strandloom.operators import partition as P
 from strandloom.operators import traversal as T
 from strandloom.operators.graph import Graph
 from strandloom.plans.contig_queries import _votes
-from strandloom.plans.graph_queries import _thin
+from strandloom.plans.graph_queries import _EV, _LINES, _STEP, _thin
 from strandloom.plans.mapping_queries import _PM, S50, seeds
-from strandloom.plans.views import THREADS, nodes, paths, threads
+from strandloom.plans.views import NODES, THREADS, nodes, paths, reads, threads
 from strandloom.session import persisted
 
 Q: dict = {}
@@ -33,6 +33,14 @@ def _text(column: str):
     return F.concat_ws(",", F.transform(column, lambda x: x.cast("string")))
 
 
+@query()
+def reads_pathed_extended(spark, d):
+    """Paths of all reads by extension of their matches through the links of threads."""
+    g = Graph(nodes(spark, d), _thin(spark, d))
+    out = E.path_reads_extended(seeds(spark, d), reads(spark, d), g, 31)
+    return out.select("store", "read_id", "path_offset", _text("path").alias("path"))
+
+
 @query()
 def paths_bridged(spark, d):
     g = Graph(nodes(spark, d), _thin(spark, d))
@@ -55,7 +63,7 @@ def popular_next(spark, d):
     return E.popular_next(threads(spark, d), 0.5, 0.6)
 
 
-@query()
+@query(f"{_POP.replace('with ', 'with recursive ', 1)}, {NODES}, {_EV}, mu as (select a.node, a.other from bs a join bs b on b.node = -a.other and b.other = -a.node), ms as (select node, other nx from mu union select -other, -node from mu), en as (select node, count(*) n, min(nx) nx from ms group by node), {_STEP}, {_LINES.format(sp='sp', ev='ev')} select line, cast(place as integer) place, node from ln")
 def nodes_grouped(spark, d):
     return E.group_nodes(nodes(spark, d), persisted(E.popular_next(threads(spark, d), 0.5, 0.6), "best"))
 

@@ -205,13 +205,24 @@ def unitig_lines(spark, d):
     return T.line_table(T.lines(t, _thin(spark, d)), t)
 
 
-@query()
+# chains of the steps in {sp} over the oriented nodes in {ev}: (line, place, node); a closed chain begins with its smallest node
+_LINES = """wk as (select node root, node, 0 place from {ev} where node not in (select nx from {sp}) union all select wk.root, s.nx, wk.place + 1 from wk join {sp} s on s.node = wk.node),
+ co as (select node from {ev} where node not in (select node from wk)), cy as (select node s, node n from co union select cy.s, p.nx from cy join {sp} p on p.node = cy.n), ch as (select s from cy group by s having s = min(abs(n))),
+ w2 as (select s root, s node, 0 place from ch union all select w2.root, p.nx, w2.place + 1 from w2 join {sp} p on p.node = w2.node where p.nx <> w2.root),
+ al as (select * from wk union all select * from w2), nm as (select root, arg_min(node, abs(node) * 2 + case when node > 0 then 0 else 1 end) line from al group by root having line > 0),
+ ln as (select line, place, node from al join nm using (root))"""
+_EV = "ev as (select node_id node from nd union all select -node_id from nd)"
+_SPELT = """lp as (select a.line, a.place, case when a.node < 0 then reverse(translate(nd.seq, 'ACGT', 'TGCA')) else nd.seq end seq, coalesce(l.dist, 0) dist from ln a join nd on nd.node_id = abs(a.node) left join ln b on b.line = a.line and b.place = a.place - 1 left join (select source, dest, min(dist) dist from {links} group by all) l on l.source = -b.node and l.dest = a.node),
+ ls as (select line, string_agg(repeat('N', greatest(dist, 0)) || substr(seq, greatest(-dist, 0) + 1), '' order by place) seq, count(*) n from lp group by line)"""
+
+
+@query(f"{TH}, {_STEP}, {_EV}, {_LINES.format(sp='sp', ev='ev')}, {_SPELT.format(links='tm')}, cn as (select line, n, least(seq, reverse(translate(seq, 'ACGT', 'TGCA'))) seq from ls) select node_id, length(seq) size, md5(seq) digest from nd where node_id not in (select abs(node) from ln join ls using (line) where n > 1) union all select line, length(seq), md5(seq) from cn where n > 1")
 def unitigs_joined(spark, d):
     g, _ = T.join_unitigs(G.Graph(nodes(spark, d), _thin(spark, d)))
     return g.nodes.select("node_id", F.length("seq").alias("size"), F.md5("seq").alias("digest"))
 
 
-@query()
+@query(f"{TH}, {_STEP}, {_EV}, {_LINES.format(sp='sp', ev='ev')}, {_SPELT.format(links='tm')} select line path_id, length(seq) size, md5(seq) digest from ls")
 def line_sequences(spark, d):
     t, k = nodes(spark, d), _thin(spark, d)
     return T.path_sequences(T.lines(t, k).select(F.col("line").alias("path_id"), "place", "node"), t, k).select("path_id", F.length("seq").alias("size"), F.md5("seq").alias("digest"))

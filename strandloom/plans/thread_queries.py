@@ -149,7 +149,15 @@ def closest_reliable(spark, d):
     return R.closest_reliable(threads(spark, d), 2, 3)
 
 
-@query()
+_OVERLAP = """nu as (select distinct abs(node) node, thread_id from ut), pr as (select a.thread_id t1, b.thread_id t2 from nu a join nu b using (node) where a.thread_id < b.thread_id group by all having count(*) >= 2),
+ pl as (select thread_id, node, row_number() over (partition by thread_id order by idx) - 1 i, count(*) over (partition by thread_id) s from ut),
+ sh as (select pr.t1, pr.t2, a.i, a.s s1, b.s s2, a.node <> b.node turned, case when a.node <> b.node then b.s - 1 - b.i else b.i end k from pr join pl a on a.thread_id = pr.t1 join pl b on b.thread_id = pr.t2 and abs(b.node) = abs(a.node)),
+ sp as (select *, i - lag(i) over w di, k - lag(k) over w dk from sh window w as (partition by t1, t2 order by i)),
+ ov as (select t1, t2, bool_and(turned) alt, bool_or(turned) ant, min(dk) ord, max(least(di, dk)) hole, min(i) b1, any_value(s1) - 1 - max(i) h1, min(k) b2, any_value(s2) - 1 - max(k) h2 from sp group by t1, t2)"""
+
+
+@query(f"""{U}, {_OVERLAP} select t1, t2, case when alt <> ant or coalesce(ord, 1) < 0 or coalesce(hole, 0) > 11 then 'invalid' when (b1 > 10 and b2 > 10) or (h1 > 10 and h2 > 10) then 'invalid'
+ when b1 <= 10 and b2 <= 10 and h1 <= 10 and h2 <= 10 then 'complete_' || t when b1 <= 10 and h1 <= 10 then 't1_in_' || t when b2 <= 10 and h2 <= 10 then t || '_in_t1' when b1 > 10 and h2 > 10 then 't1_' || t else t || '_t1' end class from (select *, case when ant then 'rt2' else 't2' end t from ov)""")
 def thread_overlap_class(spark, d):
     t = persisted(unique_threads(spark, d), "ut")
     nt = R.node_threads(t)

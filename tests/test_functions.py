@@ -175,3 +175,14 @@ def test_transitive_and_order(spark):
     assert {tuple(r) for r in G.transitive_links(l_, 2).collect()} == {(1, 3), (-3, -1)}
     coords = spark.createDataFrame([(1, 4, 50), (1, -2, 10)], "order_id long, node long, coord long")
     assert {(r.node, r.pos) for r in P.local_order(coords).collect()} == {(2, -1), (4, 2)}
+
+
+def test_common_elements_and_medians(spark):
+    from strandloom.functions import seq as S
+
+    df = spark.createDataFrame([([1, 2, 2, 3], [2, 3, 3, 9])], "a array<int>, b array<int>")
+    assert df.select(S.intersection_size(F.col("a"), F.col("b")).alias("n")).first().n == 2
+    rows = [(1, v) for v in (5, 1, 9, 2)] + [(2, v) for v in (7, 7, 8)] + [(3, -3), (3, -4), (3, None), (4, None)]
+    t = spark.createDataFrame(rows, "k int, v int")
+    assert {r.k: (r.m, r.n) for r in S.upper_medians(t, ["k"], "v", "m", "n").collect()} == {1: (5, 4), 2: (7, 3), 3: (-3, 2)}
+    assert {r.k: (r.m, r.n) for r in S.trunc_medians(t, ["k"], "v", "m", "n").collect()} == {1: (3, 4), 2: (7, 3), 3: (-3, 2)}
