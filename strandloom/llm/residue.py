@@ -188,11 +188,17 @@ REACH = 14
 TAIL = 60
 
 
+#: Letters looked at on either side of a word that can make a message; of an order or a place, which ordinary texts hold, fewer.
+NEAR, NEAR_ORDER = 240, 70
+_TRIGGERS = _SCRIPT | _BAD | _ERR | _FULL | _FIELD_ERROR | _ORDER | _PLACE | _PENDING | _FILLER
+
+
 @lru_cache(maxsize=1)
 def _automaton():
+    """(words without one of which there is no message, all words)."""
     import ahocorasick
 
-    found = ahocorasick.Automaton()
+    found, triggers = ahocorasick.Automaton(), ahocorasick.Automaton()
     roles: dict[str, int] = {}
 
     def add(word: str, role: int) -> None:
@@ -213,10 +219,15 @@ def _automaton():
         add(fold(str(code)), _CODE)
     for w in [w for w in (LATIN_FILLER + " " + REPEATED_FILLER).split() if len(w) > 4] + [a + b for a in KEYBOARD_FILLER.split() for b in KEYBOARD_FILLER.split()] + ["tbdtbdtbd"]:
         add(fold(squeeze(w)), _FILLER)
+    roles.pop("entre", None)  # a word of its own, no misspelt order
     for word, role in roles.items():
-        found.add_word(word, (role, len(word)))
+        if role & ~_FILLER:
+            found.add_word(word, (role & ~_FILLER, len(word)))
+        if role & _TRIGGERS:
+            triggers.add_word(word, (role, len(word)))
     found.make_automaton()
-    return found
+    triggers.make_automaton()
+    return triggers, found
 
 
 def _longest_first(words: str) -> str:
@@ -230,7 +241,13 @@ _CUE = re.compile("|".join(sorted((fold(squeeze(w)) for w in META.replace("\n",
 _CONDITION = re.compile("(?:" + "|".join(fold(squeeze(w)) for w in CONDITIONS.split("|")) + ")")
 # Forms of machine messages, here in a text without blanks.
 _MACHINE = re.compile(r"at[A-Za-z_$][\w$]*(?:\.[\w$<>]+)+\([\w.$]+:\d+\)|Traceback\(mostrecentcalllast\)|ORA-\d{5}|SQLSTATE\[\w+\]|Fatalerror:|Warning:\w+\(\)|Uncaught\w*(?:Exception|Error)|NullPointerException|\[objectObject\]|#(?:REF|VALUE|DIV/0)!|#NAME\?|File\"[^\"]{1,80}\",line\d+")
-_MAY_MACHINE = re.compile(r"\w\(\w+[.\w]*:\s?\d|Traceback|ORA-|SQLSTATE|Fatal error|Warning:|Uncaught|NullPointer|object Object|#[RVDN][EAI]|\", line")
+_FRAME = re.compile(r"\(\w[\w.$]*:\s?\d")
+_MACHINE_SIGNS = ("Traceback", "ORA-", "SQLSTATE", "Fatal error", "Warning:", "Uncaught", "NullPointer", "object Object", "#REF", "#VALUE", "#DIV", "#NAME", '", line')
+
+
+def _may_be_machine(text: str) -> bool:
+    return _FRAME.search(text) is not None or any(x in text for x in _MACHINE_SIGNS)
+
 
 _PARAGRAPH = re.compile(r"\[\d{3,5}\]")
 # A reference numeral, but no status code.
@@ -407,16 +424,26 @@ def _message_spans(clauses: _Clauses, every: list[tuple[int, int, int]], runs: l
 
 def residue_spans(text: str, squeezed: str, folded: str, clause_share: float = 0.5, page_share: float = 0.6) -> list[tuple[str, str, int]]:
     """(kind, what stands there, letters) of each piece of residue in use."""
-    hits, every = [], 0
-    for end, (role, length) in _automaton().iter(folded):
+    triggers, words = _automaton()
+    every, windows = 0, []
+    for end, (role, length) in triggers.iter(folded):
+        start = end + 1 - length
+        if role & (_PLACE | _ORDER) and not role & ~(_PLACE | _ORDER | _PART):
+            if role & _PLACE and start and folded.startswith("here", start) and (folded[start - 1] in "wp" or folded[start - 1] == "t" and folded[start - 2 : start] not in ("xt", "ct")):
+                continue  # wherein, sphere, there; but text here, abstract here
+            near = NEAR_ORDER
+        else:
+            near = NEAR
         every |= role
-        if role & ~_FILLER:
-            hits.append((end + 1 - length, end + 1, role & ~_FILLER))
+        if role != _FILLER:
+            if windows and start - near <= windows[-1][1]:
+                windows[-1] = [max(0, min(windows[-1][0], start - near)), max(windows[-1][1], end + near)]
+            else:
+                windows.append([max(0, start - near), end + near])
+    hits = sorted((end + 1 - length, end + 1, role) for a, b in windows for end, (role, length) in words.iter(folded, a, min(b, len(folded))))
     out: list[tuple[str, str, int]] = []
     spans: list[tuple[int, int, str]] = []
-    clauses = None
-    hits.sort()
-    runs = [r for r in _phrases(hits) if _kind(roles := _together(r), True) or roles & (_ERR | _FIELD_ERROR | _BAD)] if every & (_SCRIPT | _BAD | _FULL | _PENDING | _FIELD_ERROR | _ERR | _PLACE | _ORDER) else []
+    runs = [r for r in _phrases(hits) if _kind(roles := _together(r), True) or roles & (_ERR | _FIELD_ERROR | _BAD)]
     if runs:
         clauses = _Clauses(text, folded)
         if clauses.good:
@@ -438,8 +465,8 @@ def residue_spans(text: str, squeezed: str, folded: str, clause_share: float = 0
         else:
             merged.append([start, end, kind])
     out += [(kind, folded[start:end], end - start) for start, end, kind in merged]
-    for kind, form, may in (("template", _PLACEHOLDER, _MAY_HOLD), ("error", _MACHINE, _MAY_MACHINE)):
-        if not may.search(squeezed if form is _PLACEHOLDER else text):
+    for kind, form in (("template", _PLACEHOLDER), ("error", _MACHINE)):
+        if not (_MAY_HOLD.search(squeezed) if form is _PLACEHOLDER else _may_be_machine(text)):
             continue
         quoted_until = -99
         for m in form.finditer(squeezed):
