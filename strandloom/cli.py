@@ -1,4 +1,4 @@
-"""Command line: ``python -m strandloom.cli make|compare|count ...``."""
+"""Command line: ``python -m strandloom.cli make|view|compare|count ...``."""
 
 from __future__ import annotations
 
@@ -21,6 +21,8 @@ def main(argv: list[str] | None = None) -> int:
     make.add_argument("--max-size", type=int, default=0, help="0: the largest of the first reads")
     make.add_argument("--layout", choices=("raw", "UCDavis"), default="raw")
     make.add_argument("-o", "--out", required=True)
+    view = sub.add_parser("view", help="what a read store holds")
+    view.add_argument("store")
     compare = sub.add_parser("compare", help="tag occupancy of linked stores")
     compare.add_argument("stores", nargs="+")
     compare.add_argument("-o", "--out", required=True)
@@ -39,6 +41,9 @@ def main(argv: list[str] | None = None) -> int:
             second = fastx.read_fastq(spark, a.second)
             reads = fastx.paired_store(first, second, a.name, a.min_size, size) if a.kind == "paired" else fastx.linked_store(first, second, a.name, a.layout, size)
         reads.write.parquet(a.out)
+    elif a.command == "view":
+        for r in fastx.store_summary(spark.read.parquet(a.store)).collect():  # one row per store
+            print(f"{r.store} ({r.kind}): {r.reads} reads, {r.bp} bp, {r.shortest} to {r.longest} bp, {r.tags} tags")
     elif a.command == "compare":
         reads = spark.read.parquet(*a.stores)
         fastx.tag_comparison(reads, sorted(r.store for r in reads.select("store").distinct().collect())).write.csv(a.out, header=True)

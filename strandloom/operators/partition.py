@@ -13,7 +13,7 @@ from strandloom.functions.seq import upper_medians
 from strandloom.operators.graph import next_nodes
 from strandloom.operators.threads import node_threads, renumber
 from strandloom.operators.traversal import fixpoint
-from strandloom.session import discard, persisted
+from strandloom.session import discard, persisted, shuffle_width
 
 
 def node_classes(threads: DataFrame, thread_class: DataFrame, least_votes: int = 2, share: float = 0.6) -> DataFrame:
@@ -57,6 +57,12 @@ def unclassified_threads(threads: DataFrame, node_class: DataFrame, thread_class
     return g.join(free, "thread_id", "left_semi").where((F.col("places") >= least_nodes) & (F.col("classified") < F.ceil(F.lit(share) * F.col("places"))))
 
 
+def new_partition(threads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, class) and (thread_id, class) of all nodes and threads, none classified yet."""
+    nt = node_threads(threads)
+    return reset_classes(nt.select("node").distinct()), reset_classes(nt.select("thread_id").distinct())
+
+
 def switch_classes(classes: DataFrame, changes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """The classes after changes (key, class) of known keys, and the keys whose class is another now; ``key`` is ``node`` or ``thread_id``."""
     j = classes.join(changes.select(key, F.col("class").alias("__new")).dropDuplicates([key]), key, "left")
@@ -162,9 +168,18 @@ def grow_cluster(threads: DataFrame, start: DataFrame, least_threads: int = 2, s
 
 
 def local_order(coords: DataFrame) -> DataFrame:
-    """Ranks of the nodes of each order by coordinate: (order_id, node, coord, pos), pos 1.. and negative for reversed nodes."""
-    w = Window.partitionBy("order_id").orderBy("coord", F.abs("node"))
-    return coords.select("order_id", F.abs("node").alias("node"), "coord", (F.row_number().over(w) * F.signum("node")).cast("long").alias("pos"))
+    """Ranks of the nodes of each order by coordinate: (order_id, node, coord, pos), pos 1.. and negative for reversed nodes.
+
+    Rows are laid out by range of order and coordinate, so an order as long as a chromosome spreads over tasks; what is added up per order is one count for each of its partitions.
+    """
+    keys = ["order_id", "coord", "node"]
+    t = coords.select("order_id", F.abs("node").alias("node"), "coord", F.signum("node").cast("long").alias("sign"))
+    laid = persisted(t.repartitionByRange(shuffle_width(coords.sparkSession), *keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()), "order")
+    laid = laid.withColumn("__part", F.shiftright("__at", 33))
+    g = laid.groupBy("order_id", "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__low"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("order_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = laid.join(g.select("order_id", "__part", "__low", before.alias("__before")), ["order_id", "__part"])
+    return placed.select("order_id", "node", "coord", (F.col("sign") * (F.col("__before") + F.col("__at") - F.col("__low") + 1)).alias("pos"))
 
 
 def place_nodes(threads: DataFrame, coords: DataFrame, least_links: int = 1) -> DataFrame:

@@ -54,6 +54,13 @@ def thread_info(threads: DataFrame) -> DataFrame:
     return g
 
 
+def threads_graph(threads: DataFrame, remove_repeated: bool = False, least_nodes: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The links of a set of threads and its (thread_id, start_node, end_node, link_count), without short threads and, if asked for, nodes that a thread holds more than once."""
+    t = drop_repeated(threads) if remove_repeated else threads
+    kept = with_least_nodes(renumber(t), least_nodes)
+    return thread_links(kept), thread_info(kept)
+
+
 def thread_positions(threads: DataFrame, nodes: DataFrame, reverse: bool = False) -> DataFrame:
     """Positions along the thread summed from node sizes and link distances: (thread_id, place, node, start_pos, end_pos).
 

@@ -9,6 +9,8 @@ from strandloom.functions import seq as S
 from strandloom.functions.kmers import canonical, rc, unpack
 from strandloom.operators import kmer_counts as K
 from strandloom.plans.views import NODES, PATHS, READS, kmers_sql, nodes, paths, reads
+from strandloom.session import table
+from strandloom.sources.fastx import store_summary as store_summary_of
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -135,6 +137,11 @@ def tag_occupancy_hist(spark: SparkSession, d: str) -> DataFrame:
     return K.tag_occupancy(reads(spark, d))
 
 
+@query("select store, kind, count(*) reads, cast(sum(coalesce(length(seq), 0)) as bigint) bp, cast(min(coalesce(length(seq), 0)) as integer) shortest, cast(max(coalesce(length(seq), 0)) as integer) longest, count(distinct tag) filter (tag > 0) tags from (select distinct * from fastq_reads) group by store, kind")
+def store_summary(spark: SparkSession, d: str) -> DataFrame:
+    return store_summary_of(table(spark, d, "fastq_reads").distinct())
+
+
 @query(f"with {READS} select store, read_id, tag from rd where tag = 65537")
 def tag_reads(spark: SparkSession, d: str) -> DataFrame:
     return K.tag_reads(reads(spark, d), 65537)
@@ -168,7 +175,6 @@ def saturated_index_k13(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_N31} {_INDEX} where kmer in (select kmer from known_kmers)")
 def kmer_whitelist_index(spark: SparkSession, d: str) -> DataFrame:
     from strandloom.functions.kmers import pack
-    from strandloom.session import table
 
     white = table(spark, d, "known_kmers").select(pack(canonical(F.col("kmer"))).alias("code"))
     return _named(K.whitelist_index(nodes(spark, d), 31, white))

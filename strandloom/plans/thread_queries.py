@@ -38,6 +38,12 @@ def thread_dedup_nodes(spark, d):
     return R.renumber(R.drop_repeated(threads(spark, d))).select("thread_id", "idx", "node")
 
 
+@query(f"""{U}, k as (select * from ut qualify count(*) over (partition by thread_id) >= 3)
+ select -node source, nx dest, cast(ns - end_pos as integer) dist, thread_id, cast(o as integer) ordinal from (select *, lead(node) over w nx, lead(start_pos) over w ns, row_number() over w - 1 o from k window w as (partition by thread_id order by idx)) where nx is not null""")
+def threads_graph(spark, d):
+    return R.threads_graph(threads(spark, d), True, 3)[0]
+
+
 @query(f"{W} select thread_id, arg_min(node, idx) start_node, -arg_max(node, idx) end_node, count(*) - 1 link_count from th group by thread_id")
 def thread_info(spark, d):
     return R.thread_info(threads(spark, d))

@@ -84,6 +84,13 @@ def mate(read_id: F.Column, negated: bool = True) -> F.Column:
     return -other if negated else other
 
 
+def store_summary(reads: DataFrame) -> DataFrame:
+    """S17 view: (store, kind, reads, bp, shortest, longest, tags) of read stores; empty reads count, tag 0 and null are no tags."""
+    size = F.coalesce(F.length("seq"), F.lit(0))
+    tag = F.when(F.col("tag") > 0, F.col("tag"))
+    return reads.groupBy("store", "kind").agg(F.count("*").alias("reads"), F.sum(size).cast("long").alias("bp"), F.min(size).alias("shortest"), F.max(size).alias("longest"), F.countDistinct(tag).alias("tags"))
+
+
 def tag_comparison(reads: DataFrame, stores: list[str], more_than: int = 5) -> DataFrame:
     """S17 compare: read pairs per tag and store, for tags with more than ``more_than`` pairs in any: (tag, *stores)."""
     n = reads.where("tag > 0").groupBy("tag").pivot("store", stores).agg(F.floor(F.count(F.lit(1)) / 2)).na.fill(0)
