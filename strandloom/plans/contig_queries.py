@@ -38,9 +38,14 @@ def _size_class(spark, d):
     return t.select(F.col("node_id").alias("node"), F.when(F.col("rep"), 0).when(size < 200, 1).when(size < 300, 2).otherwise(3).cast("long").alias("class"))
 
 
-_NC = f"with {THREADS}, {NODES}, nc as (select node_id node, cast(case when node_id in (select node_id from repeat_nodes) then 0 when length(seq) < 200 then 1 when length(seq) < 300 then 2 else 3 end as bigint) class from nd)"
-_PQ = "pq0 as (select thread_id, class, i - lag(i, {p1}) over (partition by thread_id, class order by i) span from (select thread_id, abs(th.node) node, row_number() over (partition by thread_id order by idx) - 1 i from th) t join nc using (node) where class <> 0), pq as (select distinct thread_id, class from pq0 where span < {q})"
-_TC = "tn as (select thread_id, coalesce(class, 0) class, count(*) n from (select thread_id, abs(node) node from th) t left join nc using (node) group by all), hf as (select thread_id, sum(n) al, max(n) filter (class <> 0) bn, arg_max(class, n * 10 - class) filter (class <> 0) bc from tn group by thread_id), rn as (select thread_id, count(*) k, min(class) o from pq group by thread_id), tc as (select thread_id, cast(coalesce(case when 2 * bn > al then bc when k = 1 then o else 0 end, 0) as bigint) class from hf left join rn using (thread_id))"
+_NC = f"""with {THREADS}, {NODES},
+ nc as (select node_id node, cast(case when node_id in (select node_id from repeat_nodes) then 0 when length(seq) < 200 then 1 when length(seq) < 300 then 2 else 3 end as bigint) class from nd)"""
+_PQ = """pq0 as (select thread_id, class, i - lag(i, {p1}) over (partition by thread_id, class order by i) span from (select thread_id, abs(th.node) node, row_number() over (partition by thread_id order by idx) - 1 i from th) t join nc using (node) where class <> 0),
+ pq as (select distinct thread_id, class from pq0 where span < {q})"""
+_TC = """tn as (select thread_id, coalesce(class, 0) class, count(*) n from (select thread_id, abs(node) node from th) t left join nc using (node) group by all),
+ hf as (select thread_id, sum(n) al, max(n) filter (class <> 0) bn, arg_max(class, n * 10 - class) filter (class <> 0) bc from tn group by thread_id),
+ rn as (select thread_id, count(*) k, min(class) o from pq group by thread_id),
+ tc as (select thread_id, cast(coalesce(case when 2 * bn > al then bc when k = 1 then o else 0 end, 0) as bigint) class from hf left join rn using (thread_id))"""
 
 
 @query(f"{_NC}, {_PQ.format(p1=2, q=5)} select thread_id, class from pq")
@@ -58,14 +63,19 @@ def class_bridges(spark, d):
     return P.class_bridges(threads(spark, d), _size_class(spark, d), 3, 5)
 
 
-@query(f"""{_NC}, {_PQ.format(p1=2, q=5)}, {_TC}, nt as (select distinct abs(node) node, thread_id from th), v as (select node, class, count(*) v from nt join tc using (thread_id) where class <> 0 group by all), b as (select * from v qualify row_number() over (partition by node order by v desc, class) = 1), n as (select node, count(*) n from nt group by node)
+@query(f"""{_NC}, {_PQ.format(p1=2, q=5)}, {_TC}, nt as (select distinct abs(node) node, thread_id from th),
+ v as (select node, class, count(*) v from nt join tc using (thread_id) where class <> 0 group by all),
+ b as (select * from v qualify row_number() over (partition by node order by v desc, class) = 1),
+ n as (select node, count(*) n from nt group by node)
  select node, cast(case when b.v >= 2 and b.v >= 0.6 * n then b.class else 0 end as bigint) class from n left join b using (node)""")
 def node_classes(spark, d):
     t = threads(spark, d)
     return P.node_classes(t, P.thread_classes(t, _size_class(spark, d), 3, 5))
 
 
-@query(f"{_NC}, {_PQ.format(p1=2, q=5)}, {_TC}, c as (select thread_id, count(*) places, cast(count(*) filter (coalesce(class, 0) <> 0) as bigint) classified from (select thread_id, abs(node) node from th) t left join nc using (node) group by thread_id) select c.* from c join tc using (thread_id) where tc.class = 0 and places >= 3 and classified < ceil(0.9 * places)")
+@query(f"""{_NC}, {_PQ.format(p1=2, q=5)}, {_TC},
+ c as (select thread_id, count(*) places, cast(count(*) filter (coalesce(class, 0) <> 0) as bigint) classified from (select thread_id, abs(node) node from th) t left join nc using (node) group by thread_id)
+ select c.* from c join tc using (thread_id) where tc.class = 0 and places >= 3 and classified < ceil(0.9 * places)""")
 def unclassified_threads(spark, d):
     t, nc = threads(spark, d), _size_class(spark, d)
     return P.unclassified_threads(t, nc, P.thread_classes(t, nc, 3, 5), 3, 0.9)
@@ -118,7 +128,10 @@ def order_rank(spark, d):
     return P.local_order(_coords(spark, d))
 
 
-@query(f"{_CO}, n as (select thread_id, count(*) n from ut group by 1), h as (select order_id, thread_id, count(*) placed from ut join (select distinct order_id, abs(node) k from co) c on abs(ut.node) = k group by all) select order_id, thread_id, placed, round(placed / n, 6) happiness from h join n using (thread_id)")
+@query(f"""{_CO},
+ n as (select thread_id, count(*) n from ut group by 1),
+ h as (select order_id, thread_id, count(*) placed from ut join (select distinct order_id, abs(node) k from co) c on abs(ut.node) = k group by all)
+ select order_id, thread_id, placed, round(placed / n, 6) happiness from h join n using (thread_id)""")
 def thread_happiness(spark, d):
     t = unique_threads(spark, d)
     return P.happiness(t, _coords(spark, d)).withColumn("happiness", F.round("happiness", 6))
@@ -132,7 +145,11 @@ def nodes_placed(spark, d):
     return P.place_nodes(unique_threads(spark, d), _coords(spark, d), 2)
 
 
-@query(f"{_CO}, n as (select distinct order_id, abs(node) n from co), z as (select order_id, count(*) z from n group by 1), j as (select a.order_id a, b.order_id b, count(*) shared from n a join n b using (n) where a.order_id < b.order_id group by all having count(*) >= 2) select a, b, shared, round(shared / least(x.z, y.z), 6) share from j join z x on x.order_id = a join z y on y.order_id = b")
+@query(f"""{_CO},
+ n as (select distinct order_id, abs(node) n from co),
+ z as (select order_id, count(*) z from n group by 1),
+ j as (select a.order_id a, b.order_id b, count(*) shared from n a join n b using (n) where a.order_id < b.order_id group by all having count(*) >= 2)
+ select a, b, shared, round(shared / least(x.z, y.z), 6) share from j join z x on x.order_id = a join z y on y.order_id = b""")
 def shared_order_nodes(spark, d):
     return P.shared_order_nodes(_coords(spark, d), 2).withColumn("share", F.round("share", 6))
 
@@ -203,7 +220,9 @@ def _votes(spark, d):
     return both.groupBy("node", "other").agg(F.count("*").alias("votes"))
 
 
-_WIN = f"with recursive {PATHS}, {_VOTES}, wt as (select node, sum(votes) t from vt group by node), wn as (select node, other from vt join wt using (node) where t >= 2 and votes >= 0.75 * t qualify row_number() over (partition by node order by votes desc, other) = 1)"
+_WIN = f"""with recursive {PATHS}, {_VOTES},
+ wt as (select node, sum(votes) t from vt group by node),
+ wn as (select node, other from vt join wt using (node) where t >= 2 and votes >= 0.75 * t qualify row_number() over (partition by node order by votes desc, other) = 1)"""
 
 
 @query(f"{_WIN} select node, other from wn")
@@ -211,13 +230,16 @@ def stride_votes(spark, d):
     return P.next_winners(_votes(spark, d))
 
 
-@query(f"{_WIN}, w as (select node, [node] p, 0 i from wn union all select w.node, list_append(p, wn.other), i + 1 from w join wn on wn.node = p[-1] where i < 6 and not list_contains(p, wn.other)) select node, array_to_string(p[2:], ',') path from w qualify row_number() over (partition by node order by i desc) = 1")
+@query(f"""{_WIN},
+ w as (select node, [node] p, 0 i from wn union all select w.node, list_append(p, wn.other), i + 1 from w join wn on wn.node = p[-1] where i < 6 and not list_contains(p, wn.other))
+ select node, array_to_string(p[2:], ',') path from w qualify row_number() over (partition by node order by i desc) = 1""")
 def strides(spark, d):
     w = persisted(P.next_winners(_votes(spark, d)), "winners")
     return P.stride(w, w.select("node"), 6).select("node", F.concat_ws(",", F.transform("path", lambda x: x.cast("string"))).alias("path"))
 
 
-_TRI = "tr0 as (select unnest(path[:-3]) a, unnest(path[2:-2]) m, unnest(path[3:]) b from ph where len(path) > 2), tr as (select abs(m) node, case when m > 0 then a else -b end prev, case when m > 0 then b else -a end nxt, count(*) votes from tr0 where a <> 0 and m <> 0 and b <> 0 group by all)"
+_TRI = """tr0 as (select unnest(path[:-3]) a, unnest(path[2:-2]) m, unnest(path[3:]) b from ph where len(path) > 2),
+ tr as (select abs(m) node, case when m > 0 then a else -b end prev, case when m > 0 then b else -a end nxt, count(*) votes from tr0 where a <> 0 and m <> 0 and b <> 0 group by all)"""
 
 
 @query(f"with {PATHS}, {_TRI} select node, prev, nxt as next, votes from tr")
@@ -231,7 +253,8 @@ def through_ranking(spark, d):
 
 
 _SOLVE = """vr as (select tr.*, rp.degree from tr join rp on rp.node_id = tr.node), bp as (select * from vr qualify row_number() over (partition by node, prev order by votes desc, nxt) = 1), bn as (select * from vr qualify row_number() over (partition by node, nxt order by votes desc, prev) = 1),
- pq as (select bp.* from bp join bn using (node, prev, nxt)), gs as (select vr.node, any_value(vr.degree) degree, count(pq.node) k, min(pq.votes) low, coalesce(max(vr.votes) filter (pq.node is null), 0) rest from vr left join pq on pq.node = vr.node and pq.prev = vr.prev and pq.nxt = vr.nxt group by vr.node)"""
+ pq as (select bp.* from bp join bn using (node, prev, nxt)),
+ gs as (select vr.node, any_value(vr.degree) degree, count(pq.node) k, min(pq.votes) low, coalesce(max(vr.votes) filter (pq.node is null), 0) rest from vr left join pq on pq.node = vr.node and pq.prev = vr.prev and pq.nxt = vr.nxt group by vr.node)"""
 
 
 @query(f"{TH}, {_REP.format(m=6)}, {PATHS}, {_TRI}, {_SOLVE} select node, prev, nxt as next, votes from pq where node in (select node from gs where k = degree and low >= 2 and rest <= least(3, ceil(low / 5.0)))")
@@ -245,7 +268,8 @@ _PV = """on0 as (select store, (read_id + 1) // 2 pair, n, count(*) c from (sele
  pv as (select a.node, a.other prev, b.other nxt, cast(sum(x.c * y.c) as bigint) votes from sd a join sd b on a.node = b.node and a.side = 'prev' and b.side = 'next' and a.other <> b.other join on0 x on x.n = abs(a.other) join on0 y on y.n = abs(b.other) and y.store = x.store and y.pair = x.pair group by all)"""
 _CLEAR = """pi as (select node, prev, count(*) c, max(votes) best, coalesce(max(votes) filter (rn = 2), 0) sec, max(nxt) filter (rn = 1) nxt from (select *, row_number() over (partition by node, prev order by votes desc, nxt) rn from pv) group by all),
  po as (select node, nxt, max(votes) best, coalesce(max(votes) filter (rn = 2), 0) sec from (select *, row_number() over (partition by node, nxt order by votes desc, prev) rn from pv) group by all),
- oi as (select pi.node from pi join rp on rp.node_id = pi.node group by pi.node having bool_and(best >= {s} and sec <= {n} and sec * {r} <= best) and count(*) = any_value(degree)), oo as (select po.node from po join rp on rp.node_id = po.node group by po.node having bool_and(best >= {s} and sec <= {n} and sec * {r} <= best) and count(*) = any_value(degree))"""
+ oi as (select pi.node from pi join rp on rp.node_id = pi.node group by pi.node having bool_and(best >= {s} and sec <= {n} and sec * {r} <= best) and count(*) = any_value(degree)),
+ oo as (select po.node from po join rp on rp.node_id = po.node group by po.node having bool_and(best >= {s} and sec <= {n} and sec * {r} <= best) and count(*) = any_value(degree))"""
 
 
 @query(f"{TH}, {_REP.format(m=6)}, {PATHS}, {_SIDES}, {_PV} select node, prev, nxt as next, votes from pv")
@@ -261,7 +285,8 @@ def repeats_solved_by_pairs(spark, d):
     return C.clear_ways(C.paired_votes(k, reps, paths(spark, d)), reps, 1, 30, 1.0)
 
 
-_TV = """tw as (select thread_id, idx, node, lead(node) over w a1, lead(node, 2) over w a2, lag(node) over w b1, lag(node, 2) over w b2 from th window w as (partition by thread_id order by idx)), tu as (select thread_id, idx, node prev, a1 x1, a2 x2 from tw where a1 is not null union all select thread_id, idx, -node, -b1, -b2 from tw where b1 is not null),
+_TV = """tw as (select thread_id, idx, node, lead(node) over w a1, lead(node, 2) over w a2, lag(node) over w b1, lag(node, 2) over w b2 from th window w as (partition by thread_id order by idx)),
+ tu as (select thread_id, idx, node prev, a1 x1, a2 x2 from tw where a1 is not null union all select thread_id, idx, -node, -b1, -b2 from tw where b1 is not null),
  tf as (select * from tu qualify row_number() over (partition by thread_id, prev order by idx) = 1), ta as (select s.node, s.other prev, case when x1 = s.node then x2 else x1 end t from sd s join tf on tf.prev = s.other where side = 'prev')"""
 
 
@@ -288,17 +313,23 @@ def node_path_counts(spark, d):
     return C.node_path_counts(paths(spark, d))
 
 
-@query(f"{TH}, {PATHS}, {_NPC}, {_PAR}, {_BUB} select bb.node_id from bb join nd using (node_id) left join pc a on a.node_id = bb.node_id left join pc b on b.node_id = abs(bb.parallel) where length(seq) <= 400 and coalesce(a.reads, 0) <= 60 and coalesce(b.reads, 0) >= 4 and coalesce(b.reads, 0) >= 1.1 * coalesce(a.reads, 0)")
+@query(f"""{TH}, {PATHS}, {_NPC}, {_PAR}, {_BUB}
+ select bb.node_id from bb join nd using (node_id) left join pc a on a.node_id = bb.node_id left join pc b on b.node_id = abs(bb.parallel) where length(seq) <= 400 and coalesce(a.reads, 0) <= 60 and coalesce(b.reads, 0) >= 4 and coalesce(b.reads, 0) >= 1.1 * coalesce(a.reads, 0)""")
 def bubbles_to_pop(spark, d):
     return C.bubbles_to_pop(Graph(nodes(spark, d), _thin(spark, d)), paths(spark, d), 400, 4, 60, 1.1)
 
 
-@query(f"{TH}, {PATHS}, {_VOTES}, {_TIPS}, x as (select node_id, coalesce(opv, -onx) node, case when opv is not null then node_id else -node_id end aye from tp join dg using (node_id) join nd using (node_id) where length(seq) <= 1000), g as (select node_id, coalesce(sum(votes) filter (other = aye), 0) ayes, coalesce(sum(votes) filter (other <> aye), 0) nays from x join vt using (node) group by node_id) select node_id from g where ayes <= 3 and ayes * 2 <= nays and nays >= 2")
+@query(f"""{TH}, {PATHS}, {_VOTES}, {_TIPS},
+ x as (select node_id, coalesce(opv, -onx) node, case when opv is not null then node_id else -node_id end aye from tp join dg using (node_id) join nd using (node_id) where length(seq) <= 1000),
+ g as (select node_id, coalesce(sum(votes) filter (other = aye), 0) ayes, coalesce(sum(votes) filter (other <> aye), 0) nays from x join vt using (node) group by node_id)
+ select node_id from g where ayes <= 3 and ayes * 2 <= nays and nays >= 2""")
 def tips_to_clip(spark, d):
     return C.tips_to_clip(Graph(nodes(spark, d), _thin(spark, d)), _votes(spark, d), 1000, 2, 3, 2)
 
 
-@query(f"{_BOTH}, t as (select node_id, g.n g, coalesce(ri.n, 0) r from nk join nd using (node_id) join g using (kmer) left join ri using (kmer) where length(nd.seq) <= 300) select node_id from t group by node_id having max(r) <= 2 or max(r) filter (g = 1) <= 2")
+@query(f"""{_BOTH},
+ t as (select node_id, g.n g, coalesce(ri.n, 0) r from nk join nd using (node_id) join g using (kmer) left join ri using (kmer) where length(nd.seq) <= 300)
+ select node_id from t group by node_id having max(r) <= 2 or max(r) filter (g = 1) <= 2""")
 def low_coverage_nodes(spark, d):
     t = nodes(spark, d)
     return C.low_coverage_nodes(t, K.count_kmers(t, 31), K.count_kmers(reads(spark, d), 31), 300, 2, 31)
@@ -309,7 +340,12 @@ def small_unconnected(spark, d):
     return C.small_unconnected(Graph(nodes(spark, d), _thin(spark, d)), 300)
 
 
-@query(f"{TH}, ed as (select abs(source) a, abs(dest) b from tm), cc as (select node_id a, node_id root from nd union select ed.b, cc.root from cc join ed on ed.a = cc.a), c as (select a node_id, min(root) c from cc group by a), z as (select c, count(*) n, max(length(seq)) t, sum(length(seq)) s from c join nd using (node_id) group by c) select node_id from c where c in (select c from z where n < 2 or t < 300 or s < 600)")
+@query(f"""{TH},
+ ed as (select abs(source) a, abs(dest) b from tm),
+ cc as (select node_id a, node_id root from nd union select ed.b, cc.root from cc join ed on ed.a = cc.a),
+ c as (select a node_id, min(root) c from cc group by a),
+ z as (select c, count(*) n, max(length(seq)) t, sum(length(seq)) s from c join nd using (node_id) group by c)
+ select node_id from c where c in (select c from z where n < 2 or t < 300 or s < 600)""")
 def small_components(spark, d):
     return C.small_components(Graph(nodes(spark, d), _thin(spark, d)), 2, 300, 600)
 
@@ -326,18 +362,25 @@ def tip_connections(spark, d):
 
 
 @query(f"""{TH}, {PATHS}, {_FREE}, pf as (select fe.node, case when list_position(path, fe.node) > 0 then path[list_position(path, fe.node) + 1:] else (list_transform(list_reverse(path), lambda x: -x))[list_position(list_transform(list_reverse(path), lambda x: -x), fe.node) + 1:] end p from ph join fe on list_position(path, fe.node) > 0 or list_position(path, -fe.node) > 0),
- vt0 as (select node, (list_filter(p, lambda x: x <> 0))[1] other from pf), ed0 as (select node a, -other b from vt0 where other is not null group by all having count(*) > 1), ed as (select a, b from ed0 union select b, a from ed0), cc as (select a id, a root from ed union select ed.b, cc.root from cc join ed on ed.a = cc.id) select min(root) grp, id node from cc group by id""")
+ vt0 as (select node, (list_filter(p, lambda x: x <> 0))[1] other from pf),
+ ed0 as (select node a, -other b from vt0 where other is not null group by all having count(*) > 1),
+ ed as (select a, b from ed0 union select b, a from ed0),
+ cc as (select a id, a root from ed union select ed.b, cc.root from cc join ed on ed.a = cc.id) select min(root) grp, id node from cc group by id""")
 def reconnection_groups(spark, d):
     return C.reconnection_groups(Graph(nodes(spark, d), _thin(spark, d)), paths(spark, d), 1)
 
 
-@query(f"""with {NODES}, bo as (select node_id, seq from nd where length(seq) >= 15 union all select -node_id, reverse(translate(seq, 'ACGT', 'TGCA')) from nd where length(seq) >= 15), t as (select node_id, right(seq, 126) tl, unnest(range(15, cast(least(126, length(seq)) as bigint) + 1)) o from bo), tl as (select -node_id source, right(tl, o) tl, left(right(tl, o), 15) k, o from t)
+@query(f"""with {NODES}, bo as (select node_id, seq from nd where length(seq) >= 15 union all select -node_id, reverse(translate(seq, 'ACGT', 'TGCA')) from nd where length(seq) >= 15),
+ t as (select node_id, right(seq, 126) tl, unnest(range(15, cast(least(126, length(seq)) as bigint) + 1)) o from bo),
+ tl as (select -node_id source, right(tl, o) tl, left(right(tl, o), 15) k, o from t)
  select source, b.node_id dest, cast(max(o) as integer) overlap from tl join bo b on tl.k = left(b.seq, 15) where abs(source) <> abs(b.node_id) and source < b.node_id and left(b.seq, o) = tl.tl group by 1, 2""")
 def exact_end_overlaps(spark, d):
     return C.exact_end_overlaps(nodes(spark, d))
 
 
-_EEO = """bq as (select node_id, seq from nd where length(seq) >= 15 union all select -node_id, reverse(translate(seq, 'ACGT', 'TGCA')) from nd where length(seq) >= 15), tq as (select node_id, right(seq, 126) tl, unnest(range(15, cast(least(126, length(seq)) as bigint) + 1)) o from bq), ts as (select -node_id source, right(tl, o) tl, left(right(tl, o), 15) k, o from tq),
+_EEO = """bq as (select node_id, seq from nd where length(seq) >= 15 union all select -node_id, reverse(translate(seq, 'ACGT', 'TGCA')) from nd where length(seq) >= 15),
+ tq as (select node_id, right(seq, 126) tl, unnest(range(15, cast(least(126, length(seq)) as bigint) + 1)) o from bq),
+ ts as (select -node_id source, right(tl, o) tl, left(right(tl, o), 15) k, o from tq),
  ee as (select distinct source, b.node_id dest from ts join bq b on ts.k = left(b.seq, 15) where abs(source) <> abs(b.node_id) and source < b.node_id and left(b.seq, o) = ts.tl)"""
 
 
@@ -393,7 +436,11 @@ def anchor_links(spark, d):
 
 
 _DBG = """km as (select kmer, row_number() over (order by kmer) node_id from (select distinct kmer from {kmers})), bo as (select node_id node, kmer s from km union all select -node_id, reverse(translate(kmer, 'ACGT', 'TGCA')) from km),
- tm as (select -a.node source, b.node dest, -30 dist from bo a join bo b on substr(a.s, 2) = left(b.s, 30)), st as (select distinct -source node, dest nx from tm), en as (select node, count(*) n, min(nx) nx from st group by node), ev as (select node from bo), nd as (select node_id, kmer seq from km)"""
+ tm as (select -a.node source, b.node dest, -30 dist from bo a join bo b on substr(a.s, 2) = left(b.s, 30)),
+ st as (select distinct -source node, dest nx from tm),
+ en as (select node, count(*) n, min(nx) nx from st group by node),
+ ev as (select node from bo),
+ nd as (select node_id, kmer seq from km)"""
 _UNITIGS = f"{_STEP}, {_LINES.format(sp='sp', ev='ev')}, {_SPELT.format(links='tm')} select md5(least(seq, reverse(translate(seq, 'ACGT', 'TGCA')))) digest, length(seq) size from ls"
 
 

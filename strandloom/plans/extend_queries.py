@@ -63,7 +63,11 @@ def popular_next(spark, d):
     return E.popular_next(threads(spark, d), 0.5, 0.6)
 
 
-@query(f"{_POP.replace('with ', 'with recursive ', 1)}, {NODES}, {_EV}, mu as (select a.node, a.other from bs a join bs b on b.node = -a.other and b.other = -a.node), ms as (select node, other nx from mu union select -other, -node from mu), en as (select node, count(*) n, min(nx) nx from ms group by node), {_STEP}, {_LINES.format(sp='sp', ev='ev')} select line, cast(place as integer) place, node from ln")
+@query(f"""{_POP.replace('with ', 'with recursive ', 1)}, {NODES}, {_EV},
+ mu as (select a.node, a.other from bs a join bs b on b.node = -a.other and b.other = -a.node),
+ ms as (select node, other nx from mu union select -other, -node from mu),
+ en as (select node, count(*) n, min(nx) nx from ms group by node), {_STEP}, {_LINES.format(sp='sp', ev='ev')}
+ select line, cast(place as integer) place, node from ln""")
 def nodes_grouped(spark, d):
     return E.group_nodes(nodes(spark, d), persisted(E.popular_next(threads(spark, d), 0.5, 0.6), "best"))
 

@@ -46,7 +46,11 @@ def _thin(spark: SparkSession, d: str) -> DataFrame:
 _LINKS = f"""{THREADS}, lk as (select -node source, nx dest, cast(ns - end_pos as integer) dist from (select *, lead(node) over w nx, lead(start_pos) over w ns from th window w as (partition by thread_id order by idx)) where nx is not null),
  mi as (select source, dest, dist from lk union all select dest, source, dist from lk where source <> dest)"""
 L = f"with recursive {_LINKS}"
-_THIN = f"{_LINKS}, tl as (select source, dest, min(dist) dist from mi group by source, dest having count(*) >= 2 and source <= dest and abs(source) <> abs(dest)), tm as (select source, dest, dist from tl union all select dest, source, dist from tl where source <> dest), st as (select distinct -source node, dest nx from tm), en as (select node, count(*) n, min(nx) nx from st group by node), {NODES}"
+_THIN = f"""{_LINKS},
+ tl as (select source, dest, min(dist) dist from mi group by source, dest having count(*) >= 2 and source <= dest and abs(source) <> abs(dest)),
+ tm as (select source, dest, dist from tl union all select dest, source, dist from tl where source <> dest),
+ st as (select distinct -source node, dest nx from tm),
+ en as (select node, count(*) n, min(nx) nx from st group by node), {NODES}"""
 _DEG = ", dg as (select node_id, coalesce(f.n, 0) fn, coalesce(b.n, 0) bn, case when f.n = 1 then f.nx end onx, case when b.n = 1 then -b.nx end opv from nd left join en f on f.node = node_id left join en b on b.node = -node_id)"
 TH = f"with recursive {_THIN}{_DEG}"
 
@@ -95,7 +99,12 @@ def links_copied(spark, d):
     return G.Graph(nodes(spark, d), t).add_links(t.where("dist > 0")).links.groupBy("source", "dest").agg(F.count("*").alias("n"))
 
 
-@query(f"{L}, s as (select distinct -source node, dest nx from mi), a as (select node start, nx node from s), b as (select distinct a.start, s.nx node from a join s using (node)), c as (select distinct b.start, s.nx node from b join s using (node)) select start, node from a union select start, node from b union select start, node from c")
+@query(f"""{L},
+ s as (select distinct -source node, dest nx from mi),
+ a as (select node start, nx node from s),
+ b as (select distinct a.start, s.nx node from a join s using (node)),
+ c as (select distinct b.start, s.nx node from b join s using (node))
+ select start, node from a union select start, node from b union select start, node from c""")
 def fw_reached_r3(spark, d):
     t = links(spark, d)
     return G.fw_reached(t, G.next_nodes(t).select("node").distinct(), 3)
@@ -118,7 +127,8 @@ def node_degrees(spark, d):
 
 
 _TIPS = "tp as (select node_id from (select node_id, coalesce(-onx, opv) t from dg where fn + bn = 1) x join en on en.node = x.t where en.n > 1)"
-_PAR = "ns as (select f.node, f.s nexts, list_sort(list_transform(b.s, lambda x: -x)) prevs from (select node, list_sort(list(nx)) s from st group by node) f join (select node, list(nx) s from st group by node) b on b.node = -f.node), pr as (select a.node, b.node parallel from ns a join ns b on a.nexts = b.nexts and a.prevs = b.prevs and a.node <> b.node)"
+_PAR = """ns as (select f.node, f.s nexts, list_sort(list_transform(b.s, lambda x: -x)) prevs from (select node, list_sort(list(nx)) s from st group by node) f join (select node, list(nx) s from st group by node) b on b.node = -f.node),
+ pr as (select a.node, b.node parallel from ns a join ns b on a.nexts = b.nexts and a.prevs = b.prevs and a.node <> b.node)"""
 _BUB = "bb as (select p.node node_id, p.parallel from (select node, count(*) n, min(parallel) parallel from pr where node > 0 group by node having count(*) = 1) p join dg on dg.node_id = p.node and fn = 1 and bn = 1 join en a on a.node = opv and a.n = 2 join en b on b.node = -onx and b.n = 2)"
 _REP = "rp as (select node_id, fn degree from dg where fn = bn and fn between 2 and {m} and not exists (select 1 from st where abs(st.node) = node_id and abs(nx) = node_id) and not exists (select 1 from st join en on en.node = -st.nx where st.node in (node_id, -node_id) and en.n > 1) and (select count(distinct abs(nx)) from st where st.node in (node_id, -node_id)) = 2 * fn)"
 
@@ -148,12 +158,16 @@ def self_loops(spark, d):
     return G.self_loops(nodes(spark, d), links(spark, d))
 
 
-@query(f"{TH}, k as (select case when fn > 1 then 'N' else cast(fn as varchar) end f, case when bn > 1 then 'N' else cast(bn as varchar) end b from dg) select least(f, b) || '-' || greatest(f, b) connectivity, count(*) nodes from k group by 1")
+@query(f"""{TH},
+ k as (select case when fn > 1 then 'N' else cast(fn as varchar) end f, case when bn > 1 then 'N' else cast(bn as varchar) end b from dg)
+ select least(f, b) || '-' || greatest(f, b) connectivity, count(*) nodes from k group by 1""")
 def connectivity_classes(spark, d):
     return G.connectivity(nodes(spark, d), _thin(spark, d))
 
 
-@query(f"with {NODES}, r as (select length(seq) s, sum(length(seq)) over (order by length(seq) desc, node_id) c, sum(length(seq)) over () t from nd) select p point, max(s) nsize from r, (select unnest([25, 50, 75]) p) where c >= floor(t * p / 100) group by p")
+@query(f"""with {NODES},
+ r as (select length(seq) s, sum(length(seq)) over (order by length(seq) desc, node_id) c, sum(length(seq)) over () t from nd)
+ select p point, max(s) nsize from r, (select unnest([25, 50, 75]) p) where c >= floor(t * p / 100) group by p""")
 def nstats_n50(spark, d):
     return G.nstats(nodes(spark, d).select(F.length("seq").alias("size")))
 
@@ -175,7 +189,9 @@ def stats_by_kci(spark, d):
     return G.stats_by_kci(nodes(spark, d), _thin(spark, d), persisted(_kci(spark, d), "kci"))
 
 
-@query(f"{TH}, {_TIPS}, {_PAR}, {_BUB}, {_REP.format(m=10)}, z as (select case when length(seq) < 220 then 's' else 'l' end bin, length(seq) size, node_id in (select node_id from tp) t, node_id in (select node_id from rp) r, node_id in (select node_id from bb) b from nd) select coalesce(bin, 'All') bin, count(*) nodes, cast(sum(size) as bigint) bp, count(*) filter (t) tips, count(*) filter (r) repeats, count(*) filter (b) bubble_sides from z group by rollup(bin)")
+@query(f"""{TH}, {_TIPS}, {_PAR}, {_BUB}, {_REP.format(m=10)},
+ z as (select case when length(seq) < 220 then 's' else 'l' end bin, length(seq) size, node_id in (select node_id from tp) t, node_id in (select node_id from rp) r, node_id in (select node_id from bb) b from nd)
+ select coalesce(bin, 'All') bin, count(*) nodes, cast(sum(size) as bigint) bp, count(*) filter (t) tips, count(*) filter (r) repeats, count(*) filter (b) bubble_sides from z group by rollup(bin)""")
 def stats_by_size_rollup(spark, d):
     t = nodes(spark, d)
     fake = t.select("node_id", F.when(F.length("seq") < 220, 0.1).otherwise(1.0).alias("kci"))
@@ -186,12 +202,18 @@ def stats_by_size_rollup(spark, d):
 _REACH = "re as (select a.nx s, a.nx n from st a union all select b.node s, b.nx n from st b)"
 
 
-@query(f"{TH}, h2 as (select node s, nx n from st union select a.node, b.nx from st a join st b on b.node = a.nx), sb as (select a.node, a.nx b, c.nx c from st a join st c using (node) where a.nx <> c.nx) select distinct node, c next_node from sb where exists (select 1 from h2 where s = b and n = c) and not exists (select 1 from h2 where s = c and n = b)")
+@query(f"""{TH},
+ h2 as (select node s, nx n from st union select a.node, b.nx from st a join st b on b.node = a.nx),
+ sb as (select a.node, a.nx b, c.nx c from st a join st c using (node) where a.nx <> c.nx)
+ select distinct node, c next_node from sb where exists (select 1 from h2 where s = b and n = c) and not exists (select 1 from h2 where s = c and n = b)""")
 def transitive_links(spark, d):
     return G.transitive_links(_thin(spark, d), 2)
 
 
-@query(f"{TH}, ed as (select abs(source) a, abs(dest) b from tm), cc as (select node_id a, node_id root from nd where true union select ed.b, cc.root from cc join ed on ed.a = cc.a) select a node_id, min(root) component from cc group by a")
+@query(f"""{TH},
+ ed as (select abs(source) a, abs(dest) b from tm),
+ cc as (select node_id a, node_id root from nd where true union select ed.b, cc.root from cc join ed on ed.a = cc.a)
+ select a node_id, min(root) component from cc group by a""")
 def components(spark, d):
     return T.connected_components(nodes(spark, d), _thin(spark, d))
 
@@ -199,7 +221,11 @@ def components(spark, d):
 _STEP = "sp as (select a.node, a.nx from en a join en b on b.node = -a.nx and b.nx = -a.node where a.n = 1 and b.n = 1 and abs(a.node) <> abs(a.nx))"
 
 
-@query(f"{TH}, {_STEP}, ed as (select abs(node) a, abs(nx) b from sp), cc as (select node_id a, node_id root from nd union select ed.b, cc.root from cc join ed on ed.a = cc.a), g as (select a, min(root) line from cc group by a) select line, count(*) node_count, cast(sum(length(seq)) as bigint) total_size from g join nd on nd.node_id = g.a group by line")
+@query(f"""{TH}, {_STEP},
+ ed as (select abs(node) a, abs(nx) b from sp),
+ cc as (select node_id a, node_id root from nd union select ed.b, cc.root from cc join ed on ed.a = cc.a),
+ g as (select a, min(root) line from cc group by a)
+ select line, count(*) node_count, cast(sum(length(seq)) as bigint) total_size from g join nd on nd.node_id = g.a group by line""")
 def unitig_lines(spark, d):
     t = nodes(spark, d)
     return T.line_table(T.lines(t, _thin(spark, d)), t)
@@ -216,7 +242,9 @@ _SPELT = """lp as (select a.line, a.place, case when a.node < 0 then reverse(tra
  ls as (select line, string_agg(repeat('N', greatest(dist, 0)) || substr(seq, greatest(-dist, 0) + 1), '' order by place) seq, count(*) n from lp group by line)"""
 
 
-@query(f"{TH}, {_STEP}, {_EV}, {_LINES.format(sp='sp', ev='ev')}, {_SPELT.format(links='tm')}, cn as (select line, n, least(seq, reverse(translate(seq, 'ACGT', 'TGCA'))) seq from ls) select node_id, length(seq) size, md5(seq) digest from nd where node_id not in (select abs(node) from ln join ls using (line) where n > 1) union all select line, length(seq), md5(seq) from cn where n > 1")
+@query(f"""{TH}, {_STEP}, {_EV}, {_LINES.format(sp='sp', ev='ev')}, {_SPELT.format(links='tm')},
+ cn as (select line, n, least(seq, reverse(translate(seq, 'ACGT', 'TGCA'))) seq from ls)
+ select node_id, length(seq) size, md5(seq) digest from nd where node_id not in (select abs(node) from ln join ls using (line) where n > 1) union all select line, length(seq), md5(seq) from cn where n > 1""")
 def unitigs_joined(spark, d):
     g, _ = T.join_unitigs(G.Graph(nodes(spark, d), _thin(spark, d)))
     return g.nodes.select("node_id", F.length("seq").alias("size"), F.md5("seq").alias("digest"))
@@ -261,7 +289,10 @@ def tangle_classes(spark, d):
     return T.classify_tangles(t, k, persisted(T.tangles(t, k, t.where("length(seq) >= 260")), "tangles")).groupBy("class").agg(F.count("*").alias("tangles"))
 
 
-@query(f"{TH}, vv as (select node_id node, seq from nd union all select -node_id, reverse(translate(seq, 'ACGT', 'TGCA')) from nd), nc as (select -source node, count(*) n from tm group by 1) select v.node, length(v.seq) size, v.seq, coalesce(b.n, 0) prev_count, coalesce(f.n, 0) next_count from vv v left join nc f on f.node = v.node left join nc b on b.node = -v.node where f.n is not null or b.n is not null")
+@query(f"""{TH},
+ vv as (select node_id node, seq from nd union all select -node_id, reverse(translate(seq, 'ACGT', 'TGCA')) from nd),
+ nc as (select -source node, count(*) n from tm group by 1)
+ select v.node, length(v.seq) size, v.seq, coalesce(b.n, 0) prev_count, coalesce(f.n, 0) next_count from vv v left join nc f on f.node = v.node left join nc b on b.node = -v.node where f.n is not null or b.n is not null""")
 def node_views(spark, d):
     return G.node_views(nodes(spark, d), _thin(spark, d), both=True, include_disconnected=False)
 
@@ -271,7 +302,9 @@ def nodes_selected_by_size(spark, d):
     return nodes(spark, d).where(F.length("seq").between(200, 400))
 
 
-@query(f"with {NODES}, b as (select n.node_id, n.node_name, nd.seq from nodes n join nd using (node_id) where n.node_name is not null qualify row_number() over (partition by node_name order by n.node_id) = 1) select node_name list_id, 0 place, -node_id node from b")
+@query(f"""with {NODES},
+ b as (select n.node_id, n.node_name, nd.seq from nodes n join nd using (node_id) where n.node_name is not null qualify row_number() over (partition by node_name order by n.node_id) = 1)
+ select node_name list_id, 0 place, -node_id node from b""")
 def oldnames_resolved(spark, d):
     from strandloom.session import table
 

@@ -33,7 +33,10 @@ def _named(df: DataFrame, k: int = 31) -> DataFrame:
 
 _N31 = f"with {NODES}, {kmers_sql('nk', 'nd', 'node_id', 31)}"
 _R31 = f"{READS}, {kmers_sql('rk', 'rd', 'store, read_id, tag', 31)}"
-_BOTH = f"{_N31}, {_R31}, g as (select kmer, count(*) n from nk group by kmer), rc0 as (select kmer, least(count(*), 65535) n from rk group by kmer), ri as (select g.kmer, coalesce(rc0.n, 0) n from g left join rc0 using (kmer))"
+_BOTH = f"""{_N31}, {_R31},
+ g as (select kmer, count(*) n from nk group by kmer),
+ rc0 as (select kmer, least(count(*), 65535) n from rk group by kmer),
+ ri as (select g.kmer, coalesce(rc0.n, 0) n from g left join rc0 using (kmer))"""
 
 
 @query(f"with {NODES} select node_id, reverse(translate(seq, 'ACGT', 'TGCA')) rc_seq, seq <= reverse(translate(seq, 'ACGT', 'TGCA')) is_canonical from nd")
@@ -84,7 +87,11 @@ def read_counts_of_graph_kmers(spark: SparkSession, d: str) -> DataFrame:
     return _named(K.count_indexed(K.count_kmers(nodes(spark, d), 31), reads(spark, d), 31))
 
 
-@query(f"with {NODES}, half as (select * from nd where length(seq) >= 240), {kmers_sql('hk', 'half', 'node_id', 31)}, {kmers_sql('nk', 'nd', 'node_id', 31)}, i as (select distinct kmer from hk), g as (select kmer, count(*) n from nk group by kmer) select i.kmer, coalesce(n, 0) n from i left join g using (kmer)")
+@query(f"""with {NODES},
+ half as (select * from nd where length(seq) >= 240), {kmers_sql('hk', 'half', 'node_id', 31)}, {kmers_sql('nk', 'nd', 'node_id', 31)},
+ i as (select distinct kmer from hk),
+ g as (select kmer, count(*) n from nk group by kmer)
+ select i.kmer, coalesce(n, 0) n from i left join g using (kmer)""")
 def graph_counts_updated(spark: SparkSession, d: str) -> DataFrame:
     t = nodes(spark, d)
     index = K.count_kmers(t.where("length(seq) >= 240"), 31)
@@ -111,7 +118,9 @@ def kci_upper_median(spark: SparkSession, d: str) -> DataFrame:
     return K.kci(t, "node_id", graph, counted, 8.0, 31).withColumn("kci", F.round("kci", 6))
 
 
-@query(f"{_BOTH}, h as (select least(ri.n, 60) freq, count(*) kmers from ri join g using (kmer) where g.n = 1 group by 1) select cast(r.freq as bigint) freq, coalesce(kmers, 0) kmers from (select unnest(range(61)) freq) r left join h using (freq)")
+@query(f"""{_BOTH},
+ h as (select least(ri.n, 60) freq, count(*) kmers from ri join g using (kmer) where g.n = 1 group by 1)
+ select cast(r.freq as bigint) freq, coalesce(kmers, 0) kmers from (select unnest(range(61)) freq) r left join h using (freq)""")
 def kmer_spectrum_unique(spark: SparkSession, d: str) -> DataFrame:
     graph = K.count_kmers(nodes(spark, d), 31)
     return K.spectrum(K.count_indexed(graph, reads(spark, d), 31), 60, graph, unique=True)
@@ -185,7 +194,10 @@ def kmer_unique_index(spark: SparkSession, d: str) -> DataFrame:
     return _named(K.unique_index(nodes(spark, d), 31))
 
 
-@query(f"{_N31}, u as (select kmer from nk group by kmer having count(*) = 1), t as (select node_id, count(*) total_kmers, count(u.kmer) unique_kmers from nk left join u using (kmer) group by node_id) select node_id node, coalesce(total_kmers, 0) total_kmers, coalesce(unique_kmers, 0) unique_kmers, coalesce(unique_kmers, 0) = 0 unmappable from nd left join t using (node_id)")
+@query(f"""{_N31},
+ u as (select kmer from nk group by kmer having count(*) = 1),
+ t as (select node_id, count(*) total_kmers, count(u.kmer) unique_kmers from nk left join u using (kmer) group by node_id)
+ select node_id node, coalesce(total_kmers, 0) total_kmers, coalesce(unique_kmers, 0) unique_kmers, coalesce(unique_kmers, 0) = 0 unmappable from nd left join t using (node_id)""")
 def unique_kmer_stats(spark: SparkSession, d: str) -> DataFrame:
     return K.unique_stats(nodes(spark, d), 31)
 

@@ -49,7 +49,10 @@ def candidate_counts(spark, d):
     return M.candidate_counts(seeds(spark, d), 5)
 
 
-@query(f"{S}, uq as (select kmer from nk group by kmer having count(*) = 1), x as (select rk.store, rk.read_id, rk.pos, case when rk.is_fw = nk.is_fw then nk.node_id else -nk.node_id end node from rk join nk using (kmer) where kmer in (select kmer from uq)) select store, read_id, abs(node) node, min(pos) first_pos, max(pos) + 30 last_pos, count(*) unique_matches, node < 0 rev from x group by store, read_id, x.node")
+@query(f"""{S},
+ uq as (select kmer from nk group by kmer having count(*) = 1),
+ x as (select rk.store, rk.read_id, rk.pos, case when rk.is_fw = nk.is_fw then nk.node_id else -nk.node_id end node from rk join nk using (kmer) where kmer in (select kmer from uq))
+ select store, read_id, abs(node) node, min(pos) first_pos, max(pos) + 30 last_pos, count(*) unique_matches, node < 0 rev from x group by store, read_id, x.node""")
 def read_mappings(spark, d):
     t = nodes(spark, d)
     return M.read_mappings(K.seed_matches(reads(spark, d), K.unique_index(t, 31), t, 31), 31)
@@ -60,7 +63,8 @@ def chain_blocks(spark, d):
     return M.alignment_blocks(seeds(spark, d), 31)
 
 
-@query(f"{S}, {_BLK} select store, read_id, node, q_start, q_end, n_start, n_end, score from bk where not exists (select 1 from bk o where o.store = bk.store and o.read_id = bk.read_id and o.q_start <= bk.q_start and o.q_end >= bk.q_end and o.score > bk.score)")
+@query(f"""{S}, {_BLK}
+ select store, read_id, node, q_start, q_end, n_start, n_end, score from bk where not exists (select 1 from bk o where o.store = bk.store and o.read_id = bk.read_id and o.q_start <= bk.q_start and o.q_end >= bk.q_end and o.score > bk.score)""")
 def shadowed_filter(spark, d):
     return M.drop_shadowed(persisted(M.alignment_blocks(seeds(spark, d), 31), "blocks"))
 
@@ -122,7 +126,8 @@ def recruit_reads(spark, d):
     return M.recruited(M.perfect_matches(seeds(spark, d, limit=50), 31, 35), 40, 1)
 
 
-_VB = "vo as (select *, row_number() over (partition by store, read_id order by read_position, size, node, node_position) - 1 ord from pm), vb as (select store, read_id, node, cast(min(ord) as integer) first, cast(max(ord) as integer) last, count(*) matches, cast(sum(size) as bigint) bp from vo group by store, read_id, node having max(ord) - min(ord) + 1 = count(*))"
+_VB = """vo as (select *, row_number() over (partition by store, read_id order by read_position, size, node, node_position) - 1 ord from pm),
+ vb as (select store, read_id, node, cast(min(ord) as integer) first, cast(max(ord) as integer) last, count(*) matches, cast(sum(size) as bigint) bp from vo group by store, read_id, node having max(ord) - min(ord) + 1 = count(*))"""
 
 
 @query(f'{S50}, {_PM}, {_VB} select store, read_id, node, first as "first", last as "last", matches, bp from vb')
@@ -130,7 +135,9 @@ def valid_blocks(spark, d):
     return M.valid_blocks(M.perfect_matches(seeds(spark, d, limit=50), 31, 35), 1)
 
 
-@query(f"{S50}, {_PM}, {_VB}, st as (select store, read_id, node, arg_min(read_position - node_position, read_position * 100000 + size) s from pm group by all) select vb.store, vb.read_id thread_id, cast(row_number() over (partition by vb.store, vb.read_id order by first) - 1 as integer) idx, vb.node, cast(s as integer) start_pos, cast(s + length(nd.seq) as integer) end_pos from vb join st using (store, read_id, node) join nd on nd.node_id = abs(vb.node)")
+@query(f"""{S50}, {_PM}, {_VB},
+ st as (select store, read_id, node, arg_min(read_position - node_position, read_position * 100000 + size) s from pm group by all)
+ select vb.store, vb.read_id thread_id, cast(row_number() over (partition by vb.store, vb.read_id order by first) - 1 as integer) idx, vb.node, cast(s as integer) start_pos, cast(s + length(nd.seq) as integer) end_pos from vb join st using (store, read_id, node) join nd on nd.node_id = abs(vb.node)""")
 def simple_threads(spark, d):
     return M.simple_threads(M.perfect_matches(seeds(spark, d, limit=50), 31, 35), nodes(spark, d).select("node_id", F.length("seq").alias("size")), 1)
 
@@ -160,7 +167,9 @@ def all_paths_fw(spark, d):
     return out.select("store", "node", "read_id", F.concat_ws(",", F.transform("path", lambda x: x.cast("string"))).alias("path"))
 
 
-_VOTES = "sv as (select unnest(path[:-2]) a, unnest(path[2:]) b from ph where len(path) > 1), bo as (select a node, b other from sv where a <> 0 and b <> 0 union all select -b, -a from sv where a <> 0 and b <> 0), vt as (select node, other, count(*) votes from bo group by all)"
+_VOTES = """sv as (select unnest(path[:-2]) a, unnest(path[2:]) b from ph where len(path) > 1),
+ bo as (select a node, b other from sv where a <> 0 and b <> 0 union all select -b, -a from sv where a <> 0 and b <> 0),
+ vt as (select node, other, count(*) votes from bo group by all)"""
 
 
 @query(f"{P}, {_VOTES} select node, other, votes from vt qualify row_number() over (partition by node order by votes desc, other) = 1 and votes > 10")
@@ -171,7 +180,10 @@ def immediate_neighbours(spark, d):
 _RPOS = "rp as (select rk.store, rk.read_id, abs(x) node, x < 0 rev, min(p) node_pos from (select store, read_id, node x, case when node > 0 then node_pos else length(nd.seq) - 31 - node_pos end p from sd join nd on nd.node_id = abs(node)) rk group by all)"
 
 
-@query(f"{S}, {_RPOS}, j as (select a.node, a.rev r1, a.node_pos p1, b.node_pos p2 from rp a join rp b on a.node = b.node and a.rev <> b.rev and a.read_id % 2 = 1 and b.read_id = a.read_id + 1 and b.store = a.store), f as (select case when r1 then p2 else p1 end fw, case when r1 then p1 else p2 end bw from j) select case when bw >= fw then 'FR' else 'RF' end orientation, cast(abs(bw - fw) as integer) d, count(*) pairs from f where abs(bw - fw) < 70000 group by all")
+@query(f"""{S}, {_RPOS},
+ j as (select a.node, a.rev r1, a.node_pos p1, b.node_pos p2 from rp a join rp b on a.node = b.node and a.rev <> b.rev and a.read_id % 2 = 1 and b.read_id = a.read_id + 1 and b.store = a.store),
+ f as (select case when r1 then p2 else p1 end fw, case when r1 then p1 else p2 end bw from j)
+ select case when bw >= fw then 'FR' else 'RF' end orientation, cast(abs(bw - fw) as integer) d, count(*) pairs from f where abs(bw - fw) < 70000 group by all""")
 def insert_size_distribution(spark, d):
     t = nodes(spark, d).select(F.col("node_id"), F.length("seq").alias("size"))
     s = seeds(spark, d).join(t, F.abs("node") == F.col("node_id"))
@@ -180,7 +192,9 @@ def insert_size_distribution(spark, d):
     return M.insert_sizes(m)
 
 
-_TN = f"{P}, {READS}, en as (select distinct store, read_id, abs(n) node from (select store, read_id, unnest(path) n from ph) where n <> 0), tn as (select tag, node, count(*) reads from en join rd using (store, read_id) where tag > 0 group by all)"
+_TN = f"""{P}, {READS},
+ en as (select distinct store, read_id, abs(n) node from (select store, read_id, unnest(path) n from ph) where n <> 0),
+ tn as (select tag, node, count(*) reads from en join rd using (store, read_id) where tag > 0 group by all)"""
 
 
 def _tag_nodes(spark, d):
@@ -192,7 +206,11 @@ def node_tags(spark, d):
     return L.node_tags(_tag_nodes(spark, d), 1)
 
 
-_TNB = "tk as (select tag from tn group by tag having sum(reads) >= 2 and count(*) < 500), tt as (select * from tn where tag in (select tag from tk) and node in (select node_id from nd where length(seq) >= 200)), sh as (select a.node, b.node other, sum(a.reads) s from tt a join tt b using (tag) group by all), ow as (select node, sum(reads) o from tt group by node), nb as (select node, other, s / o score from sh join ow using (node) where s / o >= 0.3)"
+_TNB = """tk as (select tag from tn group by tag having sum(reads) >= 2 and count(*) < 500),
+ tt as (select * from tn where tag in (select tag from tk) and node in (select node_id from nd where length(seq) >= 200)),
+ sh as (select a.node, b.node other, sum(a.reads) s from tt a join tt b using (tag) group by all),
+ ow as (select node, sum(reads) o from tt group by node),
+ nb as (select node, other, s / o score from sh join ow using (node) where s / o >= 0.3)"""
 
 
 @query(f"{_TN}, {NODES}, {_TNB} select node, other, round(score, 6) score from nb")
@@ -215,17 +233,27 @@ _FN = """fr as (select -source node, dest other, dist, row_number() over (partit
  sl as (select node_id from nd where length(seq) >= 250), fs as (select * from fn where abs(node) in (select node_id from sl) and abs(other) in (select node_id from sl))"""
 
 
-@query(f"{LINKS_SQL}, {NODES}, {_FN.format(least=2)}, ls as (select *, lead(other) over (partition by node order by dist, other) nx from fn), lc as (select -source o, dest t, count(*) c from mi group by all) select abs(node) node_id from ls left join lc on o = other and t = nx group by 1 having bool_and(nx is null or coalesce(c, 0) >= 1)")
+@query(f"""{LINKS_SQL}, {NODES}, {_FN.format(least=2)},
+ ls as (select *, lead(other) over (partition by node order by dist, other) nx from fn),
+ lc as (select -source o, dest t, count(*) c from mi group by all)
+ select abs(node) node_id from ls left join lc on o = other and t = nx group by 1 having bool_and(nx is null or coalesce(c, 0) >= 1)""")
 def linear_anchors(spark, d):
     return L.linear_anchors(links(spark, d), 2, 1)
 
 
-@query(f"{LINKS_SQL}, {NODES}, {_FN.format(least=2)}, be as (select -node s, other d, dist from fs qualify row_number() over (partition by node order by dist, other) = 1) select least(s, d) source, greatest(s, d) dest, min(dist) dist from be group by 1, 2")
+@query(f"""{LINKS_SQL}, {NODES}, {_FN.format(least=2)},
+ be as (select -node s, other d, dist from fs qualify row_number() over (partition by node order by dist, other) = 1)
+ select least(s, d) source, greatest(s, d) dest, min(dist) dist from be group by 1, 2""")
 def nextselected_linkage(spark, d):
     return L.nextselected_linkage(links(spark, d), L.select_by_size(nodes(spark, d), 250), 2)
 
 
-@query(f"{TH}, sl as (select node_id from nd where length(seq) >= 250), h1 as (select node s, nx n from st where abs(node) in (select node_id from sl)), h2 as (select distinct s, st.nx n from h1 join st on st.node = n where abs(n) not in (select node_id from sl)), f as (select * from h1 union select * from h2) select distinct least(-s, n) source, greatest(-s, n) dest, 0 dist from f where abs(n) in (select node_id from sl)")
+@query(f"""{TH},
+ sl as (select node_id from nd where length(seq) >= 250),
+ h1 as (select node s, nx n from st where abs(node) in (select node_id from sl)),
+ h2 as (select distinct s, st.nx n from h1 join st on st.node = n where abs(n) not in (select node_id from sl)),
+ f as (select * from h1 union select * from h2)
+ select distinct least(-s, n) source, greatest(-s, n) dest, 0 dist from f where abs(n) in (select node_id from sl)""")
 def topology_linkage_r2(spark, d):
     return L.topology_linkage(_thin(spark, d), L.select_by_size(nodes(spark, d), 250), 2)
 
@@ -244,14 +272,18 @@ def paired_linkage(spark, d):
     return L.paired_linkage(_mapped(spark, d), 2)
 
 
-@query(f"{P}, e as (select store, read_id, node, min(i) i from (select store, read_id, unnest(path) node, unnest(range(len(path))) i from ph) where node <> 0 group by all), j as (select distinct store, read_id, least(-a.node, b.node) source, greatest(-a.node, b.node) dest from e a join e b using (store, read_id) where a.i < b.i) select source, dest, count(*) reads from j group by all having count(*) >= 3")
+@query(f"""{P},
+ e as (select store, read_id, node, min(i) i from (select store, read_id, unnest(path) node, unnest(range(len(path))) i from ph) where node <> 0 group by all),
+ j as (select distinct store, read_id, least(-a.node, b.node) source, greatest(-a.node, b.node) dest from e a join e b using (store, read_id) where a.i < b.i)
+ select source, dest, count(*) reads from j group by all having count(*) >= 3""")
 def shared_read_paths(spark, d):
     return L.shared_read_paths(paths(spark, d), 3)
 
 
 _SL = seeds_sql(200).replace("{", "{{").replace("}", "}}").replace("join nd on nd.node_id = ix.node)", "join nd on nd.node_id = ix.node where rk.store in (select store from rd where kind = '{kind}'))")
 _ML = f"""bs as (select * from bk t where {_SHADOW.format(t='bk')}), {_OG.format(blocks='bs')}, im as (select * from og t where {_SHADOW.format(t='og')})"""
-_LINKS = """mh as (select *, q_start - max(q_end) over (partition by store, read_id, node order by q_start, q_end rows between unbounded preceding and 1 preceding) hole from {maps}), mg as (select *, sum(case when hole is null or hole >= 500 then 1 else 0 end) over (partition by store, read_id, node order by q_start, q_end rows unbounded preceding) grp from mh),
+_LINKS = """mh as (select *, q_start - max(q_end) over (partition by store, read_id, node order by q_start, q_end rows between unbounded preceding and 1 preceding) hole from {maps}),
+ mg as (select *, sum(case when hole is null or hole >= 500 then 1 else 0 end) over (partition by store, read_id, node order by q_start, q_end rows unbounded preceding) grp from mh),
  mm as (select store, read_id, node, min(q_start) qs, max(q_end) qe, min(n_start) ns, max(n_end) ne from mg group by store, read_id, node, grp),
  gm as (select m.* from mm m join nd on nd.node_id = abs(m.node) join rd using (store, read_id) where ne - ns >= 0.7 * length(nd.seq) or qs <= 1000 or qe >= length(rd.seq) - 1000)"""
 _JOINED = "select -a.node source, b.node dest, cast(b.qs - a.qe as integer) dist, a.store, a.read_id from gm a join gm b on a.store = b.store and a.read_id = b.read_id and (b.qs > a.qs or (b.qs = a.qs and b.qe > a.qe)) and abs(a.node) <> abs(b.node)"
@@ -267,7 +299,8 @@ def longreads_multilinkage(spark, d):
 
 
 @query(f"""{_SL.format(kind='long')}, {_ENTN}, {_NB05}, {_BLK}, {_ML}, bh as (select store, read_id, abs(node) node, sum(score) hits from im group by all),
- hs as (select a.store, a.read_id, a.node, sum(nb.score * b.hits) sc from bh a join bh b on a.store = b.store and a.read_id = b.read_id join nb on nb.node = a.node and nb.other = b.node group by all), be as (select * from hs qualify row_number() over (partition by store, read_id order by sc desc, node) = 1),
+ hs as (select a.store, a.read_id, a.node, sum(nb.score * b.hits) sc from bh a join bh b on a.store = b.store and a.read_id = b.read_id join nb on nb.node = a.node and nb.other = b.node group by all),
+ be as (select * from hs qualify row_number() over (partition by store, read_id order by sc desc, node) = 1),
  ok as (select distinct be.store, be.read_id, nb.other n from be join nb on nb.node = be.node union select store, read_id, node from be), kp as (select im.* from im join ok on ok.store = im.store and ok.read_id = im.read_id and ok.n = abs(im.node)), {_LINKS.format(maps='kp')} {_JOINED}""")
 def long10x_multilinkage(spark, d):
     n = nodes(spark, d).select("node_id", F.length("seq").alias("size"))

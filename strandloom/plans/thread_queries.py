@@ -28,7 +28,8 @@ _NT = "nt as (select distinct abs(node) node, thread_id from th)"
 _RN = "rn as (select *, row_number() over (partition by thread_id order by idx) - 1 place from th)"
 
 
-@query(f"{W} select -node source, nx dest, cast(ns - end_pos as integer) dist, thread_id, cast(o as integer) ordinal from (select *, lead(node) over w nx, lead(start_pos) over w ns, row_number() over w - 1 o from th window w as (partition by thread_id order by idx)) where nx is not null")
+@query(f"""{W}
+ select -node source, nx dest, cast(ns - end_pos as integer) dist, thread_id, cast(o as integer) ordinal from (select *, lead(node) over w nx, lead(start_pos) over w ns, row_number() over w - 1 o from th window w as (partition by thread_id order by idx)) where nx is not null""")
 def thread_links(spark, d):
     return R.thread_links(threads(spark, d))
 
@@ -96,12 +97,17 @@ def node_thread_neighbours(spark, d):
     return R.node_thread_neighbours(threads(spark, d))
 
 
-@query(f"{W}, nt as (select distinct abs(node) node, cast(sign(node) as bigint) * thread_id thread_id from th) select a.node, b.node other, count(*) shared_threads from nt a join nt b using (thread_id) where a.node < b.node group by all")
+@query(f"""{W},
+ nt as (select distinct abs(node) node, cast(sign(node) as bigint) * thread_id thread_id from th)
+ select a.node, b.node other, count(*) shared_threads from nt a join nt b using (thread_id) where a.node < b.node group by all""")
 def shared_threads(spark, d):
     return R.shared_threads(threads(spark, d))
 
 
-@query(f"{W}, {_NT}, sh as (select a.node, b.node other from nt a join nt b using (thread_id) where a.node <> b.node group by all having count(*) > 2), sp as (select a.thread_id, a.node, count(*) n from nt a join nt b using (thread_id) join sh on sh.node = a.node and sh.other = b.node group by all) select nt.thread_id, nt.node from nt left join sp using (thread_id, node) where coalesce(n, 0) <= 1")
+@query(f"""{W}, {_NT},
+ sh as (select a.node, b.node other from nt a join nt b using (thread_id) where a.node <> b.node group by all having count(*) > 2),
+ sp as (select a.thread_id, a.node, count(*) n from nt a join nt b using (thread_id) join sh on sh.node = a.node and sh.other = b.node group by all)
+ select nt.thread_id, nt.node from nt left join sp using (thread_id, node) where coalesce(n, 0) <= 1""")
 def support_popping(spark, d):
     return R.support_popping_list(threads(spark, d), 1, 2)
 
@@ -116,14 +122,20 @@ def lowmap_popping(spark, d):
     return R.thread_count_popping_list(threads(spark, d), least=2)
 
 
-@query(f"{W}, {_NT}, k as (select * from th where abs(node) not in (select node from nt group by node having count(*) > 30)), r as (select *, row_number() over (partition by thread_id order by idx) - 1 i, count(*) over (partition by thread_id) n from k) select thread_id, cast(i as integer) idx, node from r where n >= 2")
+@query(f"""{W}, {_NT},
+ k as (select * from th where abs(node) not in (select node from nt group by node having count(*) > 30)),
+ r as (select *, row_number() over (partition by thread_id order by idx) - 1 i, count(*) over (partition by thread_id) n from k)
+ select thread_id, cast(i as integer) idx, node from r where n >= 2""")
 def popped_threads(spark, d):
     t = threads(spark, d)
     return R.pop(t, R.thread_count_popping_list(t, most=30)).select("thread_id", "idx", "node")
 
 
 @query(f"""with recursive {UNIQUE}, nu as materialized (select distinct abs(node) node, thread_id from ut), pa as materialized (select a.node, a.thread_id t1, b.thread_id t2 from nu a join nu b using (node) where a.thread_id <> b.thread_id), cl as materialized (select t1, t2 from pa group by all having count(*) >= 2),
- ed as materialized (select node, t1, t2 from pa join cl using (t1, t2)), cc as (select node, thread_id t, thread_id root from nu union select cc.node, ed.t2, cc.root from cc join ed on ed.node = cc.node and ed.t1 = cc.t), g as (select node, t thread_id, min(root) c from cc group by all), z as (select node, c, count(*) n from g group by all),
+ ed as materialized (select node, t1, t2 from pa join cl using (t1, t2)),
+ cc as (select node, thread_id t, thread_id root from nu union select cc.node, ed.t2, cc.root from cc join ed on ed.node = cc.node and ed.t1 = cc.t),
+ g as (select node, t thread_id, min(root) c from cc group by all),
+ z as (select node, c, count(*) n from g group by all),
  rk as (select node, c, n, row_number() over (partition by node order by n desc) r, count(*) over (partition by node, n) ties from z), tw as (select node, max(n) filter (r = 1) n1, coalesce(max(n) filter (r = 2), 0) n2, max(c) filter (r = 1) c1 from rk group by node)
  select g.thread_id, g.node from g join tw using (node) where n2 > 0.5 * n1 or c <> c1""")
 def clustering_popping(spark, d):
@@ -142,7 +154,8 @@ def subset_positions(spark, d):
     return R.subset_positions(threads(spark, d), nodes(spark, d).where("length(seq) >= 300").select(F.col("node_id").alias("node")))
 
 
-@query(f"{W}, {_RN} select least(abs(a.node), abs(b.node)) node, greatest(abs(a.node), abs(b.node)) other, count(*) times from rn a join rn b on a.thread_id = b.thread_id and b.place between a.place + 1 and a.place + 3 where abs(a.node) <> abs(b.node) group by 1, 2")
+@query(f"""{W}, {_RN}
+ select least(abs(a.node), abs(b.node)) node, greatest(abs(a.node), abs(b.node)) other, count(*) times from rn a join rn b on a.thread_id = b.thread_id and b.place between a.place + 1 and a.place + 3 where abs(a.node) <> abs(b.node) group by 1, 2""")
 def node_proximity_r3(spark, d):
     return R.proximity(threads(spark, d), 3)
 
