@@ -203,8 +203,7 @@ def supported_threads(spark, d):
 def class_from_thread(spark, d):
     t, nc, _ = _classes(spark, d)
     first = t.agg(F.min("thread_id")).first()[0]
-    none = P.reset_classes(t.select("thread_id").distinct())
-    return P.new_class_from_thread(t, nc, none, first)[0]
+    return P.new_class_from_thread(t, nc, P.new_partition(t)[1], first)[0]
 
 
 @query()
