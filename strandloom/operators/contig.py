@@ -281,14 +281,19 @@ def patch_groups(graph: Graph, groups: DataFrame, least: int = 15, most: int = 1
 def exact_end_overlaps(nodes: DataFrame, least: int = 15, most: int = 126) -> DataFrame:
     """(source, dest, overlap): ends of different nodes whose letters overlap exactly, the longest per pair.
 
-    Where an overlap of ``n`` letters exists, the ``least`` letters with which the second node begins stand ``n`` letters before the end of the first: one row
-    per node and one per place near an end meet by these letters, and the rest is compared once they have met.
+    Where an overlap of ``n`` letters exists, the ``least`` letters with which the second node begins stand ``n`` letters before the end of the first. Places near
+    an end are first kept by a hash of these letters that some node begins with, as three numbers each; only those that are left get their letters and meet the
+    nodes, and the rest is compared once they have met. The planner takes the many places of an end for one row, so their joins are hinted to merge.
     """
     both = nodes.where(F.length("seq") >= least).select(F.explode(F.array(F.struct("node_id", "seq"), F.struct((-F.col("node_id")).alias("node_id"), rc(F.col("seq")).alias("seq")))).alias("n")).select("n.*")
-    tails = both.select((-F.col("node_id")).alias("source"), F.right("seq", F.lit(most)).alias("tail")).select("source", "tail", F.explode(F.sequence(F.lit(least), F.least(F.lit(most), F.length("tail")))).alias("overlap"))
-    tails = tails.select("source", F.right("tail", F.col("overlap")).alias("tail"), "overlap").withColumn("seed", F.substring("tail", 1, least))
+    ends_ = both.select((-F.col("node_id")).alias("source"), F.right("seq", F.lit(most)).alias("end"))
     heads = both.select(F.col("node_id").alias("dest"), F.substring("seq", 1, most).alias("head"), F.substring("seq", 1, least).alias("seed"))
-    j = tails.join(heads, "seed").where("abs(source) <> abs(dest) and source < dest and startswith(head, tail)")
+    places = ends_.select("source", "end", F.explode(F.sequence(F.lit(least), F.least(F.lit(most), F.length("end")))).alias("overlap"))
+    begun = F.substring(F.right("end", F.col("overlap")), 1, least)
+    known = heads.select(F.hash("seed").alias("key")).distinct()
+    near = places.select("source", "overlap", F.hash(begun).alias("key")).hint("merge").join(known, "key", "left_semi").select("source", "overlap")
+    tails = near.hint("merge").join(ends_, "source").select("source", F.right("end", F.col("overlap")).alias("tail"), "overlap").withColumn("seed", F.substring("tail", 1, least))
+    j = tails.hint("merge").join(heads, "seed").where("abs(source) <> abs(dest) and source < dest and startswith(head, tail)")
     return j.groupBy("source", "dest").agg(F.max("overlap").alias("overlap"))
 
 
