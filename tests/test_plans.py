@@ -9,7 +9,7 @@ from pyspark.sql.classic.dataframe import DataFrame as Classic
 import __spark_entry__ as entry
 
 #: Queries that failed by the driver's memory, as the planner took their k-mers, or places near ends, for a few rows.
-QUERIES = ["kmer_freq_filtered_index", "kci_upper_median", "count_pattern", "read_mappings", "candidate_counts", "anchor_links", "size_id_filter", "perfect_mappings", "recruit_reads", "sandwiches_cleaned", "turnarounds_truncated", "exact_end_overlaps", "paired_linkage", "best_nodes", "shadowed_filter", "long10x_multilinkage"]
+QUERIES = ["kmer_freq_filtered_index", "kci_upper_median", "count_pattern", "read_mappings", "candidate_counts", "anchor_links", "size_id_filter", "perfect_mappings", "recruit_reads", "sandwiches_cleaned", "turnarounds_truncated", "exact_end_overlaps", "paired_linkage", "best_nodes", "shadowed_filter", "long10x_multilinkage", "reads_pathed_extended"]
 
 
 def multiplied(plan: str) -> list[str]:
