@@ -65,6 +65,12 @@ def bubble(spark):
     return G.Graph(nodes, links)
 
 
+def test_bubble_counts_links(spark, bubble):
+    """A side linked twice with the same neighbour has no single next node, and what enters there are three links."""
+    twice = bubble.add_links(spark.createDataFrame([(-2, 4, 7)], "source long, dest long, dist int"))
+    assert G.bubble_sides(twice.nodes, twice.links).isEmpty()
+
+
 def test_bubble_and_tangle(spark, bubble):
     assert {r.node_id for r in G.bubble_sides(bubble.nodes, bubble.links).collect()} == {2, 3}
     t = T.tangles(bubble.nodes, bubble.links, spark.createDataFrame([(1,), (4,)], "node_id long"))
