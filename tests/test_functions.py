@@ -65,6 +65,18 @@ def bubble(spark):
     return G.Graph(nodes, links)
 
 
+def test_lines_keep_one_state(spark, monkeypatch):
+    """Of the rounds over a long chain only the last state stays on disk."""
+    gone = []
+    discard = T.discard
+    monkeypatch.setattr(T, "discard", lambda t: (gone.append(t), discard(t))[1])
+    n = 20
+    nodes = spark.createDataFrame([(i, "ACGT") for i in range(1, n + 1)], "node_id long, seq string")
+    links = spark.createDataFrame([(-i, i + 1, -3) for i in range(1, n)], "source long, dest long, dist int")
+    assert [r.node for r in T.lines(nodes, links).orderBy("place").collect()] == list(range(1, n + 1))
+    assert len(gone) >= 5
+
+
 def test_bubble_counts_links(spark, bubble):
     """A side linked twice with the same neighbour has no single next node, and what enters there are three links."""
     twice = bubble.add_links(spark.createDataFrame([(-2, 4, 7)], "source long, dest long, dist int"))
