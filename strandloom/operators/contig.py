@@ -354,8 +354,7 @@ def _in_order(rows):
     out = []
     for op, items in rows.sort_values("op_id").groupby("op_id", sort=True):
         mine = set(items["item"])
-        first = bool(items["always"].iloc[0])
-        if first or not mine & taken:
+        if not mine & taken:
             taken |= mine
             out.append(op)
     import pandas as pd
@@ -367,29 +366,33 @@ def accepted_edits(ops: DataFrame, local_rows: int = LOCAL_EDITS) -> DataFrame:
     """The edits of a queue that are accepted: (op_id).
 
     ``ops`` has (op_id, kind, item): the signed ends an edit consumes; an edit of a whole node consumes both of its ends. Kinds ending
-    in ``deletion`` are always accepted; any other edit is if no accepted earlier edit consumes one of its items. Edits that share items, also
+    in ``deletion`` are always accepted; any other edit is if no accepted earlier edit consumes one of its items. So what an earlier deletion
+    consumes is rejected at once, and deletions never wait for one another. Of the other edits, those that share items, also
     through others, are a group; a group of up to ``local_rows`` rows is decided by one task, and a larger one in rounds by aggregates per
     item, as many as it needs: an edit that comes first for all its items is accepted, and what it shares them with is rejected.
     """
     rows = persisted(ops.select(F.col("op_id").cast("long"), F.col("kind").endswith("deletion").alias("always"), F.col("item").cast("long").alias("item")).distinct(), "edits")
+    deleted = rows.where("always").groupBy("item").agg(F.min("op_id").alias("gone"))
+    late = rows.where("not always").join(deleted, "item").where("gone < op_id").select("op_id").distinct()
+    asked = persisted(rows.where("not always").join(late, "op_id", "left_anti").select("op_id", "item"), "edits")
     a, b = F.col("op_id") * 2, F.xxhash64("item").bitwiseOR(F.lit(1))
-    member = rows.select("op_id", a.alias("id")).distinct()
-    group = components(rows.select(a.alias("a"), b.alias("b")), member.select("id")).select((F.col("id") / 2).cast("long").alias("op_id"), F.col("component").alias("grp"))
-    placed = persisted(rows.join(group, "op_id"), "edits")
+    member = asked.select("op_id", a.alias("id")).distinct()
+    group = components(asked.select(a.alias("a"), b.alias("b")), member.select("id")).select((F.col("id") / 2).cast("long").alias("op_id"), F.col("component").alias("grp"))
+    placed = persisted(asked.join(group, "op_id"), "edits")
     sizes = placed.groupBy("grp").agg(F.count("*").alias("n"))
     small = placed.join(sizes.where(F.col("n") <= local_rows).select("grp"), "grp", "left_semi")
     done = small.groupBy("grp").applyInPandas(lambda t: _in_order(t), "op_id long")
-    left = persisted(placed.join(sizes.where(F.col("n") > local_rows).select("grp"), "grp", "left_semi").select("op_id", "always", "item"), "edits")
-    parts = [done]
+    left = persisted(placed.join(sizes.where(F.col("n") > local_rows).select("grp"), "grp", "left_semi").select("op_id", "item"), "edits")
+    parts = [rows.where("always").select("op_id"), done]
     while not left.isEmpty():
-        # per item the first edit; one that is first for all of its items, or a deletion with no earlier undecided edit, is decided
+        # per item the first edit; one that is first for all of its items is decided
         first = left.groupBy("item").agg(F.min("op_id").alias("first"))
-        met = left.join(first, "item").groupBy("op_id", "always").agg(F.min(F.col("op_id") == F.col("first")).alias("leads"))
+        met = left.join(first, "item").groupBy("op_id").agg(F.min(F.col("op_id") == F.col("first")).alias("leads"))
         won = persisted(met.where("leads").select("op_id"), "edits")
         parts.append(won)
         used = left.join(won, "op_id", "left_semi").select("item").distinct()
-        lost = left.where("not always").join(used, "item", "left_semi").select("op_id").distinct()
-        rest = persisted(left.join(won, "op_id", "left_anti").join(lost, "op_id", "left_anti"), "edits")
+        lost = left.join(used, "item", "left_semi").select("op_id").distinct()
+        rest = persisted(left.join(lost, "op_id", "left_anti"), "edits")
         discard(left)
         left = rest
     out = parts[0]
