@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from strandloom.operators.extend import bridge_paths
+from strandloom.operators.graph import Graph
 from strandloom.operators.traversal import paths_between
 
 
@@ -47,16 +49,19 @@ def joined_rows(plan) -> list[int]:
     return own + [n for i in range(children.size()) for n in joined_rows(children.apply(i))]
 
 
-def test_pairs_of_a_start_share_its_walks(spark):
+@pytest.mark.parametrize("bridged", [False, True])
+def test_pairs_of_a_start_share_its_walks(spark, bridged):
     n = 60
     links = [(-1, 2, 0)] + [(-2, 100 + i, 0) for i in range(n)] + [(-(100 + i), 200 + i, 0) for i in range(n)]
     ids = [1, 2, *range(100, 100 + n), *range(200, 200 + n)]
-    nodes = spark.createDataFrame([(i, "A") for i in ids], "node_id long, seq string")
-    pairs = spark.createDataFrame([(1, 200 + i) for i in range(n)], "from_node long, to_node long")
+    nodes, links = spark.createDataFrame([(i, "A") for i in ids], "node_id long, seq string"), spark.createDataFrame(links, "source long, dest long, dist int")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        got = paths_between(nodes, spark.createDataFrame(links, "source long, dest long, dist int"), pairs, 2, 100)
-        assert len(got.collect()) == n
+        if bridged:
+            got = bridge_paths(spark.createDataFrame([(i, [1, 200 + i]) for i in range(n)], "read_id long, path array<bigint>"), Graph(nodes, links), 2, 100)
+        else:
+            got = paths_between(nodes, links, spark.createDataFrame([(1, 200 + i) for i in range(n)], "from_node long, to_node long"), 2, 100)
+        assert {tuple(x.path) for x in got.collect()} == {(1, 2, 100 + i, 200 + i) if bridged else (2, 100 + i) for i in range(n)}
         assert max(joined_rows(got._jdf.queryExecution().executedPlan())) < 10 * n  # walked by pair it is n * n
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
