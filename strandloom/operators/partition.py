@@ -6,6 +6,10 @@ Threads are (thread_id, idx, node, start_pos, end_pos); classes are tables
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,24 +85,111 @@ def class_of(classes: DataFrame, key: str, value: int) -> int:
     return -1 if row is None else row[0]
 
 
+#: Threads on hot nodes that go to every task as one array, and the least threads that make a node hot; other nodes send theirs along with each of their places.
+LOCAL_THREADS, HOT_THREADS = 1 << 22, 64
+
+
+def _held_out(name: int, nodes: list[int], lists: list[np.ndarray], packed, ids: np.ndarray, support: int) -> bool:
+    """Whether no two places after the middle of a thread follow one another that fewer than ``support`` threads support.
+
+    ``packed`` gives the bits, over ``ids``, of the threads of a hot node, or none; of other nodes ``lists`` has them. Threads met at such a place, and the thread itself, are counted one by
+    one (``listed`` and ``hot`` times so far), all others on hot nodes only: bit j of ``level[k]`` tells that ``ids[j]`` was met k times there.
+    """
+    bits = [packed(x) for x in nodes]
+    own, at = np.unique(np.concatenate([*lists, [name]]), return_inverse=True)
+    ends = np.cumsum([len(x) for x in lists])
+    counts, listed, hot = own != name, np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+    if any(x is not None for x in bits):
+        spot = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+        known, word, shift = ids[spot] == own, spot >> 6, (spot & 63).astype(np.uint64)
+        level = np.zeros((support + 1, -(-len(ids) // 64)), np.uint64)
+        level[0] = ~np.uint64(0)
+    alone = False
+    for i, m in enumerate(bits):
+        late = i > len(nodes) // 2
+        if m is None:
+            here = at[ends[i] - len(lists[i]) : ends[i]]
+            good = late and np.count_nonzero(counts[here] & (listed[here] + hot[here] >= support))
+            listed[here] += 1
+        else:
+            here = known & ((m[word] >> shift) & np.uint64(1) == 1)
+            good = late and int(np.bitwise_count(level[support] & m).sum()) - np.count_nonzero(here & (hot >= support)) + np.count_nonzero(here & counts & (listed + hot >= support))
+            for k in range(support, 0, -1):
+                level[k] |= level[k - 1] & m
+            hot += here
+        if late and good < support and alone:
+            return False
+        alone = late and good < support
+    return True
+
+
+def _supported(shared, support: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, offsets, held = shared.value
+        ids = np.unique(np.concatenate([held, -held]))
+        place = {n: i for i, n in enumerate(hot.tolist())}
+        made: dict[int, np.ndarray] = {}
+        of = lambda x: held[offsets[place[abs(x)]] : offsets[place[abs(x)] + 1]] * (1 if x > 0 else -1)
+
+        def packed(x: int) -> np.ndarray | None:
+            # bits only where they take no more room than the ids
+            if x not in made and (i := place.get(abs(x))) is not None and 64 * (offsets[i + 1] - offsets[i]) >= len(ids):
+                flags = np.zeros(-(-len(ids) // 64) * 64, np.uint8)
+                flags[np.searchsorted(ids, of(x))] = 1
+                made[x] = np.packbits(flags, bitorder="little").view(np.uint64)
+            return made.get(x)
+
+        none = np.zeros(0, np.int64)
+        name, nodes, lists = None, [], []
+        for batch in batches:
+            names, signed, arrays = (batch.column(batch.schema.get_field_index(c)) for c in ("thread_id", "node", "held"))
+            ends, values = arrays.offsets.to_numpy(), arrays.values.to_numpy()
+            good = []
+            for i, (t, x) in enumerate(zip(names.to_pylist(), signed.to_pylist())):
+                if t != name:
+                    if nodes and _held_out(name, nodes, lists, packed, ids, support):
+                        good.append(name)
+                    name, nodes, lists = t, [], []
+                nodes.append(x)
+                if abs(x) in place:
+                    lists.append(none if packed(x) is not None else of(x))
+                else:
+                    lists.append(values[ends[i] : ends[i + 1]] * (1 if x > 0 else -1))
+            yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], names=["thread_id"])
+        if nodes and _held_out(name, nodes, lists, packed, ids, support):
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64())], names=["thread_id"])
+
+    return run
+
+
 def supported_threads(threads: DataFrame, asked: DataFrame, support: int) -> DataFrame:
     """Those of the asked threads (column ``thread_id``) whose second half other threads bear out: (thread_id).
 
     At each of its places another thread that holds the node in the same orientation has been met before at as many places as the two share; it supports the place
     if these are at least ``support``. A thread fails where two places after its middle follow one another that fewer than ``support`` threads support.
+
+    Threads that meet are not paired, which a hot node squares: a thread is judged within its task. The threads of hot nodes, ``LOCAL_THREADS`` at most, go to
+    every task, those of another node come with each of its places.
     """
-    t = renumber(threads).withColumn("n", F.count("*").over(Window.partitionBy("thread_id"))).select("thread_id", "idx", "node", "n")
-    mine = t.join(asked.select("thread_id").distinct(), "thread_id", "left_semi")
-    others = node_threads(threads, oriented=True)
-    oriented = others.select((F.signum("thread_id").cast("long") * F.col("node")).alias("node"), F.abs("thread_id").alias("other"), F.lit(1).alias("w"))
-    flipped = others.select((-F.signum("thread_id").cast("long") * F.col("node")).alias("node"), (-F.abs("thread_id")).alias("other"), F.lit(1).alias("w"))
-    met = mine.join(oriented.unionByName(flipped), "node").where("other <> thread_id")
-    before = met.withColumn("before", F.row_number().over(Window.partitionBy("thread_id", "other").orderBy("idx")) - 1)
-    good = before.groupBy("thread_id", "idx").agg(F.sum((F.col("before") >= support).cast("int")).alias("good"))
-    late = mine.where(F.col("idx") > F.floor(F.col("n") / 2)).join(good, ["thread_id", "idx"], "left").withColumn("unsafe", F.coalesce("good", F.lit(0)) < support)
-    w = Window.partitionBy("thread_id").orderBy("idx")
-    fails = late.withColumn("two", F.col("unsafe") & F.lag("unsafe").over(w)).where("two").select("thread_id").distinct()
-    return asked.select("thread_id").distinct().join(t.select("thread_id").distinct(), "thread_id", "left_semi").join(fails, "thread_id", "left_anti")
+    spark = threads.sparkSession
+    held = persisted(node_threads(threads, oriented=True).select("node", F.col("thread_id").cast("long").alias("thread_id")), "held")
+    size = held.groupBy("node").agg(F.count("*").alias("n"))
+    least, kept = 62, 0  # nodes on 2^least threads or more are hot
+    for r in size.groupBy((F.length(F.bin("n")) - 1).alias("power")).agg(F.sum("n").alias("all")).orderBy(F.desc("power")).collect():
+        if (kept := kept + r["all"]) > LOCAL_THREADS or 2 ** (r["power"] + 1) <= HOT_THREADS:
+            break
+        least = r["power"]
+    hot = size.where(F.col("n") >= max(HOT_THREADS, 2**least)).select("node")
+    t = held.join(hot, "node", "left_semi").toArrow()
+    a, b = (t.column(c).to_numpy().astype(np.int64) for c in ("node", "thread_id"))
+    order = np.argsort(a, kind="stable")
+    names, begin = np.unique(a[order], return_index=True)
+    shared = spark.sparkContext.broadcast((names, np.append(begin, len(a)), b[order]))
+    few = held.join(hot, "node", "left_anti").groupBy("node").agg(F.collect_list("thread_id").alias("held")).withColumnRenamed("node", "__node")
+    mine = threads.join(asked.select("thread_id").distinct(), "thread_id", "left_semi").select(F.col("thread_id").cast("long").alias("thread_id"), "idx", "node")
+    met = mine.join(few, F.abs("node") == F.col("__node"), "left").select("thread_id", "idx", "node", F.coalesce("held", F.array().cast("array<bigint>")).alias("held"))
+    placed = met.repartition(4 * shuffle_width(spark), "thread_id").sortWithinPartitions("thread_id", "idx").select("thread_id", "node", "held")
+    return placed.mapInArrow(_supported(shared, support), "thread_id long").hint("merge")
 
 
 def new_class_from_thread(threads: DataFrame, node_class: DataFrame, thread_class: DataFrame, thread: int) -> tuple[DataFrame, DataFrame, int]:
