@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.operators import kmer_counts as K
 from strandloom.operators import linkage as L
 from strandloom.operators import mapping as M
+from strandloom.operators.seeding import frequency_seeds
 from strandloom.plans.graph_queries import TH, _thin, links
 from strandloom.plans.graph_queries import L as LINKS_SQL
 from strandloom.plans.kmer_queries import seeds_sql
@@ -29,9 +29,8 @@ def query(sql: str | None = None):
 
 def seeds(spark, d, kind: str | None = None, limit: int = 200):
     """Seeds on graph k-mers occurring fewer than ``limit`` times: 200 for mapping, 50 where the long-read recruiter matches exactly."""
-    t = nodes(spark, d)
     r = reads(spark, d)
-    return K.seed_matches(r if kind is None else r.where(F.col("kind") == kind), K.frequency_index(t, 31, limit), t, 31)
+    return frequency_seeds(r if kind is None else r.where(F.col("kind") == kind), nodes(spark, d), 31, limit)
 
 
 S, S50 = seeds_sql(200), seeds_sql(50)
@@ -54,8 +53,7 @@ def candidate_counts(spark, d):
  x as (select rk.store, rk.read_id, rk.pos, case when rk.is_fw = nk.is_fw then nk.node_id else -nk.node_id end node from rk join nk using (kmer) where kmer in (select kmer from uq))
  select store, read_id, abs(node) node, min(pos) first_pos, max(pos) + 30 last_pos, count(*) unique_matches, node < 0 rev from x group by store, read_id, x.node""")
 def read_mappings(spark, d):
-    t = nodes(spark, d)
-    return M.read_mappings(K.seed_matches(reads(spark, d), K.unique_index(t, 31), t, 31), 31)
+    return M.read_mappings(seeds(spark, d, limit=2), 31)
 
 
 @query(f"{S}, {_BLK} select store, read_id, node, q_start, q_end, n_start, n_end, score from bk")
