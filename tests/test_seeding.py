@@ -1,10 +1,13 @@
 """Seeds by minimizer: the rows of the k-mer join, by fewer rows shuffled."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame as Classic
 
+import __spark_entry__ as entry
 from strandloom.operators import kmer_counts as K
 from strandloom.operators import seeding as S
 from strandloom.plans.views import nodes, reads
@@ -44,3 +47,19 @@ def test_far_fewer_rows_are_shuffled(spark, data):
     seeds = S.frequency_seeds(r, n, 31, 200).count()
     assert S.seed_runs(r, n, 31, 200).count() < seeds / 4
     assert S.stretches(r, 31, ["store", "read_id"]).count() < S.stretches(r, 31, ["store", "read_id"]).selectExpr("sum(run)").first()[0] / 5
+
+
+#: Queries on seeds, which joined them k-mer by k-mer.
+QUERIES = [
+    "best_nodes",
+]
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_kmers_are_not_joined_one_by_one(spark, data, name, monkeypatch):
+    seen = []
+    write = Classic.write
+    monkeypatch.setattr(Classic, "write", property(lambda self: (seen.append(self), write.fget(self))[1]))
+    seen.append(entry.queries()[name](spark, data))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in seen]
+    assert any("head#" in p for p in plans) and not any(re.search(r"Join \[code#", p) for p in plans)
