@@ -52,6 +52,7 @@ def test_far_fewer_rows_are_shuffled(spark, data):
 #: Queries on seeds, which joined them k-mer by k-mer.
 QUERIES = [
     "best_nodes",
+    "turnarounds_truncated",
 ]
 
 
