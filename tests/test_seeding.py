@@ -53,6 +53,7 @@ def test_far_fewer_rows_are_shuffled(spark, data):
 QUERIES = [
     "best_nodes",
     "turnarounds_truncated",
+    "shadowed_filter",
 ]
 
 
