@@ -54,6 +54,7 @@ QUERIES = [
     "best_nodes",
     "turnarounds_truncated",
     "shadowed_filter",
+    "paired_linkage",
 ]
 
 
