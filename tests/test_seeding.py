@@ -55,6 +55,7 @@ QUERIES = [
     "turnarounds_truncated",
     "shadowed_filter",
     "paired_linkage",
+    "long10x_multilinkage",
 ]
 
 
