@@ -56,6 +56,7 @@ QUERIES = [
     "shadowed_filter",
     "paired_linkage",
     "long10x_multilinkage",
+    "size_id_filter",
 ]
 
 
