@@ -57,6 +57,7 @@ QUERIES = [
     "paired_linkage",
     "long10x_multilinkage",
     "size_id_filter",
+    "perfect_mappings",
 ]
 
 
