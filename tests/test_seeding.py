@@ -58,6 +58,7 @@ QUERIES = [
     "long10x_multilinkage",
     "size_id_filter",
     "perfect_mappings",
+    "recruit_reads",
 ]
 
 
