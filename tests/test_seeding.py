@@ -59,6 +59,7 @@ QUERIES = [
     "size_id_filter",
     "perfect_mappings",
     "recruit_reads",
+    "sandwiches_cleaned",
 ]
 
 
