@@ -60,6 +60,7 @@ QUERIES = [
     "perfect_mappings",
     "recruit_reads",
     "sandwiches_cleaned",
+    "read_mappings",
 ]
 
 
