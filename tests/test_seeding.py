@@ -61,6 +61,7 @@ QUERIES = [
     "recruit_reads",
     "sandwiches_cleaned",
     "read_mappings",
+    "reads_pathed_extended",
 ]
 
 
