@@ -17,7 +17,7 @@ from strandloom.functions.kmers import rc
 from strandloom.functions.seq import kmers, read_key
 from strandloom.operators.graph import Graph, next_nodes
 from strandloom.operators.kmer_counts import counts_from
-from strandloom.operators.traversal import lines, paths_between
+from strandloom.operators.traversal import lines, paths_of_pairs
 from strandloom.session import persisted
 
 
@@ -188,7 +188,7 @@ def bridge_paths(paths: DataFrame, graph: Graph, max_nodes: int = 4, max_size: i
     steps = persisted(paths.where("size(path) > 0").select(*key, F.explode(at).alias("s")).select(*key, "s.*"), "steps")
     linked = next_nodes(graph.links).select(F.col("node").alias("a"), F.col("next_node").alias("b")).distinct().withColumn("linked", F.lit(True))
     open_ = steps.where("a <> 0 and b <> 0").select("a", "b").distinct().join(linked, ["a", "b"], "left_anti").select(F.col("a").alias("from_node"), F.col("b").alias("to_node"))
-    ways = paths_between(graph.nodes, graph.links, open_, max_nodes, max_size).groupBy("from_node", "to_node").agg(F.count("*").alias("n"), F.first("path").alias("way"))
+    ways = paths_of_pairs(graph.nodes, graph.links, open_, max_nodes, max_size).groupBy("from_node", "to_node").agg(F.count("*").alias("n"), F.first("path").alias("way"))
     one = ways.where("n = 1").select(F.col("from_node").alias("a"), F.col("to_node").alias("b"), "way")
     j = steps.join(linked, ["a", "b"], "left").join(one, ["a", "b"], "left")
     none = F.array().cast("array<bigint>")

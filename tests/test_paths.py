@@ -4,9 +4,10 @@ import random
 
 import pytest
 
+from strandloom.operators import traversal
 from strandloom.operators.extend import bridge_paths
 from strandloom.operators.graph import Graph
-from strandloom.operators.traversal import paths_between
+from strandloom.operators.traversal import paths_between, paths_of_pairs
 
 
 def brute(sizes: dict, steps: dict, pairs: list, max_nodes: int, max_size: int) -> list:
@@ -65,3 +66,41 @@ def test_pairs_of_a_start_share_its_walks(spark, bridged):
         assert max(joined_rows(got._jdf.queryExecution().executedPlan())) < 10 * n  # walked by pair it is n * n
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.parametrize("seed", range(3, 9))
+def test_pairs_walked_from_both_ends(spark, seed):
+    r = random.Random(seed)
+    ids = range(1, 10)
+    sizes = {i: r.randint(1, 9) for i in ids}
+    end = lambda: r.choice([*ids, 1, 1, 2]) * r.choice((1, -1))
+    links = [(end(), end(), r.randint(-8, 3)) for _ in range(22)]
+    steps: dict = {}
+    for a, b, dist in links:
+        for s, d in ((a, b), (b, a)):
+            at = steps.setdefault(-s, {})
+            at[d] = min(at.get(d, dist), dist)
+    pairs = sorted({(end(), end()) for _ in range(30)} | {(1, 1), (1, -1)})
+    nodes = spark.createDataFrame([(i, "A" * n) for i, n in sizes.items()], "node_id long, seq string")
+    got = paths_of_pairs(nodes, spark.createDataFrame(links, "source long, dest long, dist int"), spark.createDataFrame(pairs, "from_node long, to_node long"), 3, 9)
+    want = brute(sizes, steps, pairs, 3, 9)
+    assert sorted((x.from_node, x.to_node, tuple(x.path), x.size) for x in got.collect()) == want and any(len(w[2]) > 1 for w in want)
+
+
+def test_neighbours_of_a_hub_are_not_listed_for_every_pair(spark, monkeypatch):
+    n, hub = 60, 1
+    links = [(-(100 + i), hub, 0) for i in range(n)] + [(-hub, 200 + i, 0) for i in range(n)] + [(-(200 + i), 300 + i, 0) for i in range(n)]
+    ids = [hub, *range(100, 100 + n), *range(200, 200 + n), *range(300, 300 + n)]
+    nodes, links = spark.createDataFrame([(i, "A") for i in ids], "node_id long, seq string"), spark.createDataFrame(links, "source long, dest long, dist int")
+    kept = []
+    if hasattr(traversal, "persisted"):
+        write = traversal.persisted
+        monkeypatch.setattr(traversal, "persisted", lambda df, name: (kept.append(write(df, name)), kept[-1])[1])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = bridge_paths(spark.createDataFrame([(i, [100 + i, 300 + i]) for i in range(n)], "read_id long, path array<bigint>"), Graph(nodes, links), 2, 100)
+        assert {tuple(x.path) for x in got.collect()} == {(100 + i, hub, 200 + i, 300 + i) for i in range(n)}
+        rows = [*joined_rows(got._jdf.queryExecution().executedPlan()), *(x.count() for x in kept)]
+        assert max(rows) < 10 * n  # walked from one end it is n * n
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
