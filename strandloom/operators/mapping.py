@@ -46,7 +46,7 @@ def drop_shadowed(blocks: DataFrame) -> DataFrame:
     inside = (F.col("s") <= F.col("q_start")) & (F.col("e") >= F.col("q_end")) & (F.col("better") > F.col("score"))
     for c in key:
         inside = inside & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return blocks.join(other, inside, "left_anti")
+    return blocks.join(other.hint("merge"), inside, "left_anti")
 
 
 def window_winners(seeds: DataFrame, read_sizes: DataFrame, k: int, window: int = 100) -> DataFrame:

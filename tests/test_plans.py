@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.classic.dataframe import DataFrame as Classic
 
 import __spark_entry__ as entry
+from strandloom.operators.mapping import drop_shadowed
 
 #: Queries that failed by the driver's memory, as the planner took their k-mers, or places near ends, for a few rows.
 QUERIES = ["kmer_freq_filtered_index", "kci_upper_median", "count_pattern", "read_mappings", "candidate_counts", "anchor_links", "size_id_filter", "perfect_mappings", "recruit_reads", "sandwiches_cleaned", "turnarounds_truncated", "exact_end_overlaps", "paired_linkage", "best_nodes", "shadowed_filter", "long10x_multilinkage", "reads_pathed_extended", "stats_by_kci"]
@@ -34,3 +35,13 @@ def test_multiplied_rows_are_not_broadcast(spark, data, name, monkeypatch):
     monkeypatch.setattr(Classic, "write", property(lambda self: (seen.append(self), write.fget(self))[1]))
     seen.append(entry.queries()[name](spark, data))
     assert [x for df in seen for x in multiplied(df._jdf.queryExecution().executedPlan().toString())] == []
+
+
+def planned(df: DataFrame) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_a_small_file_are_not_broadcast(spark):
+    blocks = spark.createDataFrame([("a", 1, 7, 0, 90, 5), ("a", 1, 8, 10, 80, 3), ("b", 1, 8, 10, 80, 3)], "store string, read_id long, node long, q_start int, q_end int, score long")
+    got = drop_shadowed(blocks)
+    assert sorted((x.store, x.node) for x in got.collect()) == [("a", 7), ("b", 8)] and "Broadcast" not in planned(got)
