@@ -17,8 +17,8 @@ def select_by_size(nodes: DataFrame, least: int, most: int = 0) -> DataFrame:
 
 def tag_node_reads(paths: DataFrame, tags: DataFrame) -> DataFrame:
     """Reads per tag and unsigned node: (tag, node, reads); ``tags`` has (store, read_id, tag), 0 and null are no tags."""
-    e = paths.select("store", "read_id", F.explode("path").alias("n")).where("n <> 0").select("store", "read_id", F.abs("n").alias("node")).distinct()
-    return e.join(tags.where("tag > 0").select("store", "read_id", "tag"), ["store", "read_id"]).groupBy("tag", "node").agg(F.count("*").alias("reads"))
+    e = paths.select("store", "read_id", F.explode("path").alias("n")).where("n <> 0").select("store", "read_id", F.abs("n").alias("node")).distinct().hint("merge")
+    return e.join(tags.where("tag > 0").select("store", "read_id", "tag").hint("merge"), ["store", "read_id"]).groupBy("tag", "node").agg(F.count("*").alias("reads"))
 
 
 def node_tags(tag_nodes: DataFrame, more_than: int = 0) -> DataFrame:
@@ -120,7 +120,7 @@ def mappings_multilinkage(blocks: DataFrame, node_sizes: DataFrame, read_sizes:
     t = blocks.withColumn("hole", F.col("q_start") - F.max("q_end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     t = t.withColumn("grp", F.sum((F.col("hole").isNull() | (F.col("hole") >= merge_gap)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     m = t.groupBy(*key, "node", "grp").agg(F.min("q_start").alias("q_start"), F.max("q_end").alias("q_end"), F.min("n_start").alias("n_start"), F.max("n_end").alias("n_end"))
-    m = m.join(node_sizes.select("node_id", F.col("size").alias("nsize")), F.abs("node") == F.col("node_id")).join(read_sizes.select(*key, F.col("size").alias("rsize")), key)
+    m = m.join(node_sizes.select("node_id", F.col("size").alias("nsize")), F.abs("node") == F.col("node_id")).join(read_sizes.select(*key, F.col("size").alias("rsize")).hint("merge"), key)
     good = m.where((F.col("n_end") - F.col("n_start") >= covered * F.col("nsize")) | (F.col("q_start") <= end_slack) | (F.col("q_end") >= F.col("rsize") - end_slack)).select(*key, "node", "q_start", "q_end")
     later = good.select(*key, F.col("node").alias("other"), F.col("q_start").alias("s2"), F.col("q_end").alias("e2"))
     j = good.join(later, key).where("(s2 > q_start or (s2 = q_start and e2 > q_end)) and abs(node) <> abs(other)")
@@ -147,7 +147,7 @@ def haplotype_scores(read_nodes: DataFrame, neighbours: DataFrame) -> DataFrame:
     key = read_key(read_nodes)
     a = read_nodes.select(*key, "node", "hits")
     b = read_nodes.select(*key, F.col("node").alias("other"), F.col("hits").alias("other_hits"))
-    j = a.join(b, key).join(neighbours.select("node", "other", F.col("score").alias("s")), ["node", "other"])
+    j = a.join(b, key).join(neighbours.select("node", "other", F.col("score").alias("s")).hint("merge"), ["node", "other"])
     g = j.groupBy(*key, "node").agg(F.sum(F.col("s") * F.col("other_hits")).alias("score"))
     w = Window.partitionBy(*key).orderBy(F.desc("score"), "node")
     return g.withColumn("best", F.row_number().over(w) == 1)
@@ -162,5 +162,5 @@ def long10x_multilinkage(blocks: DataFrame, neighbours: DataFrame, node_sizes: D
     hits = blocks.groupBy(*key, F.abs("node").alias("node")).agg(F.sum("score").alias("hits"))
     best = haplotype_scores(hits, neighbours).where("best").select(*key, F.col("node").alias("__best"))
     near = neighbours.select(F.col("node").alias("__best"), F.col("other").alias("__other")).unionByName(best.select("__best", F.col("__best").alias("__other"))).distinct()
-    kept = blocks.withColumn("__n", F.abs("node")).join(best.join(near, "__best").select(*key, F.col("__other").alias("__n")).distinct(), [*key, "__n"], "left_semi").drop("__n")
+    kept = blocks.withColumn("__n", F.abs("node")).join(best.join(near.hint("merge"), "__best").select(*key, F.col("__other").alias("__n")).distinct(), [*key, "__n"], "left_semi").drop("__n")
     return mappings_multilinkage(kept, node_sizes, read_sizes, **options)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.classic.dataframe import DataFrame as Classic
 
 import __spark_entry__ as entry
+from strandloom.operators.linkage import haplotype_scores, tag_node_reads
 from strandloom.operators.mapping import drop_shadowed
 
 #: Queries that failed by the driver's memory, as the planner took their k-mers, or places near ends, for a few rows.
@@ -45,3 +46,16 @@ def test_blocks_of_a_small_file_are_not_broadcast(spark):
     blocks = spark.createDataFrame([("a", 1, 7, 0, 90, 5), ("a", 1, 8, 10, 80, 3), ("b", 1, 8, 10, 80, 3)], "store string, read_id long, node long, q_start int, q_end int, score long")
     got = drop_shadowed(blocks)
     assert sorted((x.store, x.node) for x in got.collect()) == [("a", 7), ("b", 8)] and "Broadcast" not in planned(got)
+
+
+def test_nodes_and_tags_of_reads_are_not_broadcast(spark):
+    paths = spark.createDataFrame([("a", 1, [5, -6, 5]), ("a", 2, [6]), ("b", 1, [5])], "store string, read_id long, path array<bigint>")
+    got = tag_node_reads(paths, spark.createDataFrame([("a", 1, 9), ("a", 2, 9), ("b", 1, 0)], "store string, read_id long, tag long"))
+    assert sorted(map(tuple, got.collect())) == [(9, 5, 1), (9, 6, 2)] and "Broadcast" not in planned(got)
+
+
+def test_neighbours_by_tags_are_not_broadcast(spark):
+    hits = spark.createDataFrame([("a", 1, 5, 2), ("a", 1, 6, 3)], "store string, read_id long, node long, hits long")
+    got = haplotype_scores(hits, spark.createDataFrame([(5, 5, 1.0), (5, 6, 0.5), (6, 6, 1.0)], "node long, other long, score double"))
+    assert sorted((x.node, x.score, x.best) for x in got.collect()) == [(5, 3.5, True), (6, 3.0, False)]
+    assert re.search(r"\w+Join\b", planned(got)).group() == "SortMergeJoin"  # the uppermost join
